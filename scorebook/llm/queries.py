@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matrices, packing, piece_codec
+from . import main_text, matrices, packing, piece_codec, quality_gam, quality_rules
 from .common import read_table
 
 
@@ -21,6 +21,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(read_table(spark, sf_dir, "pages"))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.digests(matrices.packed_matrices(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
@@ -31,6 +44,9 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_main_text": op2_main_text,
+    "op3_quality_gam": op3_quality_gam,
+    "op4_quality_rules": op4_quality_rules,
     "op6_packed_matrices": op6_packed_matrices,
     "op8_piece_codec": op8_piece_codec,
 }
