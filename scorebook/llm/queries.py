@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_knn, main_text, matrices, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
+from . import hilbert_knn, jaccard_join, main_text, matrices, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
 from .common import read_table
 
 
@@ -53,6 +53,10 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op10_hilbert_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_knn.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packed_matrices": op6_packed_matrices,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_piece_codec": op8_piece_codec,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_knn": op10_hilbert_knn,
 }
 
