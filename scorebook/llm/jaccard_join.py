@@ -4,10 +4,14 @@
 order that puts rare ones first: a document's home region is that of its first shingle, and it is replicated into
 the regions of as many further shingles as a partner at distance ``radius`` might lack, so every linked pair meets
 in some region.  The regions of one least document are joined into one, with that document as its pivot.
-There the join is exact and recursive: distances to a pivot are computed in full, what lies within the radius
-falls to the pivot's component, and by the triangle inequality only the rest, and those of the component whose
-distance to the pivot is within the radius of theirs, go on to the next pivot.  A region too large for a task
-takes its pivot steps in several tasks until it is small.  The components of all links are found on Spark.
+
+Members that no other member of their region can be linked with are taken out first: a shingle more or less
+changes the counts of a set's hashes in a few buckets by one, so the distance of two count vectors bounds the
+symmetric difference of the sets from below.  Then the join is exact and recursive: distances to a pivot are
+computed in full, what lies within the radius falls to the pivot's component, and by the triangle inequality only
+the rest, and those of the component whose distance to the pivot is within the radius of theirs, go on to the next
+pivot.  A region too large for a task takes its pivot steps in several tasks until it is small.  The components
+of all links are found on Spark.
 """
 
 from __future__ import annotations
@@ -51,6 +55,35 @@ def counter_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Hashes of the set in each of B buckets, B the power of two next above an eighth of its size."""
+    buckets = 1 << min(max((max(len(s), 1) // 8).bit_length(), 4), 11)
+    return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may be linked with another one, by the lower bound that their sketches give."""
+    out = np.zeros(len(n), bool)
+    counts = [np.frombuffer(x, np.uint8).astype(np.int32) for x in sketches]
+    order = np.argsort(n, kind="stable")
+    for at, i in enumerate(order):
+        end = at + 1 + int(np.searchsorted(n[order[at + 1 :]], 100 * n[i] // percent, side="right"))
+        partners = order[at + 1 : end]  # not smaller, and not too large
+        if out[i]:
+            partners = partners[~out[partners]]
+        if not len(partners):
+            continue
+        width = len(counts[i])
+        # a larger set has as many buckets or more, which fold
+        rest = np.minimum(np.stack([counts[j] if len(counts[j]) == width else counts[j].reshape(-1, width).sum(0) for j in partners]), 255)
+        apart = np.abs(rest - counts[i]).sum(1)
+        near = (100 + percent) * apart <= (100 - percent) * (n[i] + n[partners])
+        if near.any():
+            out[i] = True
+            out[partners[near]] = True
+    return out
+
+
 def needed(n: int, percent: int) -> int:
     """Shingles that two sets must share at least for a link if one of them has n."""
     return -(-n * percent // 100)
@@ -107,13 +140,13 @@ def by_group(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 20_000, held_entries: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 20_000, pruned_rows: int = 2_000, held_entries: int = 500_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     Texts without words, empty or null, have no shingles and are linked with nothing.  A null doc_id counts as the
     smallest id and is given back as null.  Rows with the same doc_id are one document: their links are those of
     any of them.  An empty table gives no rows; other columns are ignored.  ``region_rows`` bounds the documents that
-    one task joins.
+    one task joins; regions of more than ``pruned_rows`` go there without the test of their sketches.
     """
     own = documents(docs)
     spark, buckets = docs.sparkSession, 2 * partitions(docs.sparkSession)
@@ -122,18 +155,19 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
         from pyspark import TaskContext
 
         counts, task = np.zeros(COUNTERS, np.uint64), TaskContext.get().partitionId()
-        none = {"slice": -1, "task": -1, "counts": b""}
+        none = {"slice": -1, "task": -1}
         for pdf in batches:
             sets = shingle_sets(own_bytes(pdf["_text"]), size)
             every = np.concatenate(sets)
             counts += np.bincount(counter_of(every), minlength=COUNTERS).astype(np.uint64)
             signs = [signature(s) for s in sets]
-            yield pd.DataFrame({"_id": pdf["_id"], "n": [len(s) for s in sets], "s1": [s[0] for s in signs], "s2": [s[1] for s in signs], **none})
+            yield pd.DataFrame({"_id": pdf["_id"], "n": [len(s) for s in sets], "s1": [s[0] for s in signs], "s2": [s[1] for s in signs], **none, "counts": [sketch(s) for s in sets]})
         parts = [zlib.compress(c.astype("<u8").tobytes(), 1) for c in np.split(counts, SLICES)]
         yield pd.DataFrame({"_id": 0, "n": 0, "s1": 0, "s2": 0, "slice": range(SLICES), "task": task, "counts": parts})
 
     measured = stage(own.mapInPandas(measure, "_id long, n long, s1 long, s2 long, slice int, task int, counts binary"), "sets")
     points = measured.filter("slice = -1").select("_id", "n", "s1", "s2")
+    sketches = measured.filter("slice = -1").select(F.col("_id").alias("doc"), "n", F.col("counts").alias("sketch"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), "<u8").astype(np.uint64) for c in pdf["counts"])
@@ -208,6 +242,16 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
     pairs = pairs.join(to.select(F.col("_id").alias("p"), F.col("point").alias("region")), "p").join(to.select(F.col("_id").alias("x"), F.col("point").alias("doc")), "x").select("region", "doc").filter("region <> doc").distinct()
     pairs = stage(pairs, "regions")
     members = pairs.unionByName(pairs.select("region", F.col("region").alias("doc")).distinct())
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_group(batches, "region"):
+            if len(group) <= pruned_rows:
+                group = group[possible(group["n"].to_numpy(), group["sketch"].tolist(), percent)]
+            if len(group):
+                yield group[["region", "doc"]]
+
+    drawn = members.join(sketches, "doc").select("region", "doc", "n", "sketch").repartition("region").sortWithinPartitions("region")
+    members = stage(drawn.mapInPandas(prune, "region long, doc long"), "members")
     texts = own
     edges: list[DataFrame] = []
 
