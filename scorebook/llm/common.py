@@ -39,6 +39,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+NULL_ID = -(1 << 63)  # stands for a null doc_id inside tasks, where a null would turn a column of ids into floats
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns the operators need, so clashing or extra columns never matter.  Null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """Only the two columns the operators need, so clashing or extra columns never matter.  Null text is empty, a null doc_id NULL_ID."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def null_back(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))

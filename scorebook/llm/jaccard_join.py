@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import NULL_ID, partitions, stage
 from .components import components
-from .repeats import FIRST_ID, block_hashes, documents, from6, low6, mix, own_bytes, runs, word_codes
+from .repeats import block_hashes, documents, from6, low6, mix, own_bytes, runs, word_codes
 
 COUNTERS, SLICES = 1 << 20, 16  # fixed size of the table of shingle frequencies
 
@@ -281,7 +281,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
         found = found.unionByName(more)
     labels = components(found)
     out = named.join(labels, named["point"] == labels["node"], "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
-    null = lambda c: F.nullif(F.col(c), F.lit(FIRST_ID)).alias(c)
+    null = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
     return out.select(null("doc_id"), "n_shingles", null("component_id"))
 
 

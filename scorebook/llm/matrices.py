@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, cut
-from .common import id_and_text
+from .common import NULL_ID, id_and_text
 
 CAPACITY = 2048
 ROWS = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>, starts array<long>"
@@ -93,7 +93,7 @@ def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         for pdf in batches:
             for doc_id, ids in zip(pdf["doc_id"].tolist(), bpe.many(pdf["text"].tolist())):
                 ids += end
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc_id = None if doc_id == NULL_ID else doc_id
                 held += [(doc_id, k, s, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
                 tokens += len(ids) // 4
                 if tokens >= chunk_tokens:

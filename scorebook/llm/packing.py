@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, cut
-from .common import id_and_text, stage
+from .common import id_and_text, null_back, stage
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": pd.Int64Dtype()})
+            yield out
 
     return id_and_text(docs).mapInPandas(run, PIECES)
 
@@ -138,4 +138,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     An empty text still has its id 0 and so one piece.  Extra columns are ignored.
     """
-    return pack(pieces(docs, tokenizer_path, capacity), capacity, **how)
+    return null_back(pack(pieces(docs, tokenizer_path, capacity), capacity, **how))

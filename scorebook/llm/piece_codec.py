@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .byte_bpe import batches, gather, split_words
-from .common import id_and_text
+from .common import id_and_text, null_back
 
 MARK = "▁"
 ROWS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -88,4 +88,4 @@ def encode_decode(docs: DataFrame, model_path: str, batch_chars: int = 4_000_000
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return id_and_text(docs).mapInPandas(run, ROWS)
+    return null_back(id_and_text(docs).mapInPandas(run, ROWS))

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import NULL_ID, id_and_text, null_back
 
 FEATURES = ["log_chars", "log_words", "word_length", "symbols", "pipes", "marks", "upper", "digits", "stops", "distinct", "runs", "pairs", "line_words", "dup_lines", "long_words"]
 _CLASSES = np.zeros(0x250, np.uint8)
@@ -189,17 +190,17 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Data
             s = model.score(np.array([features(t) for t in pdf["text"]], float).reshape(-1, len(FEATURES)))
             yield pdf.drop(columns="text").assign(score=s, predicted=(s >= threshold).astype("int32"))
 
-    own = id_and_text(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return own.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    own = id_and_text(docs).select("doc_id", held_out(F.nullif("doc_id", F.lit(NULL_ID))).alias("held_out"), "text")
+    return null_back(own.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """The documents that the classifier accepts, with all their columns, in one pass over the texts."""
     model = train(docs, labels, **how)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            x = np.array([features(t or "") for t in pdf["text"]], float).reshape(-1, len(FEATURES))
-            yield pdf[model.score(x) >= threshold]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -112,6 +112,11 @@ def _factor(df: DataFrame, scale: float) -> DataFrame:
     return df.select("_g", *(f"m{i}" for i in range(len(floors))), *made)
 
 
+def _small(found: DataFrame, most: int = 20_000) -> DataFrame:
+    """A hint to broadcast the groups' estimates if they are few: a counted, staged table of some numbers for each."""
+    return F.broadcast(found) if found.count() <= most else found
+
+
 def estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
     """One row for each group ``_g``: centre m<i> and Cholesky factor l<i><j> of the robust scatter."""
     names, p = list(FEATURES), len(FEATURES)
@@ -122,9 +127,9 @@ def estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame
     start = at.select("_g", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 0.7413, 2) if i == j else F.lit(0.0)).alias(f"c{j}{i}") for i in range(p) for j in range(i + 1)))
     now = stage(_factor(start, 1.0), "mcd0")
     for k in range(steps):
-        near = _distance(stats.join(now, "_g"))
-        cut = near.groupBy("_g").agg(F.percentile_approx("d2", keep).alias("_cut"))
-        inner = near.join(cut, "_g").filter(F.col("d2") <= F.col("_cut"))
+        near = _distance(stats.join(_small(now), "_g"))
+        cut = stage(near.groupBy("_g").agg(F.percentile_approx("d2", keep).alias("_cut")), "cut")
+        inner = near.join(_small(cut), "_g").filter(F.col("d2") <= F.col("_cut"))
         y = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(names)]  # sums of small numbers lose nothing
         sums = inner.groupBy("_g").agg(
             *(F.avg(y[i]).alias(f"y{i}") for i in range(p)),
@@ -147,10 +152,10 @@ def judge(docs: DataFrame, cutoff: float = 0.99999, min_group: int = 200, **how)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("?")).alias("lang"), F.coalesce(F.col("source"), F.lit("?")).alias("source"))
     stats = stage(with_features(text_counts(own)).drop("text"), "stats")
     pool = stats.filter(~F.col("base_failed"))
-    large = pool.groupBy("lang", "source").count().filter(F.col("count") >= min_group).select("lang", "source", F.lit(True).alias("_own"))
-    keyed = stats.join(large, ["lang", "source"], "left").withColumn("_g", F.concat_ws("\x1f", "lang", F.when(F.col("_own"), F.col("source")).otherwise(F.lit(""))))
+    large = stage(pool.groupBy("lang", "source").count().filter(F.col("count") >= min_group).select("lang", "source", F.lit(True).alias("_own")), "groups")
+    keyed = stats.join(_small(large), ["lang", "source"], "left").withColumn("_g", F.concat_ws("\x1f", "lang", F.when(F.col("_own"), F.col("source")).otherwise(F.lit(""))))
     found = estimates(keyed.filter(~F.col("base_failed")).select("_g", *FEATURES), **how)
-    judged = _distance(keyed.join(found, "_g", "left"))
+    judged = _distance(keyed.join(_small(found), "_g", "left"))
     limit = chi2_quantile(cutoff, len(FEATURES))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
     return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))

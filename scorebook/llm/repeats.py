@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import NULL_ID, id_and_text, partitions, stage
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -32,7 +32,6 @@ _CODES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
-FIRST_ID = -(1 << 63)  # stands for a null doc_id
 CHUNK = 1_000_000  # tokens hashed at once
 
 
@@ -209,7 +208,7 @@ def own_bytes(texts: pd.Series) -> list[bytes]:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    return id_and_text(docs).toDF("_id", "_text")
 
 
 def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, held_anchors: int = 500_000) -> DataFrame:
@@ -338,12 +337,7 @@ def removed(spans, n_tokens: int, window: int) -> np.ndarray:
     return got[got[:, 0] < got[:, 1]]
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Joins each document to its spans and lets ``work(pdf)`` make the output of a batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield work(pdf)
-
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)))
-    return own.join(spans, "_id", "left").drop("_id").mapInPandas(run, schema)
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each row of ``docs`` with the ``_spans`` of its doc_id, or null."""
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return own.join(spans, "_id", "left").drop("_id")

@@ -13,9 +13,9 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import cut_out, own_bytes, removed, repeated_spans, word_codes
+from .common import id_and_text, null_back
+from .repeats import own_bytes, removed, repeated_spans, with_spans, word_codes
 
 WINDOW = 20
 
@@ -29,12 +29,12 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts under one doc_id each loses the spans found in any.  An empty table gives no rows; other columns are
     ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = id_and_text(docs)
     spans = repeated_spans(docs, word_codes, window, window // 2)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for text, mine in zip(own_bytes(pdf["text"].fillna("")), pdf["_spans"]):
+        for text, mine in zip(own_bytes(pdf["text"]), pdf["_spans"]):
             words = text.split()
             gone = removed(mine, len(words), window)
             keep = words
@@ -45,7 +45,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 keep = compress(words, left.tolist())
             rows.append((len(words), int((gone[:, 1] - gone[:, 0]).sum()), gone.ravel().tolist(), b" ".join(keep).decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["n_words", "n_removed", "spans", "kept"])
-        out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
+        out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
         return out
 
-    return cut_out(docs.withColumn("doc_id", F.col("doc_id").cast("long")), spans, work, "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
+    schema = "doc_id long, n_words long, n_removed long, spans array<long>, kept string"
+    return null_back(with_spans(docs, spans).mapInPandas(lambda batches: map(work, batches), schema))

@@ -8,14 +8,13 @@ that one suffix stands for all strings around it; the second is the hash of the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import byte_codes, cut_out, own_bytes, removed, repeated_spans
+from .common import id_and_text, null_back
+from .repeats import byte_codes, own_bytes, removed, repeated_spans, with_spans
 
 THRESHOLD, DIGIT = 100, 32
 
@@ -27,15 +26,8 @@ def _kept(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2]))
 
 
-def _apply(docs: DataFrame, threshold: int, make: Callable, schema) -> DataFrame:
-    spans = repeated_spans(docs.select("doc_id", "text"), byte_codes, threshold, DIGIT)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = own_bytes(pdf["text"].fillna(""))
-        gone = [removed(s, len(t), threshold) for t, s in zip(texts, pdf["_spans"])]
-        return make(pdf.drop(columns="_spans"), texts, gone)
-
-    return cut_out(docs, spans, work, schema)
+def _spans(docs: DataFrame, threshold: int) -> DataFrame:
+    return repeated_spans(docs.select("doc_id", "text"), byte_codes, threshold, DIGIT)
 
 
 def dedup_bytes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -46,25 +38,35 @@ def dedup_bytes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     document: equal rows keep the same bytes, and of different texts under one doc_id each loses the spans found
     in any.  An empty table gives no rows; other columns are ignored.
     """
+    docs = id_and_text(docs)
 
-    def make(pdf: pd.DataFrame, texts: list[bytes], gone: list[np.ndarray]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = own_bytes(pdf["text"])
+        gone = [removed(s, len(t), threshold) for t, s in zip(texts, pdf["_spans"])]
         out = pd.DataFrame({"n_bytes": [len(t) for t in texts], "n_removed": [int((g[:, 1] - g[:, 0]).sum()) for g in gone], "n_spans": [len(g) for g in gone], "spans": [g.ravel().tolist() for g in gone], "kept": [_kept(t, g) for t, g in zip(texts, gone)]})
-        out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
+        out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
         return out
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _apply(own, threshold, make, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
+    return null_back(with_spans(docs, _spans(docs, threshold)).mapInPandas(lambda batches: map(work, batches), schema))
 
 
 def dedup_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with all columns; the repeated strings are taken out of text (a character cut in two goes whole), and
     n_chars, if there, counts the new text.  A null text stays null; a document whose text is all repeats keeps an empty one."""
-
-    def make(pdf: pd.DataFrame, texts: list[bytes], gone: list[np.ndarray]) -> pd.DataFrame:
-        kept = [None if null else _kept(t, g).decode("utf-8", "ignore") for t, g, null in zip(texts, gone, pdf["text"].isna())]
-        pdf["text"] = pd.Series(kept, index=pdf.index, dtype=object)
-        if "n_chars" in pdf:
-            pdf["n_chars"] = pd.Series([None if k is None else len(k) for k in kept], index=pdf.index, dtype="Int64")
-        return pdf
-
-    return _apply(docs, threshold, make, docs.schema)
+    names = docs.columns
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, kept = b.column("text").to_pylist(), []
+        for t, s in zip(texts, b.column("_spans")):
+            if t is None or not s.is_valid:
+                kept.append(t)
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            kept.append(_kept(raw, removed(s.values.to_numpy(), len(raw), threshold)).decode("utf-8", "ignore"))
+        new = {"text": pa.array(kept, b.schema.field("text").type)}
+        if "n_chars" in names:
+            new["n_chars"] = pa.array([None if k is None else len(k) for k in kept], b.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names=names)
+
+    return with_spans(docs, _spans(docs, threshold)).mapInArrow(lambda batches: map(work, batches), docs.schema)
