@@ -1 +1,130 @@
-"""Queries of the change and streaming operators."""
+"""Queries of the change, document and streaming operators."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import testbed, testfeeds
+from .functions import measures as M
+from .operators import changes as C
+from .operators import core
+from .plans import rollups, views
+from .queries import PA, PO, QUERIES, SQL, add, rounded
+from .sources import derive, feeds, schedule
+from .streaming import live
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def add_events(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(query(_events(spark, sf_dir)))
+    if sql:
+        SQL[name] = sql
+
+
+# ---- changes of rows ---------------------------------------------------------------------------------------------
+GAME = ["game_pk", "season", "official_date", "coded_state", "home_score", "away_score"]
+_later = lambda t: t.games.select(*GAME).filter("game_pk % 4 = 0").withColumns({"home_score": F.when(F.col("game_pk") % 8 == 0, F.col("home_score") + 1).otherwise(F.when(F.col("game_pk") % 12 == 0, F.lit(None)).otherwise(F.col("home_score")))})
+_base = lambda t: t.games.select(*GAME).filter("game_pk % 5 <> 0")
+COLS = ", ".join(GAME)
+BASE_SQL = f"base AS (SELECT {COLS} FROM games WHERE game_pk % 5 <> 0)"
+LATER_SQL = "later AS (SELECT game_pk, season, official_date, coded_state, CASE WHEN game_pk % 8 = 0 THEN home_score + 1 WHEN game_pk % 12 = 0 THEN NULL ELSE home_score END AS home_score, away_score FROM games WHERE game_pk % 4 = 0)"
+CHANGED_SQL = "changed AS (SELECT l.* FROM later l LEFT JOIN base b USING (game_pk) WHERE b.game_pk IS NULL OR (l.season, l.official_date, l.coded_state, l.home_score, l.away_score) IS DISTINCT FROM (b.season, b.official_date, b.coded_state, b.home_score, b.away_score))"
+add("changed_rows", lambda t: C.changed_rows(_base(t), _later(t), ["game_pk"]), f"WITH {BASE_SQL}, {LATER_SQL}, {CHANGED_SQL} SELECT * FROM changed")
+add("upsert_games", lambda t: schedule.upsert_games(_base(t), _later(t))[0], f"WITH {BASE_SQL}, {LATER_SQL}, {CHANGED_SQL} SELECT * FROM base WHERE game_pk NOT IN (SELECT game_pk FROM changed) UNION ALL SELECT * FROM changed")
+add("replace_rows", lambda t: C.substitute_rows(_base(t), _later(t), ["game_pk"]), f"WITH {BASE_SQL}, {LATER_SQL} SELECT * FROM base WHERE game_pk NOT IN (SELECT game_pk FROM later) UNION ALL SELECT * FROM later WHERE game_pk IN (SELECT game_pk FROM base)")
+add("replace_by_key", lambda t: C.replace_by_key(_base(t), _later(t), ["game_pk"]), f"WITH {BASE_SQL}, {LATER_SQL} SELECT * FROM base WHERE game_pk NOT IN (SELECT game_pk FROM later) UNION ALL SELECT * FROM later")
+add("snapshot_diff", lambda t: C.snapshot_diff(t.plays.select("game_pk", "at_bat_index", "event", "outs_after").filter("at_bat_index < 3"), t.plays.select("game_pk", "at_bat_index", "event", F.when(F.col("batter_id") % 10 == 0, 0).otherwise(F.col("outs_after")).alias("outs_after")), ["game_pk", "at_bat_index"]), "SELECT game_pk, at_bat_index, event, CASE WHEN batter_id % 10 = 0 THEN 0 ELSE outs_after END AS outs_after FROM plays WHERE at_bat_index >= 3 OR batter_id % 10 = 0")
+add("reconcile", lambda t: C.reconcile(t.batting.groupBy("player_id").agg(F.sum("hits").alias("hits"), F.sum("home_runs").alias("home_runs")), views.plate_appearances(t.plays, t.games, t.event_types).filter("at_bat_index <> 7").groupBy(F.col("batter_id").alias("player_id")).agg(F.count_if(F.col("bases") > 0).alias("hits"), F.count_if(F.col("bases") == 4).alias("home_runs")), ["player_id"], ["hits", "home_runs"]), "SELECT a.*, b.hits AS other_hits, b.home_runs AS other_home_runs FROM (SELECT player_id, sum(hits) AS hits, sum(home_runs) AS home_runs FROM batting GROUP BY player_id) a LEFT JOIN (SELECT batter_id AS player_id, count(*) FILTER (bases > 0) AS hits, count(*) FILTER (bases = 4) AS home_runs FROM plate_appearances WHERE at_bat_index <> 7 GROUP BY batter_id) b USING (player_id) WHERE (a.hits, a.home_runs) IS DISTINCT FROM (b.hits, b.home_runs)", "", "hits home_runs")
+add("unknown_category", lambda t: C.unknown_values(t.plays.withColumn("event_type", F.when(F.col("q") % 7 == 0, F.concat("event_type", F.lit("_x"))).otherwise(F.col("event_type"))), t.event_types, "event_type"), "SELECT DISTINCT event_type || '_x' AS event_type FROM plays WHERE q % 7 = 0")
+add("constraint_checks", lambda t: C.check_constraints(t.plays.withColumn("half", F.when(F.col("q") == 7, "sideways").otherwise(F.col("half"))), ["launch_speed", "batter_id"], ["game_pk", "inning"], {"half": ("top", "bottom")}), "SELECT 'null:launch_speed' AS rule, count(*) FILTER (raw_speed IS NULL) AS violations FROM plays UNION ALL SELECT 'null:batter_id', count(*) FILTER (batter_id IS NULL) FROM plays UNION ALL SELECT 'domain:half', count(*) FILTER (q = 7) FROM plays UNION ALL SELECT 'unique:game_pk,inning', count(*) FROM (SELECT 1 FROM plays GROUP BY game_pk, inning HAVING count(*) > 1)")
+add("asof_team", lambda t: core.asof_left_join(t.games.select("game_pk", "season", F.col("home_team_id").alias("team_id")), t.teams.select("team_id", F.col("season").alias("since"), "name"), ["team_id"], "season", "since"), "SELECT g.game_pk, g.season, g.home_team_id AS team_id, t.name FROM games g ASOF LEFT JOIN teams t ON t.team_id = g.home_team_id AND g.season >= t.season")
+add("unpivot_sides", lambda t: core.unpivot_sides(t.games, ["game_pk", "season"]), "SELECT game_pk, season, unnest([home_team_id, away_team_id]) AS team_id, unnest([away_team_id, home_team_id]) AS opponent_id, unnest([true, false]) AS is_home, unnest([home_score, away_score]) AS runs_for, unnest([away_score, home_score]) AS runs_against, unnest([home_score > away_score, away_score > home_score]) AS won FROM games")
+add("streak", lambda t: core.current_streak(core.unpivot_sides(t.games.filter(M.regular()), ["game_pk", "season", "start_ms"]), ["team_id", "season"], [F.col("start_ms").desc(), F.col("game_pk").desc()], "won"), "WITH g AS (SELECT season, start_ms, game_pk, unnest([home_team_id, away_team_id]) AS team_id, unnest([home_score > away_score, away_score > home_score]) AS won FROM regular), n AS (SELECT *, row_number() OVER (PARTITION BY team_id, season ORDER BY start_ms DESC, game_pk DESC) AS n FROM g), f AS (SELECT team_id, season, arg_min(won, n) AS won, count(*) AS games FROM n GROUP BY ALL) SELECT f.team_id, f.season, f.won, coalesce(min(n.n) - 1, any_value(games)) AS length FROM f LEFT JOIN n ON n.team_id = f.team_id AND n.season = f.season AND n.won <> f.won GROUP BY f.team_id, f.season, f.won")
+add("rebuild_equals_days", lambda t: rollups.batted_ball_days(t).groupBy("season", "player_id").agg(F.sum("batted_balls").alias("batted_balls"), F.sum("barrels").alias("barrels")), f"SELECT season, batter_id AS player_id, count(launch_speed) AS batted_balls, count(*) FILTER (launch_speed >= 98 AND launch_angle BETWEEN greatest(8, 26 - (launch_speed - 98)) AND least(50, 30 + 1.5 * (launch_speed - 98))) AS barrels FROM {PA} GROUP BY ALL")
+add("impacted_keys", lambda t: schedule.impacted(t.games.filter("game_pk % 50 <> 0").select(*GAME, "home_team_id", "away_team_id"), t.games.select(*GAME, "home_team_id", "away_team_id")), "WITH c AS (SELECT * FROM games WHERE game_pk % 50 = 0) SELECT DISTINCT unnest(['game', 'day', 'team', 'team']) AS kind, unnest([game_pk::VARCHAR, official_date::VARCHAR, home_team_id::VARCHAR, away_team_id::VARCHAR]) AS key FROM c UNION SELECT 'season', season::VARCHAR FROM c WHERE coded_state = 'F'")
+_hist = lambda t: schedule.probables(t.games.withColumns({"home_probable_name": F.lit("x"), "away_probable_name": F.lit("x")}).filter("game_pk % 3 <> 0")).withColumns({"observed_at": F.lit(1), "pitcher_id": F.when(F.col("game_pk") % 7 == 0, F.col("pitcher_id") + 1).otherwise(F.col("pitcher_id"))})
+add("record_probables", lambda t: schedule.record_probables(_hist(t), t.games.withColumns({"home_probable_name": F.lit("x"), "away_probable_name": F.lit("x"), "home_probable_id": F.when(F.col("game_pk") % 5 == 0, None).otherwise(F.col("home_probable_id"))}), F.lit(2)).drop("pitcher_name"), "WITH now AS (SELECT game_pk, unnest(['home', 'away']) AS side, unnest([CASE WHEN game_pk % 5 = 0 THEN NULL ELSE home_probable_id END, away_probable_id]) AS pitcher_id FROM games), hist AS (SELECT game_pk, unnest(['home', 'away']) AS side, unnest([home_probable_id, away_probable_id]) + CASE WHEN game_pk % 7 = 0 THEN 1 ELSE 0 END AS pitcher_id FROM games WHERE game_pk % 3 <> 0) SELECT n.game_pk, n.side, n.pitcher_id, 2 AS observed_at FROM now n LEFT JOIN hist h ON h.game_pk = n.game_pk AND h.side = n.side WHERE (n.pitcher_id, 'x') IS DISTINCT FROM (h.pitcher_id, CASE WHEN h.game_pk IS NOT NULL THEN 'x' END)")
+
+# ---- versioned documents, on the change stream --------------------------------------------------------------------
+_of = lambda e, kind: C.latest_state(e.filter(F.col("event_type") == kind).select("user_id", "event_id", "value"), ["user_id"], "event_id")
+LATEST = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = '{0}' GROUP BY user_id"
+add_events("latest_state", lambda e: C.latest_state(e.select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id"), "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+add_events("versioned_upsert", lambda e: C.versioned_upsert(_of(e, "click"), _of(e, "view"), _of(e, "purchase"), "user_id", "event_id").drop("_stored"), f"WITH a AS ({LATEST.format('click')}), o AS ({LATEST.format('view')}), i AS ({LATEST.format('purchase')}), f AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = i.user_id AND o.event_id >= i.event_id)) SELECT * FROM (SELECT *, 0 AS n FROM a UNION ALL SELECT *, 1 FROM f) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, n) = 1".replace("SELECT * FROM (SELECT *, 0", "SELECT user_id, event_id, value FROM (SELECT *, 0"))
+add_events("newer_of_two", lambda e: C.newer_of_two(_of(e, "click"), _of(e, "view"), "user_id", "event_id"), f"WITH a AS ({LATEST.format('click')}), b AS ({LATEST.format('view')}) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_id >= a.event_id) UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_id > b.event_id)")
+add_events("append_if_changed", lambda e: C.append_if_changed(e.filter("event_type = 'view'").select("user_id", F.floor(F.col("value") / 50).cast("int").alias("level"), F.col("event_id").alias("at")), _of(e, "click").select("user_id", F.floor(F.col("value") / 50).cast("int").alias("level"), F.col("event_id").alias("at")), ["user_id"], ["level"], "at"), f"SELECT c.user_id, floor(c.value / 50)::INTEGER AS level, c.event_id AS at FROM ({LATEST.format('click')}) c LEFT JOIN ({LATEST.format('view')}) v USING (user_id) WHERE floor(c.value / 50)::INTEGER IS DISTINCT FROM floor(v.value / 50)::INTEGER")
+add_events("patch_state", lambda e: C.patch(_of(e, "click"), _of(e, "purchase").filter("user_id % 2 = 0").withColumn("value", F.when(F.col("user_id") % 4 == 0, None).otherwise(F.col("value"))), ["user_id"], ["value"]), f"SELECT c.user_id, c.event_id, CASE WHEN p.user_id IS NOT NULL AND c.user_id % 4 = 0 THEN NULL WHEN p.user_id IS NOT NULL THEN p.value ELSE c.value END AS value FROM ({LATEST.format('click')}) c LEFT JOIN ({LATEST.format('purchase')}) p ON p.user_id = c.user_id AND p.user_id % 2 = 0")
+add_events("json_props", lambda e: e.select("event_id", F.from_json("props", "k INT")["k"].alias("k"), F.expr("try_cast(get_json_object(props, '$.k') AS INT)").alias("k_path")), "SELECT event_id, (props->>'$.k')::INTEGER AS k, (props->>'$.k')::INTEGER AS k_path FROM events")
+add_events("dedupe_event_id", lambda e: e.unionByName(e.filter("event_id % 10 = 0")).dropDuplicates(["event_id"]).select("event_id", "user_id", "event_type"), "SELECT event_id, user_id, event_type FROM events")
+add_events("version_changes", lambda e: live.changes_over_versions(e.select("user_id", "event_id", "event_type"), "event_id", ["user_id"]), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1 OR event_type <> before")
+add_events("scoring_alerts", lambda e: live.scoring_alerts(e.select("user_id", "event_id", F.floor("value").alias("home_runs"), (F.col("event_id") * 7 % 13).alias("away_runs")), ["user_id"], "event_id").select("user_id", "event_id", "scored"), "SELECT user_id, event_id, CASE WHEN a > lag_a THEN 'away' WHEN h > lag_h THEN 'home' END AS scored FROM (SELECT user_id, event_id, a, h, lag(a) OVER w AS lag_a, lag(h) OVER w AS lag_h FROM (SELECT user_id, event_id, event_id * 7 % 13 AS a, floor(value) AS h FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE a > lag_a OR h > lag_h")
+
+# ---- documents ---------------------------------------------------------------------------------------------------
+DONE = "(SELECT * FROM plays WHERE at_bat_index % 13 <> 12)"
+
+
+def add_feed(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(query(testfeeds.parsed(spark, sf_dir)))
+    SQL[name] = testbed.oracle(sql)
+
+
+add_feed("feed_plays", lambda g: derive.plays(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "at_bat_index", "inning", "half", F.col("batter_id").cast("long").alias("batter_id"), "event_type", "outs_after", "home_score_after", "pitch_count", "launch_speed", "has_review"), f"SELECT p.game_pk, g.season, at_bat_index, p.inning, half, batter_id, event_type, outs_after, home_score_after, (q % 4 + 1)::INTEGER AS pitch_count, CASE WHEN h.at_bat_index IS NOT NULL THEN raw_speed END AS launch_speed, false AS has_review FROM {DONE} p JOIN games g USING (game_pk) LEFT JOIN (SELECT DISTINCT game_pk, at_bat_index FROM pitches WHERE call_code IN ('X','D','E')) h USING (game_pk, at_bat_index)")
+add_feed("pitch_context", lambda g: derive.pitches(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "pitch_index", F.col("pitcher_id").cast("long").alias("pitcher_id"), "pitch_hand", "balls_before", "strikes_before", "outs_before", "call_code", "start_speed", "zone"), f"WITH d AS (SELECT *, coalesce(lag(outs_after) OVER (PARTITION BY game_pk, inning, half ORDER BY at_bat_index), 0) AS outs0, lag(pitcher_id) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev, lag(pitch_hand) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev_hand FROM {DONE}) SELECT p.game_pk, p.at_bat_index, p.pitch_index * 2 AS pitch_index, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev, d.pitcher_id) ELSE d.pitcher_id END AS pitcher_id, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev_hand, d.pitch_hand) ELSE d.pitch_hand END AS pitch_hand, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 4 END::INTEGER AS balls_before, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 3 END::INTEGER AS strikes_before, CASE WHEN p.pitch_index = 0 THEN outs0 ELSE p.at_bat_index % 3 END::INTEGER AS outs_before, call_code, start_speed, zone FROM pitches p JOIN d ON d.game_pk = p.game_pk AND d.at_bat_index = p.at_bat_index")
+add_feed("feed_events", lambda g: derive.play_events(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "event_index", "kind", "event_type"), f"SELECT game_pk, at_bat_index, 1 AS event_index, 'action' AS kind, 'pitching_substitution' AS event_type FROM {DONE} WHERE at_bat_index % 6 = 5")
+add_feed("feed_linescores", lambda g: derive.linescores(g).select(F.col("game_pk").cast("long").alias("game_pk"), "inning", "half", "runs", "hits", "errors"), "SELECT * FROM linescores")
+add_feed("feed_decisions", lambda g: derive.decisions(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", F.col("winner_id").cast("long").alias("winner_id"), F.col("loser_id").cast("long").alias("loser_id")), "SELECT d.* FROM decisions d WHERE game_pk IN (SELECT game_pk FROM plays)")
+add_feed("feed_teams", lambda g: derive.game_teams(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "team_id", "source_date"), "SELECT game_pk, season, unnest([home_team_id, away_team_id]) AS team_id, official_date AS source_date FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
+QUERIES["feed_headers"] = lambda spark, sf_dir: feeds.with_header(testfeeds.documents(spark, sf_dir)).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "feed_ts", "is_final", "valid")
+SQL["feed_headers"] = testbed.oracle("SELECT game_pk, season, strftime(official_date, '%Y%m%d') || '_120000' AS feed_ts, coded_state = 'F' AS is_final, true AS valid FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _events(spark, sf_dir).schema
+    return spark.readStream.schema(source).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All available input through a stream, into a table in memory."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    at = f"{folder}/stream-{name}-{id(stream)}" if folder else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
+    stream.writeStream.format("memory").queryName(f"stream_{name}").outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(f"stream_{name}")
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, live.latest(_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id"), "latest", "complete")
+
+
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, live.watch_versions(_stream(spark, sf_dir), "user_id", "event_id", version_type="long"), "versions")
+
+
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stream(spark, sf_dir)
+    return _run(spark, live.dedupe_ids(s.unionByName(s.filter("event_id % 10 = 0")), "event_id", "ts").select("event_id", "user_id"), "dedupe")
+
+
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, live.debounce(_stream(spark, sf_dir), "user_id", "ts", "2 hours"), "bursts")
+
+
+def stream_bursts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, live.debounce_capped(_stream(spark, sf_dir), "user_id", "ts", 7200, 21600), "capped")
+
+
+QUERIES["stream_latest_state"] = stream_latest
+SQL["stream_latest_state"] = SQL["latest_state"]
+QUERIES["stream_version_watch"] = stream_versions
+SQL["stream_version_watch"] = "SELECT user_id, event_id FROM events WHERE user_id IS NOT NULL"
+QUERIES["stream_dedupe"] = stream_dedupe
+SQL["stream_dedupe"] = "SELECT event_id, user_id FROM events"
+QUERIES["stream_bursts"] = stream_bursts
+QUERIES["stream_bursts_capped"] = stream_bursts_capped
