@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Current state of the facts and dimensions; every field is a lazy DataFrame."""
-
-    games: DataFrame
-    plays: DataFrame
-    pitches: DataFrame
-    play_events: DataFrame
-    linescores: DataFrame
-    decisions: DataFrame
-    batting: DataFrame  # a line for each player and game
-    pitching: DataFrame
-    game_teams: DataFrame
-    bios: DataFrame  # a player's bio as of each game
-    players: DataFrame  # latest bio of each player
-    teams: DataFrame  # latest row of each team and season
-    event_types: DataFrame
+    """Current state of the facts and dimensions, each a lazy DataFrame or a function that gives one when it is first asked for.
+
+    games, plays, pitches, play_events, linescores, decisions, batting and pitching (a line for each player and
+    game), game_teams, bios (a player's bio as of each game), players (latest bio), teams (latest row of each team
+    and season), event_types.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            found = self.__dict__["_tables"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found

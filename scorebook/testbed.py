@@ -7,10 +7,13 @@ checks by another engine.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import measures as M
+from .operators.core import asof_left_join
 from .tables import Tables
 
 #: What the twelve remainders of a line's quantity stand for.
@@ -57,10 +60,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_types(spark: SparkSession) -> DataFrame:
-    """The static dimension of events, about 75 rows."""
+    """The static dimension of events, about 75 rows, as a local relation."""
     pa = set(M.PLATE_APPEARANCE_EVENTS)
     rows = [(e, e in pa, e in pa and e not in M.NO_AT_BAT, e in pa and e not in M.NO_BALL_IN_PLAY, e in M.WALKS, e in M.STRIKEOUTS, M.BASES.get(e, 0)) for e in [*M.PLATE_APPEARANCE_EVENTS, *M.OTHER_EVENTS]]
-    return spark.createDataFrame(rows, "event_type string, is_plate_appearance boolean, is_at_bat boolean, is_ball_in_play boolean, is_walk boolean, is_strikeout boolean, bases int")
+    values = ", ".join(str(r).replace("True", "true").replace("False", "false") for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(event_type, is_plate_appearance, is_at_bat, is_ball_in_play, is_walk, is_strikeout, bases)")
 
 
 def _pick(values: list[str], at) -> F.Column:
@@ -71,96 +75,131 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     from .plans import views
 
     c = F.col
-    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
-    orders, customer = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
-    part, supplier = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "supplier")
+    read = cache(lambda name: _read(spark, sf_dir, name))
     k, later = c("o_orderkey"), c("season") == 1998
-    teams = (
-        nation.join(region, c("n_regionkey") == c("r_regionkey")).withColumn("season", F.explode(F.array(F.lit(1995), F.lit(1998))))
-        .filter((c("season") == 1995) | (c("n_nationkey") % 2 == 0))
-        .select(
-            c("n_nationkey").alias("team_id"), "season", F.concat("n_name", F.when(later, " II").otherwise("")).alias("name"), F.concat(F.lit("T"), "n_name").alias("team_name"),
-            F.concat(F.lit("N"), c("n_nationkey").cast("string"), F.when(later, "X").otherwise("")).alias("abbreviation"), (c("n_regionkey") % 2).alias("league_id"),
-            F.concat(F.lit("League "), (c("n_regionkey") % 2).cast("string")).alias("league_name"), c("n_regionkey").alias("division_id"), c("r_name").alias("division_name"),
-        )
-    )
     day = F.to_date("o_orderdate")
-    games = orders.join(customer.select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).select(
-        k.alias("game_pk"), F.year(day).alias("season"), day.alias("official_date"), (F.unix_date(day) * F.lit(86400000).cast("long") + k % 12 * 3600000).alias("start_ms"),
-        F.when(k % 20 == 0, "F").when(k % 20 == 1, "S").otherwise("R").alias("game_type"), F.lit(1).alias("game_number"),
-        F.when(c("o_orderstatus") == "P", "I").otherwise("F").alias("coded_state"), F.when(c("o_orderstatus") == "P", "Live").otherwise("Final").alias("abstract_state"),
-        F.when(k % 9 == 0, "Delayed: Rain").otherwise("Running").alias("detailed_state"),
-        c("c_nationkey").alias("home_team_id"), ((c("c_nationkey") + 1 + k % 24) % 25).cast("int").alias("away_team_id"),
-        (k * 7 % 11).cast("int").alias("home_score"), ((k * 13 + 1) % 11).cast("int").alias("away_score"),
-        (F.lit(9) + F.when(k % 7 == 0, 1 + k % 3).otherwise(0)).cast("int").alias("inning"),
-        (PITCHER_BASE + k * 3 % 100).alias("home_probable_id"), (PITCHER_BASE + (k * 5 + 1) % 100).alias("away_probable_id"),
-        F.concat((k % 90).cast("string"), F.lit("-"), (k % 70).cast("string")).alias("home_record"), F.concat((k % 80).cast("string"), F.lit("-"), (k % 60).cast("string")).alias("away_record"),
-        F.when(k % 11 == 0, "Y").otherwise("N").alias("double_header"), F.when(k % 13 == 0, F.date_sub(day, 3)).alias("rescheduled_from"),
-    )
     ab, q, line = c("ab"), c("q"), c("l_orderkey")
-    plays = (
-        _read(spark, sf_dir, "lineitem")
-        .withColumn("ab", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLAY_ORDER)) - 1).cast("int")).withColumn("q", c("l_quantity").cast("int"))
-        .select(
-            line.alias("game_pk"), ab.alias("at_bat_index"), (ab % 10 + 1).alias("inning"), F.when(ab % 2 == 0, "top").otherwise("bottom").alias("half"),
-            c("l_partkey").alias("batter_id"), (PITCHER_BASE + c("l_suppkey")).alias("pitcher_id"), F.when(c("l_partkey") % 2 == 0, "L").otherwise("R").alias("bat_side"), F.when(c("l_suppkey") % 3 == 0, "L").otherwise("R").alias("pitch_hand"),
-            _pick(["Empty", "RISP", "Loaded", "Men_On"], ab % 4).alias("men_on_base"), _pick(EVENTS, q % 12).alias("event_type"), F.concat(F.lit("E"), (q % 12).cast("string")).alias("event"),
-            F.when(c("l_linenumber") != 3, 60 + c("l_quantity")).alias("launch_speed"), F.when(c("l_linenumber") != 3, (c("l_partkey") % 70 - 10).cast("double")).alias("launch_angle"), (200 + 5 * c("l_quantity")).alias("total_distance"),
-            F.least(line * 7 % 11, ab.cast("long")).cast("int").alias("home_score_after"), F.least((line * 13 + 1) % 11, ab.cast("long") + 1).cast("int").alias("away_score_after"),
-            (ab % 3 + 1).alias("outs_after"), (q % 12).isin(4, 5, 8, 9, 10).alias("is_out"), (ab % 5 == 0).alias("is_scoring_play"), q.alias("q"), "l_partkey", "l_suppkey",
-        )
-    )
-    i, part_key, supp = c("i"), c("l_partkey"), c("l_suppkey")
-    call = F.substr(F.lit("BCSFXWDTBC"), ((c("at_bat_index") * 7 + i * 3 + q) % 10 + 1).cast("int"), F.lit(1))
-    pitches = plays.withColumn("i", F.explode(F.sequence(F.lit(0), q % 4))).select(
-        "game_pk", "at_bat_index", i.alias("pitch_index"), "inning", "half", "batter_id", "pitcher_id", "bat_side", "pitch_hand", (i % 4).alias("balls_before"), (i % 3).alias("strikes_before"),
-        call.alias("call_code"), ((q + i * 5) % 14 + 1).alias("zone"), F.substr(F.lit("FFSISLCUCH"), (2 * ((supp + i) % 5) + 1).cast("int"), F.lit(2)).alias("pitch_type"),
-        (70 + (part_key * 3 + i * 7) % 35 + 0.5).cast("double").alias("start_speed"), (2000 + (part_key * 11 + i * 13) % 700).cast("double").alias("spin_rate"),
-        ((part_key + i) % 20).cast("double").alias("induced_vertical_break"), ((supp + i * 3) % 15).cast("double").alias("horizontal_break"), "launch_speed",
-        ((part_key + i) % 23 == 0).alias("abs_challenged"), ((part_key + i) % 46 == 0).alias("abs_overturned"), ((supp + i) % 2).alias("abs_by_home"), call.isin("X", "D", "E").alias("is_in_play"),
-    )
-    teams_of = games.select("game_pk", "home_team_id", "away_team_id")
-    by = F.when(c("abs_challenged"), F.when(c("abs_by_home") == 1, c("home_team_id")).otherwise(c("away_team_id")))
-    pitches = pitches.join(teams_of, "game_pk").withColumn("abs_challenge_team_id", by).drop("home_team_id", "away_team_id", "abs_by_home")
-    plays = plays.drop("l_partkey", "l_suppkey")
-    kinds = event_types(spark)
-    appearances = views.plate_appearances(plays, games, kinds)
-    starters = views.game_starters(plays)
     hit = lambda n: F.count_if(c("bases") == n)
-    batting = appearances.groupBy("game_pk", "season", c("batter_id").alias("player_id"), c("batting_team_id").alias("team_id")).agg(
-        *M.batting_counts()[:9], hit(2).alias("doubles"), hit(3).alias("triples"), F.min("at_bat_index").alias("batting_order")
-    )
-    fielding = F.when(c("half") == "top", "home").otherwise("away")
-    lines = (
-        appearances.withColumn("side", fielding).join(starters.select("game_pk", "side", "pitcher_id", F.lit(True).alias("_s")), ["game_pk", "side", "pitcher_id"], "left")
-        .groupBy("game_pk", "season", c("pitcher_id").alias("player_id"), c("fielding_team_id").alias("team_id"), F.coalesce("_s", F.lit(False)).alias("is_starter"))
-        .agg(
-            F.count("*").alias("batters_faced"), F.count_if("is_out").alias("outs"), F.count_if(c("bases") > 0).alias("hits"), hit(4).alias("runs"),
-            F.count_if((c("bases") == 4) & (c("at_bat_index") % 4 != 0)).alias("earned_runs"), hit(4).alias("home_runs"), F.count_if("is_walk").alias("walks"), F.count_if("is_strikeout").alias("strikeouts"), F.min("at_bat_index").alias("first_at_bat"),
+
+    @cache
+    def teams_() -> DataFrame:
+        return (
+            read("nation").join(read("region"), c("n_regionkey") == c("r_regionkey")).withColumn("season", F.explode(F.array(F.lit(1995), F.lit(1998))))
+            .filter((c("season") == 1995) | (c("n_nationkey") % 2 == 0))
+            .select(
+                c("n_nationkey").alias("team_id"), "season", F.concat("n_name", F.when(later, " II").otherwise("")).alias("name"), F.concat(F.lit("T"), "n_name").alias("team_name"),
+                F.concat(F.lit("N"), c("n_nationkey").cast("string"), F.when(later, "X").otherwise("")).alias("abbreviation"), (c("n_regionkey") % 2).alias("league_id"),
+                F.concat(F.lit("League "), (c("n_regionkey") % 2).cast("string")).alias("league_name"), c("n_regionkey").alias("division_id"), c("r_name").alias("division_name"),
+            )
+        )
+
+    @cache
+    def games_() -> DataFrame:
+        return read("orders").join(read("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).select(
+            k.alias("game_pk"), F.year(day).alias("season"), day.alias("official_date"), (F.unix_date(day) * F.lit(86400000).cast("long") + k % 12 * 3600000).alias("start_ms"),
+            F.when(k % 20 == 0, "F").when(k % 20 == 1, "S").otherwise("R").alias("game_type"), F.lit(1).alias("game_number"),
+            F.when(c("o_orderstatus") == "P", "I").otherwise("F").alias("coded_state"), F.when(c("o_orderstatus") == "P", "Live").otherwise("Final").alias("abstract_state"),
+            F.when(k % 9 == 0, "Delayed: Rain").otherwise("Running").alias("detailed_state"),
+            c("c_nationkey").alias("home_team_id"), ((c("c_nationkey") + 1 + k % 24) % 25).cast("int").alias("away_team_id"),
+            (k * 7 % 11).cast("int").alias("home_score"), ((k * 13 + 1) % 11).cast("int").alias("away_score"),
+            (F.lit(9) + F.when(k % 7 == 0, 1 + k % 3).otherwise(0)).cast("int").alias("inning"),
+            (PITCHER_BASE + k * 3 % 100).alias("home_probable_id"), (PITCHER_BASE + (k * 5 + 1) % 100).alias("away_probable_id"),
+            F.concat((k % 90).cast("string"), F.lit("-"), (k % 70).cast("string")).alias("home_record"), F.concat((k % 80).cast("string"), F.lit("-"), (k % 60).cast("string")).alias("away_record"),
+            F.when(k % 11 == 0, "Y").otherwise("N").alias("double_header"), F.when(k % 13 == 0, F.date_sub(day, 3)).alias("rescheduled_from"),
+        )
+
+    @cache
+    def plays_() -> DataFrame:
+        return (
+            read("lineitem")
+            .withColumn("ab", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLAY_ORDER)) - 1).cast("int")).withColumn("q", c("l_quantity").cast("int"))
+            .select(
+                line.alias("game_pk"), ab.alias("at_bat_index"), (ab % 10 + 1).alias("inning"), F.when(ab % 2 == 0, "top").otherwise("bottom").alias("half"),
+                c("l_partkey").alias("batter_id"), (PITCHER_BASE + c("l_suppkey")).alias("pitcher_id"), F.when(c("l_partkey") % 2 == 0, "L").otherwise("R").alias("bat_side"), F.when(c("l_suppkey") % 3 == 0, "L").otherwise("R").alias("pitch_hand"),
+                _pick(["Empty", "RISP", "Loaded", "Men_On"], ab % 4).alias("men_on_base"), _pick(EVENTS, q % 12).alias("event_type"), F.concat(F.lit("E"), (q % 12).cast("string")).alias("event"),
+                F.when(c("l_linenumber") != 3, 60 + c("l_quantity")).alias("launch_speed"), F.when(c("l_linenumber") != 3, (c("l_partkey") % 70 - 10).cast("double")).alias("launch_angle"), (200 + 5 * c("l_quantity")).alias("total_distance"),
+                F.least(line * 7 % 11, ab.cast("long")).cast("int").alias("home_score_after"), F.least((line * 13 + 1) % 11, ab.cast("long") + 1).cast("int").alias("away_score_after"),
+                (ab % 3 + 1).alias("outs_after"), (q % 12).isin(4, 5, 8, 9, 10).alias("is_out"), (ab % 5 == 0).alias("is_scoring_play"), q.alias("q"), "l_partkey", "l_suppkey",
+            )
+        )
+
+    @cache
+    def pitches_() -> DataFrame:
+        i, part_key, supp = c("i"), c("l_partkey"), c("l_suppkey")
+        call = F.substr(F.lit("BCSFXWDTBC"), ((c("at_bat_index") * 7 + i * 3 + q) % 10 + 1).cast("int"), F.lit(1))
+        pitches = plays_().withColumn("i", F.explode(F.sequence(F.lit(0), q % 4))).select(
+            "game_pk", "at_bat_index", i.alias("pitch_index"), "inning", "half", "batter_id", "pitcher_id", "bat_side", "pitch_hand", (i % 4).alias("balls_before"), (i % 3).alias("strikes_before"),
+            call.alias("call_code"), ((q + i * 5) % 14 + 1).alias("zone"), F.substr(F.lit("FFSISLCUCH"), (2 * ((supp + i) % 5) + 1).cast("int"), F.lit(2)).alias("pitch_type"),
+            (70 + (part_key * 3 + i * 7) % 35 + 0.5).cast("double").alias("start_speed"), (2000 + (part_key * 11 + i * 13) % 700).cast("double").alias("spin_rate"),
+            ((part_key + i) % 20).cast("double").alias("induced_vertical_break"), ((supp + i * 3) % 15).cast("double").alias("horizontal_break"), "launch_speed",
+            ((part_key + i) % 23 == 0).alias("abs_challenged"), ((part_key + i) % 46 == 0).alias("abs_overturned"), ((supp + i) % 2).alias("abs_by_home"), call.isin("X", "D", "E").alias("is_in_play"),
+        )
+        teams_of = games_().select("game_pk", "home_team_id", "away_team_id")
+        by = F.when(c("abs_challenged"), F.when(c("abs_by_home") == 1, c("home_team_id")).otherwise(c("away_team_id")))
+        return pitches.join(teams_of, "game_pk").withColumn("abs_challenge_team_id", by).drop("home_team_id", "away_team_id", "abs_by_home")
+
+    kinds = cache(lambda: event_types(spark))
+    own_plays = cache(lambda: plays_().drop("l_partkey", "l_suppkey"))
+    appearances = cache(lambda: views.plate_appearances(own_plays(), games_(), kinds()))
+    starters = cache(lambda: views.game_starters(own_plays()))
+
+    @cache
+    def batting_() -> DataFrame:
+        return appearances().groupBy("game_pk", "season", c("batter_id").alias("player_id"), c("batting_team_id").alias("team_id")).agg(
+            *M.batting_counts()[:9], hit(2).alias("doubles"), hit(3).alias("triples"), F.min("at_bat_index").alias("batting_order")
         )
-    )
-    margin = F.when(c("team_id") == c("home_team_id"), c("home_score") - c("away_score")).otherwise(c("away_score") - c("home_score"))
-    relief = ~c("is_starter")
-    pitching = lines.join(games.select("game_pk", "home_team_id", "home_score", "away_score"), "game_pk").select(
-        *lines.columns, (c("is_starter") & (margin > 0)).alias("is_win"), (c("is_starter") & (margin < 0)).alias("is_loss"),
-        (relief & (c("player_id") % 3 == 0)).alias("is_save"), (relief & (c("player_id") % 3 == 1)).alias("is_hold"), (relief & (c("player_id") % 3 == 2)).alias("is_blown_save"),
-    )
-    won = F.when(c("home_score") > c("away_score"), "home").otherwise("away")
-    each = games.filter((c("coded_state") == "F") & (c("home_score") != c("away_score"))).select("game_pk", "season", won.alias("won"))
-    w, l = (starters.select("game_pk", c("side").alias(f"{x}_side"), c("pitcher_id").alias(x)) for x in ("winner_id", "loser_id"))
-    decisions = each.join(w, "game_pk").join(l, "game_pk").filter((c("winner_id_side") == c("won")) & (c("loser_id_side") != c("won"))).select("game_pk", "season", "winner_id", "loser_id")
-    is_ = lambda *e: F.count_if(c("event_type").isin(*e)).cast("int")
-    linescores = plays.groupBy("game_pk", "inning", "half").agg(is_("home_run").alias("runs"), is_("single", "double", "triple", "home_run").alias("hits"), is_("field_error").alias("errors"))
-    bios = (
-        _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(orders.select("o_orderkey", "o_orderdate"), line == k)
-        .groupBy(c("l_partkey").alias("player_id"), line.alias("game_pk"), F.year(day).alias("season"), day.alias("source_date")).agg((F.max(c("l_quantity").cast("int")) + 60).alias("weight"))
-        .withColumn("game_number", F.lit(1))
-    )
-    batters = part.filter(c("p_partkey") % 17 != 0).select(c("p_partkey").alias("player_id"), F.concat("p_name", F.lit(" "), c("p_partkey").cast("string")).alias("full_name"), F.when(c("p_partkey") % 2 == 0, "L").otherwise("R").alias("hand"))
-    pitchers = supplier.filter(c("s_suppkey") % 17 != 0).select((PITCHER_BASE + c("s_suppkey")).alias("player_id"), c("s_name").alias("full_name"), F.when(c("s_suppkey") % 3 == 0, "L").otherwise("R").alias("hand"))
-    sides = games.select("game_pk", "season", "official_date", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-    from .operators.core import asof_left_join
-
-    game_teams = asof_left_join(sides, teams.select("team_id", c("season").alias("since"), "abbreviation", "name"), ["team_id"], "season", "since").select("game_pk", "season", "team_id", "abbreviation", "name", c("official_date").alias("source_date"))
-    events = plays.filter(c("at_bat_index") % 6 == 5).select("game_pk", "at_bat_index", F.lit(9).alias("event_index"), F.lit("action").alias("kind"), F.lit("pitching_substitution").alias("event_type"), c("event").alias("description"))
-    return Tables(games=games, plays=plays, pitches=pitches, play_events=events, linescores=linescores, decisions=decisions, batting=batting, pitching=pitching, game_teams=game_teams, bios=bios, players=batters.unionByName(pitchers), teams=teams, event_types=kinds)
+
+    @cache
+    def pitching_() -> DataFrame:
+        fielding = F.when(c("half") == "top", "home").otherwise("away")
+        lines = (
+            appearances().withColumn("side", fielding).join(starters().select("game_pk", "side", "pitcher_id", F.lit(True).alias("_s")), ["game_pk", "side", "pitcher_id"], "left")
+            .groupBy("game_pk", "season", c("pitcher_id").alias("player_id"), c("fielding_team_id").alias("team_id"), F.coalesce("_s", F.lit(False)).alias("is_starter"))
+            .agg(
+                F.count("*").alias("batters_faced"), F.count_if("is_out").alias("outs"), F.count_if(c("bases") > 0).alias("hits"), hit(4).alias("runs"),
+                F.count_if((c("bases") == 4) & (c("at_bat_index") % 4 != 0)).alias("earned_runs"), hit(4).alias("home_runs"), F.count_if("is_walk").alias("walks"), F.count_if("is_strikeout").alias("strikeouts"), F.min("at_bat_index").alias("first_at_bat"),
+            )
+        )
+        margin = F.when(c("team_id") == c("home_team_id"), c("home_score") - c("away_score")).otherwise(c("away_score") - c("home_score"))
+        relief = ~c("is_starter")
+        return lines.join(games_().select("game_pk", "home_team_id", "home_score", "away_score"), "game_pk").select(
+            *lines.columns, (c("is_starter") & (margin > 0)).alias("is_win"), (c("is_starter") & (margin < 0)).alias("is_loss"),
+            (relief & (c("player_id") % 3 == 0)).alias("is_save"), (relief & (c("player_id") % 3 == 1)).alias("is_hold"), (relief & (c("player_id") % 3 == 2)).alias("is_blown_save"),
+        )
+
+    @cache
+    def decisions_() -> DataFrame:
+        won = F.when(c("home_score") > c("away_score"), "home").otherwise("away")
+        each = games_().filter((c("coded_state") == "F") & (c("home_score") != c("away_score"))).select("game_pk", "season", won.alias("won"))
+        w, l = (starters().select("game_pk", c("side").alias(f"{x}_side"), c("pitcher_id").alias(x)) for x in ("winner_id", "loser_id"))
+        return each.join(w, "game_pk").join(l, "game_pk").filter((c("winner_id_side") == c("won")) & (c("loser_id_side") != c("won"))).select("game_pk", "season", "winner_id", "loser_id")
+
+    @cache
+    def linescores_() -> DataFrame:
+        is_ = lambda *e: F.count_if(c("event_type").isin(*e)).cast("int")
+        return own_plays().groupBy("game_pk", "inning", "half").agg(is_("home_run").alias("runs"), is_("single", "double", "triple", "home_run").alias("hits"), is_("field_error").alias("errors"))
+
+    @cache
+    def bios_() -> DataFrame:
+        return (
+            read("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(read("orders").select("o_orderkey", "o_orderdate"), line == k)
+            .groupBy(c("l_partkey").alias("player_id"), line.alias("game_pk"), F.year(day).alias("season"), day.alias("source_date")).agg((F.max(c("l_quantity").cast("int")) + 60).alias("weight"))
+            .withColumn("game_number", F.lit(1))
+        )
+
+    @cache
+    def players_() -> DataFrame:
+        batters = read("part").filter(c("p_partkey") % 17 != 0).select(c("p_partkey").alias("player_id"), F.concat("p_name", F.lit(" "), c("p_partkey").cast("string")).alias("full_name"), F.when(c("p_partkey") % 2 == 0, "L").otherwise("R").alias("hand"))
+        pitchers = read("supplier").filter(c("s_suppkey") % 17 != 0).select((PITCHER_BASE + c("s_suppkey")).alias("player_id"), c("s_name").alias("full_name"), F.when(c("s_suppkey") % 3 == 0, "L").otherwise("R").alias("hand"))
+        return batters.unionByName(pitchers)
+
+    @cache
+    def game_teams_() -> DataFrame:
+        sides = games_().select("game_pk", "season", "official_date", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+        return asof_left_join(sides, teams_().select("team_id", c("season").alias("since"), "abbreviation", "name"), ["team_id"], "season", "since").select("game_pk", "season", "team_id", "abbreviation", "name", c("official_date").alias("source_date"))
+
+    @cache
+    def play_events_() -> DataFrame:
+        return own_plays().filter(c("at_bat_index") % 6 == 5).select("game_pk", "at_bat_index", F.lit(9).alias("event_index"), F.lit("action").alias("kind"), F.lit("pitching_substitution").alias("event_type"), c("event").alias("description"))
+
+    return Tables(games=games_, plays=own_plays, pitches=pitches_, play_events=play_events_, linescores=linescores_, decisions=decisions_, batting=batting_, pitching=pitching_, game_teams=game_teams_, bios=bios_, players=players_, teams=teams_, event_types=kinds)
