@@ -236,7 +236,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
     pairs = packed.groupBy("bucket").applyInPandas(meet, "p long, x long").distinct()
 
     # equal sets are one point, named by its least document
-    names = points.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("point"))
+    names = stage(points.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("point")), "classes")  # staged, so that a hot class is split in the join
     named = stage(points.join(names, ["n", "s1", "s2"], "left").select("_id", "n", F.coalesce("point", "_id").alias("point")), "points")
     to = named.groupBy("_id").agg(F.min("point").alias("point"))
     pairs = pairs.join(to.select(F.col("_id").alias("p"), F.col("point").alias("region")), "p").join(to.select(F.col("_id").alias("x"), F.col("point").alias("doc")), "x").select("region", "doc").filter("region <> doc").distinct()
