@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterator[pd.DataFrame], column: str = "_text", chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches in parts of about ``chars`` characters, so that what is computed from them stays small."""
+    for pdf in batches:
+        part = (np.cumsum(pdf[column].str.len().to_numpy()) - 1) // chars
+        for _, piece in pdf.groupby(part, sort=False):
+            yield piece
+
+
 NULL_ID = -(1 << 63)  # stands for a null doc_id inside tasks, where a null would turn a column of ids into floats
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, partitions, stage
+from .common import NULL_ID, partitions, slices, stage
 from .components import components
 from .repeats import block_hashes, documents, from6, low6, mix, own_bytes, runs, word_codes
 
@@ -84,6 +84,26 @@ def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
     return out
 
 
+def meetable(heads: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int, widest: int = 32) -> np.ndarray:
+    """Rows of runs (beginning at ``heads``) that share their shingle as the first one with another row they might be linked with.
+
+    Before the first shared shingle nothing is shared, so two sets share at most what is ``left`` of either from it on.
+    Of runs wider than ``widest`` all rows are kept, of single rows none.
+    """
+    sizes, keep = np.diff(heads, append=len(n)), np.zeros(len(n), bool)
+    for m in np.unique(sizes):
+        if m == 1:
+            continue
+        at = heads[sizes == m][:, None] + np.arange(m)
+        if m > widest:
+            keep[at] = True
+            continue
+        enough = (100 + percent) * np.minimum(left[at][:, :, None], left[at][:, None, :]) >= percent * (n[at][:, :, None] + n[at][:, None, :])
+        enough[:, np.arange(m), np.arange(m)] = False
+        keep[at] = enough.any(2)
+    return np.flatnonzero(keep)
+
+
 def needed(n: int, percent: int) -> int:
     """Shingles that two sets must share at least for a link if one of them has n."""
     return -(-n * percent // 100)
@@ -156,7 +176,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
 
         counts, task = np.zeros(COUNTERS, np.uint64), TaskContext.get().partitionId()
         none = {"slice": -1, "task": -1}
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = shingle_sets(own_bytes(pdf["_text"]), size)
             every = np.concatenate(sets)
             counts += np.bincount(counter_of(every), minlength=COUNTERS).astype(np.uint64)
@@ -193,16 +213,17 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
             e = np.concatenate([h[2] for h in held])
             sizes = np.array([len(h[2]) for h in held])
             ids, n = np.repeat([h[0] for h in held], sizes), np.repeat([h[1] for h in held], sizes)
+            place = np.concatenate([np.arange(k) for k in sizes])
             bucket = (e >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             rows = []
             for p in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
                 head = np.flatnonzero(runs(ids[p]))
-                rows.append((int(bucket[p[0]]), ids[p[head]].astype("<i8").tobytes(), n[p[head]].astype("<u4").tobytes(), np.diff(head, append=len(p)).astype("<u4").tobytes(), low6(e[p])))
+                rows.append((int(bucket[p[0]]), ids[p[head]].astype("<i8").tobytes(), n[p[head]].astype("<u4").tobytes(), np.diff(head, append=len(p)).astype("<u4").tobytes(), place[p].astype("<u4").tobytes(), low6(e[p])))
             held.clear()
-            return pd.DataFrame(rows, columns=["bucket", "ids", "n", "counts", "e"])
+            return pd.DataFrame(rows, columns=["bucket", "ids", "n", "counts", "place", "e"])
 
-        for pdf in batches:
+        for pdf in slices(batches):
             for i, s in zip(pdf["_id"].tolist(), shingle_sets(own_bytes(pdf["_text"]), size)):
                 sign = (len(s), *signature(s))
                 if not len(s) or sign in seen:
@@ -222,17 +243,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
         sizes = [np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"]]
         ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), c) for i, c in zip(pdf["ids"], sizes)])
         n = np.concatenate([np.repeat(np.frombuffer(x, "<u4").astype(np.int64), c) for x, c in zip(pdf["n"], sizes)])
-        e = from6(b"".join(pdf["e"]))
+        e, left = from6(b"".join(pdf["e"])), n - np.frombuffer(b"".join(pdf["place"]), "<u4").astype(np.int64)
         order = np.lexsort((ids, n, e))
-        e, n, ids = e[order], n[order], ids[order]
+        e, n, ids, left = e[order], n[order], ids[order], left[order]
         new = runs(e)
         new[1:] |= 100 * n[:-1] < percent * n[1:]  # sizes too far apart for a link
-        head = np.flatnonzero(new)
+        keep = meetable(np.flatnonzero(new), n, left, percent)
+        new = runs(np.cumsum(new)[keep])
+        ids, head = ids[keep], np.flatnonzero(new)
+        if not len(ids):
+            return pd.DataFrame({"p": np.zeros(0, np.int64), "x": np.zeros(0, np.int64)})
         pivot = np.repeat(np.minimum.reduceat(ids, head), np.diff(head, append=len(ids)))
         pairs = np.unique(np.stack([pivot, ids], 1)[pivot != ids], axis=0) if (pivot != ids).any() else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"p": pairs[:, 0], "x": pairs[:, 1]})
 
-    packed = own.mapInPandas(send, "bucket int, ids binary, n binary, counts binary, e binary")
+    packed = own.mapInPandas(send, "bucket int, ids binary, n binary, counts binary, place binary, e binary")
     pairs = packed.groupBy("bucket").applyInPandas(meet, "p long, x long").distinct()
 
     # equal sets are one point, named by its least document
@@ -297,7 +322,7 @@ def pivot_step(members: DataFrame, large: DataFrame, texts: DataFrame, size: int
     rows = big.select("region", "doc").join(texts.select(F.col("_id").alias("doc"), "_text"), "doc").join(with_text, "region")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             sets, cache, out = shingle_sets(own_bytes(pdf["_text"]), size), {}, []
             for s, p, t in zip(sets, pdf["pivot"], pdf["pivot_text"]):
                 if p not in cache:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, partitions, stage
+from .common import NULL_ID, id_and_text, partitions, slices, stage
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -71,11 +71,11 @@ def byte_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all words in a row, words of each text); words are what ``bytes.split()`` gives."""
     counts, codes = [], []
-    for group in _grouped(texts, 4 * CHUNK):
-        if len(group) == 1 and len(group[0]) > 4 * CHUNK:  # a very long text: by parts that end at white space
+    for group in _grouped(texts, CHUNK):
+        if len(group) == 1 and len(group[0]) > CHUNK:  # a very long text: by parts that end at white space
             parts, t, at = [], group[0], 0
             while at < len(t):
-                end = at + 4 * CHUNK
+                end = at + CHUNK
                 while end < len(t) and not _SPACES[t[end]]:
                     end += 1
                 parts.append(t[at:end])
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
             held.clear()
             return pd.DataFrame(rows, columns=["bucket", "gone", "ids", "counts", "lo", "n", "g", "c"])
 
-        for pdf in batches:
+        for pdf in slices(batches):
             ids = pdf["_id"].to_numpy()
             x, counts = codes(own_bytes(pdf["_text"]))
             for part, sizes, doc, offset in segments(x, counts, window):
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
     first = stage(packed.groupBy("bucket").applyInPandas(settle, "_id long, span long, ask boolean, g long"), "anchors")
 
     def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             x, counts = codes(own_bytes(pdf["_text"]))
             begin = np.cumsum(counts) - counts
             asked = np.array([len(s) for s in pdf["spans"]])
