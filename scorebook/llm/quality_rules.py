@@ -19,8 +19,12 @@ from .common import stage
 
 SPACE = r"[ \x09-\x0D]+"
 WORD = r"[^ \x09-\x0D]"
-#: Statistics and the least standard deviation each is given, so that a statistic that hardly varies rejects no near neighbour.
-FEATURES = {"f_word_length": 0.1, "f_symbols": 0.12, "f_dup_lines": 0.6, "f_repeats": 0.15}
+MIN_WORDS = 50  # fewer fail the base rules
+#: Statistics and the standard deviation that is added to each against rounding.
+FEATURES = {"f_word_length": 1e-6, "f_symbols": 1e-6, "f_dup_lines": 1e-6, "f_repeats": 1e-6}
+#: The least standard deviation of each: what one word of twice the length, one symbol, line or three-word window changes
+#: at most in the shortest judged text.  As the logarithm of lines flattens, a line counts as a fifth of five lines.
+LEAST = {"f_word_length": math.log1p(1 / MIN_WORDS), "f_symbols": math.log1p(1 / MIN_WORDS), "f_dup_lines": math.log1p(5) / 5, "f_repeats": 3 / MIN_WORDS}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -78,7 +82,7 @@ def with_features(counted: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return counted.withColumns(
         {
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "f_word_length": F.log1p(F.col("word_chars") / words),
             "f_symbols": F.log1p(F.col("n_symbols") / words),
             "f_dup_lines": F.log1p(F.col("n_dup_lines").cast("double")),
@@ -100,14 +104,18 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def _factor(df: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factor columns l<i><j> of the scatter c<i><j> times ``scale``, with the floors' squares on its diagonal."""
-    floors, made = list(FEATURES.values()), []
+    """Cholesky factor columns l<i><j> of the scatter c<i><j> times ``scale``.
+
+    A statistic that varies less than its ``LEAST``, given those before it, is set to vary by that much; a larger
+    scatter stays as it is.
+    """
+    floors, least, made = list(FEATURES.values()), list(LEAST.values()), []
     for i in range(len(floors)):
         for j in range(i + 1):
             v = F.col(f"c{j}{i}") * scale + (floors[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(floors[i] ** 2 / 4))) if i == j else v / F.col(f"l{j}{j}"))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(least[i] ** 2))) if i == j else v / F.col(f"l{j}{j}"))
             made.append(f"l{i}{j}")
     return df.select("_g", *(f"m{i}" for i in range(len(floors))), *made)
 

@@ -115,3 +115,17 @@ def test_robust_distances(spark):
     assert found == pytest.approx(brute_mcd(x), rel=1e-6)
     limit = quality_rules.chi2_quantile(0.99999, 4)
     assert (found[:60] > limit).mean() > 0.9 and (found[60:] <= limit).all()
+
+
+def test_tight_group_rejects_outliers(spark):
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab, n, replace=False))
+    clean = [text(100) for _ in range(300)] + [text(97) + " a 5% b", "one line\n" * 2 + text(100)]
+    symbols = [text(100) + " " + "# " * 50, text(40) + " $ & " * 10 + text(30)]
+    repeats = [text(110) + " " + " ".join([text(20)] * 4)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + symbols + repeats)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] for i in range(len(clean)))
+    assert not any(got[i]["kept"] for i in range(len(clean), len(rows)))
