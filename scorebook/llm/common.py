@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def null_back(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
+
+
+def inner_id() -> Column:
+    """doc_id, or for a null one an id of its text's own, a hash in the 2 ** 56 lowest numbers."""
+    own = F.lit(NULL_ID) + F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 56) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def own_id_and_text(docs: DataFrame) -> DataFrame:
+    """Like ``id_and_text``, with inner ids, so that different texts under null doc_ids stay apart, and _null, whether doc_id was null."""
+    return docs.select(inner_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").isNull().alias("_null"))
+
+
+def own_null_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).drop("_null")

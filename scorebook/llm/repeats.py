@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, partitions, slices, stage
+from .common import inner_id, own_id_and_text, partitions, slices, stage
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -208,7 +208,7 @@ def own_bytes(texts: pd.Series) -> list[bytes]:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).toDF("_id", "_text")
+    return own_id_and_text(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
 
 def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, held_anchors: int = 500_000) -> DataFrame:
@@ -280,6 +280,9 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
             asked = np.array([len(s) for s in pdf["spans"]])
             spans, g = np.concatenate(pdf["spans"].tolist()), np.concatenate(pdf["gs"].tolist()).astype(np.uint64)
             ids, base = np.repeat(pdf["_id"].to_numpy(), asked), np.repeat(begin, asked)
+            # of different texts under one id, a shorter one has not all places that another asks about
+            fit = np.minimum(spans & 0xFFFF, np.repeat(counts, asked) - window + 1 - (spans >> 16))
+            spans, g, ids, base = span(spans >> 16, fit)[fit > 0], g[fit > 0], ids[fit > 0], base[fit > 0]
             rows, at = [], 0
             while at < len(spans):  # hash by stretches of about CHUNK tokens
                 upto = max(at + 1, int(np.searchsorted(base + (spans >> 16), base[at] + CHUNK)))
@@ -338,6 +341,6 @@ def removed(spans, n_tokens: int, window: int) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each row of ``docs`` with the ``_spans`` of its doc_id, or null."""
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    """Each row of ``docs`` with the ``_spans`` of its inner id, or null."""
+    own = docs.withColumn("_id", inner_id())
     return own.join(spans, "_id", "left").drop("_id")

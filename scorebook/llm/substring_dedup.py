@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, null_back
+from .common import own_id_and_text, own_null_back
 from .repeats import own_bytes, removed, repeated_spans, with_spans, word_codes
 
 WINDOW = 20
@@ -26,10 +26,11 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if a window of ``window`` words over it also starts earlier, in a
     smaller doc_id or before in the same document.  Null and empty texts have no words; a null doc_id counts as
     the smallest.  Rows with the same doc_id are one document: equal rows keep the same words, and of different
-    texts under one doc_id each loses the spans found in any.  An empty table gives no rows; other columns are
+    texts under one doc_id each loses the spans found in any.  Different texts under null doc_ids are documents
+    of their own, in a fixed order.  An empty table gives no rows; other columns are
     ignored.
     """
-    docs = id_and_text(docs)
+    docs = own_id_and_text(docs)
     spans = repeated_spans(docs, word_codes, window, window // 2)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +47,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows.append((len(words), int((gone[:, 1] - gone[:, 0]).sum()), gone.ravel().tolist(), b" ".join(keep).decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["n_words", "n_removed", "spans", "kept"])
         out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-        return out
+        return out.assign(_null=pdf["_null"].to_numpy())
 
-    schema = "doc_id long, n_words long, n_removed long, spans array<long>, kept string"
-    return null_back(with_spans(docs, spans).mapInPandas(lambda batches: map(work, batches), schema))
+    schema = "doc_id long, n_words long, n_removed long, spans array<long>, kept string, _null boolean"
+    return own_null_back(with_spans(docs, spans).mapInPandas(lambda batches: map(work, batches), schema))

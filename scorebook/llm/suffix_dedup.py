@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, null_back
+from .common import own_id_and_text, own_null_back
 from .repeats import byte_codes, own_bytes, removed, repeated_spans, with_spans
 
 THRESHOLD, DIGIT = 100, 32
@@ -36,19 +36,19 @@ def dedup_bytes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     A byte goes if a string of ``threshold`` bytes over it also starts earlier, in a smaller doc_id or before in the
     same document.  Null text is empty; a null doc_id counts as the smallest.  Rows with the same doc_id are one
     document: equal rows keep the same bytes, and of different texts under one doc_id each loses the spans found
-    in any.  An empty table gives no rows; other columns are ignored.
+    in any.  Different texts under null doc_ids are documents of their own, in a fixed order.  An empty table gives no rows; other columns are ignored.
     """
-    docs = id_and_text(docs)
+    docs = own_id_and_text(docs)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = own_bytes(pdf["text"])
         gone = [removed(s, len(t), threshold) for t, s in zip(texts, pdf["_spans"])]
         out = pd.DataFrame({"n_bytes": [len(t) for t in texts], "n_removed": [int((g[:, 1] - g[:, 0]).sum()) for g in gone], "n_spans": [len(g) for g in gone], "spans": [g.ravel().tolist() for g in gone], "kept": [_kept(t, g) for t, g in zip(texts, gone)]})
         out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-        return out
+        return out.assign(_null=pdf["_null"].to_numpy())
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
-    return null_back(with_spans(docs, _spans(docs, threshold)).mapInPandas(lambda batches: map(work, batches), schema))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, _null boolean"
+    return own_null_back(with_spans(docs, _spans(docs, threshold)).mapInPandas(lambda batches: map(work, batches), schema))
 
 
 def dedup_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

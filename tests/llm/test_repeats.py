@@ -1,5 +1,6 @@
 """Ops 5 and 7 against brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -93,3 +94,23 @@ def test_edges(spark):
     rows = {r["doc_id"]: r for r in docs.collect()}
     assert rows[1]["text"] is None and rows[2]["text"] == "" and rows[2]["n_chars"] == 0 and rows[2**60 + 1]["text"] == "é"
     assert suffix_dedup.dedup_bytes(df.limit(0)).count() == 0 and substring_dedup.dedup_words(df.limit(0)).count() == 0
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, twice = words(40), words(40)
+    texts = [f"{words(300)} {shared} {words(60)} {twice}", f"{words(5)} {shared} {words(9)}", f"{twice} {words(30)} {shared}"]
+    rows = [(None, t) for t in texts] + [(3, f"{words(200)} {shared} {twice}"), (3, f"{words(4)} {twice}"), (4, f"{words(50)} {twice} {words(40)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for found, of, kept, window in ((substring_dedup.dedup_words(df), str.split, lambda r: r["kept"].split(), 20), (suffix_dedup.dedup_bytes(df), str.encode, lambda r: bytes(r["kept"]), 100)):
+        got = [r for r in found.collect() if r["doc_id"] is None]
+        assert len(got) == 3
+        by_size = {r[1]: r for r in got}
+        mine = [by_size[len(of(t))] for t in texts]
+
+        def right(order):
+            want = brute(of, [(i, texts[i]) for i in order], window)
+            return all(list(kept(mine[i])) == [x for x, m in zip(*want[i]) if not m] for i in order)
+
+        assert sum(map(right, itertools.permutations(range(3)))) >= 1  # in some order, each as a document of its own
