@@ -7,7 +7,7 @@ a short list of anchors, each with a run of windows and a context (all tokens of
 First pass: anchors are dealt by the hash of their block.  A block that occurs once drops out with all its
 windows.  Of anchors with the same whole context only the first keeps its windows; all others repeat it.
 Second pass, only for blocks with several contexts: the windows of each context's first anchor are hashed
-and compared one by one.
+and compared one by one.  They are dealt by the block, or by the window if the block has many contexts.
 
 What crosses the network are packed arrays, one row for each task and bucket.  A task sends each context once,
 so a passage that fills a third of the corpus arrives as one anchor from each task.  Hashes are compared in 96
@@ -211,11 +211,32 @@ def documents(docs: DataFrame) -> DataFrame:
     return own_id_and_text(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
 
 
-def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, held_anchors: int = 500_000) -> DataFrame:
+def deal_windows(ids: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, hot: np.ndarray, w: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows (bucket, ids, lo, n, g, w) of spans and the hashes ``w`` of all their windows in a row.
+
+    A span goes where its block ``g`` belongs.  Where the block is ``hot``, each window goes by itself where its own hash belongs.
+    """
+    each = np.where(hot, 1, n)  # windows that stay together
+    parts = np.where(hot, n, 1)
+    of = np.repeat(np.arange(len(n)), parts)
+    lo = lo[of] + np.where(hot[of], np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts), 0)
+    ids, n, g, hot = ids[of], each[of], g[of], hot[of]
+    ends = np.cumsum(n)
+    bucket = (np.where(hot, w[ends - n], g) >> np.uint64(24)).astype(np.int64) % buckets
+    rows, order = [], np.argsort(bucket, kind="stable")
+    for s in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
+        size = n[s]
+        at = np.repeat(ends[s] - size - np.cumsum(size) + size, size) + np.arange(size.sum())
+        rows.append((int(bucket[s[0]]), ids[s].tobytes(), lo[s].astype("<u4").tobytes(), size.astype("<u2").tobytes(), low6(g[s]), low6(w[at])))
+    return rows
+
+
+def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, held_anchors: int = 500_000, hot_contexts: int = 1_000) -> DataFrame:
     """(_id, _spans): for each document with windows that also start earlier, those windows as packed ``span`` numbers.
 
     Earlier is a smaller doc_id, or the same document and an earlier start.  ``codes`` turns texts into tokens.
-    ``held_anchors`` bounds what a task holds before it sends.
+    ``held_anchors`` bounds what a task holds before it sends.  Windows around blocks with more than ``hot_contexts``
+    contexts are dealt one by one.
     """
     spark = docs.sparkSession
     buckets = 2 * partitions(spark)
@@ -263,15 +284,17 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
         new_g, new_c = runs(g[order]), runs(g[order], c[order])
         late = later_copies(order, new_c, ids[rest], lo[rest])
         contexts = np.bincount(np.cumsum(new_g) - 1, new_c, minlength=int(new_g.sum()))[np.cumsum(new_g) - 1]
-        ask = rest[order[new_c & (contexts > 1)]]
+        asking = new_c & (contexts > 1)
+        ask = rest[order[asking]]
         gone = np.concatenate([np.flatnonzero(known), rest[order[late]]])
         out = pd.DataFrame({"_id": ids[np.concatenate([gone, ask])], "span": span(lo, n)[np.concatenate([gone, ask])]})
-        block_hash = np.concatenate([np.zeros(len(gone), np.int64), g[order[new_c & (contexts > 1)]].astype(np.int64)])
-        return out.assign(ask=np.arange(len(out)) >= len(gone), g=block_hash)
+        block_hash = np.concatenate([np.zeros(len(gone), np.int64), g[order[asking]].astype(np.int64)])
+        hot = np.concatenate([np.zeros(len(gone), bool), contexts[asking] > hot_contexts])
+        return out.assign(ask=np.arange(len(out)) >= len(gone), g=block_hash, hot=hot)
 
     own = documents(docs)
     packed = own.mapInPandas(send, "bucket int, gone int, ids binary, counts binary, lo binary, n binary, g binary, c binary")
-    first = stage(packed.groupBy("bucket").applyInPandas(settle, "_id long, span long, ask boolean, g long"), "anchors")
+    first = stage(packed.groupBy("bucket").applyInPandas(settle, "_id long, span long, ask boolean, g long, hot boolean"), "anchors")
 
     def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
@@ -279,10 +302,11 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
             begin = np.cumsum(counts) - counts
             asked = np.array([len(s) for s in pdf["spans"]])
             spans, g = np.concatenate(pdf["spans"].tolist()), np.concatenate(pdf["gs"].tolist()).astype(np.uint64)
+            hot = np.concatenate(pdf["hots"].tolist()).astype(bool)
             ids, base = np.repeat(pdf["_id"].to_numpy(), asked), np.repeat(begin, asked)
             # of different texts under one id, a shorter one has not all places that another asks about
             fit = np.minimum(spans & 0xFFFF, np.repeat(counts, asked) - window + 1 - (spans >> 16))
-            spans, g, ids, base = span(spans >> 16, fit)[fit > 0], g[fit > 0], ids[fit > 0], base[fit > 0]
+            spans, g, hot, ids, base = span(spans >> 16, fit)[fit > 0], g[fit > 0], hot[fit > 0], ids[fit > 0], base[fit > 0]
             rows, at = [], 0
             while at < len(spans):  # hash by stretches of about CHUNK tokens
                 upto = max(at + 1, int(np.searchsorted(base + (spans >> 16), base[at] + CHUNK)))
@@ -290,11 +314,7 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
                 p = np.repeat(base[at:upto] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 a, b = int(p.min()), int(p.max()) + window
                 wh = Prefix(x[a:b]).hash(p - a, p - a + window)
-                bucket = (g[at:upto] >> np.uint64(24)).astype(np.int64) % buckets
-                ends, order = np.cumsum(n), np.argsort(bucket, kind="stable")
-                for s in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
-                    w = np.concatenate([wh[ends[i] - n[i] : ends[i]] for i in s])
-                    rows.append((int(bucket[s[0]]), ids[at:upto][s].tobytes(), lo[s].astype("<u4").tobytes(), n[s].astype("<u2").tobytes(), low6(g[at:upto][s]), low6(w)))
+                rows += deal_windows(ids[at:upto], lo, n, g[at:upto], hot[at:upto], wh, buckets)
                 at = upto
             yield pd.DataFrame(rows, columns=["bucket", "ids", "lo", "n", "g", "w"])
 
@@ -319,7 +339,7 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
         return pd.DataFrame({"_id": i, "span": span(a, size)})
 
     # the spans that a document asks about stand in the order of its text
-    wanted = first.filter("ask").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("span", "g"))).alias("q")).select("_id", F.col("q.span").alias("spans"), F.col("q.g").alias("gs"))
+    wanted = first.filter("ask").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("span", "g", "hot"))).alias("q")).select("_id", F.col("q.span").alias("spans"), F.col("q.g").alias("gs"), F.col("q.hot").alias("hots"))
     asked = own.join(wanted, "_id").mapInPandas(hash_windows, "bucket int, ids binary, lo binary, n binary, g binary, w binary")
     second = asked.groupBy("bucket").applyInPandas(compare, "_id long, span long")
     every = first.filter("not ask").select("_id", "span").unionByName(second)

@@ -114,3 +114,23 @@ def test_null_ids_are_documents_of_their_own(spark):
             return all(list(kept(mine[i])) == [x for x, m in zip(*want[i]) if not m] for i in order)
 
         assert sum(map(right, itertools.permutations(range(3)))) >= 1  # in some order, each as a document of its own
+
+
+def test_hot_block_spreads_over_buckets(spark, corpus):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, g = np.full(200, 50), np.full(200, 7 << 30, np.uint64)
+    w = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)[np.arange(10000) % 5000]
+    rows = repeats.deal_windows(np.arange(200), np.arange(200) * 3, n, g, np.ones(200, bool), w, 16)
+    sizes, seen = {}, {}
+    for bucket, ids, lo, m, _, ws in rows:
+        sizes[bucket] = len(ws) // 6
+        for i, a, h in zip(np.frombuffer(ids, "<i8"), np.frombuffer(lo, "<u4"), repeats.from6(ws)):
+            assert int(w[i * 50 + a - i * 3]) & ((1 << 48) - 1) == int(h)
+            assert seen.setdefault(int(h), bucket) == bucket  # equal windows meet
+    assert sum(sizes.values()) == 10000 and len(sizes) == 16 and max(sizes.values()) < 1000
+    assert len(repeats.deal_windows(np.arange(200), np.arange(200) * 3, n, g, np.zeros(200, bool), w, 16)) == 1
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
+    spans = lambda **how: {(r["_id"], p) for r in repeats.repeated_spans(df, repeats.byte_codes, 100, 32, **how).collect() for s in r["_spans"] for p in range(s >> 16, (s >> 16) + (s & 0xFFFF))}
+    assert spans(hot_contexts=1) == spans() != set()
