@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, partitions, slices, stage
+from .common import inner_id, own_id_and_text, partitions, slices, stage
 from .components import components
 from .repeats import block_hashes, documents, from6, low6, mix, own_bytes, runs, word_codes
 
@@ -164,10 +164,19 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     Texts without words, empty or null, have no shingles and are linked with nothing.  A null doc_id counts as the
-    smallest id and is given back as null.  Rows with the same doc_id are one document: their links are those of
-    any of them.  An empty table gives no rows; other columns are ignored.  ``region_rows`` bounds the documents that
+    smallest id and is given back as null; different texts under null doc_ids are documents of their own.  Rows with
+    the same doc_id are one document: their links are those of any of them.  An empty table gives no rows; other columns are ignored.  ``region_rows`` bounds the documents that
     one task joins; regions of more than ``pruned_rows`` go there without the test of their sketches.
     """
+    out = _components(docs, size, percent, region_rows, pruned_rows, held_entries)
+    nulls = stage(own_id_and_text(docs).filter("_null").select(F.col("doc_id").alias("_id"), "_null").distinct(), "nulls")
+    for c in ("doc_id", "component_id"):
+        out = out.join(nulls.withColumnRenamed("_id", c), c, "left").withColumn(c, F.when(F.col("_null").isNull(), F.col(c))).drop("_null")
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 20_000, pruned_rows: int = 2_000, held_entries: int = 500_000) -> DataFrame:
+    """What ``join`` returns, by inner ids."""
     own = documents(docs)
     spark, buckets = docs.sparkSession, 2 * partitions(docs.sparkSession)
 
@@ -293,7 +302,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
 
     def join_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(batches, "region"):
-            group = group.drop_duplicates("_id")
+            group = group.drop_duplicates(["_id", "_text"])
             sets = shingle_sets(own_bytes(group["_text"]), size)
             full = [i for i, s in enumerate(sets) if len(s)]
             got = join_region(group["_id"].to_numpy()[full], [sets[i] for i in full], percent)
@@ -305,9 +314,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 2
     for more in edges:
         found = found.unionByName(more)
     labels = components(found)
-    out = named.join(labels, named["point"] == labels["node"], "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
-    null = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"))
+    return named.join(labels, named["point"] == labels["node"], "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
 
 
 def pivot_step(members: DataFrame, large: DataFrame, texts: DataFrame, size: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -344,6 +351,7 @@ def pivot_step(members: DataFrame, large: DataFrame, texts: DataFrame, size: int
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all columns, without the documents that are not the least of their component.  Rows with a null doc_id stay."""
-    extra = join(docs, **how).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with all columns, without the documents that are not the least of their component.  Rows with a null
+    doc_id come first, so one of them stays in its group; those with the same text are one document."""
+    extra = _components(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.withColumn("_id", inner_id()).join(extra, "_id", "left_anti").select(*docs.columns)

@@ -65,6 +65,24 @@ def test_join_edges(spark):
     assert jaccard_join.one_of_each(df.filter("doc_id IS NOT NULL")).columns == df.columns
 
 
+def test_one_of_each_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    other = [" ".join(f"{c}{i}" for i in range(50)) for c in "uv"]
+    rows = [(None, near(0)), (None, near(1)), (4, near(2)), (5, near(3)), (None, other[0]), (7, other[0] + " more"), (8, other[1]), (9, other[1]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in jaccard_join.one_of_each(df).collect()]
+    assert len([t for _, t in kept if t and t.startswith("w0 ")]) == 1 and not {4, 5, 7, 9} & {i for i, _ in kept}
+    assert (None, other[0]) in kept and (8, other[1]) in kept and (None, None) in kept and len(kept) == 4
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.join(df).collect()]
+    assert len(got) == 9 and {c for i, c in got if i in (4, 5, 7)} == {None} and dict(got)[9] == 8
+
+
+def test_one_of_each_without_words(spark):
+    rows = [(None, ""), (None, "..."), (1, ""), (2, None)]
+    assert jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+
+
 def test_sketches_never_lose_a_link():
     rng = np.random.default_rng(2)
     sets = []
