@@ -1,9 +1,8 @@
-"""Op 5: removal of repeated word passages by level-wise doubling.
+"""Op 5: removal of repeated word passages by anchors and window hashes.
 
-The first level looks at blocks of half the window (10 of 20 words), at the one place in each window that its
-content designates.  Only blocks that repeat survive and are extended to twice their length, the window; those
-whose whole surroundings repeat are settled at that greater length at once.  Nothing is extended beyond the
-level at which no candidate survives.
+Each window is represented by the one block of half its length (10 of 20 words) that its content designates.
+Only blocks that repeat survive; those whose whole surroundings repeat are settled at once, and of the others the
+windows are compared by their hashes.  There are no further levels.
 """
 
 from __future__ import annotations

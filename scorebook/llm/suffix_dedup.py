@@ -1,9 +1,8 @@
-"""Op 7: removal of repeated byte strings by a depth-limited radix sort of suffixes.
+"""Op 7: removal of repeated byte strings by anchors and window hashes.
 
-Suffixes are ordered only through the threshold (100 bytes), by passes over digits from the most significant
-on; a group of one drops out after each pass, and groups that are equal through the threshold are exactly the
-repeated strings.  The first digit is the hash of the 32-byte block that each string's content designates, so
-that one suffix stands for all strings around it; the second is the hash of the string through the threshold.
+Strings are equal if they are equal through the threshold (100 bytes).  They are grouped by the hash of the 32-byte
+block that each string's content designates, so that one block stands for all strings around it; groups of one drop
+out.  What is left is grouped by the hash of the string through the threshold.  No suffixes are sorted.
 """
 
 from __future__ import annotations
