@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,12 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset, a session on this machine alone
+    (master local) takes a temporary folder, and a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = _own_folder[0]
@@ -66,16 +69,33 @@ def null_back(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
 
 
-def inner_id() -> Column:
-    """doc_id, or for a null one an id of its text's own, a hash in the 2 ** 56 lowest numbers."""
-    own = F.lit(NULL_ID) + F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 56) - 1))
-    return F.coalesce(F.col("doc_id").cast("long"), own)
-
+def null_column(df: DataFrame) -> DataFrame:
+    """Gives doc_id, filled for Python, its nulls back where _null says so."""
+    return df.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).drop("_null")
 
-def own_id_and_text(docs: DataFrame) -> DataFrame:
-    """Like ``id_and_text``, with inner ids, so that different texts under null doc_ids stay apart, and _null, whether doc_id was null."""
-    return docs.select(inner_id().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").isNull().alias("_null"))
 
+def numbered(docs: DataFrame, content: Sequence[str] = ("text",), each: bool = False) -> DataFrame:
+    """(_id, row) of every row of ``docs``: the row itself, and a number for its document in the order of doc_id.
 
-def own_null_back(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).drop("_null")
+    Where every row has a doc_id of its own, that is the number.  Else the numbers follow doc_id (nulls first), then a
+    hash of ``content``: rows under one doc_id are one document only if their contents are equal, and every row
+    with a null doc_id, or with ``each`` every row at all, is a document of its own.  All columns travel inside ``row``, so no name can clash.
+    """
+    known = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    ids = known.select(F.col("row.doc_id").cast("long").alias("i"))
+    if ids.groupBy("i").count().filter("i IS NULL OR count > 1").isEmpty():
+        return known.select(F.col("row.doc_id").cast("long").alias("_id"), "row")
+    rows = known.select("row", F.col("row.doc_id").cast("long").alias("_d"), F.xxhash64(*(F.col(f"row.{c}") for c in content)).alias("_h"), F.monotonically_increasing_id().alias("_m"))
+    own = F.lit(True) if each else F.col("_d").isNull()
+    rows = stage(rows.withColumn("_m", F.when(own, F.col("_m")).otherwise(F.lit(-1))), "rows")
+    keys = rows.select("_d", "_h", "_m").distinct()
+    # range partitions are in order, and so are the numbers of their sorted rows
+    order = [F.col("_d").asc_nulls_first(), F.col("_h"), F.col("_m")]
+    ranked = stage(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbers").toDF("_e", "_g", "_n", "_id")
+    same = F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_h") == F.col("_g")) & (F.col("_m") == F.col("_n"))
+    return rows.join(ranked, same).select("_id", "row")
+
+
+def texts_of(known: DataFrame) -> DataFrame:
+    """(_id, _text) of ``numbered`` rows; a null text is empty."""
+    return known.select("_id", F.coalesce(F.col("row.text"), F.lit("")).alias("_text"))

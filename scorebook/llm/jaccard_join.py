@@ -1,16 +1,21 @@
 """Op 9: exact n-gram Jaccard join in metric space.
 
-1 - Jaccard is a metric on shingle sets.  Equal sets are one point.  The first pivots are single shingles, in an
-order that puts rare ones first: a document's home region is that of its first shingle, and it is replicated into
-the regions of as many further shingles as a partner at distance ``radius`` might lack, so every linked pair meets
-in some region.  The regions of one least document are joined into one, with that document as its pivot.
-
-Members that no other member of their region can be linked with are taken out first: a shingle more or less
-changes the counts of a set's hashes in a few buckets by one, so the distance of two count vectors bounds the
-symmetric difference of the sets from below.  Then the join is exact and recursive: distances to a pivot are
-computed in full, what lies within the radius falls to the pivot's component, and by the triangle inequality only
-the rest, and those of the component whose distance to the pivot is within the radius of theirs, go on to the next
-pivot.  A region too large for a task takes its pivot steps in several tasks until it is small.  The components
+1 - Jaccard is a metric on shingle sets.  Equal sets are one point.  The first pivots are single shingles, rare ones
+nearest: a document's home region is that of its rarest shingle, and it is replicated into the regions of as many
+further shingles as a partner at distance ``radius`` might lack, so every linked pair meets in some region.  The
+regions of one least document are joined into one.
+
+A region too large for a task is cut by document pivots (``cut_regions``): every member is measured against several
+and belongs to the Voronoi cell of the nearest one it is linked with.  Members of a cell are connected
+through its pivot, so by the triangle inequality only members near the border remain, together with the replicas of
+unconnected documents whose distance to the pivot lies in the cell's window.  Members far from all
+pivots get shingle pivots again, by their rarity inside the region.  Cells and new regions are cut in turn; a part
+that is still over half of its region is compared block by block instead, so a region of m members
+takes a number of steps that grows as log m.
+
+In a region that fits, members that no other can be linked with are taken out first: a shingle more or less changes
+the counts of a set's hashes in a few buckets by one, so the distance of two count vectors bounds the symmetric
+difference of the sets from below.  Then the same recursion runs in memory, one pivot at a time.  The components
 of all links are found on Spark.
 """
 
@@ -21,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import inner_id, own_id_and_text, partitions, slices, stage
+from .common import numbered, partitions, slices, stage, texts_of
 from .components import components
-from .repeats import block_hashes, documents, from6, low6, mix, own_bytes, runs, word_codes
+from .repeats import block_hashes, bucket_of, from6, low6, mix, own_bytes, runs, split_sorted, word_codes
 
-COUNTERS, SLICES = 1 << 20, 16  # fixed size of the table of shingle frequencies
+SLICES = 16  # in which the table of shingle frequencies is added up
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -51,8 +56,13 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0
 
 
-def counter_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+def counters_for(chars: int) -> int:
+    """Counters of shingle frequencies: they follow the input from 2 ** 18 to 2 ** 23, as a byte of each is broadcast."""
+    return 1 << min(max((chars // 512).bit_length(), 18), 23)
+
+
+def counter_of(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s >> np.uint64(20)).astype(np.int64) & (counters - 1)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -84,24 +94,24 @@ def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
     return out
 
 
-def meetable(heads: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int, widest: int = 32) -> np.ndarray:
-    """Rows of runs (beginning at ``heads``) that share their shingle as the first one with another row they might be linked with.
+def meetable(heads: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of runs (beginning at ``heads``, in the order of n) that share their shingle as the first one with another row they
+    might be linked with.
 
-    Before the first shared shingle nothing is shared, so two sets share at most what is ``left`` of either from it on.
-    Of runs wider than ``widest`` all rows are kept, of single rows none.
+    Before the first shared shingle nothing is shared, so two sets share at most what is ``left`` of either from it on.  With
+    the slack a = (100 + percent) left - percent n, rows i and j might be linked if a[i] >= percent n[j] and a[j] >= percent n[i]:
+    of the rows whose n is small enough for i, the largest slack of another one decides.
     """
-    sizes, keep = np.diff(heads, append=len(n)), np.zeros(len(n), bool)
-    for m in np.unique(sizes):
-        if m == 1:
-            continue
-        at = heads[sizes == m][:, None] + np.arange(m)
-        if m > widest:
-            keep[at] = True
-            continue
-        enough = (100 + percent) * np.minimum(left[at][:, :, None], left[at][:, None, :]) >= percent * (n[at][:, :, None] + n[at][:, None, :])
-        enough[:, np.arange(m), np.arange(m)] = False
-        keep[at] = enough.any(2)
-    return np.flatnonzero(keep)
+    run = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(n)))
+    slack = (100 + percent) * left - percent * n
+    low = run * (1 << 40)  # keeps what is accumulated inside its run
+    upto = np.searchsorted(low + n, low + np.maximum(slack // percent, 0), side="right") - 1
+    most = np.maximum.accumulate(low + slack)
+    before = np.concatenate([[-1], most[:-1]])
+    before[heads] = low[heads] - (1 << 39)
+    second = np.maximum.accumulate(np.minimum(low + slack, before))
+    other = np.where(most[upto] == low + slack, second[upto], most[upto])
+    return np.flatnonzero((upto >= heads[run]) & (other >= low + percent * n))
 
 
 def needed(n: int, percent: int) -> int:
@@ -119,10 +129,10 @@ def linked(shared: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarra
     return 100 * shared >= percent * (a + b - shared)
 
 
-def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect exactly what the links among ``sets`` connect."""
+def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect exactly what the links among ``sets`` connect, where equal numbers in ``known`` are connected already."""
     radius = 1 - percent / 100 + 1e-9
-    boss = np.arange(len(ids))
+    boss = np.arange(len(ids)) if known is None else np.unique(known, return_inverse=True)[1]
     pool, pivot, edges = np.arange(len(ids)), int(np.argmin(ids)), []
     while len(pool) > 1:
         rest = pool[pool != pivot]
@@ -160,42 +170,46 @@ def by_group(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 20_000, pruned_rows: int = 2_000, held_entries: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 4, percent: int = 85, **how) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
-    Texts without words, empty or null, have no shingles and are linked with nothing.  A null doc_id counts as the
-    smallest id and is given back as null; different texts under null doc_ids are documents of their own.  Rows with
-    the same doc_id are one document: their links are those of any of them.  An empty table gives no rows; other columns are ignored.  ``region_rows`` bounds the documents that
-    one task joins; regions of more than ``pruned_rows`` go there without the test of their sketches.
+    component_id is the least doc_id that links reach.  Every row is a document of its own, also under a null or repeated
+    doc_id; a null is no least doc_id unless the group has nothing else.  Texts without words, empty or null, have no
+    shingles and are linked with nothing.  Very long texts take part whole; equal sets, ties and repeated rows are
+    linked like any other.  An empty table gives no rows; other columns are ignored.
     """
-    out = _components(docs, size, percent, region_rows, pruned_rows, held_entries)
-    nulls = stage(own_id_and_text(docs).filter("_null").select(F.col("doc_id").alias("_id"), "_null").distinct(), "nulls")
-    for c in ("doc_id", "component_id"):
-        out = out.join(nulls.withColumnRenamed("_id", c), c, "left").withColumn(c, F.when(F.col("_null").isNull(), F.col(c))).drop("_null")
-    return out.select("doc_id", "n_shingles", "component_id")
+    found = _components(numbered(docs.select("doc_id", "text"), each=True), size, percent, **how)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "n_shingles", "component_id")
+
 
+def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: int = 256, pivots: int = 16, held_entries: int = 500_000) -> DataFrame:
+    """_id, doc_id, n_shingles and component (the least _id that links reach) of ``numbered`` rows.
 
-def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows: int = 20_000, pruned_rows: int = 2_000, held_entries: int = 500_000) -> DataFrame:
-    """What ``join`` returns, by inner ids."""
-    own = documents(docs)
-    spark, buckets = docs.sparkSession, 2 * partitions(docs.sparkSession)
+    ``leaf_rows`` bounds the members of a region that one task joins, ``pivots`` is the number of document pivots of a larger
+    one in each step, ``held_entries`` bounds what a task holds before it sends.
+    """
+    own = texts_of(known)
+    spark, buckets = known.sparkSession, 4 * partitions(known.sparkSession)
+    doc = F.col("row.doc_id").cast("long")
+    read = known.select("_id", F.coalesce(doc, F.lit(0).cast("long")).alias("_doc"), doc.isNull().alias("_null"), F.coalesce("row.text", F.lit("")).alias("_text"))
+    counters = counters_for(own.agg(F.sum(F.length("_text"))).first()[0] or 0)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        counts, task = np.zeros(COUNTERS, np.uint64), TaskContext.get().partitionId()
+        counts, task = np.zeros(counters, np.uint32), TaskContext.get().partitionId()
         none = {"slice": -1, "task": -1}
         for pdf in slices(batches):
             sets = shingle_sets(own_bytes(pdf["_text"]), size)
-            every = np.concatenate(sets)
-            counts += np.bincount(counter_of(every), minlength=COUNTERS).astype(np.uint64)
+            counts += np.bincount(counter_of(np.concatenate(sets), counters), minlength=counters).astype(np.uint32)
             signs = [signature(s) for s in sets]
-            yield pd.DataFrame({"_id": pdf["_id"], "n": [len(s) for s in sets], "s1": [s[0] for s in signs], "s2": [s[1] for s in signs], **none, "counts": [sketch(s) for s in sets]})
+            yield pd.DataFrame({"_id": pdf["_id"], "_doc": pdf["_doc"], "_null": pdf["_null"], "n": [len(s) for s in sets], "s1": [s[0] for s in signs], "s2": [s[1] for s in signs], **none, "counts": [sketch(s) for s in sets]})
         parts = [zlib.compress(c.astype("<u8").tobytes(), 1) for c in np.split(counts, SLICES)]
-        yield pd.DataFrame({"_id": 0, "n": 0, "s1": 0, "s2": 0, "slice": range(SLICES), "task": task, "counts": parts})
+        yield pd.DataFrame({"_id": 0, "_doc": 0, "_null": False, "n": 0, "s1": 0, "s2": 0, "slice": range(SLICES), "task": task, "counts": parts})
 
-    measured = stage(own.mapInPandas(measure, "_id long, n long, s1 long, s2 long, slice int, task int, counts binary"), "sets")
-    points = measured.filter("slice = -1").select("_id", "n", "s1", "s2")
+    measured = stage(read.mapInPandas(measure, "_id long, _doc long, _null boolean, n long, s1 long, s2 long, slice int, task int, counts binary"), "sets")
+    points = measured.filter("slice = -1").select("_id", F.expr("if(_null, null, _doc)").alias("doc_id"), "n", "s1", "s2")
     sketches = measured.filter("slice = -1").select(F.col("_id").alias("doc"), "n", F.col("counts").alias("sketch"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,12 +222,12 @@ def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows:
         tasks = -(-tasks // 128)
         if tasks <= 1:
             break
-    frequency = np.zeros((SLICES, COUNTERS // SLICES), np.uint64)
+    frequency = np.zeros((SLICES, counters // SLICES), np.uint64)
     for r in tables.collect():  # SLICES rows
         frequency[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     frequency = frequency.ravel()
     level = np.floor(np.log2(np.maximum(frequency, max(2 * frequency.mean(), 1)))).astype(np.uint8)
-    levels = spark.sparkContext.broadcast(level.tobytes())  # COUNTERS bytes
+    levels = spark.sparkContext.broadcast(level.tobytes())  # a byte for each counter
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rare, seen, held, count = np.frombuffer(levels.value, np.uint8), set(), [], 0
@@ -223,10 +237,9 @@ def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows:
             sizes = np.array([len(h[2]) for h in held])
             ids, n = np.repeat([h[0] for h in held], sizes), np.repeat([h[1] for h in held], sizes)
             place = np.concatenate([np.arange(k) for k in sizes])
-            bucket = (e >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            bucket = bucket_of(e, buckets)
             rows = []
-            for p in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
+            for p in split_sorted(bucket):
                 head = np.flatnonzero(runs(ids[p]))
                 rows.append((int(bucket[p[0]]), ids[p[head]].astype("<i8").tobytes(), n[p[head]].astype("<u4").tobytes(), np.diff(head, append=len(p)).astype("<u4").tobytes(), place[p].astype("<u4").tobytes(), low6(e[p])))
             held.clear()
@@ -239,7 +252,7 @@ def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows:
                     continue  # the same point went out from this task
                 if len(seen) < held_entries:
                     seen.add(sign)
-                first = np.lexsort((s, rare[counter_of(s)]))[: len(s) - needed(len(s), percent) + 1]
+                first = np.lexsort((s, rare[counter_of(s, counters)]))[: len(s) - needed(len(s), percent) + 1]
                 held.append((i, len(s), s[first]))
                 count += len(first)
                 if count >= held_entries:
@@ -271,87 +284,140 @@ def _components(docs: DataFrame, size: int = 4, percent: int = 85, region_rows:
 
     # equal sets are one point, named by its least document
     names = stage(points.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("point")), "classes")  # staged, so that a hot class is split in the join
-    named = stage(points.join(names, ["n", "s1", "s2"], "left").select("_id", "n", F.coalesce("point", "_id").alias("point")), "points")
-    to = named.groupBy("_id").agg(F.min("point").alias("point"))
+    named = stage(points.join(names, ["n", "s1", "s2"], "left").select("_id", "doc_id", "n", F.coalesce("point", "_id").alias("point")), "points")
+    to = named.select("_id", "point")
     pairs = pairs.join(to.select(F.col("_id").alias("p"), F.col("point").alias("region")), "p").join(to.select(F.col("_id").alias("x"), F.col("point").alias("doc")), "x").select("region", "doc").filter("region <> doc").distinct()
     pairs = stage(pairs, "regions")
     members = pairs.unionByName(pairs.select("region", F.col("region").alias("doc")).distinct())
+    members = members.withColumn("boss", F.col("doc")).withColumn("parent", F.lit(None).cast("long"))
+
+    # regions too large for one task are cut until they are not
+    fit, edges, turn = [], [], 0
+    while True:
+        sizes = stage(members.groupBy("region").agg(F.count("*").alias("rows"), F.max("parent").alias("parent")).filter(F.col("rows") > leaf_rows), "sizes")
+        if sizes.isEmpty():
+            fit.append(members.select("region", "doc", "boss"))
+            break
+        fit.append(members.join(sizes, "region", "left_anti").select("region", "doc", "boss"))
+        still = F.coalesce(2 * F.col("rows") > F.col("parent"), F.lit(False))
+        fit.append(in_blocks(members, sizes.filter(still), leaf_rows))
+        members, more = cut_regions(members, sizes.filter(~still), own, size, percent, leaf_rows, pivots, turn)
+        edges.append(more)
+        turn += 1
+    members = fit[0]
+    for more in fit[1:]:
+        members = members.unionByName(more)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(batches, "region"):
-            if len(group) <= pruned_rows:
-                group = group[possible(group["n"].to_numpy(), group["sketch"].tolist(), percent)]
+            group = group[possible(group["n"].to_numpy(), group["sketch"].tolist(), percent)]
             if len(group):
-                yield group[["region", "doc"]]
+                yield group[["region", "doc", "boss"]]
 
-    drawn = members.join(sketches, "doc").select("region", "doc", "n", "sketch").repartition("region").sortWithinPartitions("region")
-    members = stage(drawn.mapInPandas(prune, "region long, doc long"), "members")
-    texts = own
-    edges: list[DataFrame] = []
-
-    # regions too large for one task take a pivot step in many
-    turn = 0
-    while True:
-        large = members.groupBy("region").count().filter(F.col("count") > region_rows)
-        large = stage(large, "large")
-        if large.isEmpty():
-            break
-        members, found = pivot_step(members, large, texts, size, percent, turn)
-        edges.append(found)
-        turn += 1
+    drawn = members.join(sketches, "doc").select("region", "doc", "boss", "n", "sketch").repartition("region").sortWithinPartitions("region")
+    members = stage(drawn.mapInPandas(prune, "region long, doc long, boss long"), "members")
 
     def join_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(batches, "region"):
-            group = group.drop_duplicates(["_id", "_text"])
-            sets = shingle_sets(own_bytes(group["_text"]), size)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            got = join_region(group["_id"].to_numpy()[full], [sets[i] for i in full], percent)
+            got = join_region(group["doc"].to_numpy(), shingle_sets(own_bytes(group["_text"]), size), percent, group["boss"].to_numpy())
             if got:
                 yield pd.DataFrame(got, columns=["a", "b"])
 
-    shipped = members.join(texts, members["doc"] == texts["_id"]).select("region", "_id", "_text")
+    shipped = members.join(own, members["doc"] == own["_id"]).select("region", "doc", "boss", "_text")
     found = shipped.repartition("region").sortWithinPartitions("region").mapInPandas(join_all, "a long, b long")
     for more in edges:
         found = found.unionByName(more)
     labels = components(found)
-    return named.join(labels, named["point"] == labels["node"], "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
+    return named.join(labels, named["point"] == labels["node"], "left").select("_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component"))
+
+
+def in_blocks(members: DataFrame, sizes: DataFrame, leaf_rows: int) -> DataFrame:
+    """Members of the regions in ``sizes`` in blocks of about half ``leaf_rows``, as a region for each two blocks."""
+    blocks = F.ceil(2 * F.col("rows") / leaf_rows)
+    mine = F.pmod(F.xxhash64("doc"), blocks)
+    dealt = members.select("region", "doc", "boss").join(sizes.select("region", "rows"), "region").withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.select(F.xxhash64("region", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("region"), "doc", "boss")
 
 
-def pivot_step(members: DataFrame, large: DataFrame, texts: DataFrame, size: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """One step of the recursion for the regions in ``large``, spread over tasks: (members that go on, edges found).
+def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int, percent: int, leaf_rows: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One step of the recursion for the regions in ``sizes`` (region, rows), spread over tasks: (members of their parts, edges found).
 
-    The pivot's text is joined to the rows of its region, so each task measures its own share of them.
+    ``members`` has region, doc and boss; members of one boss are connected already.
     """
     radius = 1 - percent / 100 + 1e-9
-    big = members.join(large.select("region"), "region")
-    pivots = big.groupBy("region").agg(F.min("doc").alias("pivot")) if "pivot" not in members.columns else big.groupBy("region").agg(F.min("pivot").alias("pivot"))
-    with_text = pivots.join(texts.select(F.col("_id").alias("pivot"), F.col("_text").alias("pivot_text")), "pivot").dropDuplicates(["region"])
-    rows = big.select("region", "doc").join(texts.select(F.col("_id").alias("doc"), "_text"), "doc").join(with_text, "region")
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches):
-            sets, cache, out = shingle_sets(own_bytes(pdf["_text"]), size), {}, []
-            for s, p, t in zip(sets, pdf["pivot"], pdf["pivot_text"]):
-                if p not in cache:
-                    cache[p] = shingle_sets(own_bytes(pd.Series([t])), size)[0]
-                shared = int(overlaps(cache[p], s, np.array([0]))[0]) if len(s) else 0
-                out.append((1 - shared / max(len(s) + len(cache[p]) - shared, 1), bool(linked(shared, len(cache[p]), np.array(len(s)), percent))))
-            yield pd.DataFrame({"region": pdf["region"], "doc": pdf["doc"], "pivot": pdf["pivot"], "apart": [o[0] for o in out], "link": [o[1] for o in out]})
-
-    got = stage(rows.mapInPandas(measure, "region long, doc long, pivot long, apart double, link boolean"), f"step{turn}").filter("doc <> pivot")
-    edges = got.filter("link").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-    reach = got.filter("not link").groupBy("region").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
-    go_on = got.join(reach, "region").filter(~F.col("link") | ((F.col("apart") >= F.col("low") - radius) & (F.col("apart") <= F.col("high") + radius)))
-    following = go_on.groupBy("region").agg(F.min_by("doc", F.struct("apart", "doc")).alias("pivot"))
-    left = go_on.select("region", "doc").join(following, "region")
-    small = members.join(large.select("region"), "region", "left_anti")
-    if "pivot" not in small.columns:
-        small = small.withColumn("pivot", F.col("region"))
-    return stage(small.select("region", "doc", "pivot").unionByName(left.select("region", "doc", "pivot")), f"members{turn}"), edges
+    big = members.select("region", "doc", "boss").join(sizes.select("region", "rows"), "region")
+    heads = big.groupBy("region", "boss").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.first("rows").alias("rows"))
+    order = Window.partitionBy("region").orderBy(F.xxhash64("pivot", F.lit(turn)), "pivot")
+    chosen = stage(heads.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= pivots).drop("_k"), "pivots")
+    salts = F.ceil(F.col("rows") / leaf_rows)
+    rows = big.withColumn("salt", F.pmod(F.xxhash64("doc"), salts)).join(own.select(F.col("_id").alias("doc"), F.col("_text").alias("text")), "doc").select("region", "salt", "doc", "boss", "text")
+    shown = chosen.join(own.select(F.col("_id").alias("pivot"), F.col("_text").alias("shown")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("region", "salt", "pivot", "boss", "shown")
+
+    def measure(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["region", "doc", "boss", "n", "near", "shingles"])
+        sets, centres, out = shingle_sets(own_bytes(pdf["text"]), size), shingle_sets(own_bytes(at["shown"]), size), []
+        flat, lens = np.concatenate(centres), np.array([len(c) for c in centres])
+        starts = np.cumsum(lens) - lens
+        for doc, boss, s in zip(pdf["doc"].tolist(), pdf["boss"].tolist(), sets):
+            shared = overlaps(s, flat, starts)
+            link, apart = linked(shared, len(s), lens, percent), 1 - shared / (len(s) + lens - shared)
+            near = [{"p": p, "d": float(d), "link": bool(k), "same": b == boss} for p, b, d, k in zip(at["pivot"].tolist(), at["boss"].tolist(), apart, link)]
+            alone = not any(x["link"] or x["same"] for x in near)
+            out.append((pdf["region"].iloc[0], doc, boss, len(s), near, s.astype(np.int64).tolist() if alone else None))
+        return pd.DataFrame(out, columns=["region", "doc", "boss", "n", "near", "shingles"])
+
+    schema = "region long, doc long, boss long, n long, near array<struct<p: long, d: double, link: boolean, same: boolean>>, shingles array<long>"
+    got = rows.groupBy("region", "salt").cogroup(shown.groupBy("region", "salt")).applyInPandas(measure, schema)
+    mine = F.filter("near", lambda x: x["link"] | x["same"])
+    got = stage(got.withColumn("home", F.array_min(F.transform(mine, lambda x: F.struct(x["d"].alias("d"), x["p"].alias("p"), x["link"].alias("link"))))), f"measured{turn}")
+
+    # pivots that some member connects are one
+    touched = got.filter("home IS NOT NULL").select("region", F.col("home.p").alias("a"), F.explode(F.transform(mine, lambda x: x["p"])).alias("b")).distinct()
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:  # at most pivots ** 2 rows
+        boss = {p: p for p in pdf["a"].tolist() + pdf["b"].tolist()}
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            x, y = boss[a], boss[b]
+            boss = {p: x if q == y else q for p, q in boss.items()}
+        return pd.DataFrame({"region": pdf["region"].iloc[0], "p": list(boss), "whole": list(boss.values())})
+
+    wholes = stage(touched.groupBy("region").applyInPandas(unite, "region long, p long, whole long"), f"wholes{turn}")
+    linked_to = F.filter("near", lambda x: x["link"])
+    edges = got.filter("home.link AND home.p <> doc").select(F.col("doc").alias("a"), F.col("home.p").alias("b"))
+    edges = edges.unionByName(got.filter(F.size(linked_to) > 0).select(F.col("home.p").alias("h"), "boss", "doc", F.explode(F.transform(linked_to, lambda x: x["p"])).alias("b")).filter("h <> b AND doc <> b").select(F.col("doc").alias("a"), "b"))
+
+    # cells: connected members, and unconnected ones inside the window
+    inner = got.filter("home IS NOT NULL").select("region", F.col("home.p").alias("p"), "doc", F.col("home.d").alias("d"))
+    inner = inner.join(wholes, ["region", "p"])
+    placed = got.join(wholes.select(F.col("region").alias("_r"), F.col("p").alias("_p"), F.col("whole").alias("_own")), (F.col("region") == F.col("_r")) & (F.col("home.p") == F.col("_p")), "left").select("region", "doc", F.coalesce("_own", "boss").alias("boss"), "_own", F.inline(F.transform("near", lambda x: F.struct(x["p"].alias("p"), x["d"].alias("d")))))
+    reach = inner.groupBy("region", "p").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.first("whole").alias("whole"))
+    outer = placed.join(reach, ["region", "p"]).filter("_own IS NULL OR _own <> whole").filter((F.col("d") >= F.col("low") - radius) & (F.col("d") <= F.col("high") + radius)).select("region", "p", "doc", "d", "boss")
+    outer = stage(outer, f"outer{turn}")
+    window = outer.groupBy("region", "p").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    border = inner.join(window, ["region", "p"]).filter((F.col("d") >= F.col("low") - radius) & (F.col("d") <= F.col("high") + radius)).select("region", "p", "doc", F.col("whole").alias("boss"))
+    cells = border.unionByName(outer.select("region", "p", "doc", "boss"))
+    sized = sizes.select(F.col("region"), F.col("rows").alias("parent"))
+    cells = cells.join(sized, "region").select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "doc", "boss", "parent")
+
+    # members far from all pivots: shingle pivots again, in the order of their rarity here
+    lone = got.filter("home IS NULL").select("region", "doc", "boss", "n", F.explode("shingles").alias("s"))
+    common = stage(lone.groupBy("region", "s").count().filter("count > 1"), f"common{turn}")
+    shared = lone.join(common, ["region", "s"]).groupBy("region", "doc", "boss").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "s"))).alias("q"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("q"))  # shingles of its own come before
+    sent = stage(shared.filter(first > 0).select("region", "doc", "boss", F.explode(F.slice("q", F.lit(1), first.cast("int"))["s"]).alias("s")), f"sent{turn}")
+    groups = sent.groupBy("region", "s").agg(F.min("doc").alias("p"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    parts = sent.join(groups, ["region", "s"]).select("region", "p", "doc", "boss").distinct()
+    parts = parts.join(sized, "region").select(F.xxhash64("region", "p", F.lit(turn), F.lit("s")).alias("region"), "doc", "boss", "parent")
+    return stage(cells.unionByName(parts).distinct(), f"parts{turn}"), edges
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all columns, without the documents that are not the least of their component.  Rows with a null
-    doc_id come first, so one of them stays in its group; those with the same text are one document."""
-    extra = _components(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", inner_id()).join(extra, "_id", "left_anti").select(*docs.columns)
+    """``docs`` with all columns: of the rows that links connect, the one with the least doc_id stays.
+
+    Rows with a null doc_id come first, and rows under one doc_id in a fixed order, so exactly one row of each group stays.
+    Texts without words are in no group.  Columns of any name are left as they are; an empty table gives no rows.
+    """
+    known = numbered(docs, each=True)
+    extra = _components(known, **how).filter("_id <> component").select("_id")
+    return known.join(extra, "_id", "left_anti").select("row.*")

@@ -1,17 +1,19 @@
-"""Windows of tokens that repeat anywhere in a corpus, found exactly and with little traffic.
+"""Windows of tokens that repeat anywhere in a corpus: what is common to both exact removals of repeats.
 
-A window is L tokens in a row.  Inside each window the k-token block with the least hash is its anchor, so equal
-windows have equal anchors at equal places, and neighbouring windows mostly share one.  A document is therefore
-a short list of anchors, each with a run of windows and a context (all tokens of those windows).
+A window is L tokens in a row.  Inside each window the k-token block with the least hash is designated, so equal
+windows designate equal blocks at equal places, and neighbouring windows mostly share one.  A document is therefore
+a short list of anchors (designated blocks), each with a run of windows and a context (all tokens of those windows).
 
-First pass: anchors are dealt by the hash of their block.  A block that occurs once drops out with all its
-windows.  Of anchors with the same whole context only the first keeps its windows; all others repeat it.
-Second pass, only for blocks with several contexts: the windows of each context's first anchor are hashed
-and compared one by one.  They are dealt by the block, or by the window if the block has many contexts.
+First pass, over all documents: anchors are dealt by the hash of their block.  A block that occurs once drops out
+with all its windows.  Of anchors with the same whole context only the first keeps its windows; all others repeat it.
+Second pass, only around blocks with several contexts: the texts of these contexts are dealt by the block, and
+the operator's own method (levels of doubled lengths, or digits of a radix sort) finds the equal windows in each group.
 
 What crosses the network are packed arrays, one row for each task and bucket.  A task sends each context once,
-so a passage that fills a third of the corpus arrives as one anchor from each task.  Hashes are compared in 96
-bits (block and context, or block and window).
+so a passage that fills a third of the corpus arrives as one anchor from each task.  A block that one task meets in
+many contexts is hot: its anchors are dealt by their contexts, with one marker for the block's own bucket, and its
+windows by their own hashes.  Blocks, contexts and hot windows are told apart by hashes of 96 bits (block and
+context, or block and window), all other windows by their tokens.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import inner_id, own_id_and_text, partitions, slices, stage
+from .common import partitions, slices, stage, texts_of
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -207,60 +209,130 @@ def own_bytes(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    return own_id_and_text(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+def merged(ids: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Single windows, sorted by document and place, as runs (id, lo, n) of at most 65535."""
+    order = np.lexsort((lo, ids))
+    ids, lo = ids[order], lo[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (lo[1:] != lo[:-1] + 1)
+    head = np.flatnonzero(new)
+    size = np.diff(head, append=len(ids))
+    i, a = ids[head], lo[head]
+    while (size > 0xFFFF).any():
+        big = size > 0xFFFF
+        i, a, size = np.concatenate([i, i[big]]), np.concatenate([a, a[big] + 0xFFFF]), np.concatenate([np.minimum(size, 0xFFFF), size[big] - 0xFFFF])
+    return i, a, size
+
+
+def split_sorted(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each key, in stable order."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(runs(keys[order]))[1:]) if len(order) else []
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def deal_windows(ids: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, hot: np.ndarray, w: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows (bucket, ids, lo, n, g, w) of spans and the hashes ``w`` of all their windows in a row.
+def pack_anchors(a: dict[str, np.ndarray], buckets: int, hot_here: int) -> list[tuple]:
+    """Rows (bucket, kind, ids, counts, lo, n, g, c) of the anchors that one task holds.
 
-    A span goes where its block ``g`` belongs.  Where the block is ``hot``, each window goes by itself where its own hash belongs.
+    Kinds: 0 the first of each context, by its block; 1 later copies, which are settled; 2 the first of each context
+    of a block with more than ``hot_here`` contexts, by the context; 3 such blocks, as markers in their own buckets.
     """
-    each = np.where(hot, 1, n)  # windows that stay together
-    parts = np.where(hot, n, 1)
-    of = np.repeat(np.arange(len(n)), parts)
-    lo = lo[of] + np.where(hot[of], np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts), 0)
-    ids, n, g, hot = ids[of], each[of], g[of], hot[of]
-    ends = np.cumsum(n)
-    bucket = (np.where(hot, w[ends - n], g) >> np.uint64(24)).astype(np.int64) % buckets
-    rows, order = [], np.argsort(bucket, kind="stable")
-    for s in np.split(order, np.flatnonzero(runs(bucket[order]))[1:]):
-        size = n[s]
-        at = np.repeat(ends[s] - size - np.cumsum(size) + size, size) + np.arange(size.sum())
-        rows.append((int(bucket[s[0]]), ids[s].tobytes(), lo[s].astype("<u4").tobytes(), size.astype("<u2").tobytes(), low6(g[s]), low6(w[at])))
+    order = np.lexsort((a["lo"], a["id"], a["c"], a["g"]))
+    g, c = a["g"][order], a["c"][order]
+    new_g, new = runs(g), runs(g, c)
+    late = later_copies(order, new, a["id"], a["lo"])
+    hot = (np.bincount(np.cumsum(new_g) - 1, new)[np.cumsum(new_g) - 1] > hot_here) if len(g) else new
+    rows = []
+    for kind, part in ((0, order[~late & ~hot]), (1, order[late]), (2, order[~late & hot])):
+        part = part[np.lexsort((a["lo"][part], a["id"][part]))]
+        b = bucket_of(mix(a["g"][part] ^ a["c"][part]) if kind == 2 else a["g"][part], buckets)
+        for at in split_sorted(b):
+            p = part[at]
+            head = np.flatnonzero(runs(a["id"][p]))
+            rows.append((int(b[at[0]]), kind, a["id"][p[head]].tobytes(), np.diff(head, append=len(p)).astype("<u4").tobytes(), a["lo"][p].astype("<u4").tobytes(), a["n"][p].astype("<u2").tobytes(), b"" if kind == 1 else low6(a["g"][p]), b"" if kind == 1 else low6(a["c"][p])))
+    marked = np.unique(g[hot])
+    for at in split_sorted(bucket_of(marked, buckets)):
+        rows.append((int(bucket_of(marked[at[:1]], buckets)[0]), 3, b"", b"", b"", b"", low6(marked[at]), b""))
     return rows
 
 
-def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, held_anchors: int = 500_000, hot_contexts: int = 1_000) -> DataFrame:
+def settle_anchors(pdf: pd.DataFrame, hot_contexts: int) -> pd.DataFrame:
+    """One bucket of packed anchors: later copies (ask false), and runs whose block occurs in several contexts (ask true)."""
+    kinds = pdf["kind"].to_numpy()
+    marked = from6(b"".join(pdf["g"][kinds == 3]))
+    pdf = pdf[kinds != 3]
+    ids = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c in zip(pdf["ids"], pdf["counts"]))])
+    lo = np.frombuffer(b"".join(pdf["lo"]), "<u4").astype(np.int64)
+    n = np.frombuffer(b"".join(pdf["n"]), "<u2").astype(np.int64)
+    kind = np.repeat(pdf["kind"].to_numpy(), [len(x) // 4 for x in pdf["lo"]])
+    known, rest = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
+    g, c = (from6(b"".join(pdf[k])) for k in "gc")
+    order = np.lexsort((lo[rest], ids[rest], c, g))
+    new_g, new = runs(g[order]), runs(g[order], c[order])
+    late = later_copies(order, new, ids[rest], lo[rest])
+    contexts = np.bincount(np.cumsum(new_g) - 1, new, minlength=int(new_g.sum()))[np.cumsum(new_g) - 1]
+    elsewhere = (kind[rest[order]] == 2) | np.isin(g[order], marked)
+    asking = new & ((contexts > 1) | elsewhere)
+    ask, gone = rest[order[asking]], np.concatenate([known, rest[order[late]]])
+    out = pd.DataFrame({"_id": ids[np.concatenate([gone, ask])], "span": span(lo, n)[np.concatenate([gone, ask])]})
+    block = np.concatenate([np.zeros(len(gone), np.int64), g[order[asking]].astype(np.int64)])
+    hot = np.concatenate([np.zeros(len(gone), bool), ((contexts > hot_contexts) | elsewhere)[asking]])
+    return out.assign(ask=np.arange(len(out)) >= len(gone), g=block, hot=hot)
+
+
+def pack_contexts(ids: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, raw: list[bytes], buckets: int) -> list[tuple]:
+    """Rows (bucket, kind 0, ids, lo, n, g, texts, sizes) of runs with the texts of their contexts, by their blocks."""
+    rows, b = [], ((g >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    for s in split_sorted(b):
+        own = [raw[i] for i in s.tolist()]
+        rows.append((int(b[s[0]]), 0, ids[s].tobytes(), lo[s].astype("<u4").tobytes(), n[s].astype("<u2").tobytes(), low6(g[s]), b"".join(own), np.array([len(x) for x in own], "<u4").tobytes()))
+    return rows
+
+
+def pack_hot(ids: np.ndarray, lo: np.ndarray, g: np.ndarray, w: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of single windows around hot blocks: kind 1 the first of each hash, by the hash; kind 2 runs of later copies, which are settled."""
+    order = np.lexsort((lo, ids, w, g))
+    late = later_copies(order, runs(g[order], w[order]), ids, lo)
+    first, rows = order[~late], []
+    b = ((w[first] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    for at in split_sorted(b):
+        s = first[at]
+        rows.append((int(b[at[0]]), 1, ids[s].tobytes(), lo[s].astype("<u4").tobytes(), np.ones(len(s), "<u2").tobytes(), low6(g[s]), low6(w[s]), b""))
+    i, a, size = merged(ids[order[late]], lo[order[late]])
+    b = (mix(i.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    for s in split_sorted(b):
+        rows.append((int(b[s[0]]), 2, i[s].tobytes(), a[s].astype("<u4").tobytes(), size[s].astype("<u2").tobytes(), b"", b"", b""))
+    return rows
+
+
+PACKED_ANCHORS = "bucket int, kind int, ids binary, counts binary, lo binary, n binary, g binary, c binary"
+PACKED_CONTEXTS = "bucket int, kind int, ids binary, lo binary, n binary, g binary, texts binary, sizes binary"
+
+
+def repeated_spans(known: DataFrame, codes: Callable, cutter: Callable, equal: Callable, window: int, block: int, held_anchors: int = 500_000, hot_contexts: int = 1_000, hot_here: int = 64) -> DataFrame:
     """(_id, _spans): for each document with windows that also start earlier, those windows as packed ``span`` numbers.
 
-    Earlier is a smaller doc_id, or the same document and an earlier start.  ``codes`` turns texts into tokens.
-    ``held_anchors`` bounds what a task holds before it sends.  Windows around blocks with more than ``hot_contexts``
-    contexts are dealt one by one.
+    Earlier is a smaller number in ``known`` (the result of ``numbered``), or the same document and an earlier start.
+    ``codes`` turns texts into tokens, ``cutter`` a text into a function that gives the text of a range of tokens.
+    ``equal(texts, n, g, window)`` is the operator's method: numbers for all windows of some contexts in a row, the
+    same exactly for equal windows that may have an equal one.  ``held_anchors`` bounds what a task holds
+    before it sends.  ``hot_here`` and ``hot_contexts`` are the contexts of a block, in one task and in one bucket,
+    beyond which its windows are dealt one by one.  Very long texts are hashed in parts.
     """
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    spark = known.sparkSession
+    buckets = 4 * partitions(spark)
+    own = texts_of(known)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
 
         def flush() -> pd.DataFrame:
-            a = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            order = np.lexsort((a["lo"], a["id"], a["c"], a["g"]))
-            new = runs(a["g"][order], a["c"][order])
-            late = later_copies(order, new, a["id"], a["lo"])
-            keep, gone = order[~late], order[late]
-            rows = []
-            for which, part in ((0, keep), (1, gone)):
-                b = (a["g"][part] >> np.uint64(40)).astype(np.int64) % buckets
-                part = part[np.lexsort((a["lo"][part], a["id"][part], b))]
-                b = (a["g"][part] >> np.uint64(40)).astype(np.int64) % buckets
-                cuts = np.flatnonzero(runs(b)) if len(b) else []
-                for p in np.split(part, cuts[1:]) if len(part) else []:
-                    head = np.flatnonzero(runs(a["id"][p]))
-                    rows.append((int(a["g"][p[0]] >> np.uint64(40)) % buckets, which, a["id"][p[head]].tobytes(), np.diff(head, append=len(p)).astype("<u4").tobytes(), a["lo"][p].astype("<u4").tobytes(), a["n"][p].astype("<u2").tobytes(), low6(a["g"][p]) if which == 0 else b"", low6(a["c"][p]) if which == 0 else b""))
+            rows = pack_anchors({k: np.concatenate([h[k] for h in held]) for k in held[0]}, buckets, hot_here)
             held.clear()
-            return pd.DataFrame(rows, columns=["bucket", "gone", "ids", "counts", "lo", "n", "g", "c"])
+            return pd.DataFrame(rows, columns=["bucket", "kind", "ids", "counts", "lo", "n", "g", "c"])
 
         for pdf in slices(batches):
             ids = pdf["_id"].to_numpy()
@@ -273,79 +345,82 @@ def repeated_spans(docs: DataFrame, codes: Callable, window: int, block: int, he
         if held:
             yield flush()
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c in zip(pdf["ids"], pdf["counts"])])
-        lo = np.frombuffer(b"".join(pdf["lo"]), "<u4").astype(np.int64)
-        n = np.frombuffer(b"".join(pdf["n"]), "<u2").astype(np.int64)
-        known = np.repeat(pdf["gone"].to_numpy() == 1, [len(x) // 4 for x in pdf["lo"]])
-        rest = np.flatnonzero(~known)
-        g, c = (from6(b"".join(pdf[k])) for k in "gc")
-        order = np.lexsort((lo[rest], ids[rest], c, g))
-        new_g, new_c = runs(g[order]), runs(g[order], c[order])
-        late = later_copies(order, new_c, ids[rest], lo[rest])
-        contexts = np.bincount(np.cumsum(new_g) - 1, new_c, minlength=int(new_g.sum()))[np.cumsum(new_g) - 1]
-        asking = new_c & (contexts > 1)
-        ask = rest[order[asking]]
-        gone = np.concatenate([np.flatnonzero(known), rest[order[late]]])
-        out = pd.DataFrame({"_id": ids[np.concatenate([gone, ask])], "span": span(lo, n)[np.concatenate([gone, ask])]})
-        block_hash = np.concatenate([np.zeros(len(gone), np.int64), g[order[asking]].astype(np.int64)])
-        hot = np.concatenate([np.zeros(len(gone), bool), contexts[asking] > hot_contexts])
-        return out.assign(ask=np.arange(len(out)) >= len(gone), g=block_hash, hot=hot)
-
-    own = documents(docs)
-    packed = own.mapInPandas(send, "bucket int, gone int, ids binary, counts binary, lo binary, n binary, g binary, c binary")
-    first = stage(packed.groupBy("bucket").applyInPandas(settle, "_id long, span long, ask boolean, g long, hot boolean"), "anchors")
-
-    def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    packed = own.mapInPandas(send, PACKED_ANCHORS)
+    first = packed.groupBy("bucket").applyInPandas(lambda pdf: settle_anchors(pdf, hot_contexts), "_id long, span long, ask boolean, g long, hot boolean")
+    first = stage(first, "anchors")
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
-            x, counts = codes(own_bytes(pdf["_text"]))
-            begin = np.cumsum(counts) - counts
+            texts = own_bytes(pdf["_text"])
             asked = np.array([len(s) for s in pdf["spans"]])
             spans, g = np.concatenate(pdf["spans"].tolist()), np.concatenate(pdf["gs"].tolist()).astype(np.uint64)
             hot = np.concatenate(pdf["hots"].tolist()).astype(bool)
-            ids, base = np.repeat(pdf["_id"].to_numpy(), asked), np.repeat(begin, asked)
-            # of different texts under one id, a shorter one has not all places that another asks about
-            fit = np.minimum(spans & 0xFFFF, np.repeat(counts, asked) - window + 1 - (spans >> 16))
-            spans, g, hot, ids, base = span(spans >> 16, fit)[fit > 0], g[fit > 0], hot[fit > 0], ids[fit > 0], base[fit > 0]
-            rows, at = [], 0
-            while at < len(spans):  # hash by stretches of about CHUNK tokens
-                upto = max(at + 1, int(np.searchsorted(base + (spans >> 16), base[at] + CHUNK)))
-                lo, n = spans[at:upto] >> 16, spans[at:upto] & 0xFFFF
-                p = np.repeat(base[at:upto] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                a, b = int(p.min()), int(p.max()) + window
-                wh = Prefix(x[a:b]).hash(p - a, p - a + window)
-                rows += deal_windows(ids[at:upto], lo, n, g[at:upto], hot[at:upto], wh, buckets)
-                at = upto
-            yield pd.DataFrame(rows, columns=["bucket", "ids", "lo", "n", "g", "w"])
+            ids, lo, n = np.repeat(pdf["_id"].to_numpy(), asked), spans >> 16, spans & 0xFFFF
+            rows, calm = [], np.flatnonzero(~hot)
+            if len(calm):
+                raw, of = [], np.repeat(np.arange(len(texts)), asked)[calm]
+                for d in split_sorted(of):
+                    piece = cutter(texts[of[d[0]]])
+                    raw += [piece(a, a + k - 1 + window) for a, k in zip(lo[calm[d]].tolist(), n[calm[d]].tolist())]
+                rows += pack_contexts(ids[calm], lo[calm], n[calm], g[calm], raw, buckets)
+            if hot.any():
+                x, counts = codes(texts)
+                base = np.repeat(np.cumsum(counts) - counts, asked)
+                s, at = np.flatnonzero(hot), 0
+                while at < len(s):  # hash by stretches of about CHUNK tokens
+                    p = base[s] + lo[s]
+                    upto = max(at + 1, int(np.searchsorted(p, p[at] + CHUNK)))
+                    t = s[at:upto]
+                    of = np.repeat(t, n[t])
+                    each = np.arange(len(of)) - np.repeat(np.cumsum(n[t]) - n[t], n[t])
+                    q = base[of] + lo[of] + each
+                    a, b = int(q.min()), int(q.max()) + window
+                    rows += pack_hot(ids[of], lo[of] + each, g[of], Prefix(x[a:b]).hash(q - a, q - a + window), buckets)
+                    at = upto
+            yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "lo", "n", "g", "texts", "sizes"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.frombuffer(b"".join(pdf["n"]), "<u2").astype(np.int64)
-        ids = np.repeat(np.frombuffer(b"".join(pdf["ids"]), "<i8"), n)
-        lo = np.repeat(np.frombuffer(b"".join(pdf["lo"]), "<u4").astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-        g, w = np.repeat(from6(b"".join(pdf["g"])), n), from6(b"".join(pdf["w"]))
-        order = np.lexsort((lo, ids, w, g))
-        late = order[later_copies(order, runs(g[order], w[order]), ids, lo)]
-        late = late[np.lexsort((lo[late], ids[late]))]
-        if not len(late):
-            return pd.DataFrame({"_id": np.zeros(0, np.int64), "span": np.zeros(0, np.int64)})
-        new = np.ones(len(late), bool)
-        new[1:] = (ids[late][1:] != ids[late][:-1]) | (lo[late][1:] != lo[late][:-1] + 1)
-        head = np.flatnonzero(new)
-        size = np.diff(head, append=len(late))
-        i, a = ids[late][head], lo[late][head]
-        while (size > 0xFFFF).any():  # a span holds 16 bits of windows
-            big = size > 0xFFFF
-            i, a, size = np.concatenate([i, i[big]]), np.concatenate([a, a[big] + 0xFFFF]), np.concatenate([np.minimum(size, 0xFFFF), size[big] - 0xFFFF])
-        return pd.DataFrame({"_id": i, "span": span(a, size)})
+        out = [late_windows(pdf[pdf["kind"] == k], k, equal, window) for k in (0, 1)]
+        done = pdf[pdf["kind"] == 2]
+        i, a, size = (np.concatenate(x) for x in zip(*out))
+        i, a, size = merged(np.repeat(i, size), np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum()))
+        spans = [span(a, size), span(np.frombuffer(b"".join(done["lo"]), "<u4").astype(np.int64), np.frombuffer(b"".join(done["n"]), "<u2"))]
+        return pd.DataFrame({"_id": np.concatenate([i, np.frombuffer(b"".join(done["ids"]), "<i8")]), "span": np.concatenate(spans)})
 
     # the spans that a document asks about stand in the order of its text
     wanted = first.filter("ask").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("span", "g", "hot"))).alias("q")).select("_id", F.col("q.span").alias("spans"), F.col("q.g").alias("gs"), F.col("q.hot").alias("hots"))
-    asked = own.join(wanted, "_id").mapInPandas(hash_windows, "bucket int, ids binary, lo binary, n binary, g binary, w binary")
-    second = asked.groupBy("bucket").applyInPandas(compare, "_id long, span long")
+    second = own.join(wanted, "_id").mapInPandas(show, PACKED_CONTEXTS).groupBy("bucket").applyInPandas(compare, "_id long, span long")
     every = first.filter("not ask").select("_id", "span").unionByName(second)
     return every.groupBy("_id").agg(F.collect_list("span").alias("_spans"))
 
 
+def late_windows(pdf: pd.DataFrame, kind: int, equal: Callable, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, lo, n = 1) of the windows in one bucket that an equal one comes before."""
+    ids, lo = np.frombuffer(b"".join(pdf["ids"]), "<i8"), np.frombuffer(b"".join(pdf["lo"]), "<u4").astype(np.int64)
+    n, g = np.frombuffer(b"".join(pdf["n"]), "<u2").astype(np.int64), from6(b"".join(pdf["g"]))
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if kind == 1:  # hot: hashes of block and window
+        w = from6(b"".join(pdf["texts"]))
+        order = np.lexsort((w, g))
+        group = np.empty(len(w), np.int64)
+        group[order] = np.cumsum(runs(g[order], w[order]))
+    else:
+        ends = np.cumsum(np.frombuffer(b"".join(pdf["sizes"]), "<u4").astype(np.int64))
+        raw = b"".join(pdf["texts"])
+        group = equal([raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], n, g, window)
+    # windows in the order of documents and places: runs are few, and windows follow in them
+    run = np.argsort(np.lexsort((lo, ids)))
+    of = np.repeat(np.arange(len(n)), n)
+    place = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    there = np.flatnonzero(group >= 0)
+    order = there[np.lexsort((place[there], run[of[there]], group[there]))]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    late = order[later_copies(order, runs(group[order]), ids[of], place)]
+    return ids[of[late]], place[late], np.ones(len(late), np.int64)
+
+
 def removed(spans, n_tokens: int, window: int) -> np.ndarray:
     """The maximal removed runs, as an array of (start, end) token positions."""
     if spans is None or not len(spans):
@@ -360,7 +435,6 @@ def removed(spans, n_tokens: int, window: int) -> np.ndarray:
     return got[got[:, 0] < got[:, 1]]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each row of ``docs`` with the ``_spans`` of its inner id, or null."""
-    own = docs.withColumn("_id", inner_id())
-    return own.join(spans, "_id", "left").drop("_id")
+def with_spans(known: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row, _spans) of every row of ``known``; null where nothing repeats."""
+    return known.join(spans, "_id", "left").select("row", "_spans")

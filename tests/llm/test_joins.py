@@ -49,20 +49,25 @@ def corpus():
     return [(i, docs[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("size,percent,region_rows,pruned_rows", [(4, 85, 20_000, 2_000), (5, 80, 20_000, 2_000), (4, 85, 3, 0)])
-def test_jaccard_join(spark, corpus, size, percent, region_rows, pruned_rows):
+@pytest.mark.parametrize("size,percent,how", [(4, 85, {}), (5, 80, {}), (4, 85, {"leaf_rows": 3, "pivots": 2}), (5, 80, {"leaf_rows": 2, "pivots": 3})])
+def test_jaccard_join(spark, corpus, size, percent, how):
     want = brute_components(corpus, size, percent)
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, size, percent, region_rows, pruned_rows).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, size, percent, **how).collect()}
     assert got == want and any(c != i for i, (_, c) in got.items())
 
 
 def test_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e", 1), (5, "a b c d e", 1), (7, "", 1), (8, None, 1), (5, "a b c d e", 1)], "doc_id long, text string, component_id int")
     got = sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()), key=str)
-    assert got == sorted([(-1, 2, None), (5, 2, None), (5, 2, None), (7, 0, 7), (8, 0, 8)], key=str)
+    assert got == sorted([(-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7), (8, 0, 8)], key=str)
     assert jaccard_join.join(df.limit(0)).count() == 0
     assert jaccard_join.one_of_each(df.filter("doc_id IS NOT NULL")).columns == df.columns
+    for order in ([(7, "A"), (7, "B"), (9, "C")], [(7, "B"), (7, "A"), (9, "C")]):
+        text = {"A": " ".join(f"a{i}" for i in range(60)), "B": " ".join(f"b{i}" for i in range(60)), "C": " ".join(f"b{i}" for i in range(60)) + " and four more words"}
+        two = spark.createDataFrame([(i, text[t], 1, "z") for i, t in order], "doc_id long, text string, _id int, region string").coalesce(1)
+        assert sorted(tuple(r) for r in jaccard_join.join(two).select("doc_id", "component_id").collect()) == [(7, 7), (7, 7), (9, 7)]
+        assert jaccard_join.one_of_each(two).count() == 2
 
 
 def test_one_of_each_with_null_ids(spark):
@@ -75,7 +80,7 @@ def test_one_of_each_with_null_ids(spark):
     assert len([t for _, t in kept if t and t.startswith("w0 ")]) == 1 and not {4, 5, 7, 9} & {i for i, _ in kept}
     assert (None, other[0]) in kept and (8, other[1]) in kept and (None, None) in kept and len(kept) == 4
     got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.join(df).collect()]
-    assert len(got) == 9 and {c for i, c in got if i in (4, 5, 7)} == {None} and dict(got)[9] == 8
+    assert len(got) == 9 and dict(got)[4] == dict(got)[5] == 4 and dict(got)[7] == 7 and dict(got)[9] == 8
 
 
 def test_one_of_each_without_words(spark):
@@ -97,6 +102,37 @@ def test_sketches_never_lose_a_link():
                 assert keep[i] and keep[j]
 
 
+def test_meetable_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = rng.integers(1, 9, 5)
+        n = np.concatenate([np.sort(rng.integers(5, 40, k)) for k in sizes])
+        left = n - rng.integers(0, 6, len(n))
+        heads = np.cumsum(sizes) - sizes
+        run = np.repeat(np.arange(5), sizes)
+        want = [i for i in range(len(n)) if any(i != j and run[i] == run[j] and 185 * min(left[i], left[j]) >= 85 * (n[i] + n[j]) for j in range(len(n)))]
+        assert jaccard_join.meetable(heads, n, left, 85).tolist() == want
+
+
+def test_unlinked_rows_with_a_common_shingle_are_cut_in_few_steps(spark, monkeypatch):
+    """A region far above its bound whose rows share a shingle and nothing else, beside a large group of near copies."""
+    rng = random.Random(1)
+    docs = [(i, "one two three four " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(8))) for i in range(120)]
+    base = [f"c{i}" for i in range(80)]
+    for i in range(200, 320):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    turns, cut = [], jaccard_join.cut_regions
+    monkeypatch.setattr(jaccard_join, "counters_for", lambda chars: 16)  # as in a corpus far larger than the table of counters
+    monkeypatch.setattr(jaccard_join, "cut_regions", lambda *a: turns.append(1) or cut(*a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df, leaf_rows=8, pivots=4).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(docs, 4, 85).items()}
+    assert 1 <= len(turns) <= 6
+
+
 def test_components(spark, as_rows):
     chain = [(i, i + 1) for i in range(10, 40)] + [(3, 99), (99, 50), (7, 7)]
     got = dict(as_rows(components(spark.createDataFrame(chain, "a long, b long"))))

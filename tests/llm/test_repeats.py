@@ -44,21 +44,21 @@ def corpus():
     return docs + [(100, "the same words again and again " * 30), (101, "x" * 400), (102, ""), (103, "short")]
 
 
-@pytest.mark.parametrize("chunk", [500, 1_000_000])
-def test_words(spark, corpus, chunk, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK", chunk)  # in this process; workers keep theirs
+@pytest.mark.parametrize("how", [{}, {"hot_contexts": 1}, {"hot_here": 1}, {"hot_here": 2, "held_anchors": 200}])
+def test_words(spark, corpus, how):
     want = brute(str.split, corpus, 20)
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
-    for r in substring_dedup.dedup_words(df).collect():
+    for r in substring_dedup.dedup_words(df, **how).collect():
         t, mask = want[r["doc_id"]]
         assert (r["n_words"], r["n_removed"]) == (len(t), sum(mask))
         assert r["kept"] == " ".join(w for w, m in zip(t, mask) if not m)
 
 
-def test_bytes(spark, corpus):
+@pytest.mark.parametrize("how", [{}, {"hot_contexts": 1}, {"hot_here": 1}, {"hot_here": 2, "held_anchors": 200}])
+def test_bytes(spark, corpus, how):
     want = brute(lambda s: list(s.encode()), corpus, 100)
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
-    for r in suffix_dedup.dedup_bytes(df).collect():
+    for r in suffix_dedup.dedup_bytes(df, **how).collect():
         t, mask = want[r["doc_id"]]
         spans = sum(m and not b for m, b in zip(mask, [False, *mask]))
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(t), sum(mask), spans)
@@ -96,41 +96,67 @@ def test_edges(spark):
     assert suffix_dedup.dedup_bytes(df.limit(0)).count() == 0 and substring_dedup.dedup_words(df.limit(0)).count() == 0
 
 
-def test_null_ids_are_documents_of_their_own(spark):
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
     rng = random.Random(6)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
     shared, twice = words(40), words(40)
-    texts = [f"{words(300)} {shared} {words(60)} {twice}", f"{words(5)} {shared} {words(9)}", f"{twice} {words(30)} {shared}"]
-    rows = [(None, t) for t in texts] + [(3, f"{words(200)} {shared} {twice}"), (3, f"{words(4)} {twice}"), (4, f"{words(50)} {twice} {words(40)}")]
+    null = [f"{words(300)} {shared} {words(60)} {twice}", f"{words(5)} {shared} {words(9)}", f"{twice} {words(30)} {shared}", "abc" * 100, words(300)]
+    three = [f"{words(200)} {shared} {twice}", f"{words(4)} {twice}", words(200), "x y " * 50]
+    rows = [(None, t) for t in null] + [(3, t) for t in three] + [(4, f"{words(50)} {twice} {words(40)}"), (3, three[2])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for found, of, kept, window in ((substring_dedup.dedup_words(df), str.split, lambda r: r["kept"].split(), 20), (suffix_dedup.dedup_bytes(df), str.encode, lambda r: bytes(r["kept"]), 100)):
-        got = [r for r in found.collect() if r["doc_id"] is None]
-        assert len(got) == 3
-        by_size = {r[1]: r for r in got}
-        mine = [by_size[len(of(t))] for t in texts]
+        got = found.collect()
+        assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 5
+        left = sorted((r["doc_id"] or 0, list(kept(r))) for r in got)
 
-        def right(order):
-            want = brute(of, [(i, texts[i]) for i in order], window)
-            return all(list(kept(mine[i])) == [x for x, m in zip(*want[i]) if not m] for i in order)
+        def right(a, b):
+            order = [(0, t) for t in a] + [(3, t) for t in b] + [rows[-2]]
+            want = brute(of, list(enumerate(t for _, t in order)), window)
+            out = [(d, [x for x, m in zip(*want[k]) if not m]) for k, (d, _) in enumerate(order)]
+            return left == sorted(out + [out[order.index((3, three[2]))]])  # the equal row keeps the same
 
-        assert sum(map(right, itertools.permutations(range(3)))) >= 1  # in some order, each as a document of its own
+        assert any(right(a, b) for a in itertools.permutations(null) for b in itertools.permutations(three))
 
 
-def test_hot_block_spreads_over_buckets(spark, corpus):
+def test_clashing_names_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 5, 1, "a"), (2, text, 6, 2, "b"), (None, text, 7, 3, "c"), (None, text, 8, 4, "d")], "doc_id long, text string, _id int, _spans int, row string")
+    out = suffix_dedup.dedup_documents(df)
+    assert out.columns == df.columns
+    got = {r["row"]: r for r in out.collect()}
+    assert sorted(r["_id"] for r in got.values()) == [5, 6, 7, 8] and got["a"]["text"] == got["b"]["text"] == "" and sorted([got["c"]["text"], got["d"]["text"]]) == ["", text]
+
+
+def test_a_hot_block_spreads_over_buckets():
     import numpy as np
+    import pandas as pd
 
     rng = np.random.default_rng(1)
-    n, g = np.full(200, 50), np.full(200, 7 << 30, np.uint64)
+    n = 4000
+    a = {"id": np.arange(n), "lo": np.zeros(n, np.int64), "n": np.full(n, 50), "g": np.full(n, 7 << 30, np.uint64), "c": rng.integers(0, 1 << 63, n, dtype=np.uint64)}
+    rows = repeats.pack_anchors(a, 16, 64)
+    sizes = [len(r[4]) // 4 for r in rows if r[1] == 2]
+    assert sum(sizes) == n and len(sizes) == 16 and max(sizes) < 500 and [r[1] for r in rows].count(3) == 1
+    one = repeats.pack_anchors({k: v[:1] for k, v in a.items()}, 16, 64)  # a task that has the block once
+    frame = pd.DataFrame([r for r in rows if r[1] == 3] + one, columns=["bucket", "kind", "ids", "counts", "lo", "n", "g", "c"])
+    got = repeats.settle_anchors(frame, 1000)
+    assert got["ask"].all() and got["hot"].all() and len(got) == 1
     w = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)[np.arange(10000) % 5000]
-    rows = repeats.deal_windows(np.arange(200), np.arange(200) * 3, n, g, np.ones(200, bool), w, 16)
-    sizes, seen = {}, {}
-    for bucket, ids, lo, m, _, ws in rows:
-        sizes[bucket] = len(ws) // 6
-        for i, a, h in zip(np.frombuffer(ids, "<i8"), np.frombuffer(lo, "<u4"), repeats.from6(ws)):
-            assert int(w[i * 50 + a - i * 3]) & ((1 << 48) - 1) == int(h)
-            assert seen.setdefault(int(h), bucket) == bucket  # equal windows meet
-    assert sum(sizes.values()) == 10000 and len(sizes) == 16 and max(sizes.values()) < 1000
-    assert len(repeats.deal_windows(np.arange(200), np.arange(200) * 3, n, g, np.zeros(200, bool), w, 16)) == 1
-    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
-    spans = lambda **how: {(r["_id"], p) for r in repeats.repeated_spans(df, repeats.byte_codes, 100, 32, **how).collect() for s in r["_spans"] for p in range(s >> 16, (s >> 16) + (s & 0xFFFF))}
-    assert spans(hot_contexts=1) == spans() != set()
+    packed = repeats.pack_hot(np.repeat(np.arange(200), 50), np.tile(np.arange(50), 200), np.full(10000, 7 << 30, np.uint64), w, 16)
+    firsts = [len(r[6]) // 6 for r in packed if r[1] == 1]
+    assert sum(firsts) == 5000 and len(firsts) == 16 and max(firsts) < 600
+    assert sum(np.frombuffer(r[4], "<u2").sum() for r in packed if r[1] == 2) == 5000
+
+
+def test_methods_tell_windows_apart():
+    import numpy as np
+
+    texts = [b"a b c d e f g h", b"x b c d e f g h", b"a b c d e f g q"]
+    got = substring_dedup.doubled(texts, np.array([3, 3, 3]), np.zeros(3, np.uint64), 6)
+    same = lambda i, j: got[i] == got[j] and got[i] >= 0
+    assert same(1, 4) and same(2, 5) and same(0, 6) and same(1, 7) and got[3] == got[8] == -1
+    long = bytes(range(65, 85))
+    radix = suffix_dedup.radix_groups([long + b"1", long + b"2", b"0" + long], np.array([1, 1, 2]), np.zeros(3, np.uint64), 20)
+    assert radix[0] == radix[1] == radix[3] >= 0 and radix[2] == -1
+    order = suffix_dedup.radix_groups([b"bbbbbbbbbc", b"aaaaaaaaab", b"bbbbbbbbbc", b"aaaaaaaaab"], np.ones(4, int), np.zeros(4, np.uint64), 10)
+    assert order[1] == order[3] < order[0] == order[2]  # groups stand in the order of their bytes
