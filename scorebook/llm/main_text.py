@@ -1,8 +1,9 @@
 """Op 2: main text of web pages.
 
-A page becomes flat text blocks.  Each block has its word count and link density, those of its neighbours, and
-whether its containers are named as content or as something else.  A decision tree, trained here on a small
-labelled table of blocks, tells the article's blocks from the rest.
+A page becomes flat text blocks.  Each block has its word count, link density and kind of element (bare text, paragraph
+or heading), those of its neighbours, and the HTML section it stands in (article or main; nav, aside and the like;
+none).  A decision tree, trained here on the blocks of a small table of labelled pages, tells the article's blocks from
+the rest.  Names of classes and ids play no part.
 """
 
 from __future__ import annotations
@@ -16,70 +17,75 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page.
-_SILENT = r"script|style|noscript|template|head|svg|iframe|object|select|textarea|button|math|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+from .labelled_pages import PAGES
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_PLAIN_END = re.compile(r"[^<>\"']*>")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:[^\s/>=][^\s/>=]*|=)?(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"\s+")
-#: Elements that do not end a block.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-_VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-_CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure fieldset menu dialog details td blockquote".split())
-_AGAINST = frozenset("nav footer aside form menu dialog fieldset".split())
-_FOR = frozenset("article main".split())
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|footer|foot|header|masthead|breadcrumbs?|comments?|replies|reply|disqus|cookies?|consent|notice|notices|alert|popup|modal|subscribe|newsletter|signup|login|search|share|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer|tags|form)(?:$|[\s_-])", re.I)
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|story|post|entry|main|body|text)(?:$|[\s_-])", re.I)
-
-#: Labelled blocks: words, link density, words and link density of the block before, of the block after (0 where
-#: there is none), container (1 content, -1 other, 0 unnamed), and whether the block is main text.
-LABELLED = [
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (2, 1.0, 1, 1.0, 3, 1.0, -1, 0), (1, 1.0, 1, 1.0, 8, 0.0, -1, 0),
-    (8, 0.0, 1, 1.0, 9, 0.0, -1, 0), (25, 0.0, 6, 1.0, 10, 0.0, -1, 0), (40, 0.1, 12, 0.0, 4, 1.0, -1, 0), (12, 0.0, 80, 0.0, 0, 0.0, -1, 0),
-    (11, 0.0, 120, 0.0, 0, 0.0, -1, 0), (60, 0.0, 90, 0.0, 30, 0.0, -1, 0), (35, 0.0, 60, 0.0, 22, 0.0, -1, 0), (6, 0.5, 35, 0.0, 0, 0.0, -1, 0),
-    (3, 0.0, 2, 0.0, 4, 0.0, -1, 0), (120, 0.05, 200, 0.0, 40, 0.0, -1, 0), (15, 0.9, 60, 0.0, 14, 0.9, -1, 0), (9, 0.0, 9, 0.0, 20, 0.0, -1, 0),
-    (7, 0.0, 2, 1.0, 60, 0.0, -1, 0), (14, 0.0, 55, 0.0, 75, 0.0, -1, 0), (90, 0.0, 3, 1.0, 4, 1.0, -1, 0), (5, 0.0, 150, 0.0, 48, 0.0, -1, 0),
-    (20, 0.0, 44, 0.0, 130, 0.0, -1, 0), (70, 0.0, 66, 0.0, 81, 0.0, -1, 0), (2, 0.0, 1, 0.0, 1, 0.0, -1, 0), (55, 0.2, 60, 0.1, 61, 0.1, -1, 0),
-    (8, 0.0, 1, 0.0, 90, 0.0, -1, 0), (30, 0.0, 0, 0.0, 0, 0.0, -1, 0), (9, 0.0, 8, 0.0, 12, 0.0, 1, 1), (12, 0.0, 9, 0.0, 40, 0.0, 1, 1),
-    (1, 0.0, 30, 0.0, 60, 0.0, 1, 1), (2, 0.0, 3, 0.0, 15, 0.0, 1, 1), (60, 0.0, 12, 0.0, 80, 0.0, 1, 1), (150, 0.02, 60, 0.0, 90, 0.0, 1, 1),
-    (25, 0.2, 60, 0.0, 0, 0.0, 1, 1), (40, 0.0, 100, 0.0, 11, 0.0, 1, 1), (5, 0.4, 50, 0.0, 70, 0.0, 1, 1), (300, 0.0, 20, 0.0, 12, 0.0, 1, 1),
-    (18, 0.0, 2, 0.0, 1, 0.0, 1, 1), (7, 0.0, 0, 0.0, 55, 0.0, 1, 1), (7, 0.0, 7, 0.0, 20, 0.0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 1),
-    (3, 0.0, 2, 0.0, 4, 0.0, 1, 1), (10, 0.0, 90, 0.0, 5, 0.0, 1, 1), (4, 0.0, 1, 1.0, 2, 0.0, 1, 1), (8, 0.0, 8, 0.0, 9, 0.0, 1, 1),
-    (6, 0.0, 12, 0.0, 11, 0.0, 1, 1), (80, 0.0, 80, 0.0, 2, 1.0, 1, 1), (30, 0.0, 4, 1.0, 3, 0.0, 1, 1), (2, 0.0, 55, 0.0, 11, 0.0, 1, 1),
-    (11, 0.0, 6, 0.0, 6, 0.0, 1, 1), (45, 0.1, 5, 0.0, 8, 0.0, 1, 1), (90, 0.0, 1, 0.0, 9, 0.0, 1, 1), (16, 0.0, 20, 0.0, 7, 0.0, 1, 1),
-    (14, 0.3, 9, 0.0, 10, 0.0, 1, 1), (33, 0.0, 14, 0.0, 12, 0.0, 1, 1), (4, 1.0, 60, 0.0, 3, 1.0, 1, 0), (3, 1.0, 4, 1.0, 5, 1.0, 1, 0),
-    (8, 0.95, 9, 0.9, 10, 1.0, 1, 0), (2, 1.0, 2, 1.0, 40, 0.0, 1, 0), (5, 1.0, 50, 0.0, 60, 0.0, 1, 0), (12, 0.9, 40, 0.0, 0, 0.0, 1, 0),
-    (60, 0.0, 10, 0.0, 70, 0.0, 0, 1), (25, 0.0, 40, 0.0, 35, 0.0, 0, 1), (45, 0.1, 2, 1.0, 50, 0.0, 0, 1), (90, 0.0, 60, 0.0, 5, 0.0, 0, 1),
-    (12, 0.0, 70, 0.0, 60, 0.0, 0, 1), (6, 0.0, 55, 0.0, 80, 0.0, 0, 1), (18, 0.1, 30, 0.0, 45, 0.0, 0, 1), (35, 0.2, 80, 0.0, 4, 1.0, 0, 1),
-    (200, 0.0, 0, 0.0, 0, 0.0, 0, 1), (28, 0.0, 8, 0.0, 22, 0.0, 0, 1), (9, 0.0, 1, 1.0, 60, 0.0, 0, 1), (3, 0.0, 40, 0.0, 50, 0.0, 0, 1),
-    (50, 0.0, 1, 1.0, 2, 1.0, 0, 1), (22, 0.0, 60, 0.0, 9, 0.0, 0, 1), (6, 1.0, 0, 0.0, 5, 1.0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0),
-    (5, 0.8, 4, 1.0, 3, 1.0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0), (4, 0.0, 5, 0.0, 3, 0.0, 0, 0), (7, 0.0, 80, 0.0, 0, 0.0, 0, 0),
-    (9, 0.3, 4, 1.0, 0, 0.0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0), (10, 0.6, 10, 0.7, 9, 0.8, 0, 0), (16, 0.7, 14, 0.9, 0, 0.0, 0, 0),
-    (30, 0.6, 20, 0.8, 25, 0.7, 0, 0), (5, 0.0, 3, 1.0, 6, 0.0, 0, 0), (8, 0.0, 2, 1.0, 3, 1.0, 0, 0), (3, 0.0, 6, 0.0, 2, 0.0, 0, 0),
-    (9, 1.0, 60, 0.0, 70, 0.0, 0, 0), (4, 0.9, 90, 0.0, 50, 0.0, 0, 0),
-]
+#: Elements whose content is text to the parser but not text of the page; they end at their own end tag only.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in "script style title textarea iframe xmp noembed noframes".split()}
+#: Elements whose content is never text of the page.  Of those, the ones that a paragraph or section inside them ends.
+_SILENT = frozenset("noscript template svg object select button canvas audio video".split())
+_BREAKABLE = frozenset("svg select button".split())
+#: Elements that do not end a block; unknown ones don't either.
+_BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+_KIND = dict.fromkeys("p pre blockquote li dd dt td th figcaption caption".split(), 1) | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), 2)
+_SECTION = dict.fromkeys("article main".split(), 1) | dict.fromkeys("nav aside footer form menu dialog fieldset search".split(), -1) | {"header": 0}
 
 
 class Blocks:
-    """Collects the flat text blocks of one page: (text, words, words in links, container)."""
+    """Collects the flat text blocks of one page, in one pass: (text, words, words in links, kind, section, start)."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, int, int]] = []
+        self.found: list[tuple[str, int, int, int, int, int]] = []
         self.text: list[str] = []
         self.linked: list[str] = []
         self.stack: list[tuple[str, int]] = []
-        self.in_link, at = False, 0
-        for m in _TOKEN.finditer(page):
-            self._add(page[at : m.start()])
-            at = m.end()
-            if m[3]:
-                self._tag(m[3].lower(), bool(m[2]), m[4])
-            elif m[1]:
-                self._close()
-        self._add(page[at:])
+        self.in_link, self.silent, self.kind, self.start = False, "", 0, 0
+        at = 0
+        while at < len(page):
+            opens = page.find("<", at)
+            if opens < 0:
+                opens = len(page)
+            self._add(page[at:opens], at)
+            at = self._markup(page, opens) if opens < len(page) else opens
         self._close()
-
-    def _add(self, raw: str) -> None:
-        if raw:
+        if any(b[4] > 0 for b in self.found):  # beside an article, what stands in no section is outside of it
+            self.found = [(*b[:4], b[4] or -1, b[5]) for b in self.found]
+
+    def _markup(self, page: str, at: int) -> int:
+        """Handles what begins with the < at ``at`` and returns where it ends.  What is never closed goes to the end."""
+        name = _NAME.match(page, at + 1)
+        if page.startswith("<!--", at):
+            end = _COMMENT_END.search(page, at + 2)
+            return end.end() if end else len(page)
+        if not name:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                return page.find(">", at) + 1 or len(page)
+            self._add("<", at)
+            return at + 1
+        end = _PLAIN_END.match(page, name.end())
+        upto = end.end() if end else self._attributes(page, name.end())
+        closing, tag = name[0][0] == "/", name[0].strip("/").lower()
+        self._tag(tag, closing)
+        if tag in _RAW and not closing:
+            over = _RAW[tag].search(page, upto)
+            return over.start() if over else len(page)
+        return upto
+
+    @staticmethod
+    def _attributes(page: str, at: int) -> int:
+        """The end of a tag with quotes; a quote counts only where an attribute's value begins."""
+        while at < len(page) and page[at] != ">":
+            at = max(_ATTRIBUTE.match(page, at).end(), at + 1)
+        return min(at + 1, len(page))
+
+    def _add(self, raw: str, at: int) -> None:
+        if raw and not self.silent:
+            if not self.text:
+                self.start = at
             self.text.append(raw)
             if self.in_link:
                 self.linked.append(raw)
@@ -89,39 +95,44 @@ class Blocks:
         if text:
             words = text.count(" ") + 1
             linked = len(entities.unescape(" ".join(self.linked)).split())
-            self.found.append((text, words, min(linked, words), self.stack[-1][1] if self.stack else 0))
+            self.found.append((text, words, min(linked, words), self.kind, self.stack[-1][1] if self.stack else 0, self.start))
         self.text, self.linked = [], []
 
-    def _tag(self, name: str, end: bool, attributes: str) -> None:
+    def _tag(self, name: str, end: bool) -> None:
+        if self.silent:
+            if (end and name == self.silent) or (self.silent in _BREAKABLE and name in _BLOCK and name not in ("option", "optgroup", "br", "hr")):
+                self.silent = ""
+            if self.silent or end and name in _SILENT:
+                return
+        elif name in _SILENT and not end:
+            self._close()
+            self.silent = name
+            return
         if name == "a":
             self.in_link = not end
-        if name not in _INLINE:
+        if name in _BLOCK:
             self._close()
-        if name in _CONTAINERS:
+            if name not in ("br", "hr"):
+                self.kind = 0 if end else _KIND.get(name, 0)
+        if name in _SECTION:
             if end:
-                for i in range(len(self.stack) - 1, -1, -1):
+                for i in range(len(self.stack) - 1, max(len(self.stack) - 64, -1), -1):  # deeper nesting is no page
                     if self.stack[i][0] == name:
                         del self.stack[i:]
                         break
             else:
-                self.stack.append((name, self._side(name, attributes)))
+                outer = self.stack[-1][1] if self.stack else 0
+                own = _SECTION[name] if name != "header" or outer > 0 else -1
+                self.stack.append((name, -1 if outer < 0 else own or outer))
 
-    def _side(self, name: str, attributes: str) -> int:
-        """1 in content, -1 in something else, else 0.  What is named as something else stays so all through."""
-        outer = self.stack[-1][1] if self.stack else 0
-        named = " ".join(x for m in _NAME.findall(attributes) for x in m)
-        if outer < 0 or name in _AGAINST or _BAD_NAME.search(named) or name == "header" and outer <= 0:
-            return -1
-        if name in _FOR or _GOOD_NAME.search(named):
-            return 1
-        return outer
 
-
-def block_features(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
+def block_features(blocks: list[tuple]) -> np.ndarray:
+    """Words, link density and kind of each block, of the one before and of the one after (0 where there is none), and its section."""
     words = np.array([0, *(b[1] for b in blocks), 0], float)
     density = np.array([0, *(b[2] for b in blocks), 0], float) / np.maximum(words, 1)
-    side = np.array([b[3] for b in blocks], float)
-    return np.stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], side], 1)
+    kind = np.array([0, *(b[3] for b in blocks), 0], float)
+    near = [x[s] for s in (slice(1, -1), slice(None, -2), slice(2, None)) for x in (words, density, kind)]
+    return np.stack([*near, np.array([b[4] for b in blocks], float)], 1)
 
 
 def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
@@ -152,9 +163,19 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained(labelled: list[tuple] = LABELLED):
-    table = np.array(labelled, float)
-    return train_tree(table[:, :-1], table[:, -1])
+def labelled_blocks(pages: list[list[tuple[int, str]]] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the labelled pages; a block has the label of the piece of html it begins in."""
+    x, y = [], []
+    for page in pages:
+        blocks = Blocks("".join(piece for _, piece in page)).found
+        upto = np.cumsum([len(piece) for _, piece in page])
+        x.append(block_features(blocks))
+        y += [page[int(np.searchsorted(upto, b[5], side="right"))][0] for b in blocks]
+    return np.concatenate(x), np.array(y, float)
+
+
+def trained(pages: list[list[tuple[int, str]]] = PAGES):
+    return train_tree(*labelled_blocks(pages))
 
 
 def extract(page: str, tree) -> str:
@@ -166,18 +187,22 @@ def extract(page: str, tree) -> str:
     return " ".join(b[0] for b, g in zip(blocks, good) if g)
 
 
-def main_texts(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
+def main_texts(pages: DataFrame, labelled: list[list[tuple[int, str]]] = PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    Null html is empty; a page without main text has an empty text.  Repeated rows give repeated results, an
-    empty table gives none, extra columns are ignored.
+    Null html is empty; a page without main text has an empty text.  A page is read in one pass, so a very long or broken one
+    takes time in proportion to its length.  Repeated rows give repeated results, an empty table gives none,
+    null ids and urls stay null, extra columns are ignored.  No two blocks tie: each is judged by itself.
     """
     tree = trained(labelled)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = [extract(h, tree) for h in pdf["html"]]
-            yield pdf.drop(columns="html").assign(text=texts, n_chars=[len(t) for t in texts])
+            out = pdf.drop(columns="html").assign(text=texts, n_chars=[len(t) for t in texts])
+            yield out
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return own.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    page_id = F.col("page_id").cast("long")
+    own = pages.select(F.coalesce(page_id, F.lit(0).cast("long")).alias("page_id"), page_id.isNull().alias("_null"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    found = own.mapInPandas(run, "page_id long, _null boolean, url string, text string, n_chars long")
+    return found.select(F.expr("if(_null, null, page_id)").alias("page_id"), "url", "text", "n_chars")

@@ -26,9 +26,31 @@ def test_main_text_blocks(spark):
 
 
 def test_tree_learns_its_table():
-    table = np.array(main_text.LABELLED, float)
-    assert len(table) <= 200
-    assert ((main_text.classify(main_text.trained(), table[:, :-1]) >= 0.5) == table[:, -1]).mean() > 0.95
+    x, y = main_text.labelled_blocks()
+    assert 50 < len(y) <= 200 and 0.3 < y.mean() < 0.7
+    assert ((main_text.classify(main_text.trained(), x) >= 0.5) == y).mean() > 0.95
+
+
+def test_main_text_of_odd_pages():
+    tree, long = main_text.trained(), "The harbour was still grey when the first boats came back and nobody spoke before the crates had been counted."
+    get = lambda page: main_text.extract(page, tree)
+    assert get(f"<html><head><meta charset=utf-8><title>t</title><p>{long}<p>{long}") == f"{long} {long}"
+    assert get(f"<article><p title=it's>{long}</p><p>it's {long}</p></article>") == f"{long} it's {long}"
+    assert get(f"<article><p>{long} <math><mi>x</mi><mo>=</mo></math> end</p></article>") == f"{long} x= end"
+    for name in ("class='side'", "id='search-study'", "class=ad", "class='comments footer'"):
+        assert get(f"<article {name}><p>{long}</p></article>") == long
+    assert get(f"<article><p>{long}</p><svg><text>no</text></svg><select><option>no</select><p>{long}</p></article>") == f"{long} {long}"
+    assert get(f"<article><!-- > <p>no</p> --><p>{long}</p><script>'<p>no</p>'</script ><p>a < b &lt; c</p></article>") == f"{long} a < b < c"
+    assert get("<a href=\"x " * 5) == "" and get("") == "" and get("<") in ("", "<")
+
+
+@pytest.mark.parametrize("unit", ['<a href="x ', "<a href='x <b ", "<!-- ", "<![CDATA[", "<script>", "<svg>", "<", "</", "<a b=", "</nav>", "<article></nav>", "<p '=\"'", "&"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    main_text.extract(unit * (2_000_000 // len(unit)), main_text.trained())
+    assert time.process_time() - began < 20
 
 
 def test_main_text_on_pages(spark):
