@@ -1,14 +1,14 @@
 """Op 10: nearest neighbours by shifted space-filling curves.
 
 Each of several curves has its own random rotation to a few dimensions and its own shift; a vector's key is its
-place on a Hilbert curve over that box.  Spark range-partitions all vectors by (curve, key).  A query is laid
-into the same orders and compared with the vectors around it; what the curves find is merged and ranked
-again by the exact measure.  The largest inner product becomes the least distance by one more coordinate that
-lifts all vectors to the same length.
+place on a Hilbert curve over that box.  Spark range-partitions all vectors, as codes of one byte a component, by
+(curve, key).  A query is laid into the same orders and compared with the vectors around it; what the curves find is
+merged and ranked again by the exact measure on the original vectors.  The largest inner product becomes the least
+distance by one more coordinate that lifts all vectors to the same length.
 
 How far a window reaches is measured, not guessed: for a bounded pilot of queries the true neighbours are found
-by scanning all vectors, and the window is the least that catches the share ``recall`` of them.  Equal vectors
-are searched once, as a class.
+by scanning all vectors, and the window is the least that catches the share ``recall`` of them.  Its share of the table falls as
+the table grows; how fast depends on the structure of the vectors.  Equal vectors are searched once, as a class.
 """
 
 from __future__ import annotations
@@ -94,25 +94,39 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 8, dims: int = 8, bits: int = 7, recall: float = 0.96, pilot: int = 64, sample_rows: int = 4000, block_rows: tuple[int, int] = (1024, 65536)) -> DataFrame:
+def window_for(apart: np.ndarray, recall: float) -> int:
+    """Places to either side of a query that hold the share ``recall`` of true neighbours so far ``apart``."""
+    return int(np.ceil(np.quantile(apart, recall))) + 1 if len(apart) else 1
+
+
+def coded(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Vectors as signed bytes, and the scale of each: within half a scale of every component."""
+    scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
+    return [r.tobytes() for r in np.rint(x / scale[:, None]).astype(np.int8)], scale
+
+
+def nearest(vectors: DataFrame, queries, k: int = 20, **how) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query, by largest inner product.
 
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on vec_id.  Vectors that are null, zero, or hold
-    null or non-finite components take no part, nor do rows without vec_id or of another dimension than most
-    rows have.  Of rows with one vec_id the least vector counts.  Ties go to the smaller vec_id.  ``sample_rows``
-    bounds the vectors that set the curves' boxes, ``pilot`` the queries that set the window; an empty table, or one without
-    queries, gives no rows.  Other columns are ignored.
+    null or non-finite components take no part, nor do rows without vec_id.  Of rows with one vec_id the least vector
+    counts.  Vectors of each dimension are searched among their own.  Ties go to the smaller vec_id.  An empty table, or
+    one without queries, gives no rows.  Other columns are ignored.
     """
-    ids = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     ok = F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull()).filter(ok).groupBy("vec_id").agg(F.min("embedding").alias("v"))
     rows = stage(rows, "vectors")
-    width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if width is None:
-        return spark.createDataFrame([], ids)
-    rows = rows.filter(F.size("v") == width["d"])
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.groupBy(F.size("v").alias("d")).count().collect():  # a row for each dimension that occurs
+        out = out.unionByName(_search(rows.filter(F.size("v") == r["d"]), queries, k, **how))
+    return out
+
+
+def _search(rows: DataFrame, queries, k: int, curves: int = 32, dims: int = 8, bits: int = 7, recall: float = 0.95, pilot: int = 64, sample_rows: int = 4000, least_block: int = 256) -> DataFrame:
+    """``nearest`` among vectors of one dimension.  ``sample_rows`` bounds the vectors that set the curves' boxes,
+    ``pilot`` the queries that set the window; blocks are as wide as the window, ``least_block`` at least."""
+    spark = rows.sparkSession
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count_if(queries(F.col("vec_id"))).alias("asks"))
     classes = stage(classes, "classes")
     members = rows.join(classes.select("v", "cid"), "v").select("cid", "vec_id")
@@ -125,7 +139,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 8, dims: int
     # pilot: true neighbours of a few queries
     some = classes.filter("asks > 0").orderBy(F.xxhash64("cid", F.lit(1)), "cid").select("cid", "v").limit(pilot).toPandas()
     if not len(some):
-        return spark.createDataFrame([], ids)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked, asked_ids = matrix(some["v"]), some["cid"].to_numpy()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,12 +158,14 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 8, dims: int
     # all vectors, and the queries among them, in the order of every curve
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = matrix(pdf["v"])
+            x, cid = matrix(pdf["v"]), pdf["cid"].to_numpy()
             q = pdf["asks"].to_numpy() > 0
+            codes, scale = coded(x)
+            exact = [r.tobytes() for r in x[q].astype("<f4")]
             for c, (own, asking) in enumerate(zip(plan.keys(x, False), plan.keys(x[q], True) if q.any() else [np.zeros(0, np.int64)] * curves)):
-                yield pd.DataFrame({"curve": c, "key": own, "query": False, "cid": pdf["cid"], "v": pdf["v"]})
+                yield pd.DataFrame({"curve": c, "key": own, "query": False, "cid": cid, "code": codes, "scale": scale})
                 if q.any():
-                    yield pd.DataFrame({"curve": c, "key": asking, "query": True, "cid": pdf["cid"][q].to_numpy(), "v": pdf["v"][q].to_numpy()})
+                    yield pd.DataFrame({"curve": c, "key": asking, "query": True, "cid": cid[q], "code": exact, "scale": 1.0})
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -163,42 +179,51 @@ def nearest(vectors: DataFrame, queries, k: int = 20, curves: int = 8, dims: int
                 yield piece.drop(columns="key").assign(part=part, place=before + np.cumsum(real) - real)
                 before += int(real.sum())
 
-    kind = classes.schema["v"].dataType.simpleString()
-    laid = classes.mapInPandas(lay, f"curve int, key long, query boolean, cid long, v {kind}")
+    laid = classes.mapInPandas(lay, "curve int, key long, query boolean, cid long, code binary, scale double")
     laid = laid.repartitionByRange("curve", "key", "cid").sortWithinPartitions("curve", "key", "cid")
-    laid = stage(laid.mapInPandas(number, f"curve int, query boolean, cid long, v {kind}, part int, place long"), "curves")
-    sizes = laid.groupBy("curve", "part").agg(F.count_if(~F.col("query")).alias("n")).toPandas().sort_values(["curve", "part"])  # a row for each partition
+    laid = stage(laid.mapInPandas(number, "curve int, query boolean, cid long, code binary, scale double, part int, place long"), "curves")
+    sizes = laid.groupBy("curve", "part").agg(F.count_if(~F.col("query")).alias("n")).toPandas().sort_values(["curve", "part"])  # a row for each partition and curve in it
     sizes["base"] = sizes.groupby("curve")["n"].cumsum() - sizes["n"]
     base = spark.createDataFrame(sizes[["curve", "part", "base"]].astype({"curve": "int32", "part": "int32", "base": "int64"}), "curve int, part int, base long")
-    laid = laid.join(F.broadcast(base), ["curve", "part"]).select("curve", "query", "cid", "v", (F.col("place") + F.col("base")).alias("place"))
+    laid = laid.join(F.broadcast(base), ["curve", "part"]).select("curve", "query", "cid", "code", "scale", (F.col("place") + F.col("base")).alias("place"))
 
     # the window that catches the wanted share of the pilot's true neighbours
     wanted = spark.createDataFrame(pd.DataFrame({"cid": np.union1d(truth["cid"].to_numpy(np.int64), asked_ids)}), "cid long")
-    at = laid.join(F.broadcast(wanted), "cid").select("curve", "query", "cid", "place").toPandas()
+    at = laid.join(F.broadcast(wanted), "cid").select("curve", "query", "cid", "place").toPandas()  # curves x pilot x k rows at most
     found = truth.merge(at[~at["query"]], on="cid").merge(at[at["query"]].rename(columns={"cid": "q", "place": "from"})[["curve", "q", "from"]], on=["curve", "q"])
     apart = (found["place"] - found["from"]).abs().groupby([found["q"], found["cid"]]).min()
-    reach = int(np.ceil(np.quantile(apart, recall))) + 1 if len(apart) else 1
-    block = int(min(max(block_rows[0], reach), block_rows[1]))
+    reach = window_for(apart.to_numpy(), recall)
+    block = max(least_block, reach)
 
     lows, highs = F.greatest(F.col("place") - reach, F.lit(0)), F.col("place") + reach
     blocks = F.sequence(F.floor(lows / block), F.floor(highs / block))
-    asking = laid.filter("query").select("curve", "query", "cid", "v", F.explode(blocks).alias("block"))
-    placed = laid.filter("not query").select("curve", "query", "cid", "v", F.floor(F.col("place") / block).alias("block"))
+    asking = laid.filter("query").select("curve", "query", "cid", "code", "scale", "place", F.explode(blocks).alias("block"))
+    placed = laid.filter("not query").select("curve", "query", "cid", "code", "scale", "place", F.floor(F.col("place") / block).alias("block"))
+    deep = 3 * k  # codes rank roughly, so more than k go on to the exact measure
 
     def rank_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["query"]], pdf[~pdf["query"]]
+        q, c = pdf[pdf["query"]].sort_values("place"), pdf[~pdf["query"]].sort_values("place")
         out = []
         if len(q) and len(c):
-            x, names = matrix(c["v"]), c["cid"].to_numpy()
-            for i in range(0, len(q), 256):
-                part = q.iloc[i : i + 256]
-                for name, s in zip(part["cid"], matrix(part["v"]) @ x.T):
-                    at = best(s, names, k + 1)
-                    out.append((name, names[at].tolist(), s[at].tolist()))
+            x = np.frombuffer(b"".join(c["code"]), np.int8).reshape(len(c), -1).astype(np.float32) * c["scale"].to_numpy(np.float32)[:, None]
+            y = np.frombuffer(b"".join(q["code"]), "<f4").reshape(len(q), -1)
+            names, place, from_ = c["cid"].to_numpy(), c["place"].to_numpy(), q["place"].to_numpy()
+            low, high = np.searchsorted(place, from_ - reach), np.searchsorted(place, from_ + reach, side="right")
+            for name, v, a, b in zip(q["cid"], y, low.tolist(), high.tolist()):  # only the window
+                s = x[a:b] @ v
+                if len(s) > deep:
+                    some = np.argpartition(-s, deep)[:deep]
+                    out.append((name, names[a:b][some].tolist(), s[some].astype(float).tolist()))
+                elif len(s):
+                    out.append((name, names[a:b].tolist(), s.astype(float).tolist()))
         return pd.DataFrame(out, columns=["q", "cids", "scores"])
 
     tops = placed.unionByName(asking).groupBy("curve", "block").applyInPandas(rank_block, "q long, cids array<long>, scores array<double>")
-    near = tops.select("q", F.inline(F.arrays_zip("cids", "scores"))).toDF("q", "cid", "score").groupBy("q", "cid").agg(F.max("score").alias("score"))
+    rough = tops.select("q", F.inline(F.arrays_zip("cids", "scores"))).toDF("q", "cid", "score").groupBy("q", "cid").agg(F.max("score").alias("score"))
+    rough = rough.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= deep).select("q", "cid")
+    left, right = classes.select(F.col("cid").alias("q"), F.col("v").alias("a")), classes.select("cid", F.col("v").alias("b"))
+    exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
+    near = rough.join(left, "q").join(right, "cid").select("q", "cid", exact.alias("score"))
     near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).drop("r")
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     by_class = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
