@@ -49,6 +49,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, chars: int, most: int = 32_000_000) -> int:
+    """Buckets for what is computed from ``chars`` characters: at most ``most`` of them in each, and two for each shuffle partition at least."""
+    return max(2 * partitions(spark), -(-chars // most))
+
+
+def by_bucket(df: DataFrame, buckets: int):
+    """Groups of ``bucket``, each number in a partition of its own, so that none holds several by chance."""
+    return df.repartitionById(buckets, "bucket").groupBy("bucket")
+
+
+def characters(own: DataFrame) -> int:
+    return own.agg(F.sum(F.length("_text"))).first()[0] or 0
+
+
 def slices(batches: Iterator[pd.DataFrame], column: str = "_text", chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
     """The rows of Arrow batches in parts of about ``chars`` characters, so that what is computed from them stays small."""
     for pdf in batches:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, partitions, slices, stage, texts_of
+from .common import buckets_for, by_bucket, characters, numbered, slices, stage, texts_of
 from .components import components
 from .repeats import block_hashes, bucket_of, from6, low6, mix, own_bytes, runs, split_sorted, word_codes
 
@@ -179,7 +179,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, **how) -> DataFrame:
     linked like any other.  An empty table gives no rows; other columns are ignored.
     """
     found = _components(numbered(docs.select("doc_id", "text"), each=True), size, percent, **how)
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # both staged, so that a hot component is split in the join
+    found = stage(found, "found")
+    least = stage(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return found.join(least, "component").select("doc_id", "n_shingles", "component_id")
 
 
@@ -190,10 +192,10 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
     one in each step, ``held_entries`` bounds what a task holds before it sends.
     """
     own = texts_of(known)
-    spark, buckets = known.sparkSession, 4 * partitions(known.sparkSession)
+    spark, chars = known.sparkSession, characters(own)
+    buckets, counters = buckets_for(spark, chars), counters_for(chars)
     doc = F.col("row.doc_id").cast("long")
     read = known.select("_id", F.coalesce(doc, F.lit(0).cast("long")).alias("_doc"), doc.isNull().alias("_null"), F.coalesce("row.text", F.lit("")).alias("_text"))
-    counters = counters_for(own.agg(F.sum(F.length("_text"))).first()[0] or 0)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -280,7 +282,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
         return pd.DataFrame({"p": pairs[:, 0], "x": pairs[:, 1]})
 
     packed = own.mapInPandas(send, "bucket int, ids binary, n binary, counts binary, place binary, e binary")
-    pairs = packed.groupBy("bucket").applyInPandas(meet, "p long, x long").distinct()
+    pairs = by_bucket(packed, buckets).applyInPandas(meet, "p long, x long").distinct()
 
     # equal sets are one point, named by its least document
     names = stage(points.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("_id").alias("point")), "classes")  # staged, so that a hot class is split in the join

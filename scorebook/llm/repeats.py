@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stage, texts_of
+from .common import buckets_for, by_bucket, characters, slices, stage, texts_of
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -322,9 +322,8 @@ def repeated_spans(known: DataFrame, codes: Callable, cutter: Callable, equal: C
     before it sends.  ``hot_here`` and ``hot_contexts`` are the contexts of a block, in one task and in one bucket,
     beyond which its windows are dealt one by one.  Very long texts are hashed in parts.
     """
-    spark = known.sparkSession
-    buckets = 4 * partitions(spark)
     own = texts_of(known)
+    buckets = buckets_for(known.sparkSession, characters(own))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
@@ -346,7 +345,7 @@ def repeated_spans(known: DataFrame, codes: Callable, cutter: Callable, equal: C
             yield flush()
 
     packed = own.mapInPandas(send, PACKED_ANCHORS)
-    first = packed.groupBy("bucket").applyInPandas(lambda pdf: settle_anchors(pdf, hot_contexts), "_id long, span long, ask boolean, g long, hot boolean")
+    first = by_bucket(packed, buckets).applyInPandas(lambda pdf: settle_anchors(pdf, hot_contexts), "_id long, span long, ask boolean, g long, hot boolean")
     first = stage(first, "anchors")
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,7 +388,7 @@ def repeated_spans(known: DataFrame, codes: Callable, cutter: Callable, equal: C
 
     # the spans that a document asks about stand in the order of its text
     wanted = first.filter("ask").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("span", "g", "hot"))).alias("q")).select("_id", F.col("q.span").alias("spans"), F.col("q.g").alias("gs"), F.col("q.hot").alias("hots"))
-    second = own.join(wanted, "_id").mapInPandas(show, PACKED_CONTEXTS).groupBy("bucket").applyInPandas(compare, "_id long, span long")
+    second = by_bucket(own.join(wanted, "_id").mapInPandas(show, PACKED_CONTEXTS), buckets).applyInPandas(compare, "_id long, span long")
     every = first.filter("not ask").select("_id", "span").unionByName(second)
     return every.groupBy("_id").agg(F.collect_list("span").alias("_spans"))
 
