@@ -71,8 +71,9 @@ def fill_rows(lengths: list[int], capacity: int) -> list[list[int]]:
 def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, chunk_tokens: int = 4_000_000) -> DataFrame:
     """One row for each packed row of the id matrix; ids and positions are little-endian 32-bit integers.
 
-    ``chunk_tokens`` bounds what a task holds before it packs.  Null text is empty and gives ``end_id`` alone;
-    repeated rows are packed each by itself; an empty table gives no rows; extra columns are ignored.
+    ``chunk_tokens`` bounds what a task holds before it packs.  Null text is empty and gives ``end_id`` alone; a very long
+    text is cut without loss.  Repeated rows and null ids are packed each by itself, ties in input order; an empty table
+    gives no rows; extra columns are ignored.
     """
 
     def emit(held: list, task: int, serial: int) -> pd.DataFrame:
@@ -106,11 +107,19 @@ def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     return id_and_text(docs).mapInPandas(run, ROWS)
 
 
-def write_matrices(matrices: DataFrame, path: str) -> None:
-    """The binary files: Parquet with the id rows, cumulative segment lengths and positions, written by the executors."""
-    matrices.write.mode("overwrite").parquet(path)
+def write_matrices(matrices: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """Writes the matrices to ``path`` as Parquet and reads them back: in every row ``capacity`` ids (padded by ``end_id``) and
+    positions (padded by 0) as fixed-size little-endian 32-bit values, and the cumulative segment lengths without the padding.
+
+    The executors write their own rows; an empty table gives files without rows.
+    """
+    pad = np.array([end_id], dtype="<u4").tobytes()
+    wide = lambda c, fill: F.substring(F.concat(c, F.lit(bytearray(fill * capacity))), 1, 4 * capacity).alias(c)
+    kept = [c for c in matrices.columns if c not in ("ids", "positions")]
+    matrices.select(*kept, wide("ids", pad), wide("positions", b"\0" * 4)).write.option("compression", "zstd").parquet(path)
+    return matrices.sparkSession.read.parquet(path)
 
 
-def digests(matrices: DataFrame) -> DataFrame:
-    """Rows without the ids themselves: sums that prove them."""
-    return matrices.select("sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "cu_seqlens", "doc_ids", "pieces", "starts", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+def digests(written: DataFrame) -> DataFrame:
+    """Rows of written matrices without the ids themselves: sums over the padded rows that prove them."""
+    return written.select("sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "cu_seqlens", "doc_ids", "pieces", "starts", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))

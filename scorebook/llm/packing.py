@@ -1,11 +1,12 @@
 """Op 1: best-fit packing, certified by lower bounds, with exchange between partitions.
 
 Every document becomes one piece of at most ``capacity`` ids; only longer documents are cut.  Pieces are dealt
-to groups of bounded size.  Each group packs its own pieces by best fit decreasing and compares its number of
-sequences with the lower bound that dual feasible functions give.  The sequences that still have a gap are
-opened, their pieces are exchanged between the groups (dealt anew to fewer groups) and packed again.  This
-stops when the whole table meets its bound, when an exchange gains nothing (the earlier packing is kept), or
-when one group held all that was open.
+to groups of bounded size.  Each group packs its own pieces by best fit decreasing and is certified if its number of
+sequences meets the lower bound that dual feasible functions give.  The sequences with a gap in the groups that are
+not certified are opened, and these groups exchange their pieces: they are dealt anew to fewer groups and packed
+again.  When that gains nothing more and the whole table is still above its own bound, the sequences with a gap
+in the certified groups (each may waste a part of one) are exchanged as well.  An exchange that gains nothing is undone
+and ends the work.
 """
 
 from __future__ import annotations
@@ -86,13 +87,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return id_and_text(docs).mapInPandas(run, PIECES)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = 25_000, max_rounds: int = 5) -> DataFrame:
-    """``items`` (columns of PIECES) with sequence_id, offset and the group's figures.
+def with_gaps(capacity: int, certified: bool) -> F.Column:
+    """Rows in sequences with a gap: of the groups above their bound only, or of the ``certified`` ones as well."""
+    gap = F.col("fill") < capacity
+    return gap if certified else gap & (F.col("group_bins") > F.col("group_bound"))
 
-    A group holds about ``group_rows`` pieces, which bounds its memory at any input size.  Repeated rows are
-    packed each by itself, a null doc_id like any other, an empty table gives no rows.
+
+def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = 25_000) -> DataFrame:
+    """``items`` (columns of PIECES) with sequence_id, offset, the round that placed them and their group's figures.
+
+    A group holds about ``group_rows`` pieces, which bounds its memory at any input size and with any ids.  Repeated
+    rows are packed each by itself, a null doc_id like any other; of equal lengths any comes first; an empty table gives no rows.
     """
-    spark, schema = items.sparkSession, f"{PIECES}, round int, part long, bin long, offset long, fill long, group_bins long, group_bound long"
+    schema = f"{PIECES}, round int, part long, bin long, offset long, fill long, group_bins long, group_bound long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy()
@@ -101,41 +108,42 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = 25_000, m
         return pdf.assign(bin=bins, offset=offsets, fill=fill[bins], group_bins=len(fill), group_bound=lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity))[[c.split()[0] for c in schema.split(", ")]]
 
     items = stage(items, "pieces")
+    names = items.columns
+
+    def dealt(todo: DataFrame, rows: int, k: int) -> DataFrame:
+        # by numbers of the staged rows, so that no id gathers rows in one group
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(max(1, -(-rows // group_rows))))
+        return stage(todo.select(*names, F.lit(k).alias("round"), part.alias("part")).groupBy("part").applyInPandas(run, schema), f"packed{k}")
+
+    def size(df: DataFrame) -> tuple[int, int]:
+        return tuple(df.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first())
+
     sizes = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
-    if not sizes:
-        return items.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("group_bins"), F.lit(0).cast("long").alias("group_bound"))
     counts = np.zeros(capacity + 1, np.int64)
     counts[list(sizes)] = list(sizes.values())
-    bound, n_open, bins_before, closed_bins, done = lower_bound(counts, capacity), sum(sizes.values()), None, 0, []
-    todo, kept = items, None
-    for k in range(max_rounds):
-        groups = max(1, -(-n_open // group_rows))
-        part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(groups))
-        packed = stage(todo.select(*items.columns, F.lit(k).alias("round"), part.alias("part")).groupBy("part").applyInPandas(run, schema), f"packed{k}")
-        one = F.col("offset") == 0
-        s = packed.agg(F.count_if(one).alias("bins"), F.count_if(one & (F.col("fill") == capacity)).alias("full"), F.count_if(F.col("fill") < capacity).alias("open")).first()
-        if bins_before is not None and s["bins"] >= bins_before:
-            done.append(kept)  # the exchange gained nothing
-            break
-        if closed_bins + s["bins"] <= bound or groups == 1 or k == max_rounds - 1:
-            done.append(packed)
-            break
-        done.append(packed.filter(F.col("fill") == capacity))
-        kept = todo = packed.filter(F.col("fill") < capacity)
-        closed_bins += s["full"]
-        bins_before, n_open = s["bins"] - s["full"], s["open"]
-        if not n_open:
-            break
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
+    bound, k = lower_bound(counts, capacity), 0
+    whole = dealt(items, sum(sizes.values()), k)
+    bins = size(whole)[1]
+    for certified in (False, True):
+        while bins > bound:
+            gap = with_gaps(capacity, certified)
+            rows, before = size(whole.filter(gap))
+            if before < 2:
+                break
+            k += 1
+            again = dealt(whole.filter(gap), rows, k)
+            gain = before - size(again)[1]
+            if gain <= 0:
+                break  # ``whole`` keeps what it had
+            whole, bins = whole.filter(~gap).unionByName(again), bins - gain
     number = F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft("part", 24) + F.col("bin")
-    return whole.select(*items.columns, number.alias("sequence_id"), "offset", "group_bins", "group_bound")
+    return whole.select(*names, number.alias("sequence_id"), "offset", "round", "group_bins", "group_bound")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **how) -> DataFrame:
     """Packs ``docs`` (doc_id, text; null text is empty) into sequences of at most ``capacity`` ids.
 
-    An empty text still has its id 0 and so one piece.  Extra columns are ignored.
+    An empty text still has its id 0 and so one piece; a very long one is cut.  Repeated rows and null ids are packed each
+    by itself, ties in any order; an empty table gives no rows.  Extra columns are ignored.
     """
     return null_back(pack(pieces(docs, tokenizer_path, capacity), capacity, **how))

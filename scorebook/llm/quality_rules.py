@@ -1,11 +1,12 @@
 """Op 4: quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Counts of every whole text become four transformed statistics.  For each language and source the minimum
-covariance determinant estimate of their centre and scatter is found by concentration steps: start at the
-medians, keep the share ``keep`` of documents with the least Mahalanobis distances, take their mean and
-covariance, and repeat.  Documents whose distance from the last estimate is above the chi-squared cutoff are
-rejected.  Steps aggregate sums and approximate quantiles only, so a source that holds a third of all rows is
-summed by every task before it is shuffled.
+covariance determinant estimate of their centre and scatter is found from three starts (medians and quartiles, the
+correlation of squashed scores, spatial signs) by concentration steps: keep the share ``keep`` of documents
+with the least Mahalanobis distances, take their mean and covariance, and repeat.  Two steps choose the start with
+the least determinant, and this one goes on until no group's determinant falls.  Documents whose distance from
+the last estimate is above the chi-squared cutoff are rejected.  Steps aggregate sums and approximate quantiles only,
+so a source that holds a third of all rows is summed by every task before it is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import numbered, stage
 
 SPACE = r"[ \x09-\x0D]+"
 WORD = r"[^ \x09-\x0D]"
@@ -104,7 +105,7 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def _factor(df: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factor columns l<i><j> of the scatter c<i><j> times ``scale``.
+    """Cholesky factor columns l<i><j> of the scatter c<i><j> times ``scale``, and the logarithm of its determinant.
 
     A statistic that varies less than its ``LEAST``, given those before it, is set to vary by that much; a larger
     scatter stays as it is.
@@ -117,7 +118,8 @@ def _factor(df: DataFrame, scale: float) -> DataFrame:
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(least[i] ** 2))) if i == j else v / F.col(f"l{j}{j}"))
             made.append(f"l{i}{j}")
-    return df.select("_g", *(f"m{i}" for i in range(len(floors))), *made)
+    logs = [2 * F.log(F.col(f"l{i}{i}")) for i in range(len(floors))]
+    return df.select("_g", "_start", *(f"m{i}" for i in range(len(floors))), *made, sum(logs[1:], logs[0]).alias("log_det"))
 
 
 def _small(found: DataFrame, most: int = 20_000) -> DataFrame:
@@ -125,51 +127,107 @@ def _small(found: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(found) if found.count() <= most else found
 
 
-def estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
-    """One row for each group ``_g``: centre m<i> and Cholesky factor l<i><j> of the robust scatter."""
+def starts(stats: DataFrame) -> DataFrame:
+    """Three first estimates for each group ``_g``, told apart by _start: all at the medians, with the scatter of
+    0 the quartiles alone (0.7413 times their distance is a normal distribution's standard deviation),
+    1 the correlations of tanh scores, 2 the directions from the medians (spatial signs)."""
+    names, p = list(FEATURES), len(FEATURES)
+    quartiles = stats.groupBy("_g").agg(*(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(names)))
+    wide = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 0.7413, F.lit(v)) for i, v in enumerate(LEAST.values())]
+    at = stage(quartiles.select("_g", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *(w.alias(f"w{i}") for i, w in enumerate(wide))), "quartiles")
+    df = stats.join(_small(at), "_g")
+    z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"w{i}") for i, f in enumerate(names)]
+    df = df.withColumns({f"z{i}": x for i, x in enumerate(z)})
+    length = F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)))
+    df = df.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(p)} | {f"u{i}": F.when(length > 0, F.col(f"z{i}") / length).otherwise(0.0) for i in range(p)})
+    pairs = [(j, i) for i in range(p) for j in range(i + 1)]
+    sums = df.groupBy("_g").agg(*(F.avg(f"t{i}").alias(f"t{i}") for i in range(p)), *(F.avg(F.col(f"t{j}") * F.col(f"t{i}")).alias(f"tt{j}{i}") for j, i in pairs), *(F.avg(F.col(f"u{j}") * F.col(f"u{i}")).alias(f"uu{j}{i}") for j, i in pairs))
+    one = sums.join(_small(at), "_g")
+    cov = lambda j, i: F.col(f"tt{j}{i}") - F.col(f"t{j}") * F.col(f"t{i}")
+    both = lambda j, i: F.col(f"w{j}") * F.col(f"w{i}")
+    kinds = [
+        lambda j, i: both(j, i) if i == j else F.lit(0.0),
+        lambda j, i: both(j, i) * (F.lit(1.0) if i == j else F.coalesce(F.try_divide(cov(j, i), F.sqrt(cov(j, j) * cov(i, i))), F.lit(0.0))),
+        lambda j, i: both(j, i) * F.col(f"uu{j}{i}") * p,
+    ]
+    centre = [F.col(f"m{i}").alias(f"m{i}") for i in range(p)]
+    rows = [F.struct(F.lit(k).alias("_start"), *centre, *(c(j, i).alias(f"c{j}{i}") for j, i in pairs)) for k, c in enumerate(kinds)]
+    return stage(_factor(one.select("_g", F.inline(F.array(*rows))), 1.0), "starts")
+
+
+def concentrated(stats: DataFrame, now: DataFrame, keep: float) -> DataFrame:
+    """The next estimates: mean and scaled covariance of the share ``keep`` of each group nearest to those in ``now``."""
     names, p = list(FEATURES), len(FEATURES)
     q = chi2_quantile(keep, p)
     grow = keep / (1 - chi2_survival(q, p + 2))  # makes the scatter of the inner share consistent for normal data
-    at = stats.groupBy("_g").agg(*(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(names)))
-    # quartiles: 0.7413 times their distance is a normal distribution's standard deviation
-    start = at.select("_g", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 0.7413, 2) if i == j else F.lit(0.0)).alias(f"c{j}{i}") for i in range(p) for j in range(i + 1)))
-    now = stage(_factor(start, 1.0), "mcd0")
-    for k in range(steps):
-        near = _distance(stats.join(_small(now), "_g"))
-        cut = stage(near.groupBy("_g").agg(F.percentile_approx("d2", keep).alias("_cut")), "cut")
-        inner = near.join(_small(cut), "_g").filter(F.col("d2") <= F.col("_cut"))
-        y = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(names)]  # sums of small numbers lose nothing
-        sums = inner.groupBy("_g").agg(
-            *(F.avg(y[i]).alias(f"y{i}") for i in range(p)),
-            *(F.avg(y[i] * y[j]).alias(f"s{j}{i}") for i in range(p) for j in range(i + 1)),
-            *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
-        )
-        moved = sums.select("_g", *((F.col(f"m{i}") + F.col(f"y{i}")).alias(f"m{i}") for i in range(p)), *((F.col(f"s{j}{i}") - F.col(f"y{i}") * F.col(f"y{j}")).alias(f"c{j}{i}") for i in range(p) for j in range(i + 1)))
-        now = stage(_factor(moved, grow), f"mcd{k + 1}")
-    return now
-
-
-def judge(docs: DataFrame, cutoff: float = 0.99999, min_group: int = 200, **how) -> DataFrame:
-    """One row for each document: the base counts, base_failed, kept and the distance.
-
-    ``docs`` has doc_id, text, lang and source.  Null lang or source make a group of their own.  Sources with
-    fewer than ``min_group`` judged documents in a language are estimated together.  Documents that fail the base rules are
-    rejected and take no part in the estimates.  Repeated rows count each; an empty table gives no rows; other
-    columns are ignored.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang"), F.lit("?")).alias("lang"), F.coalesce(F.col("source"), F.lit("?")).alias("source"))
-    stats = stage(with_features(text_counts(own)).drop("text"), "stats")
+    near = _distance(stats.join(_small(now), "_g"))
+    cut = stage(near.groupBy("_g", "_start").agg(F.percentile_approx("d2", keep).alias("_cut")), "cut")
+    inner = near.join(_small(cut), ["_g", "_start"]).filter(F.col("d2") <= F.col("_cut"))
+    y = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(names)]  # sums of small numbers lose nothing
+    sums = inner.groupBy("_g", "_start").agg(
+        *(F.avg(y[i]).alias(f"y{i}") for i in range(p)),
+        *(F.avg(y[i] * y[j]).alias(f"s{j}{i}") for i in range(p) for j in range(i + 1)),
+        *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
+    )
+    moved = sums.select("_g", "_start", *((F.col(f"m{i}") + F.col(f"y{i}")).alias(f"m{i}") for i in range(p)), *((F.col(f"s{j}{i}") - F.col(f"y{i}") * F.col(f"y{j}")).alias(f"c{j}{i}") for i in range(p) for j in range(i + 1)))
+    return stage(_factor(moved, grow), "mcd")
+
+
+def _least(found: DataFrame) -> DataFrame:
+    """Of each group's estimates the one with the least determinant; of equal ones that of the first start."""
+    rest = [c for c in found.columns if c != "_g"]
+    return found.groupBy("_g").agg(F.min_by(F.struct(*rest), F.struct("log_det", "_start")).alias("_b")).select("_g", "_b.*")
+
+
+def estimates(stats: DataFrame, keep: float = 0.75, tolerance: float = 1e-6) -> DataFrame:
+    """One row for each group ``_g``: centre m<i> and Cholesky factor l<i><j> of the robust scatter with the least determinant found."""
+    now = starts(stats)
+    for _ in range(2):
+        now = concentrated(stats, now, keep)
+    now = stage(_least(now), "best")
+    while True:
+        following = concentrated(stats, now, keep)
+        fall = following.join(now.select("_g", F.col("log_det").alias("_before")), "_g").agg(F.max(F.col("_before") - F.col("log_det"))).first()[0]
+        if fall is None or fall <= tolerance:
+            return now
+        now = stage(_least(now.unionByName(following)), "best")
+
+
+def _judged(own: DataFrame, cutoff: float, min_group: int, **how) -> DataFrame:
+    """``own`` (_id, text, lang, source) with counts and verdict, without the text."""
+    key = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
+    keys = own.select("_id", "text", key("lang").alias("_lang"), key("source").alias("_source"))
+    stats = stage(with_features(text_counts(keys)).drop("text"), "stats")
     pool = stats.filter(~F.col("base_failed"))
-    large = stage(pool.groupBy("lang", "source").count().filter(F.col("count") >= min_group).select("lang", "source", F.lit(True).alias("_own")), "groups")
-    keyed = stats.join(_small(large), ["lang", "source"], "left").withColumn("_g", F.concat_ws("\x1f", "lang", F.when(F.col("_own"), F.col("source")).otherwise(F.lit(""))))
+    large = stage(pool.groupBy("_lang", "_source").count().filter(F.col("count") >= min_group).select("_lang", "_source", F.lit(True).alias("_own")), "groups")
+    keyed = stats.join(_small(large), ["_lang", "_source"], "left").withColumn("_g", F.concat_ws(":", "_lang", F.when(F.col("_own"), F.col("_source")).otherwise(F.lit("*"))))
     found = estimates(keyed.filter(~F.col("base_failed")).select("_g", *FEATURES), **how)
     judged = _distance(keyed.join(_small(found), "_g", "left"))
     limit = chi2_quantile(cutoff, len(FEATURES))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
-    return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
+    return judged.select("_id", *COUNTS, "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 
 
-def keep_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns.  A doc_id with a rejected row is dropped; rows with a null doc_id stay."""
-    rejected = judge(docs, **how).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def judge(docs: DataFrame, cutoff: float = 0.99999, min_group: int = 200, **how) -> DataFrame:
+    """One row for each document: doc_id, the base counts, base_failed, kept and the distance.
+
+    ``docs`` has doc_id, text, lang and source.  A null lang or source is a value of its own.  Sources with fewer than
+    ``min_group`` judged documents in a language are estimated together.  Documents that fail the base rules are
+    rejected and take no part in the estimates.  Null and empty texts have no words and fail; very long texts are counted
+    whole.  Repeated rows and ids count each; of estimates with equal determinants the first start's counts; an empty
+    table gives no rows; other columns are ignored.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang", "source")
+    return _judged(own, cutoff, min_group, **how).withColumnRenamed("_id", "doc_id")
+
+
+def keep_documents(docs: DataFrame, cutoff: float = 0.99999, min_group: int = 200, **how) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, of any name.
+
+    Every row is judged by itself, also under a null or repeated doc_id; equal rows share a verdict.  Null and empty
+    texts go.  An empty table stays empty.
+    """
+    known = numbered(docs, ("text", "lang", "source"))
+    own = known.select("_id", "row.text", "row.lang", "row.source")
+    rejected = _judged(own, cutoff, min_group, **how).filter(~F.col("kept")).select("_id").distinct()
+    return known.join(rejected, "_id", "left_anti").select("row.*")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hilbert_knn, jaccard_join, main_text, matrices, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
-from .common import read_table
+from .common import read_table, shared_dir
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,7 +42,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrices.digests(matrices.packed_matrices(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+    packed = matrices.packed_matrices(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return matrices.digests(matrices.write_matrices(packed, f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,14 +83,38 @@ def test_pack_documents(spark, docs):
     assert packing.pack_documents(docs.limit(0), BPE).count() == 0
 
 
+def test_groups_of_null_ids_stay_small_and_certified_ones_closed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(None, 0, 0, int(n), 0) for n in rng.integers(1, 60, 400)]
+    df = spark.createDataFrame(rows, packing.PIECES).repartition(4)
+    groups, asked = [], []
+    inner, gaps = packing.stage, packing.with_gaps
+    monkeypatch.setattr(packing, "stage", lambda d, name: groups.append((name, inner(d, name))) or groups[-1][1])
+    monkeypatch.setattr(packing, "with_gaps", lambda *a: asked.append(a[1]) or gaps(*a))
+    got = packing.pack(df, 64, group_rows=20).collect()
+    assert sorted(r["length"] for r in got) == sorted(r[3] for r in rows)
+    first = next(d for name, d in groups if name == "packed0")
+    sizes = [r["count"] for r in first.groupBy("part").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 60
+    bins = len({r["sequence_id"] for r in got})
+    assert bins <= first.filter("offset = 0").count()
+    # groups above their bound come first, certified ones only when these gain nothing more
+    assert asked[0] is False and asked == sorted(asked)
+    known = first.filter("group_bins = group_bound")
+    assert known.count() and not known.filter(gaps(64, False)).count() and known.filter(gaps(64, True)).count()
+    if not any(asked):
+        assert {r["round"] for r in got if r["group_bins"] == r["group_bound"]} >= {0}
+
+
 def test_packed_matrices(spark, docs, tmp_path):
     m = matrices.packed_matrices(docs, BPE, 64, chunk_tokens=500)
-    matrices.write_matrices(m, f"file://{tmp_path}/m")
+    written = matrices.write_matrices(m, f"file://{tmp_path}/m", 64)
     back, bpe = spark.read.parquet(f"file://{tmp_path}/m").collect(), ByteBPE(BPE)
+    assert matrices.digests(written).count() == len(back)
     found = {}
     for r in back:
         ids, pos, cu = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["positions"], "<i4"), r["cu_seqlens"]
-        assert len(ids) == len(pos) == r["n_tokens"] == cu[-1] <= 64
+        assert len(ids) == len(pos) == 64 and r["n_tokens"] == cu[-1] <= 64 and not ids[cu[-1] :].any() and not pos[cu[-1] :].any()
         for d, k, s, a, b in zip(r["doc_ids"], r["pieces"], r["starts"], cu, cu[1:]):
             assert pos[a:b].tolist() == list(range(b - a))
             found.setdefault(d, []).append((k, s, ids[a:b].tolist()))
@@ -99,7 +123,7 @@ def test_packed_matrices(spark, docs, tmp_path):
             continue  # two rows
         pieces = sorted(found[r["doc_id"]])
         assert [i for p in pieces for i in p[2]] == [*np.frombuffer(next(bpe.many([r["text"] or ""])), "<u4").tolist(), 0]
-    assert matrices.digests(matrices.packed_matrices(docs.limit(0), BPE)).count() == 0
+    assert matrices.digests(matrices.write_matrices(matrices.packed_matrices(docs.limit(0), BPE), f"file://{tmp_path}/none")).count() == 0
 
 
 def test_piece_codec(spark, docs, texts):

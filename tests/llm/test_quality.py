@@ -114,29 +114,87 @@ def test_rules_counts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
-def brute_mcd(x, keep=0.75, steps=3):
-    """The same concentration steps in numpy, for one group."""
-    p, floor = x.shape[1], np.diag(np.square(list(quality_rules.FEATURES.values())))
+def brute_mcd(x, keep=0.75, starts=(0, 1, 2)):
+    """(squared distances, log determinant of each start): the same starts and concentration steps in numpy, for one group."""
+    p, floor, least = x.shape[1], np.diag(np.square(list(quality_rules.FEATURES.values()))), np.array(list(quality_rules.LEAST.values()))
     q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    m, s = q[1], np.diag(((q[2] - q[0]) * 0.7413) ** 2) + floor
+    w = np.maximum((q[2] - q[0]) * 0.7413, least)
+    z = (x - q[1]) / w
+    u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]
+    scatters = [np.diag(w**2), np.corrcoef(np.tanh(z).T) * np.outer(w, w), u.T @ u / len(x) * p * np.outer(w, w)]
     grow = keep / (1 - quality_rules.chi2_survival(quality_rules.chi2_quantile(keep, p), p + 2))
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    distance = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+    def step(m, s):
+        d = distance(m, s)
         inner = x[d <= np.sort(d)[int(np.ceil(keep * len(d))) - 1]]
-        m, s = inner.mean(0), np.cov(inner.T, bias=True) * grow + floor
-    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        return inner.mean(0), np.cov(inner.T, bias=True) * grow + floor
+
+    ends = []
+    for k in starts:
+        m, s = step(*step(q[1], scatters[k] + floor))
+        ends.append((np.linalg.slogdet(s)[1], k, m, s))
+    _, k, m, s = min(ends, key=lambda e: e[:2])
+    while True:
+        m2, s2 = step(m, s)
+        if np.linalg.slogdet(s)[1] - np.linalg.slogdet(s2)[1] <= 1e-6:
+            return distance(m, s), [e[0] for e in ends], np.linalg.slogdet(s)[1]
+        m, s = m2, s2
 
 
 def test_robust_distances(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 4)) * [0.3, 0.2, 1.0, 0.2] + [1.7, 0.3, 1.0, 0.3]
-    x[:60] += [2.0, 1.5, 0.0, 0.0]
     names = list(quality_rules.FEATURES)
-    stats = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "_g string, i int, " + ", ".join(f"{n} double" for n in names))
-    found = quality_rules._distance(stats.join(quality_rules.estimates(stats), "_g")).orderBy("i").toPandas()["d2"].to_numpy()
-    assert found == pytest.approx(brute_mcd(x), rel=1e-6)
-    limit = quality_rules.chi2_quantile(0.99999, 4)
-    assert (found[:60] > limit).mean() > 0.9 and (found[60:] <= limit).all()
+    groups, rows = {}, []
+    for g in range(3):
+        x = rng.normal(size=(400, 4)) * [0.3, 0.2, 1.0, 0.2] + [1.7, 0.3, 1.0, 0.3]
+        x[:, 1] += 0.9 * (x[:, 0] - 1.7)  # correlated, so the starts differ
+        x[: 60 + 30 * g] += [2.0 - 0.7 * g, 1.5, 0.5 * g, 0.0]
+        groups[f"g{g}"] = x
+        rows += [(f"g{g}", i, *map(float, r)) for i, r in enumerate(x)]
+    stats = spark.createDataFrame(rows, "_g string, i int, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    found = quality_rules.estimates(stats)
+    dets = {r["_g"]: r["log_det"] for r in found.collect()}
+    got = quality_rules._distance(stats.join(found, "_g")).toPandas()
+    limit, several = quality_rules.chi2_quantile(0.99999, 4), False
+    for g, x in groups.items():
+        want, tried, least = brute_mcd(x)
+        d2 = got[got["_g"] == g].sort_values("i")["d2"].to_numpy()
+        assert d2 == pytest.approx(want, rel=1e-5) and dets[g] == pytest.approx(least, abs=1e-5) and dets[g] <= min(tried) + 1e-6
+        several = several or max(tried) - min(tried) > 1e-6
+    assert several
+    d2 = got[got["_g"] == "g0"].sort_values("i")["d2"].to_numpy()
+    assert (d2[:60] > limit).mean() > 0.9 and (d2[60:] <= limit).all()
+
+
+def test_verdicts_against_brute_force(spark):
+    """kept of every document of two groups, from counts and distances made in plain Python."""
+    rng = np.random.default_rng(2)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(4000)]
+    rows = []
+    for i in range(620):
+        words = rng.choice(vocab, rng.integers(55, 120), replace=False).tolist()
+        if i % 9 == 0:
+            words[::3] = ["#"] * len(words[::3])
+        if i % 31 == 0:
+            words = words[:20] * 2 + words
+        rows.append((i if i % 7 else None, " ".join(words), [None, "?"][i % 2], "a", i))
+    rows.append((5, "short", "?", "a", 620))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _id int").repartition(3)
+    limit, want = quality_rules.chi2_quantile(0.99999, 4), set()
+    for lang in (None, "?"):
+        mine = [(r[4], counts(r[1])) for r in rows if r[2] == lang]
+        fine = [(i, c) for i, c in mine if not (c[0] < 50 or 100 * c[4] > 50 * c[0])]
+        x = np.array([[np.log1p(c[1] / c[0]), np.log1p(c[2] / c[0]), np.log1p(c[3]), c[4] / c[0]] for _, c in fine])
+        # the estimate itself is held against numpy above; here its floors matter, so Spark's own is taken
+        stats = spark.createDataFrame([("g", *map(float, r)) for r in x], "_g string, " + ", ".join(f"{n} double" for n in quality_rules.FEATURES))
+        e = quality_rules.estimates(stats).first()
+        low = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        d2 = (np.linalg.solve(low, (x - [e[f"m{i}"] for i in range(4)]).T) ** 2).sum(0)
+        want |= {i for (i, _), d in zip(fine, d2) if d <= limit}
+    kept = quality_rules.keep_documents(df)
+    assert kept.columns == df.columns and {r["_id"] for r in kept.collect()} == want and 0 < len(want) < 620
+    assert sum(r["kept"] for r in quality_rules.judge(df).collect()) == len(want)
 
 
 def test_tight_group_rejects_outliers(spark):
