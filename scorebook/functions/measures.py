@@ -46,6 +46,11 @@ def batted_ball_totals() -> list[Column]:
     return [F.count(speed).alias("batted_balls"), count_if("hard_hits", speed >= 95), count_if("barrels", is_barrel(speed, F.col("launch_angle")))]
 
 
+def batting_totals() -> list[Column]:
+    """What ``batting_counts`` needs, as sums that can be added up again."""
+    return [*batting_counts()[:-1], F.sum("launch_speed").alias("launch_speed_sum")]
+
+
 def batted_ball_counts() -> list[Column]:
     return [*batted_ball_totals(), F.avg("launch_speed").alias("exit_velocity")]
 
@@ -205,7 +210,7 @@ def challenge_result(challenged: Column, overturned: Column) -> Column:
 
 
 #: Labels of postseason rounds.
-POSTSEASON = {"F": "Wild Card", "D": "Division Series", "L": "League Championship Series", "W": "World Series"}
+POSTSEASON = {"F": "Wild Card", "D": "Division Series", "L": "LCS", "W": "World Series"}
 
 
 def postseason_label(kind: Column) -> Column:
@@ -215,6 +220,18 @@ def postseason_label(kind: Column) -> Column:
     return out
 
 
+def series_label(number: Column, games: Column) -> Column:
+    return F.concat(F.lit("Game "), number.cast("string"), F.lit(" · Best of "), games.cast("string"))
+
+
+#: Events beside pitches that a play-by-play shows.
+SHOWN_EVENTS = "offensive_substitution defensive_substitution defensive_switch umpire_substitution stolen_base_2b stolen_base_3b stolen_base_home caught_stealing_2b caught_stealing_3b caught_stealing_home defensive_indiff error pickoff_1b pickoff_2b pickoff_3b pickoff_caught_stealing_2b pickoff_caught_stealing_3b pickoff_caught_stealing_home pickoff_error_1b pickoff_error_2b pickoff_error_3b wild_pitch passed_ball balk runner_placed ejection".split()
+
+
+def is_shown_event(kind: Column, event_type: Column) -> Column:
+    return F.coalesce(kind == "no_pitch", F.lit(False)) | F.coalesce(event_type.isin(*SHOWN_EVENTS), F.lit(False))
+
+
 def is_doubleheader(flag: Column) -> Column:
     return flag.isin("Y", "S")
 
@@ -256,4 +273,4 @@ def shown_score(status: Column, score: Column) -> Column:
 
 
 def scoreboard_bucket(status: Column) -> Column:
-    return F.when(status == "live", "live").when(status == "upcoming", "upcoming").otherwise("done")
+    return F.when(status == "live", "live").when(status == "scheduled", "upcoming").otherwise("done")

@@ -45,7 +45,8 @@ def game_list(t: Tables) -> DataFrame:
         *(M.name_or(c(f"{s}_name"), "Team", c(f"{s}_team_id")).alias(f"{s}_name") for s in ("home", "away")), *(F.coalesce(f"{s}_abbr", c(f"{s}_team_id").cast("string")).alias(f"{s}_abbr") for s in ("home", "away")),
         *(M.shown_score(c("status"), c(f"{s}_score")).alias(f"{s}_score") for s in ("home", "away")), "home_record", "away_record",
         *(f"{s}_probable_{x}" for s in ("home", "away") for x in ("wins", "losses", "era")),
-        M.is_doubleheader(c("double_header")).alias("is_doubleheader"), M.makeup_date(c("rescheduled_from"), c("official_date")).alias("makeup_of"), M.postseason_label(c("game_type")).alias("round"), M.scoreboard_bucket(c("status")).alias("bucket"),
+        M.is_doubleheader(c("double_header")).alias("is_doubleheader"), M.makeup_date(c("rescheduled_from"), c("official_date")).alias("makeup_of"), M.postseason_label(c("game_type")).alias("round"),
+        F.when(M.postseason_label(c("game_type")).isNotNull(), M.series_label(c("series_game_number"), c("games_in_series"))).alias("series_game"), M.scoreboard_bucket(c("status")).alias("bucket"),
     )
 
 
@@ -56,12 +57,12 @@ def scoreboard(t: Tables) -> DataFrame:
 
 
 def game_headers(t: Tables) -> DataFrame:
-    """Games with the names of the winning and losing pitcher."""
-    names = t.players.select("player_id", "full_name")
-    df = t.games.select("game_pk", "season", "home_score", "away_score").join(t.decisions.drop("season"), "game_pk", "left")
-    for role in ("winner", "loser"):
-        df = df.join(names.select(F.col("player_id").alias(f"{role}_id"), F.col("full_name").alias(role)), f"{role}_id", "left")
-    return df.select("game_pk", "season", "home_score", "away_score", "winner_id", "winner", "loser_id", "loser")
+    """The columns of the game list with the winning, losing and saving pitcher, by their names in that game."""
+    df = game_list(t).join(t.decisions.drop("season"), "game_pk", "left")
+    for role in ("winner", "loser", "save"):
+        names = t.bios.select("game_pk", F.col("player_id").alias(f"{role}_id"), F.col("full_name").alias(role), F.col("player_id").alias("_known"))
+        df = df.join(names, ["game_pk", f"{role}_id"], "left").withColumn(f"{role}_id", F.col("_known")).drop("_known")
+    return df
 
 
 def linescore(t: Tables, least: int = 9) -> DataFrame:
@@ -78,37 +79,42 @@ def linescore(t: Tables, least: int = 9) -> DataFrame:
 
 
 def play_steps(t: Tables) -> DataFrame:
-    """Pitches and other events of every play, in order, with columns that only one of them has."""
+    """Pitches and the events that are shown of every play, in order, with columns that only one of them has."""
     pitches = t.pitches.select(F.lit("pitch").alias("kind"), "game_pk", "at_bat_index", F.col("pitch_index").alias("step_index"), "pitch_type", "start_speed", "call_code", M.pitch_result(F.col("is_in_play"), F.col("call_code").isin(*"CSFWT")).alias("result"), M.challenge_result(F.col("abs_challenged"), F.col("abs_overturned")).alias("challenge"))
-    events = t.play_events.select("kind", "game_pk", "at_bat_index", F.col("event_index").alias("step_index"), "event_type", "description")
+    shown = t.play_events.filter(M.is_shown_event(F.col("kind"), F.col("event_type")))
+    events = shown.select("kind", "game_pk", "at_bat_index", F.col("event_index").alias("step_index"), "event_type", "description")
     return pitches.unionByName(events, allowMissingColumns=True)
 
 
 def play_by_play(t: Tables) -> DataFrame:
-    """Plays with names, half-inning groups, pitching changes, and the score after scoring plays."""
+    """Plays with the players' names in that game, half-inning groups, pitching changes, and the score after scoring plays."""
     order = ["at_bat_index"]
     df = contiguous_groups(t.plays, ["game_pk"], order, ["inning", "half"], "half_inning")
     df = with_previous(df, ["game_pk", "half"], order, {"_pitcher": "pitcher_id"})
-    names = t.players.select("player_id", "full_name")
     for role in ("batter", "pitcher"):
-        df = df.join(names.select(F.col("player_id").alias(f"{role}_id"), F.col("full_name").alias(f"_{role}_name")), f"{role}_id", "left")
+        short = F.coalesce("boxscore_name", "full_name").alias(f"_{role}_name")
+        df = df.join(t.bios.select("game_pk", F.col("player_id").alias(f"{role}_id"), short, F.coalesce("last_name", "full_name").alias(f"_{role}_last")), ["game_pk", f"{role}_id"], "left")
     changed = F.coalesce(F.col("pitcher_id") != F.col("_pitcher"), F.lit(False))
     score = lambda s: F.when(F.col("is_scoring_play"), F.col(f"{s}_score_after")).alias(f"{s}_score")
-    return df.select("game_pk", "at_bat_index", "half_inning", "inning", "half", M.name_or(F.col("_batter_name"), "Player", F.col("batter_id")).alias("batter"), M.name_or(F.col("_pitcher_name"), "Player", F.col("pitcher_id")).alias("pitcher"), changed.alias("pitching_change"), score("away"), score("home"))
+    name = lambda kind, role: M.name_or(F.col(f"_{role}_{kind}"), "Player", F.col(f"{role}_id"))
+    return df.select("game_pk", "at_bat_index", "half_inning", "inning", "half", name("name", "batter").alias("batter"), name("name", "pitcher").alias("pitcher"), name("last", "pitcher").alias("pitcher_last"), changed.alias("pitching_change"), score("away"), score("home"))
 
 
 def team_form(t: Tables, n: int = 10) -> DataFrame:
     """For each team's game, its last ``n`` completed games before it in the season: wins, losses and streak.
 
-    Every team has a game log per season, so the earlier games come from a window over it instead of a join of
-    all pairs.
+    Completed games carry the list of the last ``n`` up to themselves; a game takes that of the last one that began before
+    it, a running maximum.  One shuffle by team and season serves both windows.
     """
     keep = ["game_pk", "season", "start_ms", "coded_state"]
-    g = unpivot_sides(t.games, keep)
-    w = Window.partitionBy("team_id", "season").orderBy("start_ms").rangeBetween(Window.unboundedPreceding, -1)
-    done = F.when(M.completed(), F.struct(F.col("start_ms"), -F.col("game_pk"), F.coalesce("won", F.lit(False)).alias("won")))
-    df = g.withColumn("_before", F.slice(F.reverse(F.array_sort(F.collect_list(done).over(w))), 1, n))
-    flags = F.transform("_before", lambda x: x["won"])
+    g = unpivot_sides(t.games, keep).repartition("team_id", "season")
+    g = g.withColumns({"_done": M.completed(), "_won": F.coalesce("won", F.lit(False))})
+    latest = Window.partitionBy("team_id", "season", "_done").orderBy(F.col("start_ms"), F.col("game_pk").desc()).rowsBetween(-(n - 1), 0)
+    g = g.withColumn("_list", F.collect_list("_won").over(latest))
+    before = Window.partitionBy("team_id", "season").orderBy("start_ms").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_done"), F.struct("start_ms", -F.col("game_pk"), "_list"))).over(before)
+    df = g.withColumn("_form", F.reverse(F.coalesce(last["_list"], F.array().cast("array<boolean>"))))
+    flags = F.col("_form")
     first = F.get(flags, F.lit(0))
     other = F.array_position(flags, ~first)
     length = F.when(other > 0, other - 1).otherwise(F.size(flags).cast("long"))
@@ -118,14 +124,21 @@ def team_form(t: Tables, n: int = 10) -> DataFrame:
 
 
 def head_to_head(t: Tables) -> DataFrame:
-    """Completed games of the same two teams in the same season, for every game; later meetings count, itself does not."""
+    """Completed games of the same two teams in the same season, for every game; later meetings count, itself does not.
+
+    The season's meetings of a pair are summed once; each game takes the sums without its own result.
+    """
     low, high = F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id")
-    a = t.games.select("game_pk", "season", low.alias("_low"), high.alias("_high"), F.col("home_team_id").alias("_home"))
-    b = t.games.filter(M.completed()).select(F.col("game_pk").alias("other_pk"), "season", low.alias("_low"), high.alias("_high"), "home_team_id", "home_score", "away_score")
-    df = a.join(b, ["season", "_low", "_high"]).filter("game_pk <> other_pk")
-    home_runs = F.when(F.col("home_team_id") == F.col("_home"), F.col("home_score")).otherwise(F.col("away_score"))
-    away_runs = F.when(F.col("home_team_id") == F.col("_home"), F.col("away_score")).otherwise(F.col("home_score"))
-    return df.groupBy("game_pk").agg(F.count("*").alias("meetings"), F.count_if(home_runs > away_runs).alias("home_wins"), F.count_if(away_runs > home_runs).alias("away_wins"))
+    home_is_low = F.col("home_team_id") <= F.col("away_team_id")
+    own = lambda better, worse: F.coalesce(F.col("_done") & (F.col(better) > F.col(worse)), F.lit(False)).cast("long")
+    g = t.games.select("game_pk", "season", low.alias("_low"), high.alias("_high"), home_is_low.alias("_home_low"), M.completed().alias("_done"), "home_score", "away_score")
+    g = g.withColumns({"_home_won": own("home_score", "away_score"), "_away_won": own("away_score", "home_score")})
+    low_won = F.when(F.col("_home_low"), F.col("_home_won")).otherwise(F.col("_away_won"))
+    high_won = F.when(F.col("_home_low"), F.col("_away_won")).otherwise(F.col("_home_won"))
+    sums = g.groupBy("season", "_low", "_high").agg(F.count_if("_done").alias("_n"), F.sum(low_won).alias("_low_won"), F.sum(high_won).alias("_high_won"))
+    df = g.join(sums, ["season", "_low", "_high"]).withColumn("meetings", F.col("_n") - F.col("_done").cast("long")).filter("meetings > 0")
+    wins = lambda yes, no, won: F.when(F.col("_home_low"), F.col(yes)).otherwise(F.col(no)) - F.col(won)
+    return df.select("game_pk", "meetings", wins("_low_won", "_high_won", "_home_won").alias("home_wins"), wins("_high_won", "_low_won", "_away_won").alias("away_wins"))
 
 
 def starters_before(t: Tables) -> DataFrame:

@@ -53,9 +53,9 @@ def hitter_game_log(t: Tables, player_id: int | None = None) -> DataFrame:
 
 
 def spray_chart(t: Tables, player_id: int | None = None) -> DataFrame:
-    """Where balls in play landed, by their measured contact."""
-    df = _of(views.appearances_of(t), "batter_id", player_id).filter(F.col("launch_speed").isNotNull() & F.col("launch_angle").isNotNull())
-    return df.select(F.col("batter_id").alias("player_id"), "game_pk", "at_bat_index", "launch_speed", "launch_angle", "bases")
+    """Where balls in play landed, with the bases they were worth."""
+    df = _of(views.appearances_of(t), "batter_id", player_id).filter(F.col("hit_coord_x").isNotNull() & F.col("hit_coord_y").isNotNull())
+    return df.select(F.col("batter_id").alias("player_id"), "game_pk", "at_bat_index", "hit_coord_x", "hit_coord_y", "bases")
 
 
 def _years_and_career(years: DataFrame, sums: list[str], means: dict[str, str]) -> DataFrame:
@@ -122,10 +122,13 @@ def movement_vs_league(t: Tables, least: int = 20) -> DataFrame:
 
 
 def player_summaries(t: Tables) -> DataFrame:
-    """Name, latest team, seasons with plate appearances or batters faced, and primary role."""
-    lines = t.batting.select("player_id", "game_pk", "team_id").unionByName(t.pitching.select("player_id", "game_pk", "team_id"))
-    g = t.games.filter(M.tracked()).select("game_pk", "official_date")
-    last = latest_per_key(lines.join(g, "game_pk"), ["player_id"], [F.col("official_date").desc(), F.col("game_pk").desc(), F.col("team_id")]).select("player_id", F.col("team_id").alias("latest_team_id"))
+    """Bio, latest team, number and position, seasons with plate appearances or batters faced, and primary role."""
+    played = t.game_players.filter("played").select("player_id", "game_pk", "team_id", "jersey_number", "position")
+    g = t.games.filter(M.tracked()).select("game_pk", "official_date", "game_number")
+    order = [F.col("official_date").desc(), F.col("game_number").desc(), F.col("game_pk").desc(), F.col("team_id")]
+    last = latest_per_key(played.join(g, "game_pk"), ["player_id"], order).select("player_id", "game_pk", F.col("team_id").alias("latest_team_id"), "jersey_number", "position")
+    names = t.game_teams.select("game_pk", F.col("team_id").alias("latest_team_id"), F.col("name").alias("latest_team"))
+    last = last.join(names, ["game_pk", "latest_team_id"], "left").drop("game_pk")
 
     def seasons(df: DataFrame, count: str, name: str) -> DataFrame:
         years = views.tracked_lines(df, t.games).groupBy("player_id", "season").agg(F.sum(count).alias("_n")).filter("_n > 0")
@@ -133,4 +136,8 @@ def player_summaries(t: Tables) -> DataFrame:
 
     df = last.join(t.players, "player_id", "left").join(seasons(t.batting, "plate_appearances", "batting"), "player_id", "left").join(seasons(t.pitching, "batters_faced", "pitching"), "player_id", "left")
     text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
-    return df.select("player_id", M.name_or(F.col("full_name"), "Player", F.col("player_id")).alias("name"), "latest_team_id", text("batting").alias("batting_seasons"), text("pitching").alias("pitching_seasons"), F.when(F.col("batting").isNull(), "pitching").otherwise("batting").alias("role"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return df.select(
+        "player_id", M.name_or(F.col("full_name"), "Player", F.col("player_id")).alias("name"), "bat_side", "pitch_hand", day("birth_date"), "height", "weight", day("mlb_debut_date"), "active", "latest_team_id", "latest_team", "jersey_number", "position",
+        text("batting").alias("batting_seasons"), text("pitching").alias("pitching_seasons"), F.when(F.col("batting").isNull(), "pitching").otherwise("batting").alias("role"),
+    )

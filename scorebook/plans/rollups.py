@@ -75,9 +75,16 @@ def _finish(df: DataFrame, scope: Column) -> DataFrame:
 
 
 def team_season_batting(t: Tables) -> DataFrame:
-    rows = explode_splits(views.appearances_of(t).withColumn("team_id", F.col("batting_team_id")), batter_splits()).withColumn("_team", F.col("team_id"))
-    measures = [F.greatest(F.countDistinct("_team"), F.lit(1)).alias("teams"), F.countDistinct("game_pk").alias("games"), *M.batting_counts()]
-    return _finish(scoped_rollup(rows, [["season", "split", "team_id"], ["season", "split"]], measures), _league_or_team())
+    """Splits are opened and rolled up over sums for each game, team and situation, so no appearance is multiplied."""
+    by = ["season", "game_pk", F.col("batting_team_id").alias("team_id"), "pitch_hand", "half", "men_on_base"]
+    sums = views.appearances_of(t).groupBy(*by).agg(*M.batting_totals())
+    rows = explode_splits(sums, batter_splits()).withColumn("_team", F.col("team_id"))
+    names = [c for c in sums.columns if c not in ("season", "game_pk", "team_id", "pitch_hand", "half", "men_on_base")]
+    # a game of a team has rows for several situations, so games and teams are counted over one row for each
+    games = rows.groupBy("season", "split", "team_id", "game_pk").agg(*M.sums(names), F.first("_team").alias("_team"))
+    measures = [F.greatest(F.countDistinct("_team"), F.lit(1)).alias("teams"), F.countDistinct("game_pk").alias("games"), *M.sums(names)]
+    out = _finish(scoped_rollup(games, [["season", "split", "team_id"], ["season", "split"]], measures), _league_or_team())
+    return out.withColumn("exit_velocity", M.ratio("launch_speed_sum", "batted_balls")).drop("launch_speed_sum")
 
 
 def team_season_swing_decisions(t: Tables) -> DataFrame:
@@ -86,19 +93,46 @@ def team_season_swing_decisions(t: Tables) -> DataFrame:
 
 
 def _role_scope() -> Column:
-    return F.when(F.col("_g_team_id") == 1, "league").when(F.col("_g_is_starter") == 1, "team").when(F.col("is_starter"), "starters").when(~F.col("is_starter"), "bullpen")
+    return F.when(F.col("_g_team_id") == 1, "league").when(F.col("_g_is_starter") == 1, "team").when(F.col("is_starter"), "starters").when(~F.col("is_starter"), "relievers")
 
 
 _ROLE_SETS = [["season", "team_id", "is_starter"], ["season", "team_id"], ["season"]]
 
 
 def team_season_pitching(t: Tables) -> DataFrame:
-    rows = views.tracked_lines(t.pitching, t.games).withColumn("_team", F.col("team_id"))
+    lines = views.tracked_lines(t.pitching, t.games).groupBy("season", "team_id", "is_starter").agg(*M.sums(M.PITCHING))
+    rows = lines.withColumn("_team", F.col("team_id"))
     return _finish(scoped_rollup(rows, _ROLE_SETS, [F.greatest(F.countDistinct("_team"), F.lit(1)).alias("teams"), *M.sums(M.PITCHING)]), _role_scope())
 
 
 def team_season_pitches(t: Tables) -> DataFrame:
-    """Pitches without a known role count for the team and the league, not for starters or bullpen."""
-    roles = t.pitching.select("game_pk", F.col("team_id").alias("fielding_team_id"), F.col("player_id").alias("pitcher_id"), "is_starter")
-    rows = views.outcomes_of(t).join(roles, ["game_pk", "fielding_team_id", "pitcher_id"], "left").withColumn("team_id", F.col("fielding_team_id"))
-    return _finish(scoped_rollup(rows, _ROLE_SETS, M.pitch_counts()), _role_scope())
+    """Pitches without a known role count for the team and the league, not for starters or relievers.
+
+    Pitches are summed for each game and pitcher before they meet the roles.
+    """
+    roles = t.pitching.select("game_pk", "team_id", F.col("player_id").alias("pitcher_id"), "is_starter")
+    fast = F.when(F.col("is_fastball"), F.col("start_speed"))
+    sums = views.outcomes_of(t).groupBy("season", "game_pk", F.col("fielding_team_id").alias("team_id"), "pitcher_id").agg(*M.pitch_totals(), F.sum(fast).alias("_fast_sum"), F.count(fast).alias("_fasts"))
+    rows = sums.join(roles, ["game_pk", "team_id", "pitcher_id"], "left")
+    names = ["pitches", "swings", "whiffs", "called_strikes", "_fast_sum", "_fasts"]
+    out = _finish(scoped_rollup(rows, _ROLE_SETS, M.sums(names)), _role_scope())
+    return out.withColumn("fastball_velocity", M.ratio("_fast_sum", "_fasts")).drop("_fast_sum", "_fasts")
+
+
+def day_rollups(t: Tables) -> dict[str, DataFrame]:
+    """All rollups by season and day."""
+    boards = [event_leaders(t, b) for b in _boards()]
+    every = boards[0]
+    for more in boards[1:]:
+        every = every.unionByName(more)
+    return {"batted_ball_days": batted_ball_days(t), "pitch_outcome_days": pitch_outcome_days(t), "event_leaders": every}
+
+
+def season_rollups(t: Tables) -> dict[str, DataFrame]:
+    """All rollups by season."""
+    return {
+        "player_season_counts": player_season_counts(t, "batter").unionByName(player_season_counts(t, "pitcher")),
+        "team_season_batting": team_season_batting(t), "team_season_swing_decisions": team_season_swing_decisions(t),
+        "team_season_pitching": team_season_pitching(t), "team_season_pitches": team_season_pitches(t),
+        "teams": views.team_dimension(t.game_teams),
+    }

@@ -71,7 +71,7 @@ def challenges(t: Tables) -> DataFrame:
     return df.withColumns({"overturn_rate": M.ratio("overturned", "challenges"), "opponent_overturn_rate": M.ratio("opponent_overturned", "opponent_challenges")})
 
 
-def bullpen_workload(t: Tables) -> DataFrame:
+def relief_workload(t: Tables) -> DataFrame:
     """Pitches by others than the game's starters in the last 3 and 7 days up to the team's latest game."""
     games = team_games(t).select("game_pk", *KEY, "is_home", "official_date")
     latest = games.groupBy(*KEY).agg(F.max("official_date").alias("_day"))
@@ -176,7 +176,7 @@ def team_stats(t: Tables) -> DataFrame:
 
 
 def pitching_scopes(t: Tables) -> DataFrame:
-    """Pitching of team, starters, bullpen and league."""
+    """Pitching of team, starters, relievers and league."""
     a, b = rollups.team_season_pitching(t), rollups.team_season_pitches(t)
     df = a.join(b, (a["season"] == b["season"]) & (a["scope"] == b["scope"]) & a["team_id"].eqNullSafe(b["team_id"]), "left").drop(b["season"]).drop(b["scope"]).drop(b["team_id"])
     rates = M.pitching_rates(F.when(F.col("scope") == "league", F.col("teams")).otherwise(F.lit(1))) | M.whiff_rates()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -75,6 +75,12 @@ def team_dimension(game_teams: DataFrame) -> DataFrame:
 
 
 def season_teams(teams: DataFrame, seasons: DataFrame) -> DataFrame:
-    """Each team as it stood in each season: its latest row not after the season."""
-    pairs = seasons.select(F.col("season").alias("at")).join(teams, F.col("season") <= F.col("at"))
-    return latest_per_key(pairs, ["at", "team_id"], [F.col("season").desc()]).drop("season").withColumnRenamed("at", "season")
+    """Each team as it stood in each season: its latest row not after the season.
+
+    A row holds until the season before the team's next one, so its seasons are listed and met by equality.
+    """
+    last = seasons.agg(F.max("season").alias("_last"))  # one row
+    until = F.lead("season").over(Window.partitionBy("team_id").orderBy("season")) - 1
+    held = teams.withColumn("_until", until).crossJoin(F.broadcast(last)).withColumn("_until", F.least(F.coalesce("_until", "_last"), F.col("_last")))
+    listed = held.filter(F.col("season") <= F.col("_until")).withColumn("season", F.explode(F.sequence("season", "_until"))).drop("_until", "_last")
+    return listed.join(seasons, "season", "left_semi")

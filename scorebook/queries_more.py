@@ -48,7 +48,7 @@ add("asof_team", lambda t: core.asof_left_join(t.games.select("game_pk", "season
 add("unpivot_sides", lambda t: core.unpivot_sides(t.games, ["game_pk", "season"]), "SELECT game_pk, season, unnest([home_team_id, away_team_id]) AS team_id, unnest([away_team_id, home_team_id]) AS opponent_id, unnest([true, false]) AS is_home, unnest([home_score, away_score]) AS runs_for, unnest([away_score, home_score]) AS runs_against, unnest([home_score > away_score, away_score > home_score]) AS won FROM games")
 add("streak", lambda t: core.current_streak(core.unpivot_sides(t.games.filter(M.regular()), ["game_pk", "season", "start_ms"]), ["team_id", "season"], [F.col("start_ms").desc(), F.col("game_pk").desc()], "won"), "WITH g AS (SELECT season, start_ms, game_pk, unnest([home_team_id, away_team_id]) AS team_id, unnest([home_score > away_score, away_score > home_score]) AS won FROM regular), n AS (SELECT *, row_number() OVER (PARTITION BY team_id, season ORDER BY start_ms DESC, game_pk DESC) AS n FROM g), f AS (SELECT team_id, season, arg_min(won, n) AS won, count(*) AS games FROM n GROUP BY ALL) SELECT f.team_id, f.season, f.won, coalesce(min(n.n) - 1, any_value(games)) AS length FROM f LEFT JOIN n ON n.team_id = f.team_id AND n.season = f.season AND n.won <> f.won GROUP BY f.team_id, f.season, f.won")
 add("rebuild_equals_days", lambda t: rollups.batted_ball_days(t).groupBy("season", "player_id").agg(F.sum("batted_balls").alias("batted_balls"), F.sum("barrels").alias("barrels")), f"SELECT season, batter_id AS player_id, count(launch_speed) AS batted_balls, count(*) FILTER (launch_speed >= 98 AND launch_angle BETWEEN greatest(8, 26 - (launch_speed - 98)) AND least(50, 30 + 1.5 * (launch_speed - 98))) AS barrels FROM {PA} GROUP BY ALL")
-add("impacted_keys", lambda t: schedule.impacted(t.games.filter("game_pk % 50 <> 0").select(*GAME, "home_team_id", "away_team_id"), t.games.select(*GAME, "home_team_id", "away_team_id")), "WITH c AS (SELECT * FROM games WHERE game_pk % 50 = 0) SELECT DISTINCT unnest(['game', 'day', 'team', 'team']) AS kind, unnest([game_pk::VARCHAR, official_date::VARCHAR, home_team_id::VARCHAR, away_team_id::VARCHAR]) AS key FROM c UNION SELECT 'season', season::VARCHAR FROM c WHERE coded_state = 'F'")
+add("impacted_keys", lambda t: schedule.impacted(t.games.filter("game_pk % 50 <> 0").select(*GAME, "home_team_id", "away_team_id"), t.games.select(*GAME, "home_team_id", "away_team_id")), "WITH c AS (SELECT * FROM games WHERE game_pk % 50 = 0) SELECT DISTINCT unnest(['game', 'day', 'team', 'team']) AS kind, unnest([game_pk::VARCHAR, official_date::VARCHAR, home_team_id::VARCHAR, away_team_id::VARCHAR]) AS key FROM c UNION SELECT unnest(['season', 'team_stats', 'team_stats']), unnest([season::VARCHAR, home_team_id::VARCHAR, away_team_id::VARCHAR]) FROM c WHERE coded_state IN ('F','O','Q','R')")
 _hist = lambda t: schedule.probables(t.games.withColumns({"home_probable_name": F.lit("x"), "away_probable_name": F.lit("x")}).filter("game_pk % 3 <> 0")).withColumns({"observed_at": F.lit(1), "pitcher_id": F.when(F.col("game_pk") % 7 == 0, F.col("pitcher_id") + 1).otherwise(F.col("pitcher_id"))})
 add("record_probables", lambda t: schedule.record_probables(_hist(t), t.games.withColumns({"home_probable_name": F.lit("x"), "away_probable_name": F.lit("x"), "home_probable_id": F.when(F.col("game_pk") % 5 == 0, None).otherwise(F.col("home_probable_id"))}), F.lit(2)).drop("pitcher_name"), "WITH now AS (SELECT game_pk, unnest(['home', 'away']) AS side, unnest([CASE WHEN game_pk % 5 = 0 THEN NULL ELSE home_probable_id END, away_probable_id]) AS pitcher_id FROM games), hist AS (SELECT game_pk, unnest(['home', 'away']) AS side, unnest([home_probable_id, away_probable_id]) + CASE WHEN game_pk % 7 = 0 THEN 1 ELSE 0 END AS pitcher_id FROM games WHERE game_pk % 3 <> 0) SELECT n.game_pk, n.side, n.pitcher_id, 2 AS observed_at FROM now n LEFT JOIN hist h ON h.game_pk = n.game_pk AND h.side = n.side WHERE (n.pitcher_id, 'x') IS DISTINCT FROM (h.pitcher_id, CASE WHEN h.game_pk IS NOT NULL THEN 'x' END)")
 
@@ -78,10 +78,10 @@ add_feed("feed_plays", lambda g: derive.plays(g).select(F.col("game_pk").cast("l
 add_feed("pitch_context", lambda g: derive.pitches(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "pitch_index", F.col("pitcher_id").cast("long").alias("pitcher_id"), "pitch_hand", "balls_before", "strikes_before", "outs_before", "call_code", "start_speed", "zone"), f"WITH d AS (SELECT *, coalesce(lag(outs_after) OVER (PARTITION BY game_pk, inning, half ORDER BY at_bat_index), 0) AS outs0, lag(pitcher_id) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev, lag(pitch_hand) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev_hand FROM {DONE}) SELECT p.game_pk, p.at_bat_index, p.pitch_index * 2 AS pitch_index, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev, d.pitcher_id) ELSE d.pitcher_id END AS pitcher_id, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev_hand, d.pitch_hand) ELSE d.pitch_hand END AS pitch_hand, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 4 END::INTEGER AS balls_before, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 3 END::INTEGER AS strikes_before, CASE WHEN p.pitch_index = 0 THEN outs0 ELSE p.at_bat_index % 3 END::INTEGER AS outs_before, call_code, start_speed, zone FROM pitches p JOIN d ON d.game_pk = p.game_pk AND d.at_bat_index = p.at_bat_index")
 add_feed("feed_events", lambda g: derive.play_events(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "event_index", "kind", "event_type"), f"SELECT game_pk, at_bat_index, 1 AS event_index, 'action' AS kind, 'pitching_substitution' AS event_type FROM {DONE} WHERE at_bat_index % 6 = 5")
 add_feed("feed_linescores", lambda g: derive.linescores(g).select(F.col("game_pk").cast("long").alias("game_pk"), "inning", "half", "runs", "hits", "errors"), "SELECT * FROM linescores")
-add_feed("feed_decisions", lambda g: derive.decisions(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", F.col("winner_id").cast("long").alias("winner_id"), F.col("loser_id").cast("long").alias("loser_id")), "SELECT d.* FROM decisions d WHERE game_pk IN (SELECT game_pk FROM plays)")
+add_feed("feed_decisions", lambda g: derive.decisions(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", F.col("winner_id").cast("long").alias("winner_id"), F.col("loser_id").cast("long").alias("loser_id"), F.col("save_id").cast("long").alias("save_id")), "SELECT d.* FROM decisions d WHERE game_pk IN (SELECT game_pk FROM plays)")
 add_feed("feed_teams", lambda g: derive.game_teams(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "team_id", "source_date"), "SELECT game_pk, season, unnest([home_team_id, away_team_id]) AS team_id, official_date AS source_date FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
 QUERIES["feed_headers"] = lambda spark, sf_dir: feeds.with_header(testfeeds.documents(spark, sf_dir)).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "feed_ts", "is_final", "valid")
-SQL["feed_headers"] = testbed.oracle("SELECT game_pk, season, strftime(official_date, '%Y%m%d') || '_120000' AS feed_ts, coded_state = 'F' AS is_final, true AS valid FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
+SQL["feed_headers"] = testbed.oracle("SELECT game_pk, season, strftime(official_date, '%Y%m%d') || '_120000' AS feed_ts, coded_state IN ('F','O','Q','R') AS is_final, true AS valid FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
 
 
 # ---- streams -----------------------------------------------------------------------------------------------------

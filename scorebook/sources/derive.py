@@ -46,7 +46,9 @@ def pitches(parsed: DataFrame) -> DataFrame:
     """
     half, side = (Window.partitionBy("game_pk", *k).orderBy("at_bat_index") for k in (("about.inning", "about.halfInning"), ("about.halfInning",)))
     substitution = F.try_element_at(F.filter("playEvents", lambda e: e["details"]["eventType"] == "pitching_substitution"), F.lit(-1))["index"]
-    df = completed_plays(parsed).withColumns({"outs_before_play": F.coalesce(F.lag("count.outs").over(half), F.lit(0)), "previous": F.lag("matchup").over(side), "changed_at": substitution})
+    # one shuffle by game serves the four windows; a game's plays stay together from then on
+    by_game = parsed.select("game_pk", "season", F.struct(F.struct(F.struct(F.col("g.liveData.plays.allPlays").alias("allPlays")).alias("plays")).alias("liveData")).alias("g")).repartition("game_pk")
+    df = completed_plays(by_game).withColumns({"outs_before_play": F.coalesce(F.lag("count.outs").over(half), F.lit(0)), "previous": F.lag("matchup").over(side), "changed_at": substitution})
     df = df.withColumn("e", F.explode("playEvents")).drop("playEvents")
     play = Window.partitionBy("game_pk", "at_bat_index")
     by_index = play.orderBy("e.index")

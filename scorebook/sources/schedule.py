@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
-from ..operators.changes import append_if_changed, changed_rows, upsert_changed
+from ..operators.changes import append_if_changed, changed_rows, replace_by_key, upsert_changed
 from ..operators.core import latest_per_key
 from . import schemas
+from .sinks import existing_rows, replace_partitions, staged
 
 RESCHEDULED_STATES = ("D", "T", "U")
+DAY = ["season", "official_date"]
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +79,28 @@ def record_probables(history: DataFrame, games: DataFrame, observed_at: Column)
     return append_if_changed(history, now, ["game_pk", "side"], ["pitcher_id", "pitcher_name"], "observed_at")
 
 
+def write_games(spark: SparkSession, incoming: DataFrame, path: str, folder: str) -> DataFrame:
+    """Upserts ``incoming`` into the table at ``path`` and writes only the days (season, official_date) that a changed game
+    leaves or enters; the changed rows.  ``folder`` takes the staged rows."""
+    existing = existing_rows(spark, path, incoming.schema)
+    changed = staged(changed_rows(existing, incoming, ["game_pk"]), folder)
+    left = existing.join(changed.select("game_pk"), "game_pk", "left_semi")
+    touched = changed.select(*DAY).union(left.select(*DAY)).distinct()
+    state = replace_by_key(existing.join(touched, DAY, "left_semi"), changed, ["game_pk"])
+    replace_partitions(spark, state, path, DAY, folder, touched)
+    return changed
+
+
 def impacted(previous: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Partitions that a change of games touches: the game, its day and both teams, and the season once a game is completed."""
+    """Partitions that a change of games touches: the game, its day and both teams, and once a game is completed the season and
+    both teams' statistics."""
     changed = changed_rows(previous, incoming, ["game_pk"])
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"))
-    keys = F.array(key("game", "game_pk"), key("day", "official_date"), key("team", "home_team_id"), key("team", "away_team_id"), F.when(M.completed(), key("season", "season")))
+    done = lambda k: F.when(M.completed(), k)
+    keys = F.array(key("game", "game_pk"), key("day", "official_date"), key("team", "home_team_id"), key("team", "away_team_id"), done(key("season", "season")), done(key("team_stats", "home_team_id")), done(key("team_stats", "away_team_id")))
     return changed.select(F.inline(F.array_compact(keys))).distinct()
+
+
+def impacted_players(game_players: DataFrame, games: DataFrame) -> DataFrame:
+    """Players who played in any of ``games``."""
+    return game_players.filter("played").join(games.select("game_pk").distinct(), "game_pk", "left_semi").select("player_id").distinct()

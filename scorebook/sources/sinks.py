@@ -2,15 +2,56 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a session on this machine alone takes a temporary folder, a cluster gets an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = _own_folder[0]
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written below ``folder`` and read back, so that what it was read from may be overwritten."""
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def existing_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, or no rows before it is first written."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrites the partitions that ``df`` has rows for and leaves all others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Overwrites the partitions that ``df`` has rows for and leaves all others.  Rows of a partition are written by one task."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
 
+def replace_partitions(spark: SparkSession, new: DataFrame, path: str, by: list[str], folder: str, touched: DataFrame | None = None) -> None:
+    """Stages ``new``, so that reading the table it came from ends before it is overwritten, then swaps its partitions.
 
-def replace_partitions(spark: SparkSession, new: DataFrame, path: str, by: list[str], stage: str) -> None:
-    """Stages ``new``, so that reading the table it came from ends before it is overwritten, then swaps its partitions."""
-    new.write.mode("overwrite").parquet(stage)
-    write_partitions(spark.read.schema(new.schema).parquet(stage), path, by)
+    Partitions in ``touched`` that ``new`` has no row for are deleted.  A run that breaks off is healed by running it again.
+    """
+    new = staged(new, folder)
+    write_partitions(new, path, by)
+    if touched is not None:
+        for r in touched.select(*by).distinct().join(new.select(*by).distinct(), by, "left_anti").collect():  # touched partitions only
+            at = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{c}={r[c]}" for c in by)]))
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

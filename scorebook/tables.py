@@ -11,7 +11,7 @@ class Tables:
     """Current state of the facts and dimensions, each a lazy DataFrame or a function that gives one when it is first asked for.
 
     games, plays, pitches, play_events, linescores, decisions, batting and pitching (a line for each player and
-    game), game_teams, bios (a player's bio as of each game), players (latest bio), teams (latest row of each team
+    game), game_teams, game_players, bios (a player's bio as of each game), players (latest bio), teams (latest row of each team
     and season), event_types.
     """
 

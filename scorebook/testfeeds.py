@@ -46,7 +46,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.create_map(F.lit("home"), F.struct(c("home_team_id").alias("id")), F.lit("away"), F.struct(c("away_team_id").alias("id"))).alias("teams"),
         )
     )
-    live = [F.lit(', "liveData": {"linescore": {"innings": '), F.to_json("innings"), F.lit("}"), F.when(c("winner_id").isNotNull(), F.concat(F.lit(', "decisions": '), F.to_json(F.struct(ident("winner_id").alias("winner"), ident("loser_id").alias("loser"))))).otherwise(""), F.lit(', "plays": {"allPlays": ['), F.array_join("ps", ","), F.lit("]}}}")]
+    live = [F.lit(', "liveData": {"linescore": {"innings": '), F.to_json("innings"), F.lit("}"), F.when(c("winner_id").isNotNull(), F.concat(F.lit(', "decisions": '), F.to_json(F.struct(ident("winner_id").alias("winner"), ident("loser_id").alias("loser"), ident("save_id").alias("save"))))).otherwise(""), F.lit(', "plays": {"allPlays": ['), F.array_join("ps", ","), F.lit("]}}}")]
     stamp = F.concat(F.date_format("official_date", "yyyyMMdd"), F.lit("_120000"))
     return df.select(F.concat(F.lit('{"gamePk": '), c("game_pk").cast("string"), F.lit(', "metaData": {"timeStamp": "'), stamp, F.lit('"}, "gameData": '), head, *live).alias("json"))
 
