@@ -49,6 +49,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def counted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A staged table of a few numbers in a row, with a hint to broadcast it if it has at most ``most`` rows, so that a join
+    doesn't move the texts it picks from."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def buckets_for(spark: SparkSession, chars: int, most: int = 32_000_000) -> int:
     """Buckets for what is computed from ``chars`` characters: at most ``most`` of them in each, and two for each shuffle partition at least."""
     return max(2 * partitions(spark), -(-chars // most))

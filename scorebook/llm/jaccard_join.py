@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, by_bucket, characters, numbered, slices, stage, texts_of
+from .common import buckets_for, by_bucket, characters, counted, numbered, slices, stage, texts_of
 from .components import components
 from .repeats import block_hashes, bucket_of, from6, low6, mix, own_bytes, runs, split_sorted, word_codes
 
@@ -294,7 +294,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
     members = members.withColumn("boss", F.col("doc")).withColumn("parent", F.lit(None).cast("long"))
 
     # regions too large for one task are cut until they are not
-    fit, edges, turn = [], [], 0
+    fit, edges, turn, texts = [], [], 0, None
     while True:
         sizes = stage(members.groupBy("region").agg(F.count("*").alias("rows"), F.max("parent").alias("parent")).filter(F.col("rows") > leaf_rows), "sizes")
         if sizes.isEmpty():
@@ -303,7 +303,13 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
         fit.append(members.join(sizes, "region", "left_anti").select("region", "doc", "boss"))
         still = F.coalesce(2 * F.col("rows") > F.col("parent"), F.lit(False))
         fit.append(in_blocks(members, sizes.filter(still), leaf_rows))
-        members, more = cut_regions(members, sizes.filter(~still), own, size, percent, leaf_rows, pivots, turn)
+        cut = stage(sizes.filter(~still), "cut")
+        if cut.isEmpty():
+            break
+        if texts is None:  # later steps need no other texts than the first one
+            needed_docs = stage(members.join(cut.select("region"), "region").select(F.col("doc").alias("_id")).distinct(), "needed")
+            texts = stage(own.join(counted(needed_docs), "_id", "left_semi"), "texts")
+        members, more = cut_regions(members, cut, texts, size, percent, leaf_rows, pivots, turn)
         edges.append(more)
         turn += 1
     members = fit[0]
@@ -325,7 +331,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
             if got:
                 yield pd.DataFrame(got, columns=["a", "b"])
 
-    shipped = members.join(own, members["doc"] == own["_id"]).select("region", "doc", "boss", "_text")
+    shipped = own.join(counted(members), F.col("doc") == F.col("_id")).select("region", "doc", "boss", "_text")
     found = shipped.repartition("region").sortWithinPartitions("region").mapInPandas(join_all, "a long, b long")
     for more in edges:
         found = found.unionByName(more)
@@ -349,8 +355,12 @@ def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int,
     radius = 1 - percent / 100 + 1e-9
     big = members.select("region", "doc", "boss").join(sizes.select("region", "rows"), "region")
     heads = big.groupBy("region", "boss").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.first("rows").alias("rows"))
-    order = Window.partitionBy("region").orderBy(F.xxhash64("pivot", F.lit(turn)), "pivot")
-    chosen = stage(heads.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= pivots).drop("_k"), "pivots")
+    # the least document leads, as copies mostly follow what they were made from; the others are drawn by a hash
+    first = big.groupBy("region").agg(F.min("doc").alias("_first"))
+    heads = heads.join(first, "region").join(big.select("region", F.col("doc").alias("_first"), F.col("boss").alias("_lead")), ["region", "_first"])
+    heads = heads.withColumn("pivot", F.when(F.col("boss") == F.col("_lead"), F.col("_first")).otherwise(F.col("pivot")))
+    order = Window.partitionBy("region").orderBy(F.col("pivot") != F.col("_first"), F.xxhash64("pivot", F.lit(turn)), "pivot")
+    chosen = stage(heads.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= pivots).select("region", "boss", "pivot", "rows"), "pivots")
     salts = F.ceil(F.col("rows") / leaf_rows)
     rows = big.withColumn("salt", F.pmod(F.xxhash64("doc"), salts)).join(own.select(F.col("_id").alias("doc"), F.col("_text").alias("text")), "doc").select("region", "salt", "doc", "boss", "text")
     shown = chosen.join(own.select(F.col("_id").alias("pivot"), F.col("_text").alias("shown")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("region", "salt", "pivot", "boss", "shown")

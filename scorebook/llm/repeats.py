@@ -237,7 +237,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 def pack_anchors(a: dict[str, np.ndarray], buckets: int, hot_here: int) -> list[tuple]:
     """Rows (bucket, kind, ids, counts, lo, n, g, c) of the anchors that one task holds.
 
-    Kinds: 0 the first of each context, by its block; 1 later copies, which are settled; 2 the first of each context
+    Kinds: 0 the first of each context, by its block; 1 later copies, which are settled, by their documents; 2 the first of each context
     of a block with more than ``hot_here`` contexts, by the context; 3 such blocks, as markers in their own buckets.
     """
     order = np.lexsort((a["lo"], a["id"], a["c"], a["g"]))
@@ -248,7 +248,7 @@ def pack_anchors(a: dict[str, np.ndarray], buckets: int, hot_here: int) -> list[
     rows = []
     for kind, part in ((0, order[~late & ~hot]), (1, order[late]), (2, order[~late & hot])):
         part = part[np.lexsort((a["lo"][part], a["id"][part]))]
-        b = bucket_of(mix(a["g"][part] ^ a["c"][part]) if kind == 2 else a["g"][part], buckets)
+        b = bucket_of(mix(a["g"][part] ^ a["c"][part]) if kind == 2 else mix(a["id"][part].astype(np.uint64)) if kind == 1 else a["g"][part], buckets)
         for at in split_sorted(b):
             p = part[at]
             head = np.flatnonzero(runs(a["id"][p]))
