@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,9 @@ from .operators import changes as C
 from .operators import core
 from .plans import rollups, views
 from .queries import PA, PO, QUERIES, SQL, add, rounded
-from .sources import derive, feeds, schedule
-from .streaming import live
+from .sources import derive, feeds, schedule, schemas
+from .sources.sinks import existing_rows, shared_folder
+from .streaming import ingest, live
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +64,19 @@ add_events("patch_state", lambda e: C.patch(_of(e, "click"), _of(e, "purchase").
 add_events("json_props", lambda e: e.select("event_id", F.from_json("props", "k INT")["k"].alias("k"), F.expr("try_cast(get_json_object(props, '$.k') AS INT)").alias("k_path")), "SELECT event_id, (props->>'$.k')::INTEGER AS k, (props->>'$.k')::INTEGER AS k_path FROM events")
 add_events("dedupe_event_id", lambda e: e.unionByName(e.filter("event_id % 10 = 0")).dropDuplicates(["event_id"]).select("event_id", "user_id", "event_type"), "SELECT event_id, user_id, event_type FROM events")
 add_events("version_changes", lambda e: live.changes_over_versions(e.select("user_id", "event_id", "event_type"), "event_id", ["user_id"]), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1 OR event_type <> before")
-add_events("scoring_alerts", lambda e: live.scoring_alerts(e.select("user_id", "event_id", F.floor("value").alias("home_runs"), (F.col("event_id") * 7 % 13).alias("away_runs")), ["user_id"], "event_id").select("user_id", "event_id", "scored"), "SELECT user_id, event_id, CASE WHEN a > lag_a THEN 'away' WHEN h > lag_h THEN 'home' END AS scored FROM (SELECT user_id, event_id, a, h, lag(a) OVER w AS lag_a, lag(h) OVER w AS lag_h FROM (SELECT user_id, event_id, event_id * 7 % 13 AS a, floor(value) AS h FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE a > lag_a OR h > lag_h")
+_runs = lambda e: e.select("user_id", "event_id", live.current_runs(F.floor("value"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") * 5 % 60)).alias("home_runs"), live.current_runs(F.when(F.col("event_id") % 4 != 0, F.col("event_id") * 7 % 13), F.col("user_id") % 11).alias("away_runs"))
+add_events("scoring_alerts", lambda e: live.scoring_alerts(_runs(e), ["user_id"], "event_id").select("user_id", "event_id", "scored"), "SELECT user_id, event_id, CASE WHEN a > lag_a THEN 'away' WHEN h > lag_h THEN 'home' END AS scored FROM (SELECT user_id, event_id, a, h, lag(a) OVER w AS lag_a, lag(h) OVER w AS lag_h FROM (SELECT user_id, event_id, greatest(CASE WHEN event_id % 4 <> 0 THEN event_id * 7 % 13 ELSE 0 END, user_id % 11) AS a, greatest(coalesce(floor(value), 0), CASE WHEN event_id % 3 <> 0 THEN event_id * 5 % 60 ELSE 0 END) AS h FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE a > lag_a OR h > lag_h")
 
 # ---- documents ---------------------------------------------------------------------------------------------------
 DONE = "(SELECT * FROM plays WHERE at_bat_index % 13 <> 12)"
 
 
+_BAT = ["plate_appearances", "at_bats", "hits", "doubles", "triples", "home_runs", "total_bases", "walks", "hit_by_pitch", "sac_flies", "strikeouts"]
+_ARM, _FLAGS = ["outs", "batters_faced", "hits", "runs", "earned_runs", "home_runs", "walks", "strikeouts"], ["is_starter", "is_win", "is_loss", "is_save", "is_hold", "is_blown_save"]
+_long = lambda c: F.col(c).cast("long").alias(c)
+_pk = lambda: _long("game_pk")
+
+
 def add_feed(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(query(testfeeds.parsed(spark, sf_dir)))
     SQL[name] = testbed.oracle(sql)
@@ -80,51 +88,161 @@ add_feed("feed_events", lambda g: derive.play_events(g).select(F.col("game_pk").
 add_feed("feed_linescores", lambda g: derive.linescores(g).select(F.col("game_pk").cast("long").alias("game_pk"), "inning", "half", "runs", "hits", "errors"), "SELECT * FROM linescores")
 add_feed("feed_decisions", lambda g: derive.decisions(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", F.col("winner_id").cast("long").alias("winner_id"), F.col("loser_id").cast("long").alias("loser_id"), F.col("save_id").cast("long").alias("save_id")), "SELECT d.* FROM decisions d WHERE game_pk IN (SELECT game_pk FROM plays)")
 add_feed("feed_teams", lambda g: derive.game_teams(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "team_id", "source_date"), "SELECT game_pk, season, unnest([home_team_id, away_team_id]) AS team_id, official_date AS source_date FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
-QUERIES["feed_headers"] = lambda spark, sf_dir: feeds.with_header(testfeeds.documents(spark, sf_dir)).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "feed_ts", "is_final", "valid")
+QUERIES["feed_headers"] = lambda spark, sf_dir: feeds.with_header(testfeeds.stored(spark, sf_dir)).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "feed_ts", "is_final", "valid")
 SQL["feed_headers"] = testbed.oracle("SELECT game_pk, season, strftime(official_date, '%Y%m%d') || '_120000' AS feed_ts, coded_state IN ('F','O','Q','R') AS is_final, true AS valid FROM games WHERE game_pk IN (SELECT game_pk FROM plays)")
 
 
+add_feed("feed_batting", lambda g: derive.batting_lines(g).select(_pk(), _long("player_id"), "team_id", "side", *(_long(x) for x in _BAT)), f"SELECT b.game_pk, player_id, team_id, CASE WHEN team_id = home_team_id THEN 'home' ELSE 'away' END AS side, {', '.join(f'{x}::BIGINT AS {x}' for x in _BAT)} FROM batting b JOIN games g USING (game_pk)")
+add_feed("feed_pitching", lambda g: derive.pitching_lines(g).select(_pk(), _long("player_id"), "team_id", *(_long(x) for x in _ARM), *_FLAGS), f"SELECT game_pk, player_id, team_id, {', '.join(_ARM + _FLAGS)} FROM pitching")
+add_feed("feed_game_players", lambda g: derive.game_players(g).select(_pk(), _long("player_id"), "team_id", "jersey_number", "position", F.array_join("all_positions", ",").alias("positions"), "batting_order", "is_substitute", "played"), "SELECT game_pk, player_id, team_id, (player_id % 99)::VARCHAR AS jersey_number, '1B' AS position, '1B' AS positions, (batting_order * 100 + 100)::INTEGER AS batting_order, batting_order > 8 AS is_substitute, true AS played FROM batting UNION ALL SELECT game_pk, player_id, team_id, (player_id % 99)::VARCHAR, 'P', 'P', NULL, NOT is_starter, true FROM pitching")
+add_feed("feed_bios", lambda g: derive.bios(g).select(_pk(), _long("player_id"), "season", "source_date", "game_number", "full_name", "boxscore_name", "last_name", "weight"), "SELECT game_pk, player_id, season, source_date, game_number, full_name, boxscore_name, last_name, weight FROM bios")
+add_feed("feed_summary", lambda g: derive.summary(g, feeds.stored_keys(g.filter("is_final"))).select("plays", "pitches", F.array_join("seasons", ",").alias("seasons")), f"SELECT (SELECT count(*) FROM {DONE}) AS plays, (SELECT count(*) FROM pitches WHERE at_bat_index % 13 <> 12) AS pitches, (SELECT string_agg(season, ',' ORDER BY season) FROM (SELECT DISTINCT season FROM games WHERE coded_state IN ('F','O','Q','R') AND game_pk IN (SELECT game_pk FROM plays))) AS seasons")
+add_feed("replace_games", lambda g: derive.replace_games({"linescores": derive.linescores(g).withColumn("runs", F.lit(99))}, {"linescores": derive.linescores(g.filter("game_pk % 3 = 0"))}, g.filter("game_pk % 3 = 0").select("game_pk"))["linescores"].select(_pk(), "inning", "half", "runs", "hits"), "SELECT game_pk, inning, half, CASE WHEN game_pk % 3 = 0 THEN runs ELSE 99 END AS runs, hits FROM linescores")
+_earlier = lambda g: g.filter("game_pk % 3 <> 0").withColumn("g", F.col("g").withField("gameData.status.codedGameState", F.when(F.col("game_pk") % 4 == 0, "D").otherwise(F.col("g.gameData.status.codedGameState"))))
+add_feed("live_state_changes", lambda g: live.state_changes(live.game_states(_earlier(g)), live.game_states(g)).select(_pk(), "status", "completed", F.size("innings").alias("innings")), "SELECT game_pk, CASE WHEN coded_state IN ('F','O','Q','R') THEN 'final' WHEN coded_state IN ('I','M','N') THEN 'live' WHEN coded_state IN ('S','P') THEN 'scheduled' WHEN coded_state = 'D' THEN 'postponed' WHEN coded_state = 'C' THEN 'cancelled' ELSE 'suspended' END AS status, coded_state IN ('F','O','Q','R') AS completed, (SELECT count(DISTINCT inning) FROM linescores l WHERE l.game_pk = g.game_pk)::INTEGER AS innings FROM games g WHERE game_pk IN (SELECT game_pk FROM plays) AND (game_pk % 3 = 0 OR (game_pk % 4 = 0 AND coded_state <> 'D'))")
+_headers = lambda spark, sf_dir: feeds.with_header(testfeeds.stored(spark, sf_dir)).select("game_pk", "feed_ts", "is_final")
+
+
+def current_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final copy of each game, or a live one that is newer."""
+    h = _headers(spark, sf_dir)
+    live_ = h.filter("game_pk % 2 = 0").withColumns({"feed_ts": F.concat("feed_ts", F.when(F.col("game_pk") % 4 == 0, "1").otherwise("")), "is_final": F.lit(False)})
+    return feeds.current(h.filter("game_pk % 5 <> 0 AND is_final"), live_).select(_pk(), "feed_ts", "is_final")
+
+
+QUERIES["current_documents"] = current_documents
+SQL["current_documents"] = testbed.oracle("WITH h AS (SELECT game_pk, strftime(official_date, '%Y%m%d') || '_120000' AS feed_ts, coded_state IN ('F','O','Q','R') AS is_final FROM games WHERE game_pk IN (SELECT game_pk FROM plays)), f AS (SELECT * FROM h WHERE game_pk % 5 <> 0 AND is_final), l AS (SELECT game_pk, feed_ts || CASE WHEN game_pk % 4 = 0 THEN '1' ELSE '' END AS feed_ts, false AS is_final FROM h WHERE game_pk % 2 = 0) SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.game_pk = f.game_pk AND l.feed_ts >= f.feed_ts) UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.game_pk = l.game_pk AND f.feed_ts > l.feed_ts)")
+
+# ---- schedules, players and written tables --------------------------------------------------------------------------
+_day = lambda d: F.lit(d).cast("date")
+add("schedule_window", lambda t: t.games.filter(schedule.window(_day("1997-01-01"), _day("1997-12-31"), _day("1997-12-28"))).select("game_pk"), "SELECT game_pk FROM games WHERE official_date BETWEEN DATE '1997-12-27' AND DATE '1997-12-31'")
+add("live_keys", lambda t: schedule.live_keys(t.games, _day("1995-05-01")), "SELECT game_pk FROM games WHERE abstract_state = 'Live' AND coded_state NOT IN ('F','O','Q','R') AND official_date >= DATE '1995-04-30'")
+add("rescheduled_keys", lambda t: schedule.rescheduled_keys(t.games), "SELECT game_pk FROM games WHERE coded_state IN ('D', 'T', 'U')")
+add("completed_keys", lambda t: schedule.completed_keys(t.games), "SELECT game_pk FROM games WHERE coded_state IN ('F','O','Q','R')")
+add("impacted_players", lambda t: schedule.impacted_players(t.game_players, t.games.filter("game_pk % 50 = 0")), "SELECT DISTINCT player_id FROM game_players WHERE played AND game_pk IN (SELECT game_pk FROM games WHERE game_pk % 50 = 0)")
+add("refresh_players", lambda t: ingest.refresh_players(views.player_dimension(t.bios.filter("game_pk % 7 <> 0")), t.bios, t.bios.filter("game_pk % 7 = 0").select("game_pk").distinct()), "SELECT * FROM bios QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY source_date DESC, game_number DESC, game_pk DESC) = 1")
+add("pending_plays", lambda t: live.pending_plays(t.plays.select("game_pk", "at_bat_index", "event", F.lit(1).alias("seq")).unionByName(t.plays.filter("q % 2 = 0").select("game_pk", "at_bat_index", F.lit("late").alias("event"), F.lit(2).alias("seq"))), F.lit(2), "seq"), "SELECT game_pk, at_bat_index, CASE WHEN q % 2 = 0 THEN 'late' ELSE event END AS event, CASE WHEN q % 2 = 0 THEN 2 ELSE 1 END AS seq FROM plays WHERE at_bat_index > 2")
+add("player_ages", lambda t: t.players.select("player_id", M.age_on(F.col("birth_date"), _day("1997-07-01")).alias("age")), "SELECT player_id, date_sub('year', birth_date, DATE '1997-07-01')::INTEGER AS age FROM players")
+add("range_starts", lambda t: t.games.select("game_pk", *(M.range_start(k, F.col("official_date")).alias(f"{k}_start") for k in ("today", "week", "month", "season"))), "SELECT game_pk, official_date AS today_start, official_date - 6 AS week_start, official_date - 29 AS month_start, date_trunc('year', official_date)::DATE AS season_start FROM games")
+
+
+def _schedule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedule documents, one for each day; every fifth game is listed again under an earlier day."""
+    c, g = F.col, testbed.tables(spark, sf_dir).games
+    side = lambda s: F.struct(F.struct(c(f"{s}_team_id").alias("id")).alias("team"), c(f"{s}_score").alias("score"), F.struct(c(f"{s}_probable_id").alias("id")).alias("probablePitcher")).alias(s)
+    game = F.struct(
+        c("game_pk").alias("gamePk"), c("game_type").alias("gameType"), c("season").cast("string").alias("season"), F.date_format("official_date", "yyyy-MM-dd").alias("officialDate"), c("game_number").alias("gameNumber"), c("double_header").alias("doubleHeader"),
+        F.struct(c("abstract_state").alias("abstractGameState"), c("coded_state").alias("codedGameState"), c("detailed_state").alias("detailedState")).alias("status"), F.struct(side("home"), side("away")).alias("teams"),
+    )
+    listed = g.select(c("official_date").alias("day"), "game_pk", game.alias("g")).unionByName(g.filter("game_pk % 5 = 0").select(F.date_sub("official_date", 4).alias("day"), "game_pk", game.withField("gameType", F.lit("old")).alias("g")))
+    days = listed.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("game_pk", "g"))).alias("gs")).select(F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), c("gs.g").alias("games")).alias("d"))
+    return days.select(F.to_json(F.struct(F.array("d").alias("dates"))).alias("json"))
+
+
+def schedule_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _schedule_documents(spark, sf_dir).select(F.from_json("json", schemas.SCHEDULE).alias("s")).select("s.dates")
+    return schedule.parse(parsed).select(_pk(), "season", "official_date", "game_type", "game_number", "double_header", "coded_state", "home_team_id", "home_score", "away_team_id", "away_score", _long("home_probable_id"))
+
+
+QUERIES["schedule_games"] = schedule_games
+SQL["schedule_games"] = testbed.oracle("SELECT game_pk, season, official_date, game_type, game_number, double_header, coded_state, home_team_id, home_score, away_team_id, away_score, home_probable_id FROM games")
+
+
+def _store(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def refreshed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day rollups, built without some games and refreshed on these games' days; they must equal a rebuild."""
+    t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark))
+    some = ingest.within(t, t.games.filter("game_pk % 400 <> 1"), ["game_pk"])
+    store.refresh_seasons(some, t.games.select("season"), ["batted_ball_days"])
+    store.refresh_days(t, t.games.filter("game_pk % 400 = 1"), ["batted_ball_days"])
+    return store.read("batted_ball_days", rollups.batted_ball_days(t).schema)
+
+
+def rebuilt_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A season table written from wrong facts and rebuilt over all seasons."""
+    t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark))
+    store.refresh_seasons(ingest.within(t, t.games.filter("game_pk % 2 = 0"), ["game_pk"]), t.games.select("season"), ["team_season_pitching"])
+    store.rebuild(t, ["team_season_pitching"])
+    return store.read("team_season_pitching", rollups.team_season_pitching(t).schema)
+
+
+def written_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two upserts into a table by season; only seasons that changed are written."""
+    t, path = testbed.tables(spark, sf_dir), _store(spark)
+    for rows in (_base(t), _later(t)):
+        schedule.write_games(spark, rows, f"{path}/games", f"{path}/_staged")
+    return existing_rows(spark, f"{path}/games", _base(t).schema)
+
+
+QUERIES["refreshed_days"] = lambda spark, sf_dir: rounded(refreshed_days(spark, sf_dir))
+SQL["refreshed_days"] = SQL["batted_ball_days"]
+QUERIES["rebuilt_seasons"] = lambda spark, sf_dir: rounded(rebuilt_seasons(spark, sf_dir))
+SQL["rebuilt_seasons"] = SQL["team_season_pitching"]
+QUERIES["written_games"] = written_games
+SQL["written_games"] = SQL["upsert_games"]
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
+def _source(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _events(spark, sf_dir).schema
-    return spark.readStream.schema(source).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _source(spark, f"{sf_dir}/events*.parquet", _events(spark, sf_dir).schema)
 
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All available input through a stream, into a table in memory."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{folder}/stream-{name}-{id(stream)}" if folder else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
-    stream.writeStream.format("memory").queryName(f"stream_{name}").outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(f"stream_{name}")
+def _run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All available input through a stream into Parquet below ``folder``; complete mode rewrites it at each batch."""
+    spark, out = stream.sparkSession, f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, turn: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, live.latest(_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id"), "latest", "complete")
+    return _run(live.latest(_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id"), _store(spark), "complete")
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, live.watch_versions(_stream(spark, sf_dir), "user_id", "event_id", version_type="long"), "versions")
+    """Even versions arrive first, then odd ones and the even ones again: of these only what is above the last seen counts."""
+    folder, events = _store(spark), _events(spark, sf_dir)
+    even = events.filter("event_id % 2 = 0")
+    for rows in (even, events):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        out = _run(live.watch_versions(_source(spark, f"{folder}/in", events.schema), "user_id", "event_id", version_type="long"), folder)
+    return out
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir)
-    return _run(spark, live.dedupe_ids(s.unionByName(s.filter("event_id % 10 = 0")), "event_id", "ts").select("event_id", "user_id"), "dedupe")
+    return _run(live.dedupe_ids(s.unionByName(s.filter("event_id % 10 = 0")), "event_id", "ts").select("event_id", "user_id"), _store(spark))
 
 
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, live.debounce(_stream(spark, sf_dir), "user_id", "ts", "2 hours"), "bursts")
+    ms = lambda c: F.unix_millis(c).alias(f"{c}_ms")
+    return _run(live.debounce(_stream(spark, sf_dir), "user_id", "ts", "2 hours").select("user_id", ms("first"), ms("due"), "events"), _store(spark))
 
 
 def stream_bursts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, live.debounce_capped(_stream(spark, sf_dir), "user_id", "ts", 7200, 21600), "capped")
+    return _run(live.debounce_capped(_stream(spark, sf_dir), "user_id", "ts", 7200, 21600), _store(spark))
 
 
 QUERIES["stream_latest_state"] = stream_latest
 SQL["stream_latest_state"] = SQL["latest_state"]
 QUERIES["stream_version_watch"] = stream_versions
-SQL["stream_version_watch"] = "SELECT user_id, event_id FROM events WHERE user_id IS NOT NULL"
+SQL["stream_version_watch"] = "WITH e AS (SELECT DISTINCT user_id, event_id FROM events WHERE user_id IS NOT NULL), m AS (SELECT user_id, max(event_id) AS last FROM e WHERE event_id % 2 = 0 GROUP BY user_id) SELECT e.* FROM e LEFT JOIN m USING (user_id) WHERE event_id % 2 = 0 OR last IS NULL OR event_id > last"
 QUERIES["stream_dedupe"] = stream_dedupe
 SQL["stream_dedupe"] = "SELECT event_id, user_id FROM events"
+# what is given out is due before the last watermark: ten seconds before the last event
+_MS = "SELECT user_id, epoch_us(ts::TIMESTAMP) // 1000 AS t FROM events"
 QUERIES["stream_bursts"] = stream_bursts
+SQL["stream_bursts"] = f"SELECT user_id, min(t) AS first_ms, max(t) + 7200000 AS due_ms, count(*) AS events FROM (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS n FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS before FROM ({_MS}))) GROUP BY user_id, n HAVING max(t) + 7200000 <= (SELECT max(t) - 10000 FROM ({_MS}))"
 QUERIES["stream_bursts_capped"] = stream_bursts_capped
+SQL["stream_bursts_capped"] = f"WITH RECURSIVE e AS ({_MS}), n AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM e), w AS (SELECT user_id, k, t AS first, t AS last, 1 AS events, NULL::BIGINT AS out_first, NULL::BIGINT AS out_due, NULL::BIGINT AS out_n FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, CASE WHEN n.t >= least(last + 7200000, first + 21600000) THEN n.t ELSE first END, n.t, CASE WHEN n.t >= least(last + 7200000, first + 21600000) THEN 1 ELSE events + 1 END, CASE WHEN n.t >= least(last + 7200000, first + 21600000) THEN first END, CASE WHEN n.t >= least(last + 7200000, first + 21600000) THEN least(last + 7200000, first + 21600000) END, CASE WHEN n.t >= least(last + 7200000, first + 21600000) THEN events END FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1) SELECT user_id, out_first AS first_ms, out_due AS due_ms, out_n AS events FROM w WHERE out_first IS NOT NULL UNION ALL SELECT user_id, first, least(last + 7200000, first + 21600000), events FROM w WHERE (user_id, k) IN (SELECT (user_id, max(k)) FROM n GROUP BY user_id) AND least(last + 7200000, first + 21600000) < (SELECT max(t) - 10000 FROM e)"

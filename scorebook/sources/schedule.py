@@ -80,14 +80,14 @@ def record_probables(history: DataFrame, games: DataFrame, observed_at: Column)
 
 
 def write_games(spark: SparkSession, incoming: DataFrame, path: str, folder: str) -> DataFrame:
-    """Upserts ``incoming`` into the table at ``path`` and writes only the days (season, official_date) that a changed game
-    leaves or enters; the changed rows.  ``folder`` takes the staged rows."""
+    """Upserts ``incoming`` into the table at ``path`` and writes only the seasons that a changed game
+    leaves or enters; gives the changed rows.  ``folder`` takes the staged rows."""
     existing = existing_rows(spark, path, incoming.schema)
     changed = staged(changed_rows(existing, incoming, ["game_pk"]), folder)
     left = existing.join(changed.select("game_pk"), "game_pk", "left_semi")
-    touched = changed.select(*DAY).union(left.select(*DAY)).distinct()
-    state = replace_by_key(existing.join(touched, DAY, "left_semi"), changed, ["game_pk"])
-    replace_partitions(spark, state, path, DAY, folder, touched)
+    touched = staged(changed.select("season").union(left.select("season")).distinct(), folder)
+    state = replace_by_key(existing.join(F.broadcast(touched), "season", "left_semi"), changed, ["game_pk"])
+    replace_partitions(spark, state, path, ["season"], folder, touched)
     return changed
 
 

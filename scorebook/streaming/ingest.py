@@ -6,14 +6,17 @@ and an older version never replaces a newer one, whatever order documents arrive
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changes import latest_state, versioned_upsert
+from ..operators.changes import latest_state
+from ..plans import rollups
 from ..sources import derive, feeds
-from ..sources.sinks import replace_partitions
+from ..sources.schedule import DAY
+from ..sources.sinks import existing_rows, replace_partitions, staged
+from ..tables import Tables
 
 FEED = "game_pk int, season int, feed_ts string, is_final boolean, json string"
 
@@ -26,36 +29,39 @@ class GameStore:
 
     def read(self, name: str, schema) -> DataFrame:
         """The table, or no rows before it is first written."""
-        path = f"{self.root}/{name}"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        return existing_rows(self.spark, f"{self.root}/{name}", schema)
 
-    def replace(self, name: str, new: DataFrame, turn: int) -> None:
-        replace_partitions(self.spark, new, f"{self.root}/{name}", ["season"], f"{self.root}/_staged/{name}-{turn % 2}")
+    def replace(self, name: str, new: DataFrame, touched: DataFrame) -> None:
+        replace_partitions(self.spark, new, f"{self.root}/{name}", ["season"], f"{self.root}/_staged", touched)
 
-    def ingest(self, documents: DataFrame, turn: int) -> None:
-        """One batch: the newest version of each document is stored if it is newer than what is there, and its games' rows
-        are derived again in the seasons that they touch."""
+    def ingest(self, documents: DataFrame, after: Callable[[DataFrame], None] | None = None) -> None:
+        """One batch: the newest version of each document is stored, as final or live, if it is newer than what is there,
+        and its games' rows are derived again, in the seasons that they leave or enter.  The documents are written last, so
+        a batch that breaks off is done again by its next run.  ``after`` gets the stored games (game_pk, is_final)."""
         good, _ = feeds.split_valid(documents)
         newest = latest_state(good.select("game_pk", "season", "feed_ts", "is_final", "json"), ["game_pk"], "feed_ts")
-        old = self.read("feeds", FEED)
-        state = versioned_upsert(old, old.limit(0), newest.select(*old.columns), "game_pk", "feed_ts")
-        stored = state.filter("_stored").drop("_stored").persist()
-        if not stored.isEmpty():
-            parsed = feeds.parsed(stored).persist()  # every derived table reads it
-            keys, seasons = stored.select("game_pk"), stored.select("season").distinct()
-            touched = lambda df: df.join(F.broadcast(seasons), "season", "left_semi")  # noqa: E731  a row for each season
-            for name, new in derive.derive_all(parsed).items():
-                before = self.read(name, new.schema)
-                self.replace(name, touched(before).join(keys, "game_pk", "left_anti").unionByName(new), turn)
-            self.replace("feeds", touched(old).join(keys, "game_pk", "left_anti").unionByName(stored), turn)
-            parsed.unpersist()
-        stored.unpersist()
-
-    def work(self) -> Callable[[DataFrame, int], None]:
-        """For ``foreachBatch``."""
-        return lambda batch, turn: self.ingest(batch, turn)
+        final, live = (self.read(n, FEED) for n in ("feeds_final", "feeds_live"))
+        new_final, new_live, keys = feeds.store(final, live, newest.select(*final.columns))
+        keys = staged(keys, f"{self.root}/_staged")
+        if keys.isEmpty():
+            return
+        stored = staged(feeds.current(new_final, new_live).join(keys, "game_pk", "left_semi"), f"{self.root}/_staged")
+        old = final.unionByName(live).join(keys, "game_pk", "left_semi").select("season")
+        seasons = staged(stored.select("season").union(old).distinct(), f"{self.root}/_staged")
+        touched = lambda df: df.join(F.broadcast(seasons), "season", "left_semi")  # noqa: E731  a row for each season
+        parsed = feeds.parsed(stored).persist()  # every derived table reads it
+        for name, new in derive.derive_all(parsed).items():
+            self.replace(name, touched(self.read(name, new.schema)).join(keys, "game_pk", "left_anti").unionByName(new), seasons)
+        parsed.unpersist()
+        kept = [(n, staged(touched(df), f"{self.root}/_staged")) for n, df in (("feeds_final", new_final), ("feeds_live", new_live))]
+        for name, df in kept:
+            self.replace(name, df, seasons)
+        if after:
+            after(stored.select("game_pk", "is_final"))
+
+    def work(self, after: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+        """For ``foreachBatch``; ``after`` may refresh rollups (``RollupStore.follow``)."""
+        return lambda batch, turn: self.ingest(batch, after)
 
 
 def refresh_players(players: DataFrame, bios: DataFrame, games: DataFrame) -> DataFrame:
@@ -65,3 +71,56 @@ def refresh_players(players: DataFrame, bios: DataFrame, games: DataFrame) -> Da
     touched = players.join(games, "game_pk", "left_semi").select("player_id").union(bios.join(games, "game_pk", "left_semi").select("player_id")).distinct()
     again = player_dimension(bios.join(touched, "player_id", "left_semi"))
     return players.join(touched, "player_id", "left_anti").unionByName(again.select(*players.columns))
+
+
+class RollupStore:
+    """Day and season rollups of one root folder, in partitions by season: a season's day rollups are a row for each player
+    and day at most, so a partition for each day would only make small files.
+
+    Every refresh computes the touched days or seasons from the facts, stages the partitions that hold them and swaps these,
+    so it can be repeated and equals a rebuild.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.folder = spark, root, f"{root}/_staged"
+
+    def read(self, name: str, schema) -> DataFrame:
+        return existing_rows(self.spark, f"{self.root}/{name}", schema)
+
+    def refresh_days(self, t: Tables, games: DataFrame, names: Sequence[str] = ()) -> None:
+        """The day rollups of the days on which ``games`` (game_pk) are played."""
+        days = staged(t.games.join(games.select("game_pk"), "game_pk", "left_semi").select(*DAY).distinct(), self.folder)
+        seasons = days.select("season").distinct()
+        for name, df in rollups.day_rollups(within(t, days, DAY)).items():
+            if not names or name in names:
+                rest = self.read(name, df.schema).join(F.broadcast(seasons), "season", "left_semi").join(days, DAY, "left_anti")
+                replace_partitions(self.spark, rest.unionByName(df), f"{self.root}/{name}", ["season"], self.folder, seasons)
+
+    def refresh_seasons(self, t: Tables, seasons: DataFrame, names: Sequence[str] = ()) -> None:
+        """All day and season rollups of ``seasons`` (season), in one job for each table however many there are."""
+        seasons = staged(seasons.select("season").distinct(), self.folder)
+        own = within(t, seasons, ["season"])
+        for name, df in (rollups.season_rollups(own) | rollups.day_rollups(own)).items():
+            if not names or name in names:
+                replace_partitions(self.spark, df, f"{self.root}/{name}", ["season"], self.folder, seasons)
+
+    def rebuild(self, t: Tables, names: Sequence[str] = ()) -> None:
+        """Every season that games, teams' rows or plays name."""
+        found = t.games.select("season").union(t.game_teams.select("season"))
+        if "season" in t.plays.columns:
+            found = found.union(t.plays.select("season"))
+        self.refresh_seasons(t, found, names)
+
+    def follow(self, t: Tables, changed: DataFrame) -> None:
+        """After the per-game tables of ``changed`` games (game_pk, is_final) were replaced: their days, and the seasons of final ones."""
+        self.refresh_days(t, changed)
+        finals = t.games.join(changed.filter("is_final").select("game_pk"), "game_pk", "left_semi").select("season")
+        if not finals.isEmpty():
+            self.refresh_seasons(t, finals)
+
+
+def within(t: Tables, keep: DataFrame, by: list[str]) -> Tables:
+    """``t`` with the games of some days or seasons only; facts follow their games."""
+    games = t.games.join(keep.select(*by).distinct(), by, "left_semi")
+    facts = {n: (lambda n=n: getattr(t, n).join(games.select("game_pk"), "game_pk", "left_semi")) for n in ("plays", "pitches", "batting", "pitching", "game_teams")}
+    return Tables(games=games, **facts, **{n: (lambda n=n: getattr(t, n)) for n in ("event_types", "players", "bios", "teams")})

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import measures as M
 from ..operators.changes import changed_rows, latest_state
 from ..operators.core import latest_per_key
 
@@ -17,14 +19,11 @@ def watch_versions(stream: DataFrame, key: str, version: str, key_type: str = "l
     """(key, version) whenever a key's version is above the last one seen; older versions are ignored."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = state.get[0] if state.exists else None, []
-        for v in sorted(v for b in batches for v in b[version] if v is not None):
-            if last is None or v > last:
-                out.append(v)
-                last = v
-        if out:
-            state.update((last,))
-            yield pd.DataFrame({key: [k[0]] * len(out), version: out})
+        seen = pd.concat([b[version] for b in batches]).dropna().drop_duplicates().sort_values()
+        new = seen[seen > state.get[0]] if state.exists else seen
+        if len(new):
+            state.update((new.iloc[-1],))
+            yield pd.DataFrame({key: k[0], version: new.to_numpy()})
 
     schema = f"{key} {key_type}, {version} {version_type}"
     return stream.select(key, version).groupBy(key).applyInPandasWithState(step, schema, f"last {version_type}", "append", GroupStateTimeout.NoTimeout)
@@ -44,24 +43,34 @@ def debounce(stream: DataFrame, key: str, ts: str, quiet: str = "30 seconds", de
 def debounce_capped(stream: DataFrame, key: str, ts: str, quiet_s: int = 30, most_s: int = 120, key_type: str = "long", delay: str = "10 seconds") -> DataFrame:
     """Like ``debounce``, but a burst is given out ``most_s`` seconds after its first event at the latest."""
 
+    quiet, most = quiet_s * 1000, most_s * 1000
+
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last, n = state.get if state.exists else (None, None, 0)
         out = []
         if state.hasTimedOut:
-            out.append((k[0], first, min(last + quiet_s * 1000, first + most_s * 1000), n))
+            out.append((k[0], first, min(last + quiet, first + most), n))
             first, last, n = None, None, 0
         else:
-            for t in sorted(int(x.timestamp() * 1000) for b in batches for x in b[ts]):
-                if first is not None and t >= min(last + quiet_s * 1000, first + most_s * 1000):
-                    out.append((k[0], first, min(last + quiet_s * 1000, first + most_s * 1000), n))
-                    first, n = None, 0
-                first, last, n = t if first is None else first, t, n + 1
+            t = np.sort(np.concatenate([b[ts].to_numpy("datetime64[ms]").astype(np.int64) for b in batches]))
+            gap = np.flatnonzero(np.diff(t) >= quiet) + 1  # events that come after a quiet time
+            at = 0
+            while at < len(t):  # one turn for each burst
+                if first is None:
+                    first, last, n = int(t[at]), int(t[at]), 0
+                due = first + most
+                if t[at] >= min(last + quiet, due):
+                    out.append((k[0], first, min(last + quiet, due), n))
+                    first = None
+                    continue
+                nth = int(np.searchsorted(gap, at, side="right"))
+                end = min(int(np.searchsorted(t, due)), int(gap[nth]) if nth < len(gap) else len(t))
+                last, n, at = int(t[end - 1]), n + end - at, end
         if first is None:
             state.remove()
         else:
             state.update((first, last, n))
-            due = min(last + quiet_s * 1000, first + most_s * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(last + quiet, first + most), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "first_ms", "due_ms", "events"])
 
     rows = stream.withWatermark(ts, delay).select(key, ts).groupBy(key)
@@ -93,8 +102,27 @@ def pending_plays(log: DataFrame, rendered: Column, seq: str) -> DataFrame:
     return latest_per_key(later, ["game_pk", "at_bat_index"], [F.col(seq).desc()]).orderBy("game_pk", F.col("at_bat_index").desc())
 
 
+def game_states(parsed: DataFrame) -> DataFrame:
+    """One row for each document: status, whether it is completed, shown score, inning and line score of its game."""
+    status, line = "g.gameData.status", "g.liveData.linescore"
+    state = M.game_status(F.col(f"{status}.codedGameState"), F.col(f"{status}.abstractGameState"))
+    score = lambda s: M.shown_score(state, F.col(f"{line}.teams.{s}.runs")).alias(f"{s}_score")
+    return parsed.select("game_pk", "feed_ts", state.alias("status"), M.completed(f"{status}.codedGameState").alias("completed"), score("away"), score("home"), F.col(f"{line}.currentInning").alias("inning"), F.lower(f"{line}.inningHalf").alias("inning_half"), F.col(f"{line}.outs").alias("outs"), F.col(f"{line}.innings").alias("innings"))
+
+
+def state_changes(previous: DataFrame, following: DataFrame) -> DataFrame:
+    """States of games that are new or differ from the version before, whatever their time stamps."""
+    return changed_rows(previous.drop("feed_ts"), following.drop("feed_ts"), ["game_pk"])
+
+
+def current_runs(state: Column, latest_play: Column) -> Column:
+    """The larger of what the state and the latest play say; what is missing counts 0."""
+    zero = F.lit(0)
+    return F.greatest(F.coalesce(state, zero), F.coalesce(latest_play, zero))
+
+
 def scoring_alerts(states: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Which side's runs rose since the state before; the away side is looked at first."""
+    """Which side's runs (see ``current_runs``) rose since the state before; the away side is looked at first."""
     w = Window.partitionBy(*keys).orderBy(seq)
     rose = lambda s: F.col(f"{s}_runs") > F.lag(f"{s}_runs").over(w)
     return states.withColumn("scored", F.when(rose("away"), "away").when(rose("home"), "home")).filter("scored IS NOT NULL")

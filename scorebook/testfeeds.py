@@ -7,6 +7,39 @@ from pyspark.sql import functions as F
 
 from . import testbed
 from .sources import feeds
+from .sources.sinks import shared_folder, staged
+from .tables import Tables
+
+
+def _listed(df: DataFrame, by: list[str], entry, name: str) -> DataFrame:
+    """One JSON text for each key: the players' entries, by id."""
+    return df.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("player_id", entry.alias("e")))), lambda x: x["e"]), ",").alias(name))
+
+
+def _boxes(t: Tables) -> DataFrame:
+    """(game_pk, home_box, away_box): the box score's side as JSON text."""
+    c = F.col
+    who = [F.struct(c("player_id").alias("id")).alias("person"), (c("player_id") % 99).cast("string").alias("jerseyNumber")]
+    played = lambda p: [F.struct(F.lit(p).alias("abbreviation")).alias("position"), F.array(F.struct(F.lit(p).alias("abbreviation"))).alias("allPositions")]
+    line = lambda names: [c(a).cast("int").alias(b) for a, b in names.items()]
+    bat = {"plate_appearances": "plateAppearances", "at_bats": "atBats", "hits": "hits", "doubles": "doubles", "triples": "triples", "home_runs": "homeRuns", "total_bases": "totalBases", "walks": "baseOnBalls", "hit_by_pitch": "hitByPitch", "sac_flies": "sacFlies", "strikeouts": "strikeOuts"}
+    arm = {"outs": "outs", "batters_faced": "battersFaced", "hits": "hits", "runs": "runs", "earned_runs": "earnedRuns", "home_runs": "homeRuns", "walks": "baseOnBalls", "strikeouts": "strikeOuts", "is_starter": "gamesStarted", "is_win": "wins", "is_loss": "losses", "is_save": "saves", "is_hold": "holds", "is_blown_save": "blownSaves"}
+    one = F.lit(1).alias("gamesPlayed")
+    batters = F.struct(*who, *played("1B"), (c("batting_order") * 100 + 100).cast("string").alias("battingOrder"), F.struct((c("batting_order") > 8).alias("isSubstitute")).alias("gameStatus"), F.struct(F.struct(one, *line(bat)).alias("batting")).alias("stats"))
+    pitchers = F.struct(*who, *played("P"), F.struct((~c("is_starter")).alias("isSubstitute")).alias("gameStatus"), F.struct(F.struct(one, *line(arm)).alias("pitching")).alias("stats"))
+    rows = t.batting.select("game_pk", "team_id", "player_id", F.to_json(batters).alias("j")).unionByName(t.pitching.select("game_pk", "team_id", "player_id", F.to_json(pitchers).alias("j")))
+    sides = _listed(rows, ["game_pk", "team_id"], F.concat(F.lit('"ID'), c("player_id").cast("string"), F.lit('": '), c("j")), "ps")
+    box = F.concat(F.lit('{"team": {"id": '), c("team_id").cast("string"), F.lit('}, "players": {'), c("ps"), F.lit("}}"))
+    g = t.games.select("game_pk", "home_team_id", "away_team_id")
+    pick = lambda s: F.coalesce(F.max(F.when(c("team_id") == c(f"{s}_team_id"), box)), F.concat(F.lit('{"team": {"id": '), F.max(f"{s}_team_id").cast("string"), F.lit('}, "players": {}}'))).alias(f"{s}_box")
+    return g.join(sides, "game_pk").groupBy("game_pk").agg(pick("home"), pick("away"))
+
+
+def _people(t: Tables) -> DataFrame:
+    """(game_pk, people): the bios of a game as JSON text."""
+    c = F.col
+    j = F.to_json(F.struct(c("player_id").alias("id"), c("full_name").alias("fullName"), c("boxscore_name").alias("boxscoreName"), c("last_name").alias("lastName"), "weight"))
+    return _listed(t.bios.withColumn("j", j), ["game_pk"], F.concat(F.lit('"ID'), c("player_id").cast("string"), F.lit('": '), c("j")), "people")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,17 +73,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda h: F.max(F.when(c("half") == h, F.struct("runs", "hits", "errors")))
     innings = t.linescores.groupBy("game_pk", "inning").agg(side("bottom").alias("home"), side("top").alias("away")).groupBy("game_pk").agg(F.array_sort(F.collect_list(F.struct(c("inning").alias("num"), "home", "away"))).alias("innings"))
     df = t.games.join(plays, "game_pk").join(innings, "game_pk").join(t.decisions.drop("season"), "game_pk", "left")
+    df = df.join(_boxes(t), "game_pk").join(_people(t), "game_pk", "left")
     head = F.to_json(
         F.struct(
             F.struct(c("coded_state").alias("codedGameState")).alias("status"), F.struct(c("season").cast("string").alias("season"), c("game_number").alias("gameNumber")).alias("game"), F.struct(F.date_format("official_date", "yyyy-MM-dd").alias("officialDate")).alias("datetime"),
             F.create_map(F.lit("home"), F.struct(c("home_team_id").alias("id")), F.lit("away"), F.struct(c("away_team_id").alias("id"))).alias("teams"),
         )
     )
-    live = [F.lit(', "liveData": {"linescore": {"innings": '), F.to_json("innings"), F.lit("}"), F.when(c("winner_id").isNotNull(), F.concat(F.lit(', "decisions": '), F.to_json(F.struct(ident("winner_id").alias("winner"), ident("loser_id").alias("loser"), ident("save_id").alias("save"))))).otherwise(""), F.lit(', "plays": {"allPlays": ['), F.array_join("ps", ","), F.lit("]}}}")]
+    head = F.concat(F.regexp_replace(head, "[}]$", ""), F.lit(', "players": {'), F.coalesce("people", F.lit("")), F.lit("}}"))
+    live = [F.lit(', "liveData": {"linescore": {"innings": '), F.to_json("innings"), F.lit("}"), F.when(c("winner_id").isNotNull(), F.concat(F.lit(', "decisions": '), F.to_json(F.struct(ident("winner_id").alias("winner"), ident("loser_id").alias("loser"), ident("save_id").alias("save"))))).otherwise(""), F.lit(', "boxscore": {"teams": {"home": '), c("home_box"), F.lit(', "away": '), c("away_box"), F.lit('}}, "plays": {"allPlays": ['), F.array_join("ps", ","), F.lit("]}}}")]
     stamp = F.concat(F.date_format("official_date", "yyyyMMdd"), F.lit("_120000"))
     return df.select(F.concat(F.lit('{"gamePk": '), c("game_pk").cast("string"), F.lit(', "metaData": {"timeStamp": "'), stamp, F.lit('"}, "gameData": '), head, *live).alias("json"))
 
 
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, written once in a session, so that queries read documents and don't make them again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = staged(documents(spark, sf_dir), f"{shared_folder(spark)}/feeds")
+    return _written[key]
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable, _ = feeds.split_valid(documents(spark, sf_dir))
+    usable, _ = feeds.split_valid(stored(spark, sf_dir))
     return feeds.parsed(usable)

@@ -19,9 +19,9 @@ def test_versions_and_order(spark, tmp_path):
     stores = []
     for n, order in enumerate(([old, new, other], [new, old, other], [other, new, new])):
         store = GameStore(spark, f"file://{tmp_path}/s{n}")
-        for turn, doc in enumerate(order):
-            store.ingest(spark.createDataFrame([doc], "json string"), turn)
-        stores.append((rows(store, "plays", ["game_pk", "at_bat_index"]), rows(store, "pitches", ["game_pk", "at_bat_index", "pitch_index"]), rows(store, "feeds", ["game_pk", "feed_ts"])))
+        for doc in order:
+            store.ingest(spark.createDataFrame([doc], "json string"))
+        stores.append((rows(store, "plays", ["game_pk", "at_bat_index"]), rows(store, "pitches", ["game_pk", "at_bat_index", "pitch_index"]), rows(store, "feeds_final", ["game_pk", "feed_ts"])))
     assert stores[0] == stores[1] == stores[2]
     assert stores[0][0] == [(1, 0), (1, 1), (2, 0)] and stores[0][2] == [(1, "20260401_110000"), (2, "20260401_100000")]
 
