@@ -73,8 +73,9 @@ class PieceCodec:
 def encode_decode(docs: DataFrame, model_path: str, batch_chars: int = 4_000_000) -> DataFrame:
     """One row for each document: number of ids, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text.
 
-    Null and empty texts have no ids and decode to an empty text.  ``batch_chars`` bounds the chunk table.
-    Repeated rows give repeated results; an empty table gives none; extra columns are ignored.
+    Null and empty texts have no ids and decode to an empty text.  ``batch_chars`` bounds the chunk table; a very long text
+    makes a batch of its own.  Repeated rows give repeated results, null ids stay null and nothing is ranked, so ties don't
+    matter; an empty table gives no rows; extra columns are ignored.
     """
 
     def sha(text: str) -> str:

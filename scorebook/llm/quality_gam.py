@@ -171,19 +171,24 @@ def _table_of_features(docs: DataFrame, *more: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **how) -> AdditiveModel:
     """Fits on at most ``sample_rows`` labelled rows: those with the least hash of doc_id among the rows not held out.
 
-    Null labels and null doc_ids are skipped, a doc_id with several labels takes the least.  Without any label the
-    model scores every text 0.5.
+    Null labels and null doc_ids are skipped, a doc_id with several labels takes the least.  Rows with equal hashes follow
+    their doc_id, then their features.  Very long texts count whole.  Without any label the model scores every text 0.5.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # at most sample_rows small rows
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    pdf = _table_of_features(rows).toPandas().sort_values("doc_id", kind="stable")[:sample_rows]
+    # repeated doc_ids may have more rows, so the bound holds before anything is collected
+    pdf = _table_of_features(rows).orderBy("doc_id", "x").limit(sample_rows).toPandas()
     model = AdditiveModel(**how)
     return model.fit(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)) if len(pdf) else model
 
 
 def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``; null text is empty, repeated rows are scored alike."""
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Null text is empty, and an empty one has a score like any other; very long texts are read whole.  Equal texts score the
+    same, so ties and repeated rows need no order.  A null doc_id stays null; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -195,7 +200,11 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Data
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns, in one pass over the texts."""
+    """The documents that the classifier accepts, with all their columns of any name, in one pass over the texts.
+
+    Every row is judged by its own text, also under a null or repeated doc_id; null and empty texts are scored like any other.
+    An empty table stays empty.
+    """
     model = train(docs, labels, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

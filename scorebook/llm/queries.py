@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_knn, jaccard_join, main_text, matrices, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
+from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
 from .common import read_table, shared_dir
 
 
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_knn": op10_hilbert_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL

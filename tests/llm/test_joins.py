@@ -203,18 +203,70 @@ def test_windows_reach_a_falling_share(spark, monkeypatch):
     assert shares[1] < shares[0] < 0.05
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
+    from scorebook.llm import packing, quality_gam, quality_rules
+    from scorebook.llm.byte_bpe import ByteBPE, cut
     from scorebook.llm.common import read_table, stage
-
-    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
-    columns, sizes = docs.columns, [docs.count()]
-    for name, apply in corpus_pipeline.STAGES[:-1]:
-        docs = stage(apply(spark, docs, "/root/testdata/sf0.001"), name)
+    from scorebook.llm.queries import tokenizer_file
+
+    sf = "/root/testdata/sf0.001"
+    docs = read_table(spark, sf, "documents")
+    columns, rows = docs.columns, {r["doc_id"]: r for r in docs.collect()}
+    model = quality_gam.train(docs, read_table(spark, sf, "labels"))
+    stages, got = dict(corpus_pipeline.STAGES), {}
+    for name in list(stages)[:-1]:
+        docs = stage(stages[name](spark, docs, sf), name)
         assert docs.columns == columns
-        sizes.append(docs.count())
-    assert sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[4] == sizes[3]
-    left = {i: t for i, t in docs.select("doc_id", "text").collect()}
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
-    assert {r["doc_id"] for r in packed} == set(left)
-    assert len(corpus_pipeline.STAGES) == 5
+        got[name] = {r["doc_id"]: r for r in docs.collect()}
+        assert len(got[name]) == docs.count()
+    classified, ruled, single, cleaned = got.values()
+    assert set(classified) == {i for i, r in rows.items() if model.score(np.array([quality_gam.features(r["text"] or "")]))[0] >= 0.3} and len(classified) < len(rows)
+    left = spark.createDataFrame([tuple(r) for r in classified.values()], read_table(spark, sf, "documents").schema)
+    assert set(ruled) == {r["doc_id"] for r in quality_rules.judge(left).collect() if r["kept"]}
+    assert set(single) == {c for _, c in brute_components([(i, r["text"]) for i, r in ruled.items()], 5, 80).values()} and len(single) < len(ruled)
+    seen = set()
+    for i in sorted(single):
+        raw = single[i]["text"].encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(raw[p : p + 100])
+        want = bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+        assert cleaned[i]["text"] == want and cleaned[i]["n_chars"] == len(want)
+    assert set(cleaned) == set(single)
+    bpe, pieces, bins = ByteBPE(tokenizer_file("byte_bpe_50k.json")), set(), {}
+    for i, r in cleaned.items():
+        pieces |= {(i, k, s, n) for k, (s, n) in enumerate(cut(len(bpe.one(r["text"])) + 1, 2048))}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"]) for r in packed} == pieces and len(packed) == len(pieces)
+    for r in packed:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+    assert len(bins) <= packing.lower_bound(np.bincount([r["length"] for r in packed], minlength=2049), 2048) + 1
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, long, "en", "a", 5, 1), (1, long, "en", "a", 5, 2), (None, long, None, None, 5, 3), (None, None, "en", "a", None, 4), (2, "", "en", "a", 0, 5), (2, long[:-40], "?", "", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id int")
+    for name, apply in corpus_pipeline.STAGES:
+        out, none = apply(spark, docs, sf), apply(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if name == "best_fit_packing":
+            assert out.count() >= len(rows) and out.filter("doc_id IS NULL").count() >= 2
+            continue
+        assert out.columns == docs.columns and {r["_id"] for r in out.collect()} <= {1, 2, 3, 4, 5, 6}
+        if name == "quality_rules":
+            assert {r["_id"] for r in out.collect()} == {1, 2, 3, 6}  # texts without words fail, null ids or not
+        if name == "jaccard_join":
+            assert {r["_id"] for r in out.collect()} >= {4, 5} and out.count() == 3  # one of the copies stays
+        if name == "suffix_dedup":
+            by = {r["_id"]: r["text"] for r in out.collect()}
+            assert len(by) == 6 and by[3] == long and by[4] is None and by[1] == by[2] == ""

@@ -83,6 +83,31 @@ def test_classifier_holds_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id)
 
 
+def test_scores_against_plain_python(spark):
+    """Features counted by hand, and scores summed entry by entry from the learned tables."""
+    import math
+    from bisect import bisect_right
+
+    text = "Aa bb bb, c1!\n|#\n\nAa bb"
+    x = dict(zip(quality_gam.FEATURES, quality_gam.features(text)))
+    want = {"log_chars": math.log1p(23), "log_words": math.log1p(7), "word_length": 16 / 7, "symbols": 1 / 7, "pipes": 1 / 7, "marks": 1 / 7, "upper": 2 / 11, "digits": 1 / 7, "stops": 1 / 7, "distinct": 5 / 7, "runs": 0.0, "pairs": 5 / 7, "line_words": math.log1p(7 / 3), "dup_lines": 0.0, "long_words": 0.0}
+    assert {k: pytest.approx(v) for k, v in want.items()} == x
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    model = quality_gam.train(docs, labels, sample_rows=500, rounds=20)
+
+    def plain(t):
+        f = [float(v) for v in quality_gam.features(t)]
+        fine = [bisect_right(list(c), v) for c, v in zip(model.cuts, f)]
+        rough = [bisect_right(list(c), v) for c, v in zip(model.coarse_cuts, f)]
+        raw = model.base + sum(float(table[b]) for table, b in zip(model.tables, fine)) + sum(float(table[rough[i]][rough[j]]) for i, j, table in model.pairs)
+        return 1 / (1 + math.exp(-raw))
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in quality_gam.score(docs, model).collect():
+        p = plain(texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(p, abs=1e-9) and (abs(p - 0.3) < 1e-9 or r["predicted"] == (p >= 0.3))
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, "", "x", 1), (2, None, "x", 1), (None, "a b", None, None), (2**60 + 1, "a b", "x", None)], "doc_id long, text string, score string, n_chars int")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
