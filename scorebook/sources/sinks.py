@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def existing_rows(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def made_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written to the shared folder once for each session and ``key``, and again if it is gone from there."""
+    key = (spark.sparkContext.applicationId, *key)
+    files = _made[key].inputFiles() if key in _made else []
+    if not files or not exists(spark, files[0].rsplit("/", 1)[0] + "/_SUCCESS"):
+        _made[key] = staged(make(), f"{shared_folder(spark)}/made")
+    return _made[key]
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrites the partitions that ``df`` has rows for and leaves all others.  Rows of a partition are written by one task."""
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

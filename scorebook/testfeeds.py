@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import testbed
 from .sources import feeds
-from .sources.sinks import shared_folder, staged
+from .sources.sinks import made_once
 from .tables import Tables
 
 
@@ -86,15 +86,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.concat(F.lit('{"gamePk": '), c("game_pk").cast("string"), F.lit(', "metaData": {"timeStamp": "'), stamp, F.lit('"}, "gameData": '), head, *live).alias("json"))
 
 
-_written: dict[tuple[str, str], DataFrame] = {}
-
-
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents``, written once in a session, so that queries read documents and don't make them again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = staged(documents(spark, sf_dir), f"{shared_folder(spark)}/feeds")
-    return _written[key]
+    return made_once(spark, ("feeds", sf_dir), lambda: documents(spark, sf_dir))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
