@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, by_bucket, characters, counted, numbered, slices, stage, texts_of
+from .common import buckets_for, by_bucket, characters, counted, numbered, partitions, slices, stage, texts_of
 from .components import components
 from .repeats import block_hashes, bucket_of, from6, low6, mix, own_bytes, runs, split_sorted, word_codes
 
@@ -322,7 +322,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
             if len(group):
                 yield group[["region", "doc", "boss"]]
 
-    drawn = members.join(sketches, "doc").select("region", "doc", "boss", "n", "sketch").repartition("region").sortWithinPartitions("region")
+    drawn = members.join(sketches, "doc").select("region", "doc", "boss", "n", "sketch").repartition(partitions(spark), "region").sortWithinPartitions("region")
     members = stage(drawn.mapInPandas(prune, "region long, doc long, boss long"), "members")
 
     def join_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,7 +332,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
                 yield pd.DataFrame(got, columns=["a", "b"])
 
     shipped = own.join(counted(members), F.col("doc") == F.col("_id")).select("region", "doc", "boss", "_text")
-    found = shipped.repartition("region").sortWithinPartitions("region").mapInPandas(join_all, "a long, b long")
+    found = shipped.repartition(partitions(spark), "region").sortWithinPartitions("region").mapInPandas(join_all, "a long, b long")
     for more in edges:
         found = found.unionByName(more)
     labels = components(found)
