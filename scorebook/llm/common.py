@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +71,22 @@ def characters(own: DataFrame) -> int:
     return own.agg(F.sum(F.length("_text"))).first()[0] or 0
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system, as workers live on for later stages of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def slices(batches: Iterator[pd.DataFrame], column: str = "_text", chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
     """The rows of Arrow batches in parts of about ``chars`` characters, so that what is computed from them stays small."""
     for pdf in batches:
         part = (np.cumsum(pdf[column].str.len().to_numpy()) - 1) // chars
         for _, piece in pdf.groupby(part, sort=False):
             yield piece
+    release()
 
 
 NULL_ID = -(1 << 63)  # stands for a null doc_id inside tasks, where a null would turn a column of ids into floats

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, cut
-from .common import id_and_text, null_back, stage
+from .common import id_and_text, null_back, release, stage
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,6 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """One row for each piece of each document; a document is its ids and then id 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()  # what the worker held for an operator before
         bpe = ByteBPE(tokenizer_path)
         for pdf in batches:
             rows = []

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, by_bucket, characters, slices, stage, texts_of
+from .common import buckets_for, by_bucket, characters, release, slices, stage, texts_of
 
 M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 M_INV = pow(M, -1, 1 << 64)
@@ -383,6 +383,7 @@ def repeated_spans(known: DataFrame, codes: Callable, cutter: Callable, equal: C
         done = pdf[pdf["kind"] == 2]
         i, a, size = (np.concatenate(x) for x in zip(*out))
         i, a, size = merged(np.repeat(i, size), np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum()))
+        release()
         spans = [span(a, size), span(np.frombuffer(b"".join(done["lo"]), "<u4").astype(np.int64), np.frombuffer(b"".join(done["n"]), "<u2"))]
         return pd.DataFrame({"_id": np.concatenate([i, np.frombuffer(b"".join(done["ids"]), "<i8")]), "span": np.concatenate(spans)})
 
