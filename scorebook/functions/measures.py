@@ -193,7 +193,7 @@ def decisions(win: Column, loss: Column, save: Column, hold: Column, blown: Colu
 
 
 def pitch_flags() -> dict[str, Column]:
-    """Outcome flags of a pitch; unknown inputs give unknown flags."""
+    """Outcome flags of a pitch; unknown inputs give unknown flags.  The call codes and pitch types are fixed values of the feed."""
     call = F.col("call_code")
     return {
         "is_swing": call.isin(*"SWMTFLXDE"), "is_whiff": call.isin(*"SWM"), "is_called_strike": call == "C",
