@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
+from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, periodic_runs, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
 from .common import read_table, shared_dir
 
 
@@ -63,6 +64,27 @@ def op10_hilbert_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_knn.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def cyclic_tail(doc_id: int, words: list[bytes]) -> list[bytes]:
+    """The words that op11's query looks at: of a tenth of the documents the words from one on go round in a cycle."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = (h // 10) % n
+    p = 1 + (n - a) // (3 + (h // 10) % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), rewrite=cyclic_tail)
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_main_text": op2_main_text,
@@ -74,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_codec": op8_piece_codec,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_knn": op10_hilbert_knn,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL
