@@ -6,10 +6,10 @@ import uuid
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, periodic_runs, piece_codec, quality_gam, quality_rules, substring_dedup, suffix_dedup
+from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, periodic_runs, piece_codec, quality_gam, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from .common import read_table, shared_dir
 
 
@@ -85,6 +85,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+    def of_kind(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(of_kind(*secret_scan.BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_main_text": op2_main_text,
@@ -97,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_knn": op10_hilbert_knn,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL
