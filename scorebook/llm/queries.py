@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, periodic_runs, piece_codec, quality_gam, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import hilbert_knn, jaccard_join, main_text, matrices, oracles, packing, periodic_runs, piece_codec, quality_gam, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_alignment
 from .common import read_table, shared_dir
 
 
@@ -85,6 +85,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("*", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")).drop("groups")
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_hilbert_knn": op10_hilbert_knn,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
     "op13_secret_scan": op13_secret_scan,
 }
 
