@@ -68,6 +68,15 @@ class Aligner:
             sizes.append(np.diff(np.searchsorted(np.cumsum(self.sizes[0][got]), upto) + 1, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def words_b(self, words: list[str], at_once: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        """The same on side B, where an id whose piece begins with the marker begins a word."""
+        ids, sizes = [], []
+        for i in range(0, len(words), at_once):
+            got = np.array(self.codec.model.encode(" ".join(words[i : i + at_once]), num_threads=1), np.int64)
+            ids.append(got)
+            sizes.append(np.diff(np.flatnonzero(self.codec.begins[got]), append=len(got)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text on side A (of a space and the text) and on side B (which adds the space).  Where both cut at single spaces, each distinct
         word is encoded once."""
@@ -76,8 +85,8 @@ class Aligner:
         if some:
             words, codes, offsets = split_words(some)
             words = words.to_pylist()
-            tables = self.words_a(words), self.codec.table(words)[:2]
-            both = [gather(np.asarray(ids, np.int64), sizes, codes, offsets) for ids, sizes in tables]
+            tables = self.words_a(words), self.words_b(words)
+            both = [gather(ids, sizes, codes, offsets) for ids, sizes in tables]
             found = zip(*(np.split(ids, upto[1:-1]) for ids, upto in both))
         a, b = [], []
         for t, s in zip(texts, simple):
