@@ -79,8 +79,12 @@ def linescore(t: Tables, least: int = 9) -> DataFrame:
 
 
 def play_steps(t: Tables) -> DataFrame:
-    """Pitches and the events that are shown of every play, in order, with columns that only one of them has."""
-    pitches = t.pitches.select(F.lit("pitch").alias("kind"), "game_pk", "at_bat_index", F.col("pitch_index").alias("step_index"), "pitch_type", "start_speed", "call_code", M.pitch_result(F.col("is_in_play"), F.col("call_code").isin(*"CSFWT")).alias("result"), M.challenge_result(F.col("abs_challenged"), F.col("abs_overturned")).alias("challenge"))
+    """Pitches and the events that are shown of every play, in order, with columns that only one of them has.  A pitch is a strike if it is marked as one."""
+    c = F.col
+    pitches = t.pitches.select(
+        F.lit("pitch").alias("kind"), "game_pk", "at_bat_index", c("pitch_index").alias("step_index"), "pitch_number", F.concat_ws("-", "balls_before", "strikes_before").alias("count"), c("pitch_type_desc").alias("pitch_type"), "start_speed",
+        c("call_desc").alias("call"), M.pitch_result(c("is_in_play"), c("is_strike")).alias("result"), M.challenge_result(c("abs_challenged"), c("abs_overturned")).alias("challenge"), "plate_x", "plate_z", c("sz_top").alias("zone_top"), c("sz_bottom").alias("zone_bottom"),
+    )
     shown = t.play_events.filter(M.is_shown_event(F.col("kind"), F.col("event_type")))
     events = shown.select("kind", "game_pk", "at_bat_index", F.col("event_index").alias("step_index"), "event_type", "description")
     return pitches.unionByName(events, allowMissingColumns=True)
@@ -97,7 +101,7 @@ def play_by_play(t: Tables) -> DataFrame:
     changed = F.coalesce(F.col("pitcher_id") != F.col("_pitcher"), F.lit(False))
     score = lambda s: F.when(F.col("is_scoring_play"), F.col(f"{s}_score_after")).alias(f"{s}_score")
     name = lambda kind, role: M.name_or(F.col(f"_{role}_{kind}"), "Player", F.col(f"{role}_id"))
-    return df.select("game_pk", "at_bat_index", "half_inning", "inning", "half", name("name", "batter").alias("batter"), name("name", "pitcher").alias("pitcher"), name("last", "pitcher").alias("pitcher_last"), changed.alias("pitching_change"), score("away"), score("home"))
+    return df.select("game_pk", "at_bat_index", "half_inning", "inning", "half", "batter_id", "pitcher_id", "description", "is_scoring_play", name("name", "batter").alias("batter"), name("name", "pitcher").alias("pitcher"), name("last", "pitcher").alias("pitcher_last"), changed.alias("pitching_change"), score("away"), score("home"))
 
 
 def team_form(t: Tables, n: int = 10) -> DataFrame:
@@ -160,22 +164,29 @@ def starters_before(t: Tables) -> DataFrame:
     return both.select("game_pk", "side", "pitcher_id", *(f"prior_{c}" for c in counts))
 
 
+def _named_in_game(df: DataFrame, t: Tables) -> DataFrame:
+    """Adds ``name``, the player's as of that game."""
+    names = t.bios.select("game_pk", "player_id", F.coalesce("boxscore_name", "full_name").alias("_name"))
+    return df.join(names, ["game_pk", "player_id"], "left").withColumn("name", M.name_or(F.col("_name"), "Player", F.col("player_id"))).drop("_name")
+
+
 def box_batting(t: Tables) -> DataFrame:
-    """Batters of each side in lineup order, with the side's totals."""
-    g = t.games.select("game_pk", "home_team_id")
-    df = t.batting.join(g, "game_pk").withColumn("side", F.when(F.col("team_id") == F.col("home_team_id"), "home").otherwise("away"))
+    """Batters of each side in lineup order, by their names in that game, with the side's totals."""
+    place = t.game_players.select("game_pk", "player_id", "team_id", "position", "is_substitute", F.col("batting_order").alias("_order"))
+    df = t.batting.join(t.games.select("game_pk", "home_team_id"), "game_pk").withColumn("side", F.when(F.col("team_id") == F.col("home_team_id"), "home").otherwise("away"))
+    df = _named_in_game(df.join(place, ["game_pk", "player_id", "team_id"]), t)
     by_side = Window.partitionBy("game_pk", "side")
-    slot = F.row_number().over(by_side.orderBy(F.col("batting_order").asc_nulls_last(), F.col("player_id")))
-    names = t.players.select("player_id", "full_name")
+    slot = F.row_number().over(by_side.orderBy(F.col("_order").asc_nulls_last(), F.col("player_id")))
     df = df.withColumns({"slot": slot, "side_at_bats": F.sum("at_bats").over(by_side), "side_hits": F.sum("hits").over(by_side)})
-    return df.join(names, "player_id", "left").select("game_pk", "side", "slot", "player_id", M.name_or(F.col("full_name"), "Player", F.col("player_id")).alias("name"), "plate_appearances", "at_bats", "hits", "home_runs", "walks", "strikeouts", "side_at_bats", "side_hits")
+    return df.select("game_pk", "side", "slot", "player_id", "name", "position", F.coalesce("is_substitute", F.lit(False)).alias("is_substitute"), "at_bats", "runs", "hits", "rbi", "home_runs", "walks", "strikeouts", "side_at_bats", "side_hits")
 
 
 def box_pitching(t: Tables) -> DataFrame:
-    """Pitchers of each side, the starter first, then by first appearance, with their decision."""
+    """Pitchers of each side, the starter first, then by first appearance, by their names in that game, with their decision."""
     c = F.col
-    g = t.games.select("game_pk", "home_team_id")
-    df = t.pitching.join(g, "game_pk").withColumn("side", F.when(c("team_id") == c("home_team_id"), "home").otherwise("away"))
-    place = F.row_number().over(Window.partitionBy("game_pk", "side").orderBy(c("is_starter").desc(), c("first_at_bat").asc_nulls_last(), c("player_id")))
+    seen = t.plays.groupBy("game_pk", c("pitcher_id").alias("player_id")).agg(F.min("at_bat_index").alias("_seen"))
+    df = t.pitching.join(t.games.select("game_pk", "home_team_id"), "game_pk").withColumn("side", F.when(c("team_id") == c("home_team_id"), "home").otherwise("away"))
+    df = _named_in_game(df.join(seen, ["game_pk", "player_id"], "left"), t)
+    place = F.row_number().over(Window.partitionBy("game_pk", "side").orderBy(c("is_starter").desc(), c("_seen").asc_nulls_last(), c("player_id")))
     label = M.decision_label(c("is_win"), c("is_loss"), c("is_save"), c("is_blown_save"), c("is_hold"))
-    return df.select("game_pk", "side", place.alias("place"), "player_id", M.innings_text(c("outs")).alias("innings"), "hits", "runs", "earned_runs", "walks", "strikeouts", label.alias("decision"))
+    return df.select("game_pk", "side", place.alias("place"), "player_id", "name", M.innings_text(c("outs")).alias("innings"), "hits", "runs", "earned_runs", "walks", "strikeouts", "home_runs", "pitches", label.alias("decision"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,20 @@ def _top(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def event_board(t: Tables, board: str, start: str, end: str, limit: int = 25) -> DataFrame:
-    rows = rollups.event_leaders(t, board).filter(_in_range(start, end))
+class Stored(Protocol):
+    """Kept rollups, such as ``RollupStore``: rows of covered days and seasons are read, the others computed from the tables."""
+
+    def day_rows(self, t: Tables, name: str, where: Column) -> DataFrame: ...
+
+    def season_rows(self, t: Tables, name: str) -> DataFrame: ...
+
+
+def _days(t: Tables, name: str, start: str, end: str, stored: Stored | None) -> DataFrame:
+    return stored.day_rows(t, name, _in_range(start, end)) if stored else rollups.DAY_ROLLUPS[name](t).filter(_in_range(start, end))
+
+
+def event_board(t: Tables, board: str, start: str, end: str, limit: int = 25, stored: Stored | None = None) -> DataFrame:
+    rows = _days(t, "event_leaders", start, end, stored).filter(F.col("board") == board) if stored else rollups.event_leaders(t, board).filter(_in_range(start, end))
     order = [F.col("value").desc(), *(F.col(c) for c in ("official_date", "game_pk", "at_bat_index", "pitch_index"))]
     top = _top(rows, order, limit)
     opponent = t.players.select(F.col("player_id").alias("opponent_id"), F.col("full_name").alias("_opponent"))
@@ -47,18 +61,18 @@ def event_board(t: Tables, board: str, start: str, end: str, limit: int = 25) ->
     return out.select("rank", "player_id", "name", "opponent_id", M.name_or(F.col("_opponent"), "Player", F.col("opponent_id")).alias("opponent_name"), "value", "pitch_type", "count", "result", "game_pk", F.date_format("official_date", "yyyy-MM-dd").alias("date"), matchup.alias("matchup"))
 
 
-def barrel_rates(t: Tables, start: str, end: str, limit: int = 25, per_day: float = BATTED_BALLS_PER_DAY) -> DataFrame:
+def barrel_rates(t: Tables, start: str, end: str, limit: int = 25, per_day: float = BATTED_BALLS_PER_DAY, stored: Stored | None = None) -> DataFrame:
     names = ["batted_balls", "hard_hits", "barrels", "launch_speed_sum"]
-    df = rollups.batted_ball_days(t).filter(_in_range(start, end)).groupBy("player_id").agg(*M.sums(names))
+    df = _days(t, "batted_ball_days", start, end, stored).groupBy("player_id").agg(*M.sums(names))
     df = _with_game_days(df, t, start, end).filter(F.col("batted_balls") >= per_day * F.col("_days"))
     df = df.withColumns({"barrel_rate": M.ratio("barrels", "batted_balls"), "hard_hit_rate": M.ratio("hard_hits", "batted_balls"), "exit_velocity": M.ratio("launch_speed_sum", "batted_balls")})
     order = [F.col("barrel_rate").desc_nulls_last(), F.col("hard_hit_rate").desc_nulls_last(), F.col("batted_balls").desc(), F.col("player_id")]
     return _named(_top(df, order, limit), t).select("rank", "player_id", "name", "batted_balls", "barrel_rate", "hard_hit_rate", "exit_velocity")
 
 
-def whiff_rates(t: Tables, start: str, end: str, limit: int = 25, per_day: float = PITCHES_PER_DAY) -> DataFrame:
+def whiff_rates(t: Tables, start: str, end: str, limit: int = 25, per_day: float = PITCHES_PER_DAY, stored: Stored | None = None) -> DataFrame:
     names = ["pitches", "swings", "whiffs", "called_strikes", "out_of_zone_pitches", "chases"]
-    df = rollups.pitch_outcome_days(t).filter(_in_range(start, end)).groupBy("player_id").agg(*M.sums(names))
+    df = _days(t, "pitch_outcome_days", start, end, stored).groupBy("player_id").agg(*M.sums(names))
     df = _with_game_days(df, t, start, end).filter((F.col("pitches") >= per_day * F.col("_days")) & (F.col("swings") > 0))
     df = df.withColumns({**M.whiff_rates(), "chase_rate": M.ratio("chases", "out_of_zone_pitches")})
     order = [F.col("whiff_rate").desc(), F.col("csw_rate").desc(), F.col("pitches").desc(), F.col("player_id")]
@@ -85,8 +99,11 @@ def pitching_leaders(t: Tables, start: str, end: str, limit: int = 25, per_day:
     return _named(_top(df, order, limit), t).select("rank", "player_id", "name", "innings", "era", "strikeouts", "strikeout_rate", "walk_rate", "whip")
 
 
-def season_percentiles(t: Tables, role: str, per_team_game: float | None = None) -> DataFrame:
-    """Percentile ranks of every qualified player of every season.  A rate without denominator is null and outside the pool."""
+def season_percentiles(t: Tables, role: str, per_team_game: float | None = None, stored: Stored | None = None) -> DataFrame:
+    """Percentile ranks of every qualified player of every season.  A rate without denominator is null and outside the pool.
+
+    With ``stored`` rollups both the counts and the teams' games come from them.
+    """
     r = M.ratio
     shared = {"whiff_rate": r("whiffs", "swings"), "chase_rate": r("chases", "out_of_zone_pitches"), "strikeout_rate": r("strikeouts", "plate_appearances"), "walk_rate": r("walks", "plate_appearances"), "hard_hit_rate": r("hard_hits", "batted_balls"), "barrel_rate": r("barrels", "batted_balls")}
     if role == "batter":
@@ -95,9 +112,14 @@ def season_percentiles(t: Tables, role: str, per_team_game: float | None = None)
     else:
         per, own = PITCHERS_PER_TEAM_GAME, {"fastball_velocity": F.col("fastball_velocity"), "csw_rate": r(F.col("called_strikes") + F.col("whiffs"), "pitches")}
         low = {"walk_rate", "hard_hit_rate", "barrel_rate"}
-    games = views.appearances_of(t).groupBy("season", "batting_team_id").agg(F.countDistinct("game_pk").alias("games"))
+    if stored:
+        games = stored.season_rows(t, "team_season_batting").filter((F.col("split") == "all") & (F.col("scope") == "team"))
+        counts = stored.season_rows(t, "player_season_counts").filter(F.col("role") == role)
+    else:
+        games = views.appearances_of(t).groupBy("season", "batting_team_id").agg(F.countDistinct("game_pk").alias("games"))
+        counts = rollups.player_season_counts(t, role)
     threshold = games.groupBy("season").agg(F.ceil((per if per_team_game is None else per_team_game) * F.max("games")).cast("int").alias("threshold"))
-    df = rollups.player_season_counts(t, role).join(threshold, "season")
+    df = counts.join(threshold, "season")
     stats = {k: (v, "lower" if k in low else "higher") for k, v in {**shared, **own}.items()}
     out = qualified_percentiles(df, stats, F.col("plate_appearances") >= F.col("threshold"), ["season"])
     return out.select("season", "player_id", "threshold", *(c for k in stats for c in (k, f"{k}_percentile")))

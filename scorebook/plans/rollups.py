@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,12 @@ def event_leaders(t: Tables, board: str, n: int = LEADERS_PER_DAY) -> DataFrame:
     who, whom, value, where = _boards()[board]
     a = t.plays.select("game_pk", "at_bat_index", "event_type", "event", "total_distance")
     g = t.games.filter(M.tracked()).select("game_pk", "season", "official_date")
-    e = t.pitches.join(g, "game_pk").join(a, ["game_pk", "at_bat_index"], "left").filter(where)
+    e = t.pitches.drop("season", "total_distance").join(g, "game_pk").join(a, ["game_pk", "at_bat_index"], "left").filter(where)
     order = [F.col(value).desc(), F.col("game_pk"), F.col("at_bat_index"), F.col("pitch_index")]
     rows = e.select(
-        F.lit(board).alias("board"), "season", "official_date", F.col(who).alias("player_id"), F.col(whom).alias("opponent_id"), F.col(value).cast("double").alias("value"), "pitch_type",
+        F.lit(board).alias("board"), "season", "official_date", F.col(who).alias("player_id"), F.col(whom).alias("opponent_id"), F.col(value).cast("double").alias("value"), F.col("pitch_type_desc").alias("pitch_type"),
         F.concat(F.col("balls_before").cast("string"), F.lit("-"), F.col("strikes_before").cast("string")).alias("count"),
-        F.when(F.col("is_in_play"), F.col("event")).otherwise(F.col("call_code")).alias("result"), "game_pk", "at_bat_index", "pitch_index",
+        F.when(F.col("is_in_play"), F.col("event")).otherwise(F.col("call_desc")).alias("result"), "game_pk", "at_bat_index", "pitch_index",
     )
     return topn_per_group(rows, ["official_date"], [F.col("value").desc(), *order[1:]], n)
 
@@ -119,20 +121,26 @@ def team_season_pitches(t: Tables) -> DataFrame:
     return out.withColumn("fastball_velocity", M.ratio("_fast_sum", "_fasts")).drop("_fast_sum", "_fasts")
 
 
-def day_rollups(t: Tables) -> dict[str, DataFrame]:
-    """All rollups by season and day."""
-    boards = [event_leaders(t, b) for b in _boards()]
-    every = boards[0]
-    for more in boards[1:]:
+def every_event_leader(t: Tables) -> DataFrame:
+    """The leaders of all boards."""
+    every, *rest = [event_leaders(t, b) for b in _boards()]
+    for more in rest:
         every = every.unionByName(more)
-    return {"batted_ball_days": batted_ball_days(t), "pitch_outcome_days": pitch_outcome_days(t), "event_leaders": every}
+    return every
 
 
-def season_rollups(t: Tables) -> dict[str, DataFrame]:
-    """All rollups by season."""
-    return {
-        "player_season_counts": player_season_counts(t, "batter").unionByName(player_season_counts(t, "pitcher")),
-        "team_season_batting": team_season_batting(t), "team_season_swing_decisions": team_season_swing_decisions(t),
-        "team_season_pitching": team_season_pitching(t), "team_season_pitches": team_season_pitches(t),
-        "teams": views.team_dimension(t.game_teams),
-    }
+#: All rollups by season and day, and all by season, each a function of the tables.
+DAY_ROLLUPS = {"batted_ball_days": batted_ball_days, "pitch_outcome_days": pitch_outcome_days, "event_leaders": every_event_leader}
+SEASON_ROLLUPS = {
+    "player_season_counts": lambda t: player_season_counts(t, "batter").unionByName(player_season_counts(t, "pitcher")),
+    "team_season_batting": team_season_batting, "team_season_swing_decisions": team_season_swing_decisions,
+    "team_season_pitching": team_season_pitching, "team_season_pitches": team_season_pitches, "teams": lambda t: views.team_dimension(t.game_teams),
+}
+
+
+def day_rollups(t: Tables, names: Iterable[str] = tuple(DAY_ROLLUPS)) -> dict[str, DataFrame]:
+    return {n: DAY_ROLLUPS[n](t) for n in names if n in DAY_ROLLUPS}
+
+
+def season_rollups(t: Tables, names: Iterable[str] = tuple(SEASON_ROLLUPS)) -> dict[str, DataFrame]:
+    return {n: SEASON_ROLLUPS[n](t) for n in names if n in SEASON_ROLLUPS}

@@ -15,7 +15,8 @@ from .operators import core
 from .plans import rollups, views
 from .queries import PA, PO, QUERIES, SQL, add, rounded
 from .sources import derive, feeds, schedule, schemas
-from .sources.sinks import existing_rows, shared_folder
+from .sources.sinks import shared_folder
+from .sources.snapshots import Snapshots
 from .streaming import ingest, live
 
 
@@ -71,7 +72,7 @@ add_events("scoring_alerts", lambda e: live.scoring_alerts(_runs(e), ["user_id"]
 DONE = "(SELECT * FROM plays WHERE at_bat_index % 13 <> 12)"
 
 
-_BAT = ["plate_appearances", "at_bats", "hits", "doubles", "triples", "home_runs", "total_bases", "walks", "hit_by_pitch", "sac_flies", "strikeouts"]
+_BAT = ["plate_appearances", "at_bats", "hits", "doubles", "triples", "home_runs", "total_bases", "walks", "hit_by_pitch", "sac_flies", "strikeouts", "runs", "rbi", "intentional_walks", "sac_bunts", "stolen_bases", "caught_stealing", "ground_into_double_plays", "left_on_base"]
 _ARM, _FLAGS = ["outs", "batters_faced", "hits", "runs", "earned_runs", "home_runs", "walks", "strikeouts"], ["is_starter", "is_win", "is_loss", "is_save", "is_hold", "is_blown_save"]
 _long = lambda c: F.col(c).cast("long").alias(c)
 _pk = lambda: _long("game_pk")
@@ -83,7 +84,7 @@ def add_feed(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> No
 
 
 add_feed("feed_plays", lambda g: derive.plays(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", "at_bat_index", "inning", "half", F.col("batter_id").cast("long").alias("batter_id"), "event_type", "outs_after", "home_score_after", "pitch_count", "launch_speed", "has_review"), f"SELECT p.game_pk, g.season, at_bat_index, p.inning, half, batter_id, event_type, outs_after, home_score_after, (q % 4 + 1)::INTEGER AS pitch_count, CASE WHEN h.at_bat_index IS NOT NULL THEN raw_speed END AS launch_speed, false AS has_review FROM {DONE} p JOIN games g USING (game_pk) LEFT JOIN (SELECT DISTINCT game_pk, at_bat_index FROM pitches WHERE call_code IN ('X','D','E')) h USING (game_pk, at_bat_index)")
-add_feed("pitch_context", lambda g: derive.pitches(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "pitch_index", F.col("pitcher_id").cast("long").alias("pitcher_id"), "pitch_hand", "balls_before", "strikes_before", "outs_before", "call_code", "start_speed", "zone"), f"WITH d AS (SELECT *, coalesce(lag(outs_after) OVER (PARTITION BY game_pk, inning, half ORDER BY at_bat_index), 0) AS outs0, lag(pitcher_id) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev, lag(pitch_hand) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev_hand FROM {DONE}) SELECT p.game_pk, p.at_bat_index, p.pitch_index * 2 AS pitch_index, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev, d.pitcher_id) ELSE d.pitcher_id END AS pitcher_id, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev_hand, d.pitch_hand) ELSE d.pitch_hand END AS pitch_hand, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 4 END::INTEGER AS balls_before, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 3 END::INTEGER AS strikes_before, CASE WHEN p.pitch_index = 0 THEN outs0 ELSE p.at_bat_index % 3 END::INTEGER AS outs_before, call_code, start_speed, zone FROM pitches p JOIN d ON d.game_pk = p.game_pk AND d.at_bat_index = p.at_bat_index")
+add_feed("pitch_context", lambda g: derive.pitches(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "pitch_index", F.col("pitcher_id").cast("long").alias("pitcher_id"), "pitch_hand", "balls_before", "strikes_before", "outs_before", "call_code", "start_speed", "zone", "pitch_number", "pitch_type_desc", "call_desc", "is_strike", "plate_x", "plate_z", "sz_top", "sz_bottom"), f"WITH d AS (SELECT *, coalesce(lag(outs_after) OVER (PARTITION BY game_pk, inning, half ORDER BY at_bat_index), 0) AS outs0, lag(pitcher_id) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev, lag(pitch_hand) OVER (PARTITION BY game_pk, half ORDER BY at_bat_index) AS prev_hand FROM {DONE}) SELECT p.game_pk, p.at_bat_index, p.pitch_index * 2 AS pitch_index, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev, d.pitcher_id) ELSE d.pitcher_id END AS pitcher_id, CASE WHEN p.at_bat_index % 6 = 5 AND p.pitch_index = 0 THEN coalesce(prev_hand, d.pitch_hand) ELSE d.pitch_hand END AS pitch_hand, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 4 END::INTEGER AS balls_before, CASE WHEN p.pitch_index = 0 OR (p.at_bat_index % 6 = 5 AND p.pitch_index = 1) THEN 0 ELSE (p.pitch_index - 1) % 3 END::INTEGER AS strikes_before, CASE WHEN p.pitch_index = 0 THEN outs0 ELSE p.at_bat_index % 3 END::INTEGER AS outs_before, call_code, start_speed, zone, pitch_number, pitch_type_desc, call_desc, is_strike, plate_x, plate_z, sz_top, sz_bottom FROM pitches p JOIN d ON d.game_pk = p.game_pk AND d.at_bat_index = p.at_bat_index")
 add_feed("feed_events", lambda g: derive.play_events(g).select(F.col("game_pk").cast("long").alias("game_pk"), "at_bat_index", "event_index", "kind", "event_type"), f"SELECT game_pk, at_bat_index, 1 AS event_index, 'action' AS kind, 'pitching_substitution' AS event_type FROM {DONE} WHERE at_bat_index % 6 = 5")
 add_feed("feed_linescores", lambda g: derive.linescores(g).select(F.col("game_pk").cast("long").alias("game_pk"), "inning", "half", "runs", "hits", "errors"), "SELECT * FROM linescores")
 add_feed("feed_decisions", lambda g: derive.decisions(g).select(F.col("game_pk").cast("long").alias("game_pk"), "season", F.col("winner_id").cast("long").alias("winner_id"), F.col("loser_id").cast("long").alias("loser_id"), F.col("save_id").cast("long").alias("save_id")), "SELECT d.* FROM decisions d WHERE game_pk IN (SELECT game_pk FROM plays)")
@@ -148,17 +149,21 @@ QUERIES["schedule_games"] = schedule_games
 SQL["schedule_games"] = testbed.oracle("SELECT game_pk, season, official_date, game_type, game_number, double_header, coded_state, home_team_id, home_score, away_team_id, away_score, home_probable_id FROM games")
 
 
+#: Days in a partition of the written per-game tables and day rollups: these queries' tables are small.
+SPAN = 400
+
+
 def _store(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def refreshed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day rollups, built without some games and refreshed on these games' days; they must equal a rebuild."""
-    t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark))
+    t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark), SPAN)
     some = ingest.within(t, t.games.filter("game_pk % 400 <> 1"), ["game_pk"])
-    store.refresh_seasons(some, t.games.select("season"), ["batted_ball_days"])
+    store.rebuild(some, ["batted_ball_days"])
     store.refresh_days(t, t.games.filter("game_pk % 400 = 1"), ["batted_ball_days"])
-    return store.read("batted_ball_days", rollups.batted_ball_days(t).schema)
+    return store.read("batted_ball_days")
 
 
 def rebuilt_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,15 +171,15 @@ def rebuilt_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark))
     store.refresh_seasons(ingest.within(t, t.games.filter("game_pk % 2 = 0"), ["game_pk"]), t.games.select("season"), ["team_season_pitching"])
     store.rebuild(t, ["team_season_pitching"])
-    return store.read("team_season_pitching", rollups.team_season_pitching(t).schema)
+    return store.read("team_season_pitching")
 
 
 def written_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two upserts into a table by season; only seasons that changed are written."""
-    t, path = testbed.tables(spark, sf_dir), _store(spark)
+    t, tables = testbed.tables(spark, sf_dir), Snapshots(spark, _store(spark), {"games": ["season"]})
     for rows in (_base(t), _later(t)):
-        schedule.write_games(spark, rows, f"{path}/games", f"{path}/_staged")
-    return existing_rows(spark, f"{path}/games", _base(t).schema)
+        schedule.write_games(tables, rows)
+    return tables.read("games")
 
 
 QUERIES["refreshed_days"] = lambda spark, sf_dir: rounded(refreshed_days(spark, sf_dir))
@@ -194,20 +199,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _source(spark, f"{sf_dir}/events*.parquet", _events(spark, sf_dir).schema)
 
 
-def _run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All available input through a stream into Parquet below ``folder``; complete mode rewrites it at each batch."""
-    spark, out = stream.sparkSession, f"{folder}/out"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", out)
-    else:
-        writer = writer.foreachBatch(lambda batch, turn: batch.write.mode("overwrite").parquet(out))
-    writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(live.latest(_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id"), _store(spark), "complete")
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    """All available input through a stream into Parquet below ``folder``."""
+    out = f"{folder}/out"
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +230,6 @@ def stream_bursts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(live.debounce_capped(_stream(spark, sf_dir), "user_id", "ts", 7200, 21600), _store(spark))
 
 
-QUERIES["stream_latest_state"] = stream_latest
-SQL["stream_latest_state"] = SQL["latest_state"]
 QUERIES["stream_version_watch"] = stream_versions
 SQL["stream_version_watch"] = "WITH e AS (SELECT DISTINCT user_id, event_id FROM events WHERE user_id IS NOT NULL), m AS (SELECT user_id, max(event_id) AS last FROM e WHERE event_id % 2 = 0 GROUP BY user_id) SELECT e.* FROM e LEFT JOIN m USING (user_id) WHERE event_id % 2 = 0 OR last IS NULL OR event_id > last"
 QUERIES["stream_dedupe"] = stream_dedupe

@@ -4,8 +4,9 @@ projection ``g`` (see ``feeds.parsed``); a batch equals its games one by one, in
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.changes import require
@@ -39,28 +40,52 @@ def plays(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _before(plays: Column, key: Callable[[Column], Column]) -> Column:
+    """For each of a document's completed plays, in order, the place from 0 of the play before it with the same ``key``, or null: one pass over the
+    plays carries the last place of every key."""
+    seen = F.struct(F.lit(None).cast("map<string,int>").alias("last"), F.array().cast("array<int>").alias("at"))
+
+    def step(s: Column, p: Column) -> Column:
+        name, here = key(p), F.size(s["at"])
+        last = F.coalesce(s["last"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
+        rest = F.map_filter(last, lambda k, _: ~k.eqNullSafe(name))
+        return F.struct(F.map_concat(rest, F.create_map(name, here)).alias("last"), F.concat(s["at"], F.array(F.try_element_at(last, name))).alias("at"))
+
+    return F.aggregate(plays, seen, step, lambda s: s["at"])
+
+
 def pitches(parsed: DataFrame) -> DataFrame:
     """One row for each pitch, with the count before it and the pitcher who threw it.
 
     Pitches before the last substitution of their play are credited to the pitcher of the fielding side's play before.
+    All that a pitch takes from earlier plays and events comes from the arrays of its own document, so nothing is shuffled.
     """
-    half, side = (Window.partitionBy("game_pk", *k).orderBy("at_bat_index") for k in (("about.inning", "about.halfInning"), ("about.halfInning",)))
-    substitution = F.try_element_at(F.filter("playEvents", lambda e: e["details"]["eventType"] == "pitching_substitution"), F.lit(-1))["index"]
-    # one shuffle by game serves the four windows; a game's plays stay together from then on
-    by_game = parsed.select("game_pk", "season", F.struct(F.struct(F.struct(F.col("g.liveData.plays.allPlays").alias("allPlays")).alias("plays")).alias("liveData")).alias("g")).repartition("game_pk")
-    df = completed_plays(by_game).withColumns({"outs_before_play": F.coalesce(F.lag("count.outs").over(half), F.lit(0)), "previous": F.lag("matchup").over(side), "changed_at": substitution})
-    df = df.withColumn("e", F.explode("playEvents")).drop("playEvents")
-    play = Window.partitionBy("game_pk", "at_bat_index")
-    by_index = play.orderBy("e.index")
+    none = F.lit("")
+    half = lambda p: F.concat_ws("|", F.coalesce(p["about"]["inning"].cast("string"), none), F.coalesce(p["about"]["halfInning"], none))
+    done = F.filter("g.liveData.plays.allPlays", lambda p: p["about"]["isComplete"])
+    ordered = F.array_sort(done, lambda a, b: F.when(a["about"]["atBatIndex"] < b["about"]["atBatIndex"], -1).when(a["about"]["atBatIndex"] > b["about"]["atBatIndex"], 1).otherwise(0))
+    df = parsed.select("game_pk", "season", ordered.alias("plays"))
+    outs = F.transform("plays", lambda p: F.struct(p["about"].alias("about"), p["count"]["outs"].alias("outs"), p["matchup"].alias("matchup")))
+    df = df.withColumn("context", outs).withColumns({"_half": _before(F.col("context"), half), "_side": _before(F.col("context"), lambda p: F.coalesce(p["about"]["halfInning"], none))})
+    df = df.select("game_pk", "season", "context", "_half", "_side", F.posexplode("plays").alias("_n", "p"))
+    at = lambda place: F.get("context", F.get(place, F.col("_n")))  # noqa: E731  a null place gives null
+    substitution = F.try_element_at(F.filter("p.playEvents", lambda e: e["details"]["eventType"] == "pitching_substitution"), F.lit(-1))["index"]
+    events = F.array_sort("p.playEvents", lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0))
+    df = df.select(
+        "game_pk", "season", F.col("p.about.atBatIndex").alias("at_bat_index"), "p.about", "p.matchup", "p.reviewDetails", F.coalesce(at("_half")["outs"], F.lit(0)).alias("outs_before_play"), at("_side")["matchup"].alias("previous"), substitution.alias("changed_at"),
+        F.array_max(F.transform(F.filter("p.playEvents", lambda e: e["isPitch"]), lambda e: e["index"])).alias("last_pitch"), events.alias("events"),
+    )
+    df = df.select("*", F.posexplode("events").alias("_k", "e")).filter("e.isPitch")
+    earlier = F.when(F.col("_k") > 0, F.get("events", F.col("_k") - 1)["count"])
     df = df.withColumns(
         {
-            "is_last": F.col("e.index") == F.max(F.when(F.col("e.isPitch"), F.col("e.index"))).over(play),
-            "balls_before": F.coalesce(F.lag("e.count.balls").over(by_index), F.lit(0)),
-            "strikes_before": F.coalesce(F.lag("e.count.strikes").over(by_index), F.lit(0)),
-            "outs_before": F.coalesce(F.lag("e.count.outs").over(by_index), F.col("outs_before_play")),
+            "is_last": F.col("e.index") == F.col("last_pitch"),
+            "balls_before": F.coalesce(earlier["balls"], F.lit(0)),
+            "strikes_before": F.coalesce(earlier["strikes"], F.lit(0)),
+            "outs_before": F.coalesce(earlier["outs"], F.col("outs_before_play")),
             "by": F.when(F.col("e.index") < F.col("changed_at"), F.coalesce("previous", "matchup")).otherwise(F.col("matchup")),
         }
-    ).filter("e.isPitch")
+    )
     challenge = F.when(F.col("e.reviewDetails.reviewType") == "MJ", F.col("e.reviewDetails")).when(F.col("is_last") & (F.col("reviewDetails.reviewType") == "MJ"), F.col("reviewDetails"))
     df = df.withColumn("abs", challenge)
     data, hit = "e.pitchData", "e.hitData"

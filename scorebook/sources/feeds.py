@@ -10,13 +10,18 @@ from ..operators.changes import newer_of_two, store_feeds
 from . import schemas
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each landed JSON document."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
+def _text(reader, path: str, separator: str | None) -> DataFrame:
+    reader = reader.option("lineSep", separator) if separator else reader.option("wholetext", True)
+    return reader.format("text").load(path).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("source"))
 
 
-def stream_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.format("text").option("wholetext", True).load(path).withColumnRenamed("value", "json")
+def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """One row for each landed JSON document, with the file it came from: a file is a document, or several with a separator between them."""
+    return _text(spark.read, path, separator)
+
+
+def stream_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    return _text(spark.readStream, path, separator)
 
 
 def with_header(documents: DataFrame) -> DataFrame:
@@ -34,9 +39,13 @@ def with_header(documents: DataFrame) -> DataFrame:
 
 
 def split_valid(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable documents, quarantine)."""
+    """(usable documents, refused ones with the reason and a hash that names the document)."""
     df = with_header(documents)
-    return df.filter("valid").drop("valid"), df.filter("NOT valid")
+    missing = F.concat_ws(", ", *(F.when(F.col(c).isNull(), c) for c in ("game_pk", "season", "feed_ts")))
+    broken = F.get_json_object("json", "$").isNull()
+    reason = F.when(F.length(F.trim("json")).isNull() | (F.length(F.trim("json")) == 0), "empty").when(broken, "no JSON").otherwise(F.concat(F.lit("no "), missing))
+    refused = df.filter("NOT valid").withColumns({"reason": reason, "document": F.sha2(F.coalesce("json", F.lit("")), 256)})
+    return df.filter("valid").drop("valid"), refused.drop("valid")
 
 
 def store(final: DataFrame, live: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,14 +9,15 @@ from ..functions import measures as M
 from ..operators.changes import append_if_changed, changed_rows, replace_by_key, upsert_changed
 from ..operators.core import latest_per_key
 from . import schemas
-from .sinks import existing_rows, replace_partitions, staged
+from .snapshots import Batch, Snapshots, again, listed
 
 RESCHEDULED_STATES = ("D", "T", "U")
 DAY = ["season", "official_date"]
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SCHEDULE).json(path, multiLine=True)
+def read_schedule(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed schedule documents: a file each, or a line each."""
+    return spark.read.schema(schemas.SCHEDULE).json(path, multiLine=not lines)
 
 
 def parse(documents: DataFrame) -> DataFrame:
@@ -79,16 +80,27 @@ def record_probables(history: DataFrame, games: DataFrame, observed_at: Column)
     return append_if_changed(history, now, ["game_pk", "side"], ["pitcher_id", "pitcher_name"], "observed_at")
 
 
-def write_games(spark: SparkSession, incoming: DataFrame, path: str, folder: str) -> DataFrame:
-    """Upserts ``incoming`` into the table at ``path`` and writes only the seasons that a changed game
-    leaves or enters; gives the changed rows.  ``folder`` takes the staged rows."""
-    existing = existing_rows(spark, path, incoming.schema)
-    changed = staged(changed_rows(existing, incoming, ["game_pk"]), folder)
-    left = existing.join(changed.select("game_pk"), "game_pk", "left_semi")
-    touched = staged(changed.select("season").union(left.select("season")).distinct(), folder)
-    state = replace_by_key(existing.join(F.broadcast(touched), "season", "left_semi"), changed, ["game_pk"])
-    replace_partitions(spark, state, path, ["season"], folder, touched)
-    return changed
+def upsert_into(batch: Batch, name: str, incoming: DataFrame) -> tuple[bool, DataFrame]:
+    """Upserts ``incoming`` games into a table by season within a batch: only seasons that a changed game leaves or enters are written.
+    Gives whether any changed, and the changed games as they were and as they are."""
+    existing = batch.held(name, incoming.schema)
+    changed = batch.stage(changed_rows(existing, incoming, ["game_pk"]))
+    both = batch.stage(changed.unionByName(existing.join(changed.select("game_pk"), "game_pk", "left_semi")))
+    parts = listed(both.select("season"))
+    if parts:
+        batch.replace(name, replace_by_key(batch.held(name, incoming.schema, parts), changed, ["game_pk"]), parts)
+    return bool(parts), both
+
+
+def write_games(tables: Snapshots, incoming: DataFrame, name: str = "games") -> None:
+    """Upserts ``incoming`` into a table of ``tables`` as one commit."""
+
+    def work() -> None:
+        with tables.begin() as batch:
+            if upsert_into(batch, name, incoming)[0]:
+                batch.commit()
+
+    again(work)
 
 
 def impacted(previous: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Partitioned Parquet tables: staged writes, and replacement of touched partitions only."""
+"""The shared folder, and tables staged in it."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def existing_rows(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at ``path``, or no rows before it is first written."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
 _made: dict[tuple, DataFrame] = {}
 
 
@@ -50,21 +45,3 @@ def made_once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) ->
     if not files or not exists(spark, files[0].rsplit("/", 1)[0] + "/_SUCCESS"):
         _made[key] = staged(make(), f"{shared_folder(spark)}/made")
     return _made[key]
-
-
-def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrites the partitions that ``df`` has rows for and leaves all others.  Rows of a partition are written by one task."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def replace_partitions(spark: SparkSession, new: DataFrame, path: str, by: list[str], folder: str, touched: DataFrame | None = None) -> None:
-    """Stages ``new``, so that reading the table it came from ends before it is overwritten, then swaps its partitions.
-
-    Partitions in ``touched`` that ``new`` has no row for are deleted.  A run that breaks off is healed by running it again.
-    """
-    new = staged(new, folder)
-    write_partitions(new, path, by)
-    if touched is not None:
-        for r in touched.select(*by).distinct().join(new.select(*by).distinct(), by, "left_anti").collect():  # touched partitions only
-            at = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{c}={r[c]}" for c in by)]))
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import measures as M
@@ -77,6 +78,25 @@ def debounce_capped(stream: DataFrame, key: str, ts: str, quiet_s: int = 30, mos
     return rows.applyInPandasWithState(step, f"{key} {key_type}, first_ms long, due_ms long, events long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def debounce_arrivals(stream: DataFrame, key: str, quiet_s: float = 30, most_s: float = 120, key_type: str = "long") -> DataFrame:
+    """(key, events) for each burst of a key's rows by the time they arrive, so none is ever late: given out when the key was quiet for
+    ``quiet_s`` seconds, or ``most_s`` seconds after its first row.  It waits by the clock, so run it with ``start_batches``, not through what is available."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, n = state.get if state.exists else (state.getCurrentProcessingTimeMs(), 0)
+        n += sum(len(b) for b in batches)
+        left = min(quiet_s * 1000, first + most_s * 1000 - state.getCurrentProcessingTimeMs())
+        if state.hasTimedOut or left <= 0:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [k[0]], "events": [n]})
+        else:
+            state.update((first, n))
+            state.setTimeoutDuration(max(1, int(left)))
+
+    return stream.select(key).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, events long", "first long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def feed_changes(previous: DataFrame, following: DataFrame) -> DataFrame:
     """Finished plays (complete, with a description) of the newer snapshot that are new or changed."""
     done = F.col("is_complete") & (F.coalesce(F.length("description"), F.lit(0)) > 0)
@@ -132,3 +152,8 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     """Runs all available input through ``work`` batch by batch: derive, replace by key, refresh the touched days, and
     rebuild seasons with final games.  The checkpoint makes it restartable; ``work`` must be repeatable."""
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def start_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """The same for a stream that goes on until it is stopped."""
+    return stream.writeStream.foreachBatch(work).outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -22,8 +22,8 @@ def _boxes(t: Tables) -> DataFrame:
     who = [F.struct(c("player_id").alias("id")).alias("person"), (c("player_id") % 99).cast("string").alias("jerseyNumber")]
     played = lambda p: [F.struct(F.lit(p).alias("abbreviation")).alias("position"), F.array(F.struct(F.lit(p).alias("abbreviation"))).alias("allPositions")]
     line = lambda names: [c(a).cast("int").alias(b) for a, b in names.items()]
-    bat = {"plate_appearances": "plateAppearances", "at_bats": "atBats", "hits": "hits", "doubles": "doubles", "triples": "triples", "home_runs": "homeRuns", "total_bases": "totalBases", "walks": "baseOnBalls", "hit_by_pitch": "hitByPitch", "sac_flies": "sacFlies", "strikeouts": "strikeOuts"}
-    arm = {"outs": "outs", "batters_faced": "battersFaced", "hits": "hits", "runs": "runs", "earned_runs": "earnedRuns", "home_runs": "homeRuns", "walks": "baseOnBalls", "strikeouts": "strikeOuts", "is_starter": "gamesStarted", "is_win": "wins", "is_loss": "losses", "is_save": "saves", "is_hold": "holds", "is_blown_save": "blownSaves"}
+    bat = {"plate_appearances": "plateAppearances", "at_bats": "atBats", "hits": "hits", "doubles": "doubles", "triples": "triples", "home_runs": "homeRuns", "total_bases": "totalBases", "walks": "baseOnBalls", "hit_by_pitch": "hitByPitch", "sac_flies": "sacFlies", "strikeouts": "strikeOuts", "runs": "runs", "rbi": "rbi", "intentional_walks": "intentionalWalks", "sac_bunts": "sacBunts", "stolen_bases": "stolenBases", "caught_stealing": "caughtStealing", "ground_into_double_plays": "groundIntoDoublePlay", "left_on_base": "leftOnBase"}
+    arm = {"outs": "outs", "batters_faced": "battersFaced", "hits": "hits", "runs": "runs", "earned_runs": "earnedRuns", "home_runs": "homeRuns", "walks": "baseOnBalls", "strikeouts": "strikeOuts", "is_starter": "gamesStarted", "is_win": "wins", "is_loss": "losses", "is_save": "saves", "is_hold": "holds", "is_blown_save": "blownSaves", "pitches": "numberOfPitches"}
     one = F.lit(1).alias("gamesPlayed")
     batters = F.struct(*who, *played("1B"), (c("batting_order") * 100 + 100).cast("string").alias("battingOrder"), F.struct((c("batting_order") > 8).alias("isSubstitute")).alias("gameStatus"), F.struct(F.struct(one, *line(bat)).alias("batting")).alias("stats"))
     pitchers = F.struct(*who, *played("P"), F.struct((~c("is_starter")).alias("isSubstitute")).alias("gameStatus"), F.struct(F.struct(one, *line(arm)).alias("pitching")).alias("stats"))
@@ -53,20 +53,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.struct((c("pitch_index") % 4).alias("balls"), (c("pitch_index") % 3).alias("strikes"), (c("at_bat_index") % 3).alias("outs"))
     pitch = F.struct(
         (c("pitch_index") * 2).alias("index"), F.lit(True).alias("isPitch"), F.lit("pitch").alias("type"), count.alias("count"),
-        F.struct(F.struct(c("call_code").alias("code")).alias("call"), F.struct(c("pitch_type").alias("code")).alias("type"), F.lit(None).cast("string").alias("eventType"), c("is_in_play").alias("isInPlay")).alias("details"),
-        F.struct(c("start_speed").alias("startSpeed"), c("zone").alias("zone")).alias("pitchData"), F.when(c("is_in_play"), F.struct(c("launch_speed").alias("launchSpeed"))).alias("hitData"),
+        F.struct(F.struct(c("call_code").alias("code"), c("call_desc").alias("description")).alias("call"), F.struct(c("pitch_type").alias("code"), c("pitch_type_desc").alias("description")).alias("type"), F.lit(None).cast("string").alias("eventType"), c("is_in_play").alias("isInPlay"), c("is_strike").alias("isStrike")).alias("details"),
+        F.struct(c("start_speed").alias("startSpeed"), c("zone").alias("zone"), F.struct(c("plate_x").alias("pX"), c("plate_z").alias("pZ")).alias("coordinates"), c("sz_top").alias("strikeZoneTop"), c("sz_bottom").alias("strikeZoneBottom")).alias("pitchData"), F.when(c("is_in_play"), F.struct(c("launch_speed").alias("launchSpeed"))).alias("hitData"), c("pitch_number").alias("pitchNumber"),
     )
     events = t.pitches.groupBy("game_pk", "at_bat_index").agg(F.array_sort(F.collect_list(F.struct((c("pitch_index") * 2).alias("at"), pitch.alias("e")))).alias("es")).select("game_pk", "at_bat_index", F.col("es.e").alias("es"))
     change = F.struct(
         F.lit(1).alias("index"), F.lit(False).alias("isPitch"), F.lit("action").alias("type"), F.struct(F.lit(0).alias("balls"), F.lit(0).alias("strikes"), (c("at_bat_index") % 3).alias("outs")).alias("count"),
-        F.struct(F.lit(None).cast("struct<code:string>").alias("call"), F.lit(None).cast("struct<code:string>").alias("type"), F.lit("pitching_substitution").alias("eventType"), F.lit(None).cast("boolean").alias("isInPlay")).alias("details"),
-        F.lit(None).cast("struct<startSpeed:double,zone:int>").alias("pitchData"), F.lit(None).cast("struct<launchSpeed:double>").alias("hitData"),
+        F.struct(F.lit(None).cast("struct<code:string,description:string>").alias("call"), F.lit(None).cast("struct<code:string,description:string>").alias("type"), F.lit("pitching_substitution").alias("eventType"), F.lit(None).cast("boolean").alias("isInPlay"), F.lit(None).cast("boolean").alias("isStrike")).alias("details"),
+        F.lit(None).cast("struct<startSpeed:double,zone:int,coordinates:struct<pX:double,pZ:double>,strikeZoneTop:double,strikeZoneBottom:double>").alias("pitchData"), F.lit(None).cast("struct<launchSpeed:double>").alias("hitData"), F.lit(None).cast("int").alias("pitchNumber"),
     )
     both = F.when(c("at_bat_index") % 6 == 5, F.concat("es", F.array(change))).otherwise(c("es"))
     play = F.struct(
         F.struct(c("at_bat_index").alias("atBatIndex"), "inning", c("half").alias("halfInning"), (c("at_bat_index") % 13 != 12).alias("isComplete"), c("is_scoring_play").alias("isScoringPlay")).alias("about"),
         F.struct(ident("batter_id").alias("batter"), ident("pitcher_id").alias("pitcher"), code("bat_side").alias("batSide"), code("pitch_hand").alias("pitchHand"), F.struct(c("men_on_base").alias("menOnBase")).alias("splits")).alias("matchup"),
-        F.struct("event", c("event_type").alias("eventType"), c("is_out").alias("isOut"), c("home_score_after").alias("homeScore"), c("away_score_after").alias("awayScore")).alias("result"),
+        F.struct("event", "description", c("event_type").alias("eventType"), c("is_out").alias("isOut"), c("home_score_after").alias("homeScore"), c("away_score_after").alias("awayScore")).alias("result"),
         F.struct(F.lit(0).alias("balls"), F.lit(0).alias("strikes"), c("outs_after").alias("outs")).alias("count"), both.alias("playEvents"),
     )
     plays = t.plays.join(events, ["game_pk", "at_bat_index"]).groupBy("game_pk").agg(F.transform(F.array_sort(F.collect_list(F.struct(c("at_bat_index").alias("at"), F.to_json(play).alias("p")))), lambda x: x["p"]).alias("ps"))
