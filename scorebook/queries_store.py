@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +48,24 @@ def _landing(spark: SparkSession, sf_dir: str, path: str, drop: int) -> None:
     landed.withColumn("source", F.lit(f"drop {drop}")).write.parquet(f"{path}/drop={drop}")
 
 
-@lru_cache(maxsize=2)
-def _followed(app: str, sf_dir: str) -> tuple[ingest.GameStore, ingest.RollupStore]:
-    """A store that followed the landed documents, made once for a session."""
-    spark = SparkSession.getActiveSession()
+_stores: dict[tuple[str, str, str], object] = {}
+
+
+def _once(make):
+    """``make(spark, sf_dir)``, called once for a session and its tables."""
+
+    def get(spark: SparkSession, sf_dir: str):
+        key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _stores:
+            _stores[key] = make(spark, sf_dir)
+        return _stores[key]
+
+    return get
+
+
+@_once
+def followed(spark: SparkSession, sf_dir: str) -> tuple[ingest.GameStore, ingest.RollupStore]:
+    """A store that followed the landed documents."""
     root, t = _store(spark), testbed.tables(spark, sf_dir)
     store, rolled = ingest.GameStore(spark, root, SPAN), ingest.RollupStore(spark, root, SPAN)
     store.put_games(t.games)
@@ -65,10 +77,6 @@ def _followed(app: str, sf_dir: str) -> tuple[ingest.GameStore, ingest.RollupSto
     return store, rolled
 
 
-def followed(spark: SparkSession, sf_dir: str) -> tuple[ingest.GameStore, ingest.RollupStore]:
-    return _followed(spark.sparkContext.applicationId, sf_dir)
-
-
 QUERIES["stream_rollups"] = lambda spark, sf_dir: rounded(followed(spark, sf_dir)[1].read("team_season_pitching"))
 SQL["stream_rollups"] = SQL["team_season_pitching"]
 QUERIES["stored_plays"] = lambda spark, sf_dir: followed(spark, sf_dir)[0].read("plays").select(_pk(), "season", "at_bat_index", F.col("batter_id").cast("long").alias("batter_id"), "event_type", "outs_after", "description")
@@ -83,10 +91,9 @@ SQL["quarantined"] = testbed.oracle("WITH d AS (SELECT DISTINCT game_pk FROM pla
 
 
 # ---- reads that take stored rollups ---------------------------------------------------------------------------------
-@lru_cache(maxsize=2)
-def _rolled(app: str, sf_dir: str) -> ingest.RollupStore:
-    """Rollups of all games but those of 1997's second half and of season 1994, made once for a session: a read has stored and open days."""
-    spark = SparkSession.getActiveSession()
+@_once
+def _rolled(spark: SparkSession, sf_dir: str) -> ingest.RollupStore:
+    """Rollups of all games but those of 1997's second half and of season 1994: a read has stored and open days."""
     t, store = testbed.tables(spark, sf_dir), ingest.RollupStore(spark, _store(spark), SPAN)
     store.rebuild(ingest.within(t, t.games.filter("season <> 1994 AND NOT (season = 1997 AND month(official_date) > 6)"), ["game_pk"]))
     # season 1997 was rolled up when half of its games were there: these count as changed since
@@ -97,7 +104,7 @@ def _rolled(app: str, sf_dir: str) -> ingest.RollupStore:
 
 
 def add_stored(name: str, read, like: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(read(testbed.tables(spark, sf_dir), _rolled(spark.sparkContext.applicationId, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: rounded(read(testbed.tables(spark, sf_dir), _rolled(spark, sf_dir)))
     SQL[name] = SQL[like]
 
 

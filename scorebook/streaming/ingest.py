@@ -96,13 +96,11 @@ class GameStore:
                 batch.commit()
                 return None
             stored = batch.stage(feeds.parsed(feeds.current(new_final, new_live).join(keys, "game_pk", "left_semi")))  # parsed once for all tables
-            for name, make in derive.TABLES.items():
-                rest = batch.held(name, self.schemas[name], parts).join(keys, "game_pk", "left_anti")
-                batch.replace(name, rest.unionByName(make(stored).join(stored.select("game_pk", "span"), "game_pk").select(*rest.columns)), parts)
+            new = {n: make(stored).join(stored.select("game_pk", "span"), "game_pk") for n, make in derive.TABLES.items()}
+            rest = {n: batch.held(n, self.schemas[n], parts).join(keys, "game_pk", "left_anti") for n in new}
+            batch.replace_all({n: rest[n].unionByName(new[n].select(*rest[n].columns)) for n in new} | {"feeds_final": new_final, "feeds_live": new_live}, parts)
             for name, rules in derive.RULES.items():
                 batch.check(name, **rules)
-            batch.replace("feeds_final", new_final, parts)
-            batch.replace("feeds_live", new_live, parts)
             self._players(batch, parts, keys)
             self._uncover(batch, keys)
             batch.replace("changes", stored.select(F.col("game_pk").cast("long").alias("game_pk"), "is_final", F.current_timestamp().alias("at")))
@@ -228,10 +226,10 @@ class RollupStore:
         number = span("official_date", self.days)
         days = batch.stage(days.select(*DAY).distinct().withColumn("span", number))
         parts = listed(days.select("season", "span"))
-        for name, df in rollups.day_rollups(within(t, days, DAY), names).items():
-            df = df.withColumn("span", number)
-            rest = batch.held(name, df.schema, parts).join(days.select(*DAY), DAY, "left_anti")
-            batch.replace(name, df if self.days == 1 else rest.unionByName(df), parts)
+        new = {n: df.withColumn("span", number) for n, df in rollups.day_rollups(within(t, days, DAY), names).items()}
+        if self.days > 1:
+            new = {n: batch.held(n, df.schema, parts).join(days.select(*DAY), DAY, "left_anti").unionByName(df) for n, df in new.items()}
+        batch.replace_all(new, parts)
         if set(rollups.DAY_ROLLUPS) <= set(names):
             rest = batch.held("covered_days", COVERED, parts).join(days.select(*DAY), DAY, "left_anti")
             batch.replace("covered_days", rest.unionByName(days.select(F.col("season").cast("int").alias("season"), "official_date", "span")), parts)
@@ -239,8 +237,7 @@ class RollupStore:
     def _seasons(self, batch, t: Tables, seasons: DataFrame, names: Sequence[str]) -> None:
         seasons = batch.stage(seasons.select("season").distinct())
         parts = listed(seasons)
-        for name, df in rollups.season_rollups(within(t, seasons, ["season"]), names).items():
-            batch.replace(name, df, parts)
+        batch.replace_all(rollups.season_rollups(within(t, seasons, ["season"]), names), parts)
         if set(rollups.SEASON_ROLLUPS) <= set(names):
             through = t.games.groupBy("season").agg(F.max("official_date").alias("through"))
             batch.replace("covered_seasons", seasons.join(through, "season", "left").select(F.col("season").cast("int").alias("season"), "through"), parts)
