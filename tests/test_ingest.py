@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorebook.plans import leaders, rollups
-from scorebook.sources import derive, feeds, schedule, schemas
-from scorebook.sources.snapshots import Conflict, Snapshots, listed
-from scorebook.streaming import ingest, live
+from scorebook.sources import derive, feeds
+from scorebook.sources.snapshots import Batch, Conflict, Snapshots
+from scorebook.streaming import live
 from scorebook.streaming.ingest import GameStore, ProbableLog, RollupStore, refresh_players, upsert_latest
 from scorebook.tables import Tables
 from tests_feed import feed, pitch, play
@@ -26,6 +26,12 @@ def small(spark):
         spark.conf.set(k, v)
 
 
+@pytest.fixture
+def few(monkeypatch):
+    """Four of the per-game tables: enough to see that they change together."""
+    monkeypatch.setattr(derive, "TABLES", {n: derive.TABLES[n] for n in ("plays", "pitches", "batting", "bios")})
+
+
 def rows(store, name, cols):
     return sorted(tuple(r) for r in store.read(name).select(*cols).collect())
 
@@ -43,7 +49,7 @@ NEW = feed(1, "20260401_110000", "F", [play(0, events=[pitch(0)]), play(1, event
 OTHER = feed(2, "20260401_100000", "F", [play(0, events=[pitch(0)])])
 
 
-def test_versions_and_order(spark, tmp_path):
+def test_versions_and_order(spark, tmp_path, few):
     found = []
     for n, order in enumerate(([(OLD,), (NEW, OTHER)], [(NEW, OTHER), (OLD,)])):
         store = GameStore(spark, f"file://{tmp_path}/s{n}")
@@ -54,22 +60,22 @@ def test_versions_and_order(spark, tmp_path):
     assert found[0][0] == [(1, 0), (1, 1), (2, 0)] and found[0][2] == [(1, "20260401_110000"), (2, "20260401_100000")]
 
 
-def test_batch_that_breaks_between_tables_changes_nothing(spark, tmp_path, monkeypatch):
+def test_batch_that_breaks_between_tables_changes_nothing(spark, tmp_path, monkeypatch, few):
     store = GameStore(spark, f"file://{tmp_path}/s")
     store.ingest(land(spark, OLD, OTHER))
     before, version = state(store), store.tables.version()
-    write = Snapshots.begin(store.tables).__class__._write
+    write = Batch._write
 
     def broken(self, name, rows):
         if name == "batting":
             raise OSError("lost")
         write(self, name, rows)
 
-    monkeypatch.setattr("scorebook.sources.snapshots.Batch._write", broken)
+    monkeypatch.setattr(Batch, "_write", broken)
     with pytest.raises(OSError):
         store.ingest(land(spark, NEW))
     assert state(store) == before and store.tables.version() == version  # plays were written, and nobody sees them
-    monkeypatch.undo()
+    monkeypatch.setattr(Batch, "_write", write)
     store.ingest(land(spark, NEW))
     assert state(store)[0] == [(1, 0), (1, 1), (2, 0)] and not os.listdir(f"{tmp_path}/s/_work")
     # the leftovers of the broken batch go, tables stay
@@ -77,7 +83,7 @@ def test_batch_that_breaks_between_tables_changes_nothing(spark, tmp_path, monke
     assert store.tables.vacuum(1) > 0 and state(store) == now and store.tables.vacuum(1) == 0
 
 
-def test_broken_rule_refuses_the_whole_batch(spark, tmp_path):
+def test_broken_rule_refuses_the_whole_batch(spark, tmp_path, few):
     store = GameStore(spark, f"file://{tmp_path}/s")
     store.ingest(land(spark, OLD))
     before = state(store)
@@ -87,13 +93,13 @@ def test_broken_rule_refuses_the_whole_batch(spark, tmp_path):
     assert state(store) == before
 
 
-def test_quarantine_keeps_each_refused_document_once(spark, tmp_path):
+def test_quarantine_keeps_each_refused_document_once(spark, tmp_path, few):
     store = GameStore(spark, f"file://{tmp_path}/s")
     undated = NEW[0].replace("timeStamp", "stamp")
     for _ in range(2):
         store.ingest(land(spark, NEW, "{broken", "", undated, undated))
-    assert rows(store, "quarantine", ["reason", "source"]) == [("empty", "file 2"), ("no JSON", "file 1"), ("no feed_ts", "file 3")] or len(rows(store, "quarantine", ["reason"])) == 3
-    assert sorted(r[0] for r in rows(store, "quarantine", ["reason"])) == ["empty", "no JSON", "no feed_ts"]
+    assert rows(store, "quarantine", ["reason"]) == [("empty",), ("no JSON",), ("no feed_ts",)]
+    assert {("empty", "file 2"), ("no JSON", "file 1")} <= set(rows(store, "quarantine", ["reason", "source"]))
     assert rows(store, "plays", ["game_pk"]) == [(1,), (1,)]
     good, bad = feeds.split_valid(land(spark, NEW, "{broken", ""))
     assert good.count() + bad.count() == 3
@@ -124,7 +130,7 @@ def test_commits_of_others(spark, tmp_path):
     assert tables.read("b").count() == 16 and len(tables.folders("b")) == 2
 
 
-def test_stream_of_files_and_lookup(spark, tmp_path):
+def test_stream_of_files_and_lookup(spark, tmp_path, few):
     (tmp_path / "in").mkdir()
     for i in range(3):
         (tmp_path / "in" / f"{i}.json").write_text(feed(i, plays=[play(0, events=[pitch(0)])])[0])
@@ -239,7 +245,7 @@ def test_debounced_arrivals(spark, tmp_path):
     assert {k for k, _ in got} == {7} and sum(n for _, n in got) == 4 and len(got) <= 2
 
 
-def test_players_follow_their_games(spark, tmp_path):
+def test_players_follow_their_games(spark, tmp_path, few):
     store = GameStore(spark, f"file://{tmp_path}/s")
     bio = lambda pk, day, weight, ts: json.dumps({**(d := json.loads(on(pk, day, ts=ts))), "gameData": {**d["gameData"], "players": {"ID7": {"id": 7, "fullName": "Seven", "weight": weight}}}})
     weight = lambda: [tuple(r) for r in store.tables.read("players").select("game_pk", "weight").collect()]
@@ -249,8 +255,6 @@ def test_players_follow_their_games(spark, tmp_path):
     assert weight() == [(3, 95)]
     store.ingest(land(spark, bio(3, "2024-04-20", 70, "2")))  # the newest game moved before the others: picked again from all bios
     assert weight() == [(1, 90)]
-    store.ingest(land(spark, bio(1, "2026-04-01", 91, "2")))
-    assert weight() == [(1, 91)]
 
 
 def test_refresh_players(spark, as_rows):
