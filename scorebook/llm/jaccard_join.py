@@ -8,9 +8,10 @@ regions of one least document are joined into one.
 A region too large for a task is cut by document pivots (``cut_regions``): every member is measured against several
 and belongs to the Voronoi cell of the nearest one it is linked with.  Members of a cell are connected
 through its pivot, so by the triangle inequality only members near the border remain, together with the replicas of
-unconnected documents whose distance to the pivot lies in the cell's window.  Members far from all
-pivots get shingle pivots again, by their rarity inside the region.  Cells and new regions are cut in turn; a part
-that is still over half of its region is compared block by block instead, so a region of m members
+unconnected documents whose distance to the pivot lies in the cell's window.  Members far from all pivots
+meet those that their sketches can't tell apart (``close_regions``); where they are too many for a task, those that may be linked at all
+get shingle pivots again, by their rarity inside the region.  Cells and new regions are cut in turn; a part
+that is still over half of its region meets by sketches, block by block, so a region of m members
 takes a number of steps that grows as log m.
 
 In a region that fits, members that no other can be linked with are taken out first: a shingle more or less changes
@@ -66,8 +67,8 @@ def counter_of(s: np.ndarray, counters: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Hashes of the set in each of B buckets, B the power of two next above an eighth of its size."""
-    buckets = 1 << min(max((max(len(s), 1) // 8).bit_length(), 4), 11)
+    """Hashes of the set in each of B buckets, B the power of two next above a quarter of its size."""
+    buckets = 1 << min(max((max(len(s), 1) // 4).bit_length(), 4), 12)
     return np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
@@ -94,6 +95,49 @@ def possible(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
     return out
 
 
+def close(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """A symmetric matrix of which two sets may be linked, by the lower bound that their sketches give."""
+    counts = [np.frombuffer(x, np.uint8).astype(np.int32) for x in sketches]
+    order, out = np.argsort(n, kind="stable"), np.zeros((len(n), len(n)), bool)
+    widths, folded = np.array([len(counts[i]) for i in order]), {}
+    for w in np.unique(widths).tolist():  # those of larger sets fold
+        folded[w] = np.minimum(np.stack([counts[i].reshape(-1, w).sum(0) for i in order[np.searchsorted(widths, w) :]]), 255).astype(np.int16)
+    sizes = n[order]
+    ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    for at, end in enumerate(ends.tolist()):
+        if end > at + 1:
+            w = int(widths[at])
+            rows = folded[w][at - len(order) + len(folded[w]) : end - len(order) + len(folded[w])]
+            apart = np.abs(rows[1:] - rows[0]).sum(1, dtype=np.int64)
+            found = order[at + 1 : end][(100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[at + 1 : end])]
+            out[order[at], found] = out[found, order[at]] = True
+    return out
+
+
+def close_sets(near: np.ndarray, most: int) -> list[np.ndarray]:
+    """Sets of at most ``most`` rows such that any two rows with an entry in ``near`` meet in one of them.
+
+    A row and those of its neighbours that it did not meet yet are a set, the row with most neighbours first: a group of copies is one
+    set, a few neighbours are a few small ones.  They hold no more rows in all than comparing block by block would take.
+    """
+
+    def blocks(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= most:
+            return [rows]
+        parts = np.array_split(rows, -(-2 * len(rows) // most))
+        return [np.concatenate([a, b]) for i, a in enumerate(parts) for b in parts[i + 1 :]]
+
+    degree, left, out = near.sum(1), near.copy(), []
+    for v in np.argsort(-degree, kind="stable"):
+        others = np.flatnonzero(left[v])
+        if len(others):
+            rows = np.concatenate([[v], others])
+            left[np.ix_(rows, rows)] = False
+            out += blocks(rows)
+    plain = blocks(np.flatnonzero(degree))
+    return out if sum(map(len, out)) <= sum(map(len, plain)) else plain
+
+
 def meetable(heads: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
     """Rows of runs (beginning at ``heads``, in the order of n) that share their shingle as the first one with another row they
     might be linked with.
@@ -302,7 +346,7 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
             break
         fit.append(members.join(sizes, "region", "left_anti").select("region", "doc", "boss"))
         still = F.coalesce(2 * F.col("rows") > F.col("parent"), F.lit(False))
-        fit.append(in_blocks(members, sizes.filter(still), leaf_rows))
+        fit.append(close_regions(members.join(sizes.filter(still).select("region"), "region").join(sketches, "doc"), percent, leaf_rows))
         cut = stage(sizes.filter(~still), "cut")
         if cut.isEmpty():
             break
@@ -339,12 +383,46 @@ def _components(known: DataFrame, size: int = 4, percent: int = 85, leaf_rows: i
     return named.join(labels, named["point"] == labels["node"], "left").select("_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component"))
 
 
-def in_blocks(members: DataFrame, sizes: DataFrame, leaf_rows: int) -> DataFrame:
-    """Members of the regions in ``sizes`` in blocks of about half ``leaf_rows``, as a region for each two blocks."""
-    blocks = F.ceil(2 * F.col("rows") / leaf_rows)
-    mine = F.pmod(F.xxhash64("doc"), blocks)
-    dealt = members.select("region", "doc", "boss").join(sizes.select("region", "rows"), "region").withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return dealt.select(F.xxhash64("region", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("region"), "doc", "boss")
+def in_pairs(far: DataFrame, rows: int) -> DataFrame:
+    """``far`` (region, doc, boss, n, sketch) with the blocks of about half ``rows`` that regions are dealt to, a ``pair`` for each two of them."""
+    blocks = F.when(F.col("rows") > rows, F.ceil(2 * F.col("rows") / rows)).otherwise(1).cast("long")
+    sized = far.groupBy("region").agg(F.count("*").alias("rows")).withColumn("_blocks", blocks)
+    dealt = far.select("region", "doc", "boss", "n", "sketch").join(sized, "region").withColumn("block", F.pmod(F.xxhash64("doc"), "_blocks"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    two = F.xxhash64("region", F.least("block", "_o"), F.greatest("block", "_o")).alias("pair")
+    return dealt.select(two, "region", "doc", "boss", "n", "sketch", "block").repartition(partitions(far.sparkSession), "pair").sortWithinPartitions("pair")
+
+
+def close_regions(far: DataFrame, percent: int, leaf_rows: int) -> DataFrame:
+    """Regions of at most ``leaf_rows`` members in which all members of a region of ``far`` meet that may be linked.
+
+    Documents may share most of their text without being linked, as filled-in forms do.  No distance to a pivot parts them, and every
+    shingle gathers them again; their sketches do part them.  A task compares the sketches of two blocks; texts don't move before that.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_group(batches, "pair"):
+            near, boss, block = close(group["n"].to_numpy(), group["sketch"].tolist(), percent), group["boss"].to_numpy(), group["block"].to_numpy()
+            near &= boss[:, None] != boss  # connected already
+            if (block != block[0]).any():
+                near &= block[:, None] != block  # a block meets itself in a pair of its own
+            sets = close_sets(near, leaf_rows)
+            if sets:
+                rows = group.iloc[np.concatenate(sets)]
+                yield rows[["pair", "doc", "boss"]].assign(k=np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+
+    found = in_pairs(far, 8 * leaf_rows).mapInPandas(compare, "pair long, doc long, boss long, k long")
+    return found.select(F.xxhash64("pair", "k").alias("region"), "doc", "boss")
+
+
+def pairable(far: DataFrame, percent: int, leaf_rows: int) -> DataFrame:
+    """region and doc of the members in ``far`` that some other one of their region may be linked with."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_group(batches, "pair"):
+            yield group.loc[possible(group["n"].to_numpy(), group["sketch"].tolist(), percent), ["region", "doc"]]
+
+    return in_pairs(far, 8 * leaf_rows).mapInPandas(compare, "region long, doc long").distinct()
 
 
 def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int, percent: int, leaf_rows: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +445,7 @@ def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int,
 
     def measure(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=["region", "doc", "boss", "n", "near", "shingles"])
+            return pd.DataFrame(columns=["region", "doc", "boss", "n", "near", "shingles", "sketch"])
         sets, centres, out = shingle_sets(own_bytes(pdf["text"]), size), shingle_sets(own_bytes(at["shown"]), size), []
         flat, lens = np.concatenate(centres), np.array([len(c) for c in centres])
         starts = np.cumsum(lens) - lens
@@ -376,10 +454,10 @@ def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int,
             link, apart = linked(shared, len(s), lens, percent), 1 - shared / (len(s) + lens - shared)
             near = [{"p": p, "d": float(d), "link": bool(k), "same": b == boss} for p, b, d, k in zip(at["pivot"].tolist(), at["boss"].tolist(), apart, link)]
             alone = not any(x["link"] or x["same"] for x in near)
-            out.append((pdf["region"].iloc[0], doc, boss, len(s), near, s.astype(np.int64).tolist() if alone else None))
-        return pd.DataFrame(out, columns=["region", "doc", "boss", "n", "near", "shingles"])
+            out.append((pdf["region"].iloc[0], doc, boss, len(s), near, s.astype(np.int64).tolist() if alone else None, sketch(s) if alone else None))
+        return pd.DataFrame(out, columns=["region", "doc", "boss", "n", "near", "shingles", "sketch"])
 
-    schema = "region long, doc long, boss long, n long, near array<struct<p: long, d: double, link: boolean, same: boolean>>, shingles array<long>"
+    schema = "region long, doc long, boss long, n long, near array<struct<p: long, d: double, link: boolean, same: boolean>>, shingles array<long>, sketch binary"
     got = rows.groupBy("region", "salt").cogroup(shown.groupBy("region", "salt")).applyInPandas(measure, schema)
     mine = F.filter("near", lambda x: x["link"] | x["same"])
     got = stage(got.withColumn("home", F.array_min(F.transform(mine, lambda x: F.struct(x["d"].alias("d"), x["p"].alias("p"), x["link"].alias("link"))))), f"measured{turn}")
@@ -412,8 +490,14 @@ def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int,
     sized = sizes.select(F.col("region"), F.col("rows").alias("parent"))
     cells = cells.join(sized, "region").select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "doc", "boss", "parent")
 
-    # members far from all pivots: shingle pivots again, in the order of their rarity here
-    lone = got.filter("home IS NULL").select("region", "doc", "boss", "n", F.explode("shingles").alias("s"))
+    # members far from all pivots: those of one task's worth meet by their sketches; of more, those that another one of them may be
+    # linked with get shingle pivots again, in the order of their rarity here
+    far = got.filter("home IS NULL")
+    counts = far.groupBy("region").agg((F.count("*") > 8 * leaf_rows).alias("many"))
+    met = close_regions(far.join(counts.filter("not many"), "region"), percent, leaf_rows)
+    far = far.join(counts.filter("many").select("region"), "region")
+    far = far.join(stage(pairable(far, percent, leaf_rows), f"pairable{turn}"), ["region", "doc"], "left_semi")
+    lone = far.select("region", "doc", "boss", "n", F.explode("shingles").alias("s"))
     common = stage(lone.groupBy("region", "s").count().filter("count > 1"), f"common{turn}")
     shared = lone.join(common, ["region", "s"]).groupBy("region", "doc", "boss").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "s"))).alias("q"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("q"))  # shingles of its own come before
@@ -421,7 +505,8 @@ def cut_regions(members: DataFrame, sizes: DataFrame, own: DataFrame, size: int,
     groups = sent.groupBy("region", "s").agg(F.min("doc").alias("p"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     parts = sent.join(groups, ["region", "s"]).select("region", "p", "doc", "boss").distinct()
     parts = parts.join(sized, "region").select(F.xxhash64("region", "p", F.lit(turn), F.lit("s")).alias("region"), "doc", "boss", "parent")
-    return stage(cells.unionByName(parts).distinct(), f"parts{turn}"), edges
+    parts = cells.unionByName(parts).unionByName(met.withColumn("parent", F.lit(None).cast("long")))
+    return stage(parts.distinct(), f"parts{turn}"), edges
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

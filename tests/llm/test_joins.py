@@ -102,6 +102,56 @@ def test_sketches_never_lose_a_link():
                 assert keep[i] and keep[j]
 
 
+def test_close_sets_meet_all_that_may_be_linked():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(12):  # groups of copies, and documents that share two thirds with others
+        s = rng.integers(0, 2**63, rng.integers(20, 3000), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([s[rng.random(len(s)) < keep], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for keep in (0.99, 0.99, 0.98, 0.8, 0.7)]
+    n, sketches = np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets]
+    near = jaccard_join.close(n, sketches, 85)
+    assert (near == near.T).all() and not near.diagonal().any()
+    assert (near.any(1) == jaccard_join.possible(n, sketches, 85)).all()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            k = len(np.intersect1d(a, b))
+            assert i == j or near[i, j] or 100 * k < 85 * (len(a) + len(b) - k)
+    for most in (2, 4, 100):
+        for matrix in (near, np.ones((20, 20), bool) & ~np.eye(20, dtype=bool), np.triu(rng.random((40, 40)) < 0.1, 1)):
+            matrix = matrix | matrix.T
+            found = jaccard_join.close_sets(matrix, most)
+            assert all(len(x) <= most and len(np.unique(x)) == len(x) for x in found)
+            met = np.zeros_like(matrix)
+            for x in found:
+                met[np.ix_(x, x)] = True
+            assert (met | ~matrix).all()
+    assert jaccard_join.close_sets(np.zeros((3, 3), bool), 4) == []
+    one = jaccard_join.close_sets(np.ones((50, 50), bool) & ~np.eye(50, dtype=bool), 100)
+    assert len(one) == 1 and len(one[0]) == 50
+
+
+@pytest.mark.parametrize("how", [{}, {"leaf_rows": 8, "pivots": 4}])
+def test_forms_that_share_sentences(spark, how, monkeypatch):
+    """Documents of 40 of the same 50 sentences: nearly none are linked, and no document goes out more than three times."""
+    rng, members = random.Random(5), []
+    sentences = [" ".join(f"v{rng.randrange(4000)}" for _ in range(20)) for _ in range(50)]
+    docs = [". ".join(sentences[k] for k in sorted(rng.sample(range(50), 40))) for _ in range(280)]
+    docs += [f"{docs[7]} and some more words here", f"a few words before {docs[7]}", f"{docs[90]} the end"]
+    stage = jaccard_join.stage
+
+    def noted(df, name):
+        out = stage(df, name)
+        if name == "members":
+            members.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", noted)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df, **how).collect()}
+    assert got == brute_components(list(enumerate(docs)), 4, 85)
+    assert got[280][1] == got[281][1] == 7 and got[282][1] == 90 and members[0] <= 3 * len(docs)
+
+
 def test_meetable_equals_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(200):
