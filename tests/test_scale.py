@@ -1,5 +1,8 @@
 """Plans that must hold at any size, looked at over the smallest tables."""
 
+import datetime as dt
+
+import duckdb
 import pytest
 
 from scorebook import queries, testbed
@@ -43,3 +46,14 @@ def test_boards_without_columns_that_are_only_shown(spark):
     plain = Tables(**{**names, "pitches": t.pitches.drop("pitch_type_desc", "call_desc")})
     row = rollups.event_leaders(plain, "fastest_pitches").first()
     assert len(row["pitch_type"]) == 2
+
+
+def test_bursts_count_in_milliseconds(spark, tmp_path):
+    """Two hours apart by the millisecond, though not by the microsecond; and due at the last watermark but for microseconds."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=s)
+    hour = 3_600_000_000
+    found = [(1, at(900), 1), (2, at(2 * hour + 100), 1), (3, at(8 * hour + 400), 2), (4, at(10 * hour + 10_000_000), 3)]
+    spark.createDataFrame([(e, t, u, "view", 1.0, "{}") for e, t, u in found], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect().sql(queries.SQL["stream_bursts"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = queries.QUERIES["stream_bursts"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("user_id", "first_ms", "due_ms", "events").collect()) == sorted(want) and len(want) == 3
