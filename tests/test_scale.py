@@ -57,3 +57,9 @@ def test_bursts_count_in_milliseconds(spark, tmp_path):
     want = duckdb.connect().sql(queries.SQL["stream_bursts"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
     got = queries.QUERIES["stream_bursts"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.select("user_id", "first_ms", "due_ms", "events").collect()) == sorted(want) and len(want) == 3
+
+
+def test_team_rollup_keeps_nothing_wide_for_a_game(spark):
+    """Rows that are multiplied for splits and grouping sets are sums of teams, not of games."""
+    plan = queries.QUERIES["team_season_batting"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "Expand" in line and "game_pk" in line]
