@@ -63,3 +63,15 @@ def test_team_rollup_keeps_nothing_wide_for_a_game(spark):
     """Rows that are multiplied for splits and grouping sets are sums of teams, not of games."""
     plan = queries.QUERIES["team_season_batting"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan.splitlines() if "Expand" in line and "game_pk" in line]
+
+
+def test_players_lines_are_made_in_parts_of_a_number_of_plays(spark, monkeypatch):
+    """The parts of a game's plays grow in number with the table, not in size, and starters need no join."""
+    assert testbed.PLAYS_PER_TASK == 250_000
+    seen = []
+    monkeypatch.setattr(testbed, "PLAYS_PER_TASK", 500)
+    monkeypatch.setattr(testbed, "made_once", lambda session, key, make: seen.append((key[0], make())) or seen[-1][1])
+    t = testbed.tables(spark, SF)
+    plays, _ = t.plays.count(), t.pitching
+    plan = next(df for name, df in seen if name == "pitching_")._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(game_pk" in plan and f", {plays // 500})" in plan and "side" not in plan
