@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from scorebook import queries, testbed
-from scorebook.plans import leaders, rollups
+from scorebook.plans import games, leaders, rollups
 from scorebook.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,14 @@ def test_players_lines_are_made_in_parts_of_a_number_of_plays(spark, monkeypatch
     plays, _ = t.plays.count(), t.pitching
     plan = next(df for name, df in seen if name == "pitching_")._jdf.queryExecution().executedPlan().toString()
     assert f"hashpartitioning(game_pk" in plan and f", {plays // 500})" in plan and "side" not in plan
+
+
+def test_linescore_shuffles_the_halves_once(spark):
+    """One exchange of line scores and one of games; a half may have two rows, and an inning may be unknown."""
+    plan = queries.QUERIES["linescore"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    lines = spark.createDataFrame([(1, 1, "top", 2, 1, 0), (1, 1, "top", 3, 1, 0), (1, 12, "bottom", 1, 1, 1), (1, None, "top", 4, 0, 0)], "game_pk long, inning int, half string, runs int, hits int, errors int")
+    t = Tables(linescores=lines, games=spark.createDataFrame([(1, "F")], "game_pk long, coded_state string"))
+    rows = sorted(tuple(r) for r in games.linescore(t).collect())
+    assert [r[:4] for r in rows] == [(1, i, "3" if i == 1 else "x", "1" if i == 12 else "x") for i in range(1, 13)]
+    assert {r[4:] for r in rows} == {(9, 2, 0, 1, 1, 1)}
