@@ -86,3 +86,9 @@ def test_linescore_shuffles_the_halves_once(spark):
     rows = sorted(tuple(r) for r in games.linescore(t).collect())
     assert [r[:4] for r in rows] == [(1, i, "3" if i == 1 else "x", "1" if i == 12 else "x") for i in range(1, 13)]
     assert {r[4:] for r in rows} == {(9, 2, 0, 1, 1, 1)}
+
+
+def test_spray_chart_shuffles_only_plays_with_a_place(spark):
+    plan = queries.QUERIES["spray_chart"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(game_pk"):]
+    assert "isnotnull(hit_coord_x" in below and "isnotnull(hit_coord_y" in below and "LeftSemi" in below
