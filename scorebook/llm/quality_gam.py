@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, null_back
+from .common import NULL_ID, id_and_text, null_back, release
 
 FEATURES = ["log_chars", "log_words", "word_length", "symbols", "pipes", "marks", "upper", "digits", "stops", "distinct", "runs", "pairs", "line_words", "dup_lines", "long_words"]
 _CLASSES = np.zeros(0x250, np.uint8)
@@ -207,9 +207,13 @@ def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     """
     model = train(docs, labels, **how)
 
+    def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+        # one text after another, so that no batch stands in memory twice
+        x = np.array([features(t.as_py() or "") for t in b.column("text")], float).reshape(-1, len(FEATURES))
+        return b.filter(pa.array(model.score(x) >= threshold))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= threshold))
+        yield from map(kept, batches)
+        release()
 
     return docs.mapInArrow(run, docs.schema)
