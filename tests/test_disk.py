@@ -2,8 +2,8 @@
 
 import pytest
 
-from scorebook import testbed, testfeeds
-from scorebook.sources import sinks
+from scorebook import queries, testbed, testfeeds
+from scorebook.sources import feeds, sinks
 
 SF = "/root/testdata/sf0.001"
 FACTS = ["games", "plays", "pitches", "linescores", "decisions", "batting", "pitching", "bios"]
@@ -52,3 +52,12 @@ def test_pitches_are_made_after_their_plays_met_the_games(spark, monkeypatch):
     _ = testbed.tables(spark, SF).pitches
     text = plan(made["pitches_"])
     assert text.index("Generate explode") < text.index("SortMergeJoin")
+
+
+def test_landed_documents_are_compressed_files(spark, monkeypatch):
+    seen = []
+    real = feeds.read_documents
+    monkeypatch.setattr(feeds, "read_documents", lambda session, path, *more: seen.append(path) or real(session, path, *more))
+    found = queries.QUERIES["landed_documents"](spark, SF)
+    files = spark.read.text(seen[0]).inputFiles()
+    assert found.count() == testfeeds.stored(spark, SF).count() and all(f.endswith(".gz") for f in files) and len(files) > 1
