@@ -2,8 +2,9 @@
 
 import pytest
 
-from scorebook import queries, testbed, testfeeds
-from scorebook.sources import feeds, sinks
+from scorebook import queries, queries_more, testbed, testfeeds
+from scorebook.sources import derive, feeds, sinks, snapshots
+from scorebook.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 FACTS = ["games", "plays", "pitches", "linescores", "decisions", "batting", "pitching", "bios"]
@@ -61,3 +62,18 @@ def test_landed_documents_are_compressed_files(spark, monkeypatch):
     found = queries.QUERIES["landed_documents"](spark, SF)
     files = spark.read.text(seen[0]).inputFiles()
     assert found.count() == testfeeds.stored(spark, SF).count() and all(f.endswith(".gz") for f in files) and len(files) > 1
+
+
+def test_a_batch_parses_headers_once_and_joins_no_table_with_its_games(spark, monkeypatch):
+    plans, real = {}, snapshots.Batch._write
+
+    def write(batch, name, rows):
+        plans[name] = plan(rows)
+        real(batch, name, rows)
+
+    monkeypatch.setattr(snapshots.Batch, "_write", write)
+    store = ingest.GameStore(spark, queries_more._store(spark), 400)
+    store.ingest(testfeeds.stored(spark, SF).filter("length(json) % 20 = 0"))
+    assert store.read("plays").count() > 0 and store.read("plays").filter("span < 0 OR season IS NULL").isEmpty()
+    assert "metaData" not in plans["quarantine"]
+    assert {plans[n].count("Join") for n in derive.TABLES} == {1}  # with the games of the batch, whose old rows go
